@@ -100,3 +100,44 @@ def features_select(u: str = "url", round_digits: int | None = 9) -> str:
             e = f"round({e}, {round_digits}) + 0.0"
         parts.append(f"{e} AS {name}")
     return ",\n  ".join(parts)
+
+
+def host_sql(u: str = "url") -> str:
+    rest = f"regexp_replace({u}, {q(r'^(?:[A-Za-z0-9+\-.]+:)?//')}, '')"
+    auth = f"regexp_extract({rest}, '^([^/?#]*)', 1)"
+    nouser = f"regexp_replace({auth}, '^.*@', '')"
+    return f"regexp_extract({nouser}, '^([^:]*)', 1)"
+
+
+def suffix_ctes(src: str, key: str = "page_id") -> str:
+    """CTEs ending in ``dom`` = src columns + host, registered_domain, tld, stem.
+
+    Independent formulation: explode candidate suffixes, equi-join the rule
+    lines, aggregate per row.
+    """
+    from .sources.suffix_rules import psl_section_sql
+    return f"""
+psl AS ({psl_section_sql()}),
+rl AS (SELECT DISTINCT lower(rule) AS rule FROM psl),
+hs AS (SELECT s.*, {host_sql('s.url')} AS host FROM ({src}) s),
+lb AS (SELECT {key} AS rk, host, string_split(lower(host), '.') AS labs, string_split(host, '.') AS olabs FROM hs),
+cd AS (SELECT rk, k, array_to_string(list_slice(labs, len(labs) - k + 1, len(labs)), '.') AS c,
+              array_to_string(list_slice(labs, len(labs) - k + 2, len(labs)), '.') AS p
+       FROM lb, range(1, 12) t(k) WHERE k <= len(labs)),
+ck AS (SELECT rk, k, c AS key, 'n' AS mode FROM cd
+       UNION ALL SELECT rk, k, '*.' || p, 'w' FROM cd WHERE k >= 2
+       UNION ALL SELECT rk, k, '!' || c, 'e' FROM cd),
+mt AS (SELECT ck.rk, max(CASE WHEN mode IN ('n', 'w') THEN k END) AS mlen,
+              max(CASE WHEN mode = 'e' THEN k - 1 END) AS elen
+       FROM ck JOIN rl ON rl.rule = ck.key GROUP BY ck.rk),
+sl AS (SELECT lb.*, CASE WHEN regexp_matches(host, '^\\d{{1,3}}(\\.\\d{{1,3}}){{3}}$') THEN 0
+                        ELSE coalesce(mt.elen, mt.mlen, 0) END AS slen,
+              regexp_matches(host, '^\\d{{1,3}}(\\.\\d{{1,3}}){{3}}$') AS is_ip, len(olabs) AS n
+       FROM lb LEFT JOIN mt ON lb.rk = mt.rk),
+sx AS (SELECT rk,
+              CASE WHEN slen > 0 THEN array_to_string(list_slice(olabs, n - slen + 1, n), '.') ELSE '' END AS tld,
+              CASE WHEN is_ip THEN host WHEN n > slen THEN olabs[n - slen] ELSE '' END AS stem
+       FROM sl),
+dom AS (SELECT hs.*, CASE WHEN sx.stem <> '' THEN sx.stem || '.' || sx.tld ELSE sx.tld END AS registered_domain,
+               sx.tld, sx.stem
+        FROM hs JOIN sx ON hs.{key} = sx.rk)"""

@@ -34,4 +34,4 @@ def rounded(df: DataFrame, digits: int = 9) -> DataFrame:
 
 
 def load_all() -> None:
-    from . import lexical_q, prep_q  # noqa: F401
+    from . import lexical_q, prep_q, reputation_q  # noqa: F401

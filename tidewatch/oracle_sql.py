@@ -141,3 +141,43 @@ sx AS (SELECT rk,
 dom AS (SELECT hs.*, CASE WHEN sx.stem <> '' THEN sx.stem || '.' || sx.tld ELSE sx.tld END AS registered_domain,
                sx.tld, sx.stem
         FROM hs JOIN sx ON hs.{key} = sx.rk)"""
+
+
+def split_sql(src: str, class_col: str, key: str, nested: bool = True) -> str:
+    """Rows of ``src`` plus ``split`` by md5-ordered exact class quotas."""
+    val = ("WHEN rk <= n * 70 // 100 + (n - n * 70 // 100) // 2 THEN 'val' " if nested else "")
+    return (f"SELECT * EXCLUDE (rk, n), CASE WHEN rk <= n * 70 // 100 THEN 'train' {val}ELSE 'test' END AS split "
+            f"FROM (SELECT *, row_number() OVER (PARTITION BY {class_col} ORDER BY md5('42' || CAST({key} AS VARCHAR)), "
+            f"{key}) AS rk, count(*) OVER (PARTITION BY {class_col}) AS n FROM ({src}))")
+
+
+def lit(v) -> str:
+    return q(v) if isinstance(v, str) else str(v)
+
+
+def reputation_sql(src: str, key: str, parent: str, class_col: str, classes, out_cols,
+                   digits: int = 9) -> str:
+    """Reputation columns for every row of ``src`` (which has ``split``)."""
+    k = len(classes)
+    cnt = ", ".join(f"sum(CASE WHEN {class_col} = {lit(c)} THEN 1 ELSE 0 END) AS c{i}"
+                    for i, c in enumerate(classes))
+    pri = ", ".join(f"sum(CASE WHEN {class_col} = {lit(c)} THEN 1 ELSE 0 END) / count(*) AS p{i}"
+                    for i, c in enumerate(classes))
+    ent = " + ".join(f"(CASE WHEN ds.c{i} > 0 THEN (ds.c{i} / ds.n) * log2(ds.c{i} / ds.n) ELSE 0 END)"
+                     for i in range(k))
+    r = lambda e: f"round({e}, {digits}) + 0.0"
+    sel = [f"s.{c}" for c in out_cols]
+    sel += ["CAST(coalesce(ds.n, 0) AS BIGINT) AS domain_frequency",
+            f"{r(f'coalesce(-({ent}), 0.0)')} AS domain_class_entropy"]
+    for i in range(k):
+        tp = f"coalesce(ps.c{i} / ps.n, pr.p{i})"
+        dp = f"coalesce(ds.c{i} / ds.n, {tp})"
+        sel += [f"CAST(coalesce(ds.c{i}, 0) AS BIGINT) AS domain_class_{i}_count",
+                f"{r(tp)} AS tld_class_{i}_prob", f"{r(dp)} AS domain_class_{i}_prob",
+                f"{r(dp)} AS R_graph_class_{i}"]
+    return f"""src AS ({src}),
+tr AS (SELECT * FROM src WHERE split = 'train'),
+ds AS (SELECT {key} AS k, count(*) AS n, {cnt} FROM tr GROUP BY {key}),
+ps AS (SELECT {parent} AS k, count(*) AS n, {cnt} FROM tr GROUP BY {parent}),
+pr AS (SELECT {pri} FROM tr)
+SELECT {', '.join(sel)} FROM src s LEFT JOIN ds ON s.{key} = ds.k LEFT JOIN ps ON s.{parent} = ps.k CROSS JOIN pr"""

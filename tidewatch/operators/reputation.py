@@ -72,7 +72,8 @@ def reputation(df: DataFrame, key: str, parent: str, class_col: str, classes,
     pri = class_priors(train, class_col, classes)
     if spread is None:
         spread = F.xxhash64(*[F.col(c) for c in df.columns])
-    out = skew_safe_left_join(df, dom, key, "dom_n", spread, hot_fraction)
+    total = train.agg(F.count(F.lit(1)).alias("_total"))
+    out = skew_safe_left_join(df, dom, key, "dom_n", spread, hot_fraction, total)
     out = out.join(F.broadcast(par) if broadcast_parent else par, parent, "left")
     out = out.crossJoin(F.broadcast(pri))  # one row
     cols = [F.coalesce(F.col("dom_n"), F.lit(0)).cast("long").alias("domain_frequency"),

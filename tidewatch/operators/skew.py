@@ -6,20 +6,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def hot_keys(stats: DataFrame, key: str, count_col: str, fraction: float) -> DataFrame:
+def hot_keys(stats: DataFrame, key: str, count_col: str, fraction: float,
+             total: DataFrame | None = None) -> DataFrame:
     """Keys whose count is at least ``fraction`` of the total.
 
     At most ``1 / fraction`` keys can qualify (the counts sum to the total),
-    so the result has a proven size bound and may be broadcast.
+    so the result has a proven size bound and may be broadcast.  ``total`` is
+    a one-row ``_total`` DataFrame when the caller has it cheaper.
     """
-    total = stats.agg(F.sum(count_col).alias("_total"))
+    if total is None:
+        total = stats.agg(F.sum(count_col).alias("_total"))
     return (stats.crossJoin(F.broadcast(total))  # one-row side
             .filter(F.col(count_col) >= F.lit(fraction) * F.col("_total"))
             .drop("_total"))
 
 
 def skew_safe_left_join(big: DataFrame, stats: DataFrame, key: str, count_col: str,
-                        spread: Column, hot_fraction: float = 0.001) -> DataFrame:
+                        spread: Column, hot_fraction: float = 0.001,
+                        total: DataFrame | None = None) -> DataFrame:
     """``big LEFT JOIN stats USING (key)`` where ``stats`` is unique per key.
 
     Hot keys (>= ``hot_fraction`` of the stats' counts) are joined through a
@@ -29,7 +33,7 @@ def skew_safe_left_join(big: DataFrame, stats: DataFrame, key: str, count_col: s
     key's rows in one piece.
     """
     stat_cols = [c for c in stats.columns if c != key]
-    hot = hot_keys(stats, key, count_col, hot_fraction)
+    hot = hot_keys(stats, key, count_col, hot_fraction, total)
     hot_b = F.broadcast(hot.select(F.col(key).alias("_hk"), F.lit(True).alias("_is_hot"),
                                    *[F.col(c).alias(f"_h_{c}") for c in stat_cols]))
     b = big.join(hot_b, big[key] == F.col("_hk"), "left").drop("_hk")

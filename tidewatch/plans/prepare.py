@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import clean, split
 from ..operators.suffix import netloc_host, with_registered_domain
+from ..session import materialize
 from ..sources.tables import read_table, url_table
 
 # fixed value: domain key of the fallback runs = host plus first path segment
@@ -19,7 +20,7 @@ def labelled_urls(spark: SparkSession, sf_dir: str, nested: bool = True) -> Data
     u = split.stratified_split(u, "target", "url", nested=nested)
     u = u.withColumn("host", netloc_host("url")).withColumn(
         "path_key", F.regexp_extract("url", PATH_KEY, 1))
-    return with_registered_domain(u)
+    return materialize(with_registered_domain(u), "labelled_urls")
 
 
 def lineitem_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,4 +32,5 @@ def lineitem_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     sup = read_table(spark, sf_dir, "supplier").select(
         F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey"))
     li = li.join(sup, "l_suppkey", "left")
-    return split.stratified_split(li, "l_returnflag", "row_key", nested=False)
+    return materialize(split.stratified_split(li, "l_returnflag", "row_key", nested=False),
+                       "lineitem_labelled")

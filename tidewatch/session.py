@@ -48,3 +48,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         cdir = tempfile.mkdtemp(prefix="tidewatch-ckpt-", dir="/tmp")
     sc.setCheckpointDir(cdir)
     return sc.getCheckpointDir() or cdir
+
+
+def materialize(df, name: str = "stage"):
+    """Write ``df`` as a Parquet table under the shared checkpoint directory
+    and return a DataFrame reading it back.
+
+    Cuts the lineage of tables that several later stages read (each reader
+    then scans only the columns it needs) and survives executor loss: the
+    files live in the cluster's shared checkpoint folder, not on one machine.
+    """
+    import uuid
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

@@ -165,7 +165,7 @@ def reputation_sql(src: str, key: str, parent: str, class_col: str, classes, out
                     for i, c in enumerate(classes))
     ent = " + ".join(f"(CASE WHEN ds.c{i} > 0 THEN (ds.c{i} / ds.n) * log2(ds.c{i} / ds.n) ELSE 0 END)"
                      for i in range(k))
-    r = lambda e: f"round({e}, {digits}) + 0.0"
+    r = (lambda e: f"round({e}, {digits}) + 0.0") if digits is not None else (lambda e: e)
     sel = [f"s.{c}" for c in out_cols]
     sel += ["CAST(coalesce(ds.n, 0) AS BIGINT) AS domain_frequency",
             f"{r(f'coalesce(-({ent}), 0.0)')} AS domain_class_entropy"]

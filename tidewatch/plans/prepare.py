@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import clean, split
 from ..operators.suffix import netloc_host, with_registered_domain
-from ..session import materialize
+from ..session import input_signature, materialize
 from ..sources.tables import read_table, url_table
 
 # fixed value: domain key of the fallback runs = host plus first path segment
@@ -20,7 +20,8 @@ def labelled_urls(spark: SparkSession, sf_dir: str, nested: bool = True) -> Data
     u = split.stratified_split(u, "target", "url", nested=nested)
     u = u.withColumn("host", netloc_host("url")).withColumn(
         "path_key", F.regexp_extract("url", PATH_KEY, 1))
-    return materialize(with_registered_domain(u), "labelled_urls")
+    key = (nested, input_signature(f"{sf_dir}/pages.parquet"))
+    return materialize(with_registered_domain(u), "labelled_urls", key)
 
 
 def lineitem_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,5 +33,6 @@ def lineitem_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     sup = read_table(spark, sf_dir, "supplier").select(
         F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey"))
     li = li.join(sup, "l_suppkey", "left")
+    key = input_signature(f"{sf_dir}/lineitem.parquet", f"{sf_dir}/supplier.parquet")
     return materialize(split.stratified_split(li, "l_returnflag", "row_key", nested=False),
-                       "lineitem_labelled")
+                       "lineitem_labelled", key)

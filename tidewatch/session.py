@@ -50,7 +50,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or cdir
 
 
-def materialize(df, name: str = "stage"):
+_MATERIALIZED: dict = {}
+
+
+def input_signature(*paths: str) -> tuple:
+    """Identity of input files (path, size, mtime) for memoised stages."""
+    import glob
+    sig = []
+    for p in paths:
+        for f in sorted(glob.glob(p.replace("file:", "") + "*")):
+            st = os.stat(f)
+            sig.append((f, st.st_size, st.st_mtime_ns))
+    return tuple(sig)
+
+
+def materialize(df, name: str = "stage", key: tuple | None = None):
     """Write ``df`` as a Parquet table under the shared checkpoint directory
     and return a DataFrame reading it back.
 
@@ -60,7 +74,12 @@ def materialize(df, name: str = "stage"):
     """
     import uuid
     spark = df.sparkSession
+    memo = (id(spark), name, key) if key is not None else None
+    if memo is not None and memo in _MATERIALIZED:
+        return spark.read.parquet(_MATERIALIZED[memo])
     base = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{base}/tables/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
+    if memo is not None:
+        _MATERIALIZED[memo] = path
     return spark.read.parquet(path)

@@ -50,7 +50,7 @@ def lexical_suspicious(spark, sf_dir):
 def _by_class_sql():
     f = S.features("url")
     inner = ", ".join(f"{f[c]} AS {c}" for c in FEATURE_COLS)
-    aggs = ", ".join(f"round(avg({c}), 9) + 0.0 AS avg_{c}" for c in FEATURE_COLS)
+    aggs = ", ".join(f"round(avg({c}), 6) + 0.0 AS avg_{c}" for c in FEATURE_COLS)
     return (f"WITH u AS ({URLS_SQL}), h AS (SELECT *, {S.host_path_select('url')} FROM u), "
             f"f AS (SELECT type, {inner} FROM h) "
             f"SELECT type, CAST(count(*) AS BIGINT) AS n_urls, {aggs} FROM f GROUP BY type")
@@ -61,4 +61,4 @@ def features_by_class(spark, sf_dir):
     """Flagship: class-wise mean of all 40 features (partial + final hash agg)."""
     feats = _features(spark, sf_dir)
     aggs = [F.avg(c).alias(f"avg_{c}") for c in FEATURE_COLS]
-    return rounded(feats.groupBy("type").agg(F.count(F.lit(1)).alias("n_urls"), *aggs))
+    return rounded(feats.groupBy("type").agg(F.count(F.lit(1)).alias("n_urls"), *aggs), 6)

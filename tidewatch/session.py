@@ -32,6 +32,13 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8,
     b = b.config("spark.driver.memory", os.environ.get("TIDEWATCH_DRIVER_MEM", "8g"))
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    # the L-BFGS line search of the MLP logs recoverable step-size retries
+    jvm = spark.sparkContext._jvm
+    try:
+        jvm.org.apache.logging.log4j.core.config.Configurator.setLevel(
+            "breeze.optimize", jvm.org.apache.logging.log4j.Level.OFF)
+    except Exception:  # noqa: BLE001
+        pass
     ensure_checkpoint_dir(spark)
     return spark
 

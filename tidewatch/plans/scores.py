@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.lexical import feature_columns
 from ..functions.probs import prob_array
 from ..operators.reputation import reputation
-from ..session import input_signature, materialize
+from ..session import input_signature, stage_table
 from .prepare import labelled_urls
 
 CLS = [0, 1, 2, 3]
@@ -28,6 +28,12 @@ def lexical_signature() -> F.Column:
 
 
 def scored_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score table (written once per session and input)."""
+    key = input_signature(f"{sf_dir}/pages.parquet")
+    return stage_table(spark, "scored_urls", key, lambda: _scored_urls(spark, sf_dir))
+
+
+def _scored_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = labelled_urls(spark, sf_dir)
     f = u.select("page_id", "url", "target", "split", "path_key", "host", "registered_domain",
                  *[c for c in feature_columns("url")])
@@ -40,5 +46,4 @@ def scored_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = g.select(*base.columns, prob_array([f"domain_class_{i}_prob" for i in CLS]).alias("p_graph"))
     lx = reputation(g, "lex_sig", "sig_parent", "target", CLS, spread=F.xxhash64("url"))
     lx = lx.select(*g.columns, prob_array([f"domain_class_{i}_prob" for i in CLS]).alias("p_lex"))
-    key = input_signature(f"{sf_dir}/pages.parquet")
-    return materialize(lx.drop("lex_sig", "sig_parent"), "scored_urls", key)
+    return lx.drop("lex_sig", "sig_parent")

@@ -71,6 +71,16 @@ def input_signature(*paths: str) -> tuple:
     return tuple(sig)
 
 
+def stage_table(spark, name: str, key: tuple, build):
+    """Memoised ``materialize(build(), name)``: within one session a stage
+    with the same name and input signature is written once and read back
+    afterwards (the plan of ``build`` is not even constructed again)."""
+    memo = (id(spark), name, key)
+    if memo in _MATERIALIZED:
+        return spark.read.parquet(_MATERIALIZED[memo])
+    return materialize(build(), name, key)
+
+
 def materialize(df, name: str = "stage", key: tuple | None = None):
     """Write ``df`` as a Parquet table under the shared checkpoint directory
     and return a DataFrame reading it back.

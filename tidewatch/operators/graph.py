@@ -192,3 +192,25 @@ def ngram_hash(df: DataFrame, col: str, buckets: int, sizes=(2, 3), key: str | N
     from pyspark.sql import Window
     tot = F.sum("_c").over(Window.partitionBy("key"))
     return c.select("key", "bucket", (F.col("_c") / tot).alias("weight"))
+
+
+def dense_index(df: DataFrame, order_cols, out_col: str = "node_id", partitions: int | None = None) -> DataFrame:
+    """Dense 0-based ids in the total order ``order_cols`` without a
+    single-task sort: rows are range-partitioned by the order, a per-partition
+    count table (one row per partition) gives each partition's offset, and
+    ids are ranks inside a partition plus its offset.  ``order_cols`` must
+    make the order total (end with a unique key)."""
+    from pyspark.sql import Window
+    from ..session import materialize
+    spark = df.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parted = materialize(df.repartitionByRange(n, *order_cols)
+                         .withColumn("_pid", F.spark_partition_id()), "dense_index")
+    counts = parted.groupBy("_pid").agg(F.count(F.lit(1)).alias("_c"))
+    offs = counts.select("_pid", F.coalesce(F.sum("_c").over(
+        Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
+    w = Window.partitionBy("_pid").orderBy(*order_cols)
+    # offsets: one row per partition, broadcast
+    return (parted.join(F.broadcast(offs), "_pid")
+            .withColumn(out_col, (F.col("_off") + F.row_number().over(w) - 1).cast("long"))
+            .drop("_pid", "_off"))

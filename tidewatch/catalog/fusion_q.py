@@ -268,8 +268,7 @@ _EV_OVR_SQL = ("SELECT c.cls, e.value AS score, e.event_type = c.cls AS is_pos F
 
 def _events_ovr(spark, sf_dir):
     ev = read_table(spark, sf_dir, "events").select("event_type", "value")
-    types = ev.select(F.col("event_type").alias("cls")).distinct()
-    # the class set is tiny (distinct event types): broadcast
+    types = M.class_set(ev.select(F.col("event_type").alias("cls")))
     return ev.crossJoin(F.broadcast(types)).select(
         "cls", F.col("value").alias("score"), (F.col("event_type") == F.col("cls")).alias("is_pos"))
 

@@ -106,7 +106,7 @@ def propagate(df: DataFrame, feature_cols, domain: str = "registered_domain", tl
 
 
 def cold_start(query: DataFrame, profile: DataFrame, glob: DataFrame, feature_cols,
-               domain: str = "registered_domain") -> DataFrame:
+               domain: str = "registered_domain", spread: Column | None = None) -> DataFrame:
     """Domain-side mean for URLs scored against a fixed graph.
 
     A known domain folds the query URL in as one more neighbour,
@@ -114,8 +114,11 @@ def cold_start(query: DataFrame, profile: DataFrame, glob: DataFrame, feature_co
     Each URL is scored against base graph + itself, so the result does not
     depend on which other URLs share the batch.
     """
+    from .skew import skew_safe_left_join
     p = profile.select(domain, "dom_n", *[f"dom_sum_{c}" for c in feature_cols])
-    j = query.join(p, domain, "left").crossJoin(F.broadcast(glob))  # glob is one row
+    spread = spread if spread is not None else F.xxhash64(*[F.col(c) for c in query.columns])
+    # a popular domain in the query batch must not land on one reducer
+    j = skew_safe_left_join(query, p, domain, "dom_n", spread).crossJoin(F.broadcast(glob))  # one row
     cols = [F.col(c) for c in query.columns] + [F.col("dom_n").isNull().alias("domain_unseen")]
     for c in feature_cols:
         cols.append(F.when(F.col("dom_n").isNull(), F.col(f"glob_{c}"))

@@ -90,6 +90,16 @@ def log_loss(df: DataFrame, p: str, y: str, group_cols=()) -> DataFrame:
         F.avg((pred == F.col(y)).cast("double")).alias("accuracy"))
 
 
+def class_set(labels: DataFrame, limit: int = 10000) -> DataFrame:
+    """Distinct class labels, checked to be at most ``limit`` before the
+    caller broadcasts them (one-vs-rest multiplies rows by the class count)."""
+    d = labels.distinct()
+    n = d.limit(limit + 1).count()
+    if n > limit:
+        raise ValueError(f"more than {limit} classes: one-vs-rest is not meaningful")
+    return d
+
+
 def one_vs_rest(df: DataFrame, p: str, y: str, k: int, group_cols=()) -> DataFrame:
     """E5: rows ``(class, score, is_pos)`` for each class of a probability vector."""
     g = [F.col(c) for c in group_cols]

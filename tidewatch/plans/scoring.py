@@ -44,15 +44,16 @@ def with_features(df: DataFrame, url_col: str = "url") -> DataFrame:
                                     zip(feature_columns(url_col), FEATURE_COLS)])
 
 
-def fit_engines(labelled: DataFrame, alpha: float = SERVING_ALPHA, rf_trees: int = 40,
-                mlp_iter: int = 60) -> Engines:
+def fit_engines(labelled: DataFrame, alpha: float = SERVING_ALPHA, rf_trees: int = 20,
+                mlp_iter: int = 40) -> Engines:
     """Train M1 and M2 on ``split == 'train'``; build the serving dims."""
     lf = with_features(labelled)
     train = lf.filter(F.col("split") == "train")
     lex = MD.train_lexical_model(materialize(train, "lexical_train"), num_trees=rf_trees)
-    prof = GR.domain_profile(lf, FEATURE_COLS)
-    tp = GR.tld_profile(prof, lf, FEATURE_COLS)
-    glob = GR.global_profile(prof, train, FEATURE_COLS)
+    # The serving dimensions are written once and read back (pruned scans)
+    prof = materialize(GR.domain_profile(lf, FEATURE_COLS), "dim_domain")
+    tp = materialize(GR.tld_profile(prof, lf, FEATURE_COLS), "dim_tld")
+    glob = materialize(GR.global_profile(prof, train, FEATURE_COLS), "global_profile")
     prop = GR.propagate(lf, FEATURE_COLS, spread=F.xxhash64("url"))
     gcols = MD.graph_feature_cols()
     # iterative training reads its input once per iteration: cut the lineage
@@ -61,6 +62,24 @@ def fit_engines(labelled: DataFrame, alpha: float = SERVING_ALPHA, rf_trees: int
     return Engines(lex, gmodel, prof, tp, glob, alpha)
 
 
+def save_engines(eng: Engines, path: str) -> None:
+    """S6 + S7: persist models and dimension tables under ``path``."""
+    eng.lexical.write().overwrite().save(f"{path}/lexical_model")
+    eng.graph.write().overwrite().save(f"{path}/graph_model")
+    eng.dim_domain.write.mode("overwrite").parquet(f"{path}/dim_domain")
+    eng.dim_tld.write.mode("overwrite").parquet(f"{path}/dim_tld")
+    eng.glob.write.mode("overwrite").parquet(f"{path}/global_profile")
+    eng.dim_domain.sparkSession.createDataFrame([(float(eng.alpha),)], "alpha double") \
+        .write.mode("overwrite").parquet(f"{path}/alpha")
+
+
+def load_engines(spark, path: str) -> Engines:
+    return Engines(PipelineModel.load(f"{path}/lexical_model"), PipelineModel.load(f"{path}/graph_model"),
+                   spark.read.parquet(f"{path}/dim_domain"), spark.read.parquet(f"{path}/dim_tld"),
+                   spark.read.parquet(f"{path}/global_profile"),
+                   spark.read.parquet(f"{path}/alpha").first()["alpha"])
+
+
 def score(urls: DataFrame, eng: Engines, url_col: str = "url", normalise: bool = False,
           debug: bool = False) -> DataFrame:
     """Score every row of ``urls`` (batch or streaming); input columns are

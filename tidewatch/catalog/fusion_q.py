@@ -277,8 +277,7 @@ def _events_ovr(spark, sf_dir):
 def auc_events(spark, sf_dir):
     """E7 at table scale: AUC of ``value`` for each event type vs the rest;
     unbounded scores are bucketed by approximate quantiles."""
-    o = _events_ovr(spark, sf_dir)
-    return rounded(M.auc(o, bucket=M.value_bucket(o)))
+    return rounded(M.auc(_events_ovr(spark, sf_dir)))
 
 
 @query("log_loss", f"""SELECT {_r(f"avg(-ln(CASE target {' '.join(f'WHEN {i} THEN pgn{i}' for i in CLS)} END + {_EPS}))")} AS log_loss,

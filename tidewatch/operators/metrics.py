@@ -157,8 +157,10 @@ def value_bucket(scored: DataFrame, buckets: int = 1024):
 
 
 def roc_points(scored: DataFrame, group: str = "cls", bucket=None) -> DataFrame:
-    """One ROC point per distinct score (threshold) and group."""
-    b = _roc_base(scored, group, bucket if bucket is not None else prob_bucket(F.col("score")))
+    """One ROC point per distinct score (threshold) and group.  Buckets
+    default to approximate score quantiles, so dense score regions are split
+    evenly; ``prob_bucket`` gives fixed-width buckets without the extra pass."""
+    b = _roc_base(scored, group, bucket if bucket is not None else value_bucket(scored))
     return b.select(group, F.col("score").alias("threshold"),
                     F.try_divide(F.col("pos_above") + F.col("pos"), F.col("P")).alias("tpr"),
                     F.try_divide(F.col("neg_above") + F.col("neg"), F.col("N")).alias("fpr"))
@@ -166,7 +168,7 @@ def roc_points(scored: DataFrame, group: str = "cls", bucket=None) -> DataFrame:
 
 def auc(scored: DataFrame, group: str = "cls", bucket=None) -> DataFrame:
     """Trapezoid area under the ROC per group (ties count one half)."""
-    b = _roc_base(scored, group, bucket if bucket is not None else prob_bucket(F.col("score")))
+    b = _roc_base(scored, group, bucket if bucket is not None else value_bucket(scored))
     return b.groupBy(group).agg(
         F.try_divide(F.sum(F.col("neg") * (F.col("pos_above") + F.col("pos") / 2.0)),
                      F.first("P") * F.first("N")).alias("auc"),

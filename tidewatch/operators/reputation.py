@@ -52,30 +52,50 @@ def key_class_stats(train: DataFrame, key: str, class_col: str, classes, prefix:
     return s.withColumn(f"{prefix}_entropy", -reduce(lambda a, b: a + b, terms) + F.lit(0.0))
 
 
-def reputation(df: DataFrame, key: str, parent: str, class_col: str, classes,
-               split_col: str = "split", train_value: str = "train",
-               spread: Column | None = None, hot_fraction: float = 0.001,
-               broadcast_parent: bool = True) -> DataFrame:
-    """Append the reputation table columns to every row of ``df``.
-
-    Column names follow the reference table: ``domain_frequency``,
-    ``domain_class_entropy``, and per class i ``domain_class_{i}_count``,
-    ``tld_class_{i}_prob``, ``domain_class_{i}_prob``, ``R_graph_class_{i}``.
-    ``broadcast_parent`` is for parent keys of bounded cardinality (public
-    suffixes, nations); otherwise the parent join is left to AQE.
+def fit_reputation(train: DataFrame, key: str, parent: str, class_col: str, classes) -> dict:
+    """Learn the statistics tables from train rows with ONE pass over them.
+
+    The rows are aggregated once by ``(key, parent)`` (partial aggregation
+    before the shuffle; the result has about one row per key) and written
+    under the checkpoint directory; key, parent and global statistics are
+    small roll-ups of that table.  Returns DataFrames ``dom``, ``par``,
+    ``pri`` (priors + ``_total``).
     """
+    from ..session import materialize
     k = len(classes)
-    train = df.filter(F.col(split_col) == F.lit(train_value)).select(key, parent, class_col)
-    dom = key_class_stats(train.select(key, class_col), key, class_col, classes, "dom")
-    par = key_class_stats(train.select(parent, class_col), parent, class_col, classes, "par")
-    par = par.select(parent, *[f"par_prob_{i}" for i in range(k)])
-    pri = class_priors(train, class_col, classes)
+    cnts = [F.sum((F.col(class_col) == F.lit(c)).cast("long")).alias(f"c{i}") for i, c in enumerate(classes)]
+    pairs = materialize(train.groupBy(key, parent).agg(F.count(F.lit(1)).alias("n"), *cnts), "rep_pairs")
+
+    def roll(by, prefix):
+        s = pairs.groupBy(by).agg(F.sum("n").alias(f"{prefix}_n"),
+                                  *[F.sum(f"c{i}").alias(f"{prefix}_cnt_{i}") for i in range(k)])
+        s = s.select("*", *[(F.col(f"{prefix}_cnt_{i}") / F.col(f"{prefix}_n")).alias(f"{prefix}_prob_{i}")
+                            for i in range(k)])
+        terms = [F.when(F.col(f"{prefix}_prob_{i}") > 0,
+                        F.col(f"{prefix}_prob_{i}") * F.log2(F.col(f"{prefix}_prob_{i}"))).otherwise(0.0)
+                 for i in range(k)]
+        return s.withColumn(f"{prefix}_entropy", -reduce(lambda a, b: a + b, terms) + F.lit(0.0))
+
+    dom = roll(key, "dom")
+    par = roll(parent, "par").select(parent, *[f"par_prob_{i}" for i in range(k)])
+    tot = pairs.agg(F.sum("n").alias("_total"), *[F.sum(f"c{i}").alias(f"_c{i}") for i in range(k)])
+    pri = tot.select("_total", *[(F.col(f"_c{i}") / F.col("_total")).alias(f"prior_{i}") for i in range(k)])
+    return {"dom": dom, "par": par, "pri": pri}
+
+
+def apply_reputation(df: DataFrame, stats: dict, key: str, parent: str, k: int,
+                     spread: Column | None = None, hot_fraction: float = 0.001,
+                     broadcast_parent: bool = True) -> DataFrame:
+    """Map learnt statistics onto every row with the fallback chain
+    key -> parent -> global (J1-J3)."""
     if spread is None:
         spread = F.xxhash64(*[F.col(c) for c in df.columns])
-    total = train.agg(F.count(F.lit(1)).alias("_total"))
-    out = skew_safe_left_join(df, dom, key, "dom_n", spread, hot_fraction, total)
+    pri = stats["pri"]
+    out = skew_safe_left_join(df, stats["dom"], key, "dom_n", spread, hot_fraction,
+                              pri.select("_total"))
+    par = stats["par"]
     out = out.join(F.broadcast(par) if broadcast_parent else par, parent, "left")
-    out = out.crossJoin(F.broadcast(pri))  # one row
+    out = out.crossJoin(F.broadcast(pri.drop("_total")))  # one row
     cols = [F.coalesce(F.col("dom_n"), F.lit(0)).cast("long").alias("domain_frequency"),
             F.coalesce(F.col("dom_entropy"), F.lit(0.0)).alias("domain_class_entropy")]
     for i in range(k):
@@ -88,6 +108,24 @@ def reputation(df: DataFrame, key: str, parent: str, class_col: str, classes,
     return out.select(*[F.col(c) for c in df.columns], *cols)
 
 
+def reputation(df: DataFrame, key: str, parent: str, class_col: str, classes,
+               split_col: str = "split", train_value: str = "train",
+               spread: Column | None = None, hot_fraction: float = 0.001,
+               broadcast_parent: bool = True) -> DataFrame:
+    """Append the reputation table columns to every row of ``df``.
+
+    Statistics come from ``split == train`` rows only (leak-free).  Column
+    names follow the reputation table: ``domain_frequency``,
+    ``domain_class_entropy``, and per class i ``domain_class_{i}_count``,
+    ``tld_class_{i}_prob``, ``domain_class_{i}_prob``, ``R_graph_class_{i}``.
+    ``broadcast_parent`` is for parent keys of bounded cardinality (public
+    suffixes, nations); otherwise the parent join is left to AQE.
+    """
+    train = df.filter(F.col(split_col) == F.lit(train_value)).select(key, parent, class_col)
+    stats = fit_reputation(train, key, parent, class_col, classes)
+    return apply_reputation(df, stats, key, parent, len(classes), spread, hot_fraction, broadcast_parent)
+
+
 def reputation_columns(k: int) -> list[str]:
     cols = ["domain_frequency", "domain_class_entropy"]
     for i in range(k):

@@ -96,8 +96,10 @@ def propagate(df: DataFrame, feature_cols, domain: str = "registered_domain", tl
     from pre-aggregates; the domain lookup is skew-safe, the suffix table is
     bounded by the public-suffix list and broadcast.
     """
+    from ..session import materialize
     from .skew import skew_safe_left_join
-    prof = domain_profile(df, feature_cols, domain)
+    # the profile is read three times (suffix means, hot keys, lookup): write it once
+    prof = materialize(domain_profile(df, feature_cols, domain), "domain_profile")
     tp = tld_profile(prof, df, feature_cols, domain, tld)
     keep = prof.select(domain, "dom_n", *[f"dom_{c}" for c in feature_cols])
     spread = spread if spread is not None else F.xxhash64(*[F.col(c) for c in df.columns])

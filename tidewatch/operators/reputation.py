@@ -33,7 +33,7 @@ def class_distribution(df: DataFrame, class_col: str) -> DataFrame:
 def class_priors(train: DataFrame, class_col: str, classes) -> DataFrame:
     """A2: one row ``prior_0..prior_k`` (normalised class counts)."""
     n = F.count(F.lit(1))
-    return train.agg(*[(F.sum((F.col(class_col) == F.lit(c)).cast("long")) / n).alias(f"prior_{i}")
+    return train.agg(*[F.try_divide(F.sum((F.col(class_col) == F.lit(c)).cast("long")), n).alias(f"prior_{i}")
                        for i, c in enumerate(classes)])
 
 
@@ -79,7 +79,8 @@ def fit_reputation(train: DataFrame, key: str, parent: str, class_col: str, clas
     dom = roll(key, "dom")
     par = roll(parent, "par").select(parent, *[f"par_prob_{i}" for i in range(k)])
     tot = pairs.agg(F.sum("n").alias("_total"), *[F.sum(f"c{i}").alias(f"_c{i}") for i in range(k)])
-    pri = tot.select("_total", *[(F.col(f"_c{i}") / F.col("_total")).alias(f"prior_{i}") for i in range(k)])
+    pri = tot.select("_total", *[F.try_divide(F.col(f"_c{i}"), F.col("_total")).alias(f"prior_{i}")
+                                 for i in range(k)])
     return {"dom": dom, "par": par, "pri": pri}
 
 

@@ -49,12 +49,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     ``spark.checkpoint.dir`` is read from the session; only when it is unset
     (local tests) a scratch folder is created and registered.
     """
-    sc = spark.sparkContext
-    cdir = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
+    cdir = None
+    try:
+        sc = spark.sparkContext
+        cdir = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
+    except Exception:  # noqa: BLE001  (no SparkContext, e.g. a Connect session)
+        sc = None
+    if not cdir:
+        try:
+            cdir = spark.conf.get("spark.checkpoint.dir", None)
+        except Exception:  # noqa: BLE001
+            cdir = None
     if not cdir:
         cdir = tempfile.mkdtemp(prefix="tidewatch-ckpt-", dir="/tmp")
-    sc.setCheckpointDir(cdir)
-    return sc.getCheckpointDir() or cdir
+    if sc is not None:
+        if not sc.getCheckpointDir():
+            sc.setCheckpointDir(cdir)
+        return sc.getCheckpointDir() or cdir
+    return cdir
 
 
 _MATERIALIZED: dict = {}

@@ -22,9 +22,12 @@ def flag_allowed(df: DataFrame, domain_col: str = "registered_domain",
                  allow: DataFrame | None = None, out_col: str = "is_allowed") -> DataFrame:
     """Allow-list membership by a broadcast join (the list is small and
     fixed; a table of any size up to the broadcast limit works the same)."""
-    allow = allow if allow is not None else allow_list_df(df.sparkSession)
-    a = F.broadcast(allow.select(F.col(allow.columns[0]).alias("_allow")).distinct()
-                    .withColumn(out_col, F.lit(True)))
+    from .skew import bounded_broadcast
+    fixed = allow is None
+    allow = allow_list_df(df.sparkSession) if fixed else allow
+    a = allow.select(F.col(allow.columns[0]).alias("_allow")).distinct().withColumn(out_col, F.lit(True))
+    # the built-in list has 8 entries; a caller's table is broadcast after a size check
+    a = F.broadcast(a) if fixed else bounded_broadcast(a)
     return (df.join(a, F.col(domain_col) == F.col("_allow"), "left").drop("_allow")
             .withColumn(out_col, F.coalesce(F.col(out_col), F.lit(False))))
 

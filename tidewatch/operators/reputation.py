@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .skew import skew_safe_left_join
+from .skew import bounded_broadcast, skew_safe_left_join
 
 
 def class_index(class_col: str, classes) -> Column:
@@ -95,7 +95,8 @@ def apply_reputation(df: DataFrame, stats: dict, key: str, parent: str, k: int,
     out = skew_safe_left_join(df, stats["dom"], key, "dom_n", spread, hot_fraction,
                               pri.select("_total"))
     par = stats["par"]
-    out = out.join(F.broadcast(par) if broadcast_parent else par, parent, "left")
+    # parent keys (suffixes, nations) are few; the hint is given only after a count check
+    out = out.join(bounded_broadcast(par) if broadcast_parent else par, parent, "left")
     out = out.crossJoin(F.broadcast(pri.drop("_total")))  # one row
     cols = [F.coalesce(F.col("dom_n"), F.lit(0)).cast("long").alias("domain_frequency"),
             F.coalesce(F.col("dom_entropy"), F.lit(0.0)).alias("domain_class_entropy")]

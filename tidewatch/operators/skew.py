@@ -6,6 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def bounded_broadcast(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
+    """Broadcast hint only after checking the row count (reads at most
+    ``max_rows + 1`` rows); a larger table is returned unhinted so the join
+    stays a shuffle join (AQE may still broadcast it if it measures it small)."""
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df
+
+
 def hot_keys(stats: DataFrame, key: str, count_col: str, fraction: float,
              total: DataFrame | None = None) -> DataFrame:
     """Keys whose count is at least ``fraction`` of the total.

@@ -50,7 +50,6 @@ def test_oracle_agreement(spark, duck, name):
 
 
 def test_stream_equals_batch(spark):
-    from pyspark.sql import functions as F
     stream = {r.page_id: r for r in E.queries()["score_stream"](spark, SF001).collect()}
     from tidewatch.catalog.model_q import engines
     from tidewatch.plans.scoring import score

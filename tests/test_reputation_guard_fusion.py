@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.constants import ALLOW_VECTOR, MALWARE_VECTOR, PHISHING_VECTOR
-from tidewatch.functions.probs import blend, prob_columns
+from tidewatch.functions.probs import blend
 from tidewatch.operators import guard as G
 from tidewatch.operators import reputation as R
 from tidewatch.operators.suffix import with_registered_domain

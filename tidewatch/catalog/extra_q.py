@@ -38,8 +38,7 @@ _F = S.features("url", "host_lex", "path")
 
 @query("class_filter", "SELECT page_id, " + ", ".join(
     (f"round({_F[c]}, 9) + 0.0" if c == "entropy" else f"CAST({_F[c]} AS DOUBLE)") + f" AS {c}" for c in _SEL)
-    + f", CAST(0.0 AS DOUBLE) AS missing_feature FROM (SELECT *, regexp_extract(url, {S.q(r'^(?:https?://)?([^/:\?]+)')}, 1) AS host_lex, "
-    f"regexp_extract(url, {S.q(r'^(?:https?://)?[^/:\?]+(/[^\?]*)')}, 1) AS path FROM ({LABELLED_SQL})) "
+    + f", CAST(0.0 AS DOUBLE) AS missing_feature FROM ({S.with_lex_host_path(LABELLED_SQL)}) "
     f"WHERE target = {CLASS_IDS['malware']}")
 def class_filter_q(spark, sf_dir):
     """C9 + C6/C7/C8: malware rows projected to a model's feature list, a

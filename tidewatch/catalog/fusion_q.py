@@ -6,14 +6,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import oracle_sql as S
-from ..constants import (ALLOW_LIST, ALLOW_VECTOR, CLASSES, EPS, FEATURE_COLS, GUARD_ENTROPY,
-                         GUARD_KEYWORDS, MALWARE_MARKERS, MALWARE_VECTOR, PHISHING_VECTOR,
-                         SERVING_ALPHA)
-from ..functions.lexical import feature_columns, shannon_entropy
-from ..functions.probs import (argmax, blend, class_name, confidence, normalise_exact,
-                               prob_columns, renormalise, round_vec)
+from ..constants import EPS, SERVING_ALPHA
+from ..functions.probs import argmax, normalise_exact, prob_columns, renormalise, round_vec
 from ..operators import fusion as FU
-from ..operators import guard as G
 from ..operators import metrics as M
 from ..plans.scores import SIG_FEATURES, scored_urls
 from ..sources.tables import read_table
@@ -24,15 +19,10 @@ CLS = [0, 1, 2, 3]
 K = 4
 
 # ---------------------------------------------------------------- SQL side
-_feat = S.features("url")
+_feat = S.features("url", "host_lex", "path")
 _sig = " || ':' || ".join(f"CAST({_feat[c]} AS VARCHAR)" for c in SIG_FEATURES)
-_LAB_SIG = (f"SELECT l.*, {_sig} AS lex_sig, CAST({_feat['https_flag']} AS VARCHAR) AS sig_parent "
-            f"FROM (SELECT *, regexp_extract(url, {S.q(r'^(?:https?://)?([^/:\?]+)')}, 1) AS host_lex, "
-            f"regexp_extract(url, {S.q(r'^(?:https?://)?[^/:\?]+(/[^\?]*)')}, 1) AS path FROM ({LABELLED_SQL})) l")
-_LAB_SIG = _LAB_SIG.replace("SELECT l.*,", "SELECT l.* EXCLUDE (host_lex, path),")
-# features() refers to host/path of the lexical regexes: rename for this use
-_LAB_SIG = _LAB_SIG.replace(_sig, " || ':' || ".join(
-    f"CAST({S.features('url', 'host_lex', 'path')[c]} AS VARCHAR)" for c in SIG_FEATURES))
+_LAB_SIG = (f"SELECT l.* EXCLUDE (host_lex, path), {_sig} AS lex_sig, "
+            f"CAST({_feat['https_flag']} AS VARCHAR) AS sig_parent FROM ({S.with_lex_host_path(LABELLED_SQL)}) l")
 _BASE_COLS = ["page_id", "url", "target", "split", "path_key", "host", "registered_domain"]
 _G_SQL = "WITH " + S.reputation_sql(_LAB_SIG, "path_key", "host", "target", CLS,
                                     _BASE_COLS + ["lex_sig", "sig_parent"], digits=None)

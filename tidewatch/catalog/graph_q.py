@@ -14,8 +14,7 @@ from .reputation_q import LABELLED_SQL
 
 _LF_SQL = ("SELECT l.* EXCLUDE (host_lex, path), " + ", ".join(
     f"CAST({e} AS DOUBLE) AS {n}" for n, e in S.features("url", "host_lex", "path").items())
-    + f" FROM (SELECT *, regexp_extract(url, {S.q(r'^(?:https?://)?([^/:\?]+)')}, 1) AS host_lex, "
-    f"regexp_extract(url, {S.q(r'^(?:https?://)?[^/:\?]+(/[^\?]*)')}, 1) AS path FROM ({LABELLED_SQL})) l")
+    + f" FROM ({S.with_lex_host_path(LABELLED_SQL)}) l")
 
 
 def _r6(e: str) -> str:

@@ -9,9 +9,8 @@ from .. import oracle_sql as S
 from ..constants import (ALLOW_LIST, ALLOW_VECTOR, CLASSES, FEATURE_COLS, GUARD_ENTROPY,
                          GUARD_KEYWORDS, MALWARE_MARKERS, MALWARE_VECTOR, PHISHING_VECTOR,
                          SERVING_ALPHA)
-from ..functions.lexical import feature_columns, keyword_hits
-from ..functions.probs import (argmax, class_name, confidence, normalise_exact, prob_columns,
-                               renormalise, round_vec)
+from ..functions.lexical import feature_columns
+from ..functions.probs import argmax, class_name, confidence, normalise_exact, prob_columns, round_vec
 from ..operators import fusion as FU
 from ..operators import guard as G
 from ..operators import metrics as M

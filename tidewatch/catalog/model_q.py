@@ -16,7 +16,6 @@ from ..plans import models as MD
 from ..plans.prepare import labelled_urls
 from ..plans.scoring import fit_engines, score, with_features
 from ..session import input_signature, materialize
-from ..sources.tables import url_table
 from ..streaming.score_stream import run_stream_score, url_stream
 from . import query, rounded
 

@@ -93,6 +93,12 @@ def host_path_select(u: str = "url") -> str:
             f"regexp_extract({u}, {q(PATH_PATTERN)}, 1) AS path")
 
 
+def with_lex_host_path(src: str, u: str = "url") -> str:
+    """``src`` plus the lexical-regex host and path as ``host_lex`` and ``path``."""
+    return (f"SELECT *, regexp_extract({u}, {q(HOST_PATTERN)}, 1) AS host_lex, "
+            f"regexp_extract({u}, {q(PATH_PATTERN)}, 1) AS path FROM ({src})")
+
+
 def features_select(u: str = "url", round_digits: int | None = 9) -> str:
     parts = []
     for name, e in features(u).items():

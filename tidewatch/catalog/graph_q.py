@@ -144,3 +144,38 @@ def tld_ngram_hash(spark, sf_dir):
     """U4: L1-normalised 2/3-gram hash histogram (64 buckets) of each host."""
     u = labelled_urls(spark, sf_dir).select("host").distinct()
     return rounded(GR.ngram_hash(u, "host", 64))
+
+
+def _emb_edges(spark, sf_dir):
+    from ..sources.tables import read_table
+    emb = read_table(spark, sf_dir, "embeddings")
+    edges = emb.select(F.col("vec_id").alias("src"), F.col("label").alias("dst"))
+    return emb, edges
+
+
+@query("embedding_neighbor_mean", """SELECT label AS dst, CAST(pos - 1 AS INTEGER) AS pos,
+  round(avg(CAST(v AS DOUBLE)), 6) + 0.0 AS mean, CAST(count(*) AS BIGINT) AS n
+FROM (SELECT label, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS pos FROM embeddings)
+GROUP BY label, pos""")
+def embedding_neighbor_mean(spark, sf_dir):
+    """G4 on vector features: element-wise mean embedding of each label node
+    over its member vectors (vec -> label edges)."""
+    emb, edges = _emb_edges(spark, sf_dir)
+    return rounded(GR.neighbor_mean_vectors(emb, edges, "vec_id", "embedding"), 6)
+
+
+@query("embedding_hop_back", """WITH m AS (SELECT label, list(mean ORDER BY pos) AS centre FROM (
+    SELECT label, pos, avg(CAST(v AS DOUBLE)) AS mean FROM (
+      SELECT label, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS pos FROM embeddings)
+    GROUP BY label, pos) GROUP BY label)
+SELECT e.vec_id, e.label, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), m.centre), 6) + 0.0 AS cos_to_centre
+FROM embeddings e JOIN m ON e.label = m.label""")
+def embedding_hop_back(spark, sf_dir):
+    """G5 on vectors: second hop back to each vector, its cosine similarity to
+    the mean of its label node."""
+    emb, edges = _emb_edges(spark, sf_dir)
+    centres = GR.collect_vectors(GR.neighbor_mean_vectors(emb, edges, "vec_id", "embedding"),
+                                 out="centre").withColumnRenamed("dst", "label")
+    j = emb.join(centres, "label")
+    return rounded(j.select("vec_id", "label", GR.cosine(F.col("embedding").cast("array<double>"),
+                                                         "centre").alias("cos_to_centre")), 6)

@@ -219,3 +219,32 @@ def dense_index(df: DataFrame, order_cols, out_col: str = "node_id", partitions:
     return (parted.join(F.broadcast(offs), "_pid")
             .withColumn(out_col, (F.col("_off") + F.row_number().over(w) - 1).cast("long"))
             .drop("_pid", "_off"))
+
+
+def neighbor_mean_vectors(nodes: DataFrame, edges: DataFrame, key: str, vec_col: str,
+                          src: str = "src", dst: str = "dst") -> DataFrame:
+    """G4 for array-valued node features: element-wise mean of the source
+    vectors per destination, long form ``(dst, pos, mean, n)``.  Each vector
+    element is one row of a grouped average, so a destination with a third of
+    all sources is still combined map-side."""
+    j = edges.select(src, dst).join(nodes.select(F.col(key).alias(src), vec_col), src)
+    e = j.select(dst, F.posexplode(vec_col).alias("pos", "v"))
+    return e.groupBy(dst, "pos").agg(F.avg(F.col("v").cast("double")).alias("mean"),
+                                     F.count(F.lit(1)).alias("n"))
+
+
+def collect_vectors(long: DataFrame, key: str = "dst", value: str = "mean", out: str = "vec") -> DataFrame:
+    """Long ``(key, pos, value)`` back to one array per key (length = the
+    vector dimension, a fixed bound)."""
+    return long.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", value))).alias("_s")).select(
+        key, F.transform("_s", lambda s: s[value]).alias(out))
+
+
+def cosine(a, b) -> Column:
+    """Cosine similarity of two equal-length numeric arrays."""
+    a = F.col(a) if isinstance(a, str) else a
+    b = F.col(b) if isinstance(b, str) else b
+    dot = F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    na = F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x * x))
+    nb = F.sqrt(F.aggregate(b, F.lit(0.0), lambda s, x: s + x * x))
+    return F.try_divide(dot, na * nb)

@@ -32,12 +32,19 @@ def flag_allowed(df: DataFrame, domain_col: str = "registered_domain",
             .withColumn(out_col, F.coalesce(F.col(out_col), F.lit(False))))
 
 
-def flag_unseen(df: DataFrame, key_col: str, known: DataFrame, out_col: str = "is_unseen") -> DataFrame:
-    """Key absent from the known key set (left join on distinct keys; the
-    planner broadcasts the key set only when AQE measures it small)."""
-    k = known.select(F.col(known.columns[0]).alias("_known")).distinct().withColumn("_seen", F.lit(True))
-    return (df.join(k, F.col(key_col) == F.col("_known"), "left").drop("_known")
-            .withColumn(out_col, F.col("_seen").isNull()).drop("_seen"))
+def flag_unseen(df: DataFrame, key_col: str, known: DataFrame, out_col: str = "is_unseen",
+                spread: Column | None = None) -> DataFrame:
+    """Key absent from the known key set.
+
+    The known keys are counted (one aggregate), and the lookup is skew-safe:
+    keys frequent in the known set are matched through a bounded broadcast,
+    the rest by a shuffle join on a spread key.
+    """
+    from .skew import skew_safe_left_join
+    kc = known.groupBy(F.col(known.columns[0]).alias(key_col)).agg(F.count(F.lit(1)).alias("_seen_n"))
+    spread = spread if spread is not None else F.xxhash64(*[F.col(c) for c in df.columns])
+    j = skew_safe_left_join(df, kc, key_col, "_seen_n", spread)
+    return j.withColumn(out_col, F.col("_seen_n").isNull()).drop("_seen_n")
 
 
 def guard_signals(url_col: str = "url") -> list[Column]:

@@ -77,10 +77,10 @@ def graph_job(spark: SparkSession, data_path: str, output_path: str, max_iter: i
     df = split.stratified_split(_with_keys(df), tcol, "url", nested=True)
     prop = materialize(graph.propagate(df, FEATURE_COLS, spread=F.xxhash64("url")), "graph_features")
     cols = MD.graph_feature_cols()
-    model = MD.train_graph_model(prop.filter(F.col("split") == "train"), cols, label=tcol, max_iter=max_iter)
+    model, _ = MD.select_graph_model(prop.filter(F.col("split") == "train"), prop.filter(F.col("split") == "val"),
+                                     cols, label=tcol, candidates=((max_iter, 42), (max_iter, 7)))
     scored = MD.graph_probs(model, prop, cols)
-    val = scored.filter(F.col("split") == "val")
-    ll = metrics.log_loss(val, "p_graph", tcol).first()
+    ll = metrics.log_loss(scored.filter(F.col("split") == "val"), "p_graph", tcol).first()
     out = MD.export_graph_scores(scored.drop(*[c for c in cols if c not in FEATURE_COLS]))
     io.write_parquet(out, output_path)
     return {"val_log_loss": ll["log_loss"], "val_accuracy": ll["accuracy"]}

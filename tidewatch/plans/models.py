@@ -64,6 +64,22 @@ def train_graph_model(train: DataFrame, cols, label: str = "target", hidden: int
     return Pipeline(stages=[asm, sc, mlp]).fit(data)
 
 
+def select_graph_model(train: DataFrame, val: DataFrame, cols, label: str = "target",
+                       candidates=((40, 42), (40, 7)), hidden: int = 64):
+    """M2/M3: train one MLP per ``(max_iter, seed)`` candidate and keep the
+    one with the lowest validation log loss (returns model, loss table)."""
+    from ..operators.metrics import log_loss
+    best, rows = None, []
+    for it, seed in candidates:
+        m = train_graph_model(train, cols, label=label, hidden=hidden, max_iter=it, seed=seed)
+        ll = log_loss(graph_probs(m, val, cols), "p_graph", label).first()
+        rows.append((it, seed, float(ll["log_loss"]), float(ll["accuracy"])))
+        if best is None or ll["log_loss"] < best[1]:
+            best = (m, ll["log_loss"])
+    table = train.sparkSession.createDataFrame(rows, "max_iter int, seed int, val_log_loss double, val_accuracy double")
+    return best[0], table
+
+
 def graph_probs(model: PipelineModel, df: DataFrame, cols, out: str = "p_graph") -> DataFrame:
     keep = df.columns
     filled = df.select(*[F.col(c) for c in keep if c not in cols],

@@ -57,8 +57,10 @@ def fit_engines(labelled: DataFrame, alpha: float = SERVING_ALPHA, rf_trees: int
     prop = GR.propagate(lf, FEATURE_COLS, spread=F.xxhash64("url"))
     gcols = MD.graph_feature_cols()
     # iterative training reads its input once per iteration: cut the lineage
-    gtrain = materialize(prop.filter(F.col("split") == "train"), "graph_train")
-    gmodel = MD.train_graph_model(gtrain, gcols, max_iter=mlp_iter)
+    prop = materialize(prop, "graph_features")
+    gtrain = prop.filter(F.col("split") == "train")
+    gmodel, _ = MD.select_graph_model(gtrain, prop.filter(F.col("split") == "val"), gcols,
+                                      candidates=((mlp_iter, 42), (mlp_iter, 7)))
     return Engines(lex, gmodel, prof, tp, glob, alpha)
 
 

@@ -112,3 +112,24 @@ def materialize(df, name: str = "stage", key: tuple | None = None):
     if memo is not None:
         _MATERIALIZED[memo] = path
     return spark.read.parquet(path)
+
+
+def recommended_conf(input_bytes: int, executor_cores_total: int,
+                     target_partition_bytes: int = 256 << 20) -> dict:
+    """Settings for a cluster run sized from the input volume.
+
+    Shuffle partitions start at about one per ``target_partition_bytes`` of
+    input (at least two waves of the cluster's cores); AQE coalesces small ones
+    and splits skewed ones at run time.
+    """
+    parts = max(2 * executor_cores_total, input_bytes // target_partition_bytes)
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
+    }

@@ -72,8 +72,9 @@ _DOC_COLS = ["url_length", "num_digits", "num_special_chars", "vowel_count", "en
     f"round(avg({_DF[c]}), 6) + 0.0 AS avg_{c}" for c in _DOC_COLS) + f" FROM ({_DOC_SQL}) GROUP BY target")
 def lexical_documents(spark, sf_dir):
     """Lexical functions over whole document texts, averaged per label class
-    (quality * 2 + toxic)."""
+    (quality * 2 + toxic); entropies use the vectorised long-text form."""
     d = document_table(spark, sf_dir)
-    f = d.select("target", *[c for c, n in zip(feature_columns("text"), FEATURE_COLS) if n in _DOC_COLS])
+    f = d.select("target", *[c for c, n in zip(feature_columns("text", long_text=True), FEATURE_COLS)
+                             if n in _DOC_COLS])
     return rounded(f.groupBy("target").agg(F.count(F.lit(1)).alias("n_docs"),
                                            *[F.avg(c).alias(f"avg_{c}") for c in _DOC_COLS]), 6)

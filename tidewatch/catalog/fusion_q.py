@@ -11,7 +11,7 @@ from ..functions.probs import argmax, normalise_exact, prob_columns, renormalise
 from ..operators import fusion as FU
 from ..operators import metrics as M
 from ..plans.scores import SIG_FEATURES, scored_urls
-from ..sources.tables import read_table
+from ..sources.tables import read_table, spread_small_input
 from . import query, rounded
 from .reputation_q import LABELLED_SQL
 
@@ -257,7 +257,7 @@ _EV_OVR_SQL = ("SELECT c.cls, e.value AS score, e.event_type = c.cls AS is_pos F
 
 
 def _events_ovr(spark, sf_dir):
-    ev = read_table(spark, sf_dir, "events").select("event_type", "value")
+    ev = spread_small_input(read_table(spark, sf_dir, "events")).select("event_type", "value")
     types = M.class_set(ev.select(F.col("event_type").alias("cls")))
     return ev.crossJoin(F.broadcast(types)).select(
         "cls", F.col("value").alias("score"), (F.col("event_type") == F.col("cls")).alias("is_pos"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import clean, split
 from ..operators.suffix import netloc_host, with_registered_domain
 from ..session import input_signature, stage_table
-from ..sources.tables import read_table, url_table
+from ..sources.tables import read_table, spread_small_input, url_table
 
 # fixed value: domain key of the fallback runs = host plus first path segment
 PATH_KEY = r"^https?://([^/]+/[^/?#]+)"
@@ -36,7 +36,7 @@ def lineitem_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _lineitem_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = read_table(spark, sf_dir, "lineitem").select(
+    li = spread_small_input(read_table(spark, sf_dir, "lineitem")).select(
         "l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag",
         F.concat_ws("-", F.col("l_orderkey").cast("string"),
                     F.col("l_linenumber").cast("string")).alias("row_key"))

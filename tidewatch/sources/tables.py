@@ -19,6 +19,18 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread_small_input(df: DataFrame, min_fraction: float = 0.5) -> DataFrame:
+    """Round-robin a scan that yields fewer splits than half the cluster's
+    cores (e.g. one file with one row group) before CPU-heavy row-wise work.
+    Large inputs already have many splits and are returned unchanged, so
+    this never adds a shuffle at scale."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores * min_fraction:
+        return df.repartition(cores)
+    return df
+
+
 def page_type() -> F.Column:
     """Class label of a page (fixed rule, mirrored by PAGE_TYPE_SQL)."""
     u, pid = F.col("url"), F.col("page_id")
@@ -45,7 +57,7 @@ URLS_SQL = f"SELECT page_id, url, {PAGE_TYPE_SQL} AS type FROM pages"
 
 def document_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with a 4-class label ``quality*2 + toxic`` (labelled only)."""
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread_small_input(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     labels = read_table(spark, sf_dir, "labels")
     return docs.join(labels, "doc_id").select(
         "doc_id", "text", (F.col("quality") * 2 + F.col("toxic")).cast("int").alias("target"))

@@ -45,7 +45,7 @@ def with_features(df: DataFrame, url_col: str = "url") -> DataFrame:
 
 
 def fit_engines(labelled: DataFrame, alpha: float = SERVING_ALPHA, rf_trees: int = 20,
-                mlp_iter: int = 40) -> Engines:
+                mlp_iter: int = 40, mlp_seeds=(42,)) -> Engines:
     """Train M1 and M2 on ``split == 'train'``; build the serving dims."""
     lf = with_features(labelled)
     train = lf.filter(F.col("split") == "train")
@@ -60,7 +60,7 @@ def fit_engines(labelled: DataFrame, alpha: float = SERVING_ALPHA, rf_trees: int
     prop = materialize(prop, "graph_features")
     gtrain = prop.filter(F.col("split") == "train")
     gmodel, _ = MD.select_graph_model(gtrain, prop.filter(F.col("split") == "val"), gcols,
-                                      candidates=((mlp_iter, 42), (mlp_iter, 7)))
+                                      candidates=tuple((mlp_iter, sd) for sd in mlp_seeds))
     return Engines(lex, gmodel, prof, tp, glob, alpha)
 
 

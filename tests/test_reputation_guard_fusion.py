@@ -92,3 +92,34 @@ def test_blend_fixture(spark):
     assert out[0] == pytest.approx([.73, .085, .10, .085])
     assert out[1] == pytest.approx([.08, .84, .044, .036])
     assert all(math.isclose(sum(r), 1.0) for r in out)
+
+
+def _hot_df(spark):
+    # key "hot" holds a third of all rows; every row carries a train/test split
+    df = spark.range(3000).select(
+        F.col("id"),
+        F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("k"), (F.col("id") % 97).cast("string"))).alias("key"),
+        (F.col("id") % 5).cast("string").alias("parent"),
+        (F.col("id") % 4).cast("int").alias("target"),
+        F.when(F.col("id") % 10 < 7, "train").otherwise("test").alias("split"))
+    return df
+
+
+def test_reputation_hot_key_matches_plain_join(spark):
+    df = _hot_df(spark)
+    got = {r.id: r for r in R.reputation(df, "key", "parent", "target", CLS, spread=F.xxhash64("id"),
+                                         hot_fraction=0.01).collect()}
+    train = df.filter("split = 'train'")
+    plain = {r.key: r for r in R.key_class_stats(train, "key", "target", CLS, "dom").collect()}
+    for i, r in got.items():
+        p = plain.get(r.key)
+        assert r.domain_frequency == (p.dom_n if p else 0)
+        if p:
+            assert math.isclose(r.domain_class_1_prob, p.dom_prob_1)
+
+
+def test_reputation_partition_invariant(spark):
+    df = _hot_df(spark)
+    a = R.reputation(df.repartition(1), "key", "parent", "target", CLS, spread=F.xxhash64("id")).collect()
+    b = R.reputation(df.repartition(17), "key", "parent", "target", CLS, spread=F.xxhash64("id")).collect()
+    assert sorted(map(tuple, a)) == sorted(map(tuple, b))

@@ -73,10 +73,12 @@ _MATERIALIZED: dict = {}
 
 
 def input_signature(*paths: str) -> tuple:
-    """Identity of input files (path, size, mtime) for memoised stages."""
+    """Identity of input paths for memoised stages: the path itself plus, for
+    local files, size and modification time (remote paths are keyed by path)."""
     import glob
     sig = []
     for p in paths:
+        sig.append(p)
         for f in sorted(glob.glob(p.replace("file:", "") + "*")):
             st = os.stat(f)
             sig.append((f, st.st_size, st.st_mtime_ns))

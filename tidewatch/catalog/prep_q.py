@@ -8,7 +8,7 @@ from .. import oracle_sql as S
 from ..constants import CLASS_IDS
 from ..operators import clean, split
 from ..operators.suffix import with_registered_domain
-from ..sources.tables import URLS_SQL, read_table, spread_small_input, url_table
+from ..sources.tables import URLS_SQL, url_table
 from . import query, rounded
 
 _COIN_SQL = "substr(md5('42' || {u}), 1, 1) >= '8'"
@@ -86,11 +86,10 @@ _LI_SRC = ("SELECT l_orderkey, l_linenumber, l_returnflag, "
   FROM (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY md5('42' || k), k) AS rk,
                count(*) OVER (PARTITION BY l_returnflag) AS n FROM (""" + _LI_SRC + "))")
 def strat_split_lineitem(spark, sf_dir):
-    li = spread_small_input(read_table(spark, sf_dir, "lineitem")).select(
-        "l_orderkey", "l_linenumber", "l_returnflag",
-        F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("k"))
-    return split.stratified_split(li, "l_returnflag", "k", nested=False).select(
-        "l_orderkey", "l_linenumber", "l_returnflag", "split")
+    """P1 at table scale (70/30 per return flag); the split is the lineitem
+    stage table that the reputation queries read as well."""
+    from ..plans.prepare import lineitem_labelled
+    return lineitem_labelled(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_returnflag", "split")
 
 
 @query("split_sizes",

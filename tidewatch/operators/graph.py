@@ -89,7 +89,8 @@ def tld_profile(profile: DataFrame, df: DataFrame, feature_cols,
 
 
 def propagate(df: DataFrame, feature_cols, domain: str = "registered_domain", tld: str = "tld",
-              spread: Column | None = None) -> DataFrame:
+              spread: Column | None = None, profile: DataFrame | None = None,
+              suffix_profile: DataFrame | None = None) -> DataFrame:
     """Per URL ``[x, mean over its domain, mean over its suffix]``.
 
     Closed form of two mean-aggregation hops on the URL-domain-suffix graph
@@ -99,8 +100,9 @@ def propagate(df: DataFrame, feature_cols, domain: str = "registered_domain", tl
     from ..session import materialize
     from .skew import skew_safe_left_join
     # the profile is read three times (suffix means, hot keys, lookup): write it once
-    prof = materialize(domain_profile(df, feature_cols, domain), "domain_profile")
-    tp = tld_profile(prof, df, feature_cols, domain, tld)
+    prof = profile if profile is not None else materialize(domain_profile(df, feature_cols, domain),
+                                                           "domain_profile")
+    tp = suffix_profile if suffix_profile is not None else tld_profile(prof, df, feature_cols, domain, tld)
     keep = prof.select(domain, "dom_n", *[f"dom_{c}" for c in feature_cols])
     spread = spread if spread is not None else F.xxhash64(*[F.col(c) for c in df.columns])
     out = skew_safe_left_join(df, keep, domain, "dom_n", spread)

@@ -47,14 +47,15 @@ def with_features(df: DataFrame, url_col: str = "url") -> DataFrame:
 def fit_engines(labelled: DataFrame, alpha: float = SERVING_ALPHA, rf_trees: int = 20,
                 mlp_iter: int = 40, mlp_seeds=(42,)) -> Engines:
     """Train M1 and M2 on ``split == 'train'``; build the serving dims."""
-    lf = with_features(labelled)
+    # the feature table is read by every step below: compute the 40 features once
+    lf = materialize(with_features(labelled), "feature_table")
     train = lf.filter(F.col("split") == "train")
-    lex = MD.train_lexical_model(materialize(train, "lexical_train"), num_trees=rf_trees)
+    lex = MD.train_lexical_model(train, num_trees=rf_trees)
     # The serving dimensions are written once and read back (pruned scans)
     prof = materialize(GR.domain_profile(lf, FEATURE_COLS), "dim_domain")
     tp = materialize(GR.tld_profile(prof, lf, FEATURE_COLS), "dim_tld")
     glob = materialize(GR.global_profile(prof, train, FEATURE_COLS), "global_profile")
-    prop = GR.propagate(lf, FEATURE_COLS, spread=F.xxhash64("url"))
+    prop = GR.propagate(lf, FEATURE_COLS, spread=F.xxhash64("url"), profile=prof, suffix_profile=tp)
     gcols = MD.graph_feature_cols()
     # iterative training reads its input once per iteration: cut the lineage
     prop = materialize(prop, "graph_features")

@@ -24,7 +24,7 @@ def netloc_host(c) -> Column:
     c = F.col(c) if isinstance(c, str) else c
     rest = F.regexp_replace(c, SCHEME, "")
     auth = F.regexp_extract(rest, r"^([^/?#]*)", 1)
-    no_user = F.regexp_replace(auth, r"^.*@", "")
+    no_user = F.substring_index(auth, "@", -1)  # text after the last '@' (userinfo dropped)
     return F.regexp_extract(no_user, r"^([^:]*)", 1)
 
 

@@ -111,7 +111,7 @@ def features_select(u: str = "url", round_digits: int | None = 9) -> str:
 def host_sql(u: str = "url") -> str:
     rest = f"regexp_replace({u}, {q(r'^(?:[A-Za-z0-9+\-.]+:)?//')}, '')"
     auth = f"regexp_extract({rest}, '^([^/?#]*)', 1)"
-    nouser = f"regexp_replace({auth}, '^.*@', '')"
+    nouser = f"list_last(string_split({auth}, '@'))"
     return f"regexp_extract({nouser}, '^([^:]*)', 1)"
 
 

@@ -38,15 +38,16 @@ def skew_safe_left_join(big: DataFrame, stats: DataFrame, key: str, count_col: s
     broadcast of their (bounded) stats rows; for the shuffled join of the
     remaining keys the hot rows get a non-matching join key spread by
     ``spread`` (a deterministic per-row hash), so no reducer receives the hot
-    key's rows in one piece.
+    key's rows in one piece.  NULL keys are spread the same way.
     """
     stat_cols = [c for c in stats.columns if c != key]
     hot = hot_keys(stats, key, count_col, hot_fraction, total)
     hot_b = F.broadcast(hot.select(F.col(key).alias("_hk"), F.lit(True).alias("_is_hot"),
                                    *[F.col(c).alias(f"_h_{c}") for c in stat_cols]))
     b = big.join(hot_b, big[key] == F.col("_hk"), "left").drop("_hk")
-    jk = F.when(F.col("_is_hot"), F.concat(F.lit("\u0000hot:"), F.pmod(spread, F.lit(1 << 20)).cast("string"))) \
-        .otherwise(F.col(key).cast("string"))
+    # hot rows and NULL keys (which never match) get a spread, non-matching key
+    spread_key = F.concat(F.lit("\u0000hot:"), F.pmod(spread, F.lit(1 << 20)).cast("string"))
+    jk = F.when(F.col("_is_hot") | F.col(key).isNull(), spread_key).otherwise(F.col(key).cast("string"))
     cold = stats.select(F.col(key).cast("string").alias("_ck"),
                         *[F.col(c).alias(f"_c_{c}") for c in stat_cols])
     j = b.withColumn("_jk", jk).join(cold, F.col("_jk") == F.col("_ck"), "left")

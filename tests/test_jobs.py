@@ -63,3 +63,19 @@ def test_engines_roundtrip_and_foreach_batch(spark):
     foreach_batch_score(spark, src.select("page_id", "url"), eng2, out)
     c = {r.page_id: r.predicted_class for r in spark.read.parquet(out).collect()}
     assert c == a
+
+
+def test_stream_over_several_microbatches(spark):
+    """T1 with three input files read one per trigger equals batch scoring."""
+    from tidewatch.catalog.model_q import engines
+    from tidewatch.plans.scoring import score
+    from tidewatch.streaming.score_stream import run_stream_score, url_stream
+    from conftest import SF001
+    src_dir = tempfile.mkdtemp(prefix="tw-src-", dir="/tmp")
+    urls = url_table(spark, SF001).select("page_id", "url")
+    urls.repartition(3).write.mode("overwrite").parquet(src_dir)
+    eng = engines(spark, SF001)
+    out = run_stream_score(spark, url_stream(spark, src_dir, "page_id bigint, url string", max_files=1), eng)
+    s = {r.page_id: (r.predicted_class, round(r.confidence_score, 9)) for r in spark.read.parquet(out).collect()}
+    b = {r.page_id: (r.predicted_class, round(r.confidence_score, 9)) for r in score(urls, eng).collect()}
+    assert s == b and len(s) == urls.count()

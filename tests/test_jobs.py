@@ -79,3 +79,15 @@ def test_stream_over_several_microbatches(spark):
     s = {r.page_id: (r.predicted_class, round(r.confidence_score, 9)) for r in spark.read.parquet(out).collect()}
     b = {r.page_id: (r.predicted_class, round(r.confidence_score, 9)) for r in score(urls, eng).collect()}
     assert s == b and len(s) == urls.count()
+
+
+def test_invalid_url_keeps_its_row(spark):
+    from tidewatch.catalog.model_q import engines
+    from tidewatch.plans.scoring import score
+    from conftest import SF001
+    df = spark.createDataFrame([(1, "http://a.example.com/x"), (2, "   "), (3, "https://www.google.com/q")],
+                               "req_id int, url string")
+    out = {r.req_id: r for r in score(df, engines(spark, SF001)).collect()}
+    assert out[2].status == "invalid" and out[2].predicted_class is None
+    assert out[1].status == "ok" and out[1].predicted_class is not None
+    assert out[3].is_allowed and out[3].predicted_class == "benign"

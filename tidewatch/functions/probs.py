@@ -61,7 +61,9 @@ def confidence(p) -> Column:
 
 
 def class_name(idx) -> Column:
-    return F.element_at(F.array(*[F.lit(c) for c in CLASSES]), _c(idx) + 1)
+    """Class name of a class index (NULL for a NULL index)."""
+    idx = _c(idx)
+    return F.when(idx.isNotNull(), F.element_at(F.array(*[F.lit(c) for c in CLASSES]), idx + 1))
 
 
 def prob_map(p) -> Column:

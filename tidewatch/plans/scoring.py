@@ -100,7 +100,8 @@ def score(urls: DataFrame, eng: Engines, url_col: str = "url", normalise: bool =
     rest = with_features(rest, "_feat_url")
     rest = MD.lexical_probs(eng.lexical, rest)
     # graph side: the URL joins its domain as one more neighbour
-    cs = GR.cold_start(rest, eng.dim_domain, eng.glob, FEATURE_COLS)
+    cs = GR.cold_start(rest, eng.dim_domain, eng.glob, FEATURE_COLS,
+                       spread=F.xxhash64(*[F.col(c) for c in keep]))
     cs = cs.join(F.broadcast(eng.dim_tld), "tld", "left")  # bounded by the suffix list
     cs = cs.crossJoin(F.broadcast(eng.glob))  # one row
     # an unseen suffix falls back to the global profile
@@ -112,8 +113,9 @@ def score(urls: DataFrame, eng: Engines, url_col: str = "url", normalise: bool =
     p = normalise_exact(blend("p_lex", "p_graph", eng.alpha))
     scored = scored.withColumn("p_blend", p).withColumn("is_unseen", F.col("domain_unseen"))
     rule = G.guard_rule(url_col, "is_unseen")
+    # an invalid (blank) URL keeps its row, with status 'invalid' and no vector
     scored = scored.withColumn("guard_rule", rule).withColumn(
-        "p_final", G.apply_guard("p_blend", F.col("guard_rule")))
+        "p_final", F.when(F.col("status") == "ok", G.apply_guard("p_blend", F.col("guard_rule"))))
     dbg = ["p_lex", "p_graph", "p_blend", "guard_rule", "is_unseen"] if debug else []
     rest_out = scored.select(*keep, "registered_domain", "is_allowed", "p_final", "status", *dbg)
     if debug:

@@ -18,7 +18,7 @@ def labelled_urls(spark: SparkSession, sf_dir: str, nested: bool = True) -> Data
     """``page_id, url, type, target, split, host, path_key, registered_domain, tld``
     (written once per session and input under the checkpoint directory)."""
     key = (nested, input_signature(f"{sf_dir}/pages.parquet"))
-    return stage_table(spark, "labelled_urls", key, lambda: _labelled_urls(spark, sf_dir, nested))
+    return stage_table(spark, "labelled_urls", key, lambda: _labelled_urls(spark, sf_dir, nested), ["split"])
 
 
 def _labelled_urls(spark: SparkSession, sf_dir: str, nested: bool) -> DataFrame:
@@ -32,7 +32,7 @@ def _labelled_urls(spark: SparkSession, sf_dir: str, nested: bool) -> DataFrame:
 def lineitem_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lineitem rows keyed by supplier with parent nation, split 70/30."""
     key = input_signature(f"{sf_dir}/lineitem.parquet", f"{sf_dir}/supplier.parquet")
-    return stage_table(spark, "lineitem_labelled", key, lambda: _lineitem_labelled(spark, sf_dir))
+    return stage_table(spark, "lineitem_labelled", key, lambda: _lineitem_labelled(spark, sf_dir), ["split"])
 
 
 def _lineitem_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:

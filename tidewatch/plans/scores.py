@@ -30,7 +30,7 @@ def lexical_signature() -> F.Column:
 def scored_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score table (written once per session and input)."""
     key = input_signature(f"{sf_dir}/pages.parquet")
-    return stage_table(spark, "scored_urls", key, lambda: _scored_urls(spark, sf_dir))
+    return stage_table(spark, "scored_urls", key, lambda: _scored_urls(spark, sf_dir), ["split"])
 
 
 def _scored_urls(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -48,7 +48,7 @@ def fit_engines(labelled: DataFrame, alpha: float = SERVING_ALPHA, rf_trees: int
                 mlp_iter: int = 40, mlp_seeds=(42,)) -> Engines:
     """Train M1 and M2 on ``split == 'train'``; build the serving dims."""
     # the feature table is read by every step below: compute the 40 features once
-    lf = materialize(with_features(labelled), "feature_table")
+    lf = materialize(with_features(labelled), "feature_table", partition_by=["split"])
     train = lf.filter(F.col("split") == "train")
     lex = MD.train_lexical_model(train, num_trees=rf_trees)
     # The serving dimensions are written once and read back (pruned scans)
@@ -58,7 +58,7 @@ def fit_engines(labelled: DataFrame, alpha: float = SERVING_ALPHA, rf_trees: int
     prop = GR.propagate(lf, FEATURE_COLS, spread=F.xxhash64("url"), profile=prof, suffix_profile=tp)
     gcols = MD.graph_feature_cols()
     # iterative training reads its input once per iteration: cut the lineage
-    prop = materialize(prop, "graph_features")
+    prop = materialize(prop, "graph_features", partition_by=["split"])
     gtrain = prop.filter(F.col("split") == "train")
     gmodel, _ = MD.select_graph_model(gtrain, prop.filter(F.col("split") == "val"), gcols,
                                       candidates=tuple((mlp_iter, sd) for sd in mlp_seeds))

@@ -85,17 +85,17 @@ def input_signature(*paths: str) -> tuple:
     return tuple(sig)
 
 
-def stage_table(spark, name: str, key: tuple, build):
+def stage_table(spark, name: str, key: tuple, build, partition_by=None):
     """Memoised ``materialize(build(), name)``: within one session a stage
     with the same name and input signature is written once and read back
     afterwards (the plan of ``build`` is not even constructed again)."""
     memo = (id(spark), name, key)
     if memo in _MATERIALIZED:
         return spark.read.parquet(_MATERIALIZED[memo])
-    return materialize(build(), name, key)
+    return materialize(build(), name, key, partition_by)
 
 
-def materialize(df, name: str = "stage", key: tuple | None = None):
+def materialize(df, name: str = "stage", key: tuple | None = None, partition_by=None):
     """Write ``df`` as a Parquet table under the shared checkpoint directory
     and return a DataFrame reading it back.
 
@@ -110,7 +110,10 @@ def materialize(df, name: str = "stage", key: tuple | None = None):
         return spark.read.parquet(_MATERIALIZED[memo])
     base = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{base}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
+    w = df.write.mode("overwrite")
+    if partition_by:
+        w = w.partitionBy(*partition_by)
+    w.parquet(path)
     if memo is not None:
         _MATERIALIZED[memo] = path
     return spark.read.parquet(path)

@@ -39,15 +39,17 @@ def with_registered_domain(df: DataFrame, url_col: str = "url",
     rule_df = F.broadcast(rule_df)  # bounded: one row per public-suffix rule key
     cols = df.columns
     host = netloc_host(url_col)
-    out = df.withColumn("_h", host).withColumn("_lab", F.split(F.lower(F.col("_h")), r"\."))
-    out = out.withColumn("_n", F.size("_lab"))
+    # host, its lower-case labels and every trailing label sequence in one projection
+    lab = F.split(F.lower(host), r"\.")
+    out = df.select("*", host.alias("_h"), F.size(lab).alias("_n"), lab.alias("_lab"))
+    out = out.select("*", *[F.when(F.col("_n") >= k, F.array_join(F.slice("_lab", -k, k), ".")).alias(f"_c{k}")
+                            for k in range(1, depth + 1)])
     for k in range(1, depth + 1):
-        cand = F.when(F.col("_n") >= k, F.array_join(F.slice("_lab", -k, k), "."))
         r = rule_df.select(F.col("rule_key").alias(f"_k{k}"),
                            F.col("is_rule").alias(f"_r{k}"),
                            F.col("is_wild_parent").alias(f"_w{k}"),
                            F.col("is_exception").alias(f"_e{k}"))
-        out = out.withColumn(f"_c{k}", cand).join(r, F.col(f"_c{k}") == F.col(f"_k{k}"), "left")
+        out = out.join(r, F.col(f"_c{k}") == F.col(f"_k{k}"), "left")
     # longest normal/wildcard match; an exception match at depth k means k-1
     match_len = F.lit(0)
     for k in range(1, depth + 1):
@@ -60,15 +62,15 @@ def with_registered_domain(df: DataFrame, url_col: str = "url",
         exc_len = F.when(F.coalesce(F.col(f"_e{k}"), F.lit(False)), F.lit(k - 1)).otherwise(exc_len)
     is_ip = F.col("_h").rlike(IPV4_HOST)
     slen = F.when(is_ip, F.lit(0)).otherwise(F.coalesce(exc_len, match_len))
-    out = out.withColumn("_s", slen)
+    out = out.select("*", slen.alias("_s"))
     orig = F.split(F.col("_h"), r"\.")
     suffix = F.when(F.col("_s") > 0, F.array_join(F.slice(orig, -F.col("_s"), F.col("_s")), ".")) \
         .otherwise(F.lit(""))
     stem = F.when(is_ip, F.col("_h")).when(
         F.col("_n") > F.col("_s"), F.element_at(orig, F.col("_n") - F.col("_s"))).otherwise(F.lit(""))
-    out = out.withColumn(tld_col, suffix).withColumn("_d", stem)
-    reg = F.when(F.col("_d") != "", F.concat_ws(".", F.col("_d"), F.col(tld_col))).otherwise(F.col(tld_col))
-    extra = [reg.alias(domain_col), F.col(tld_col)]
+    out = out.select("*", suffix.alias("_t"), stem.alias("_d"))
+    reg = F.when(F.col("_d") != "", F.concat_ws(".", F.col("_d"), F.col("_t"))).otherwise(F.col("_t"))
+    extra = [reg.alias(domain_col), F.col("_t").alias(tld_col)]
     if stem_col:
         extra.append(F.col("_d").alias(stem_col))
     return out.select(*[F.col(c) for c in cols if c not in (domain_col, tld_col)], *extra)

@@ -17,6 +17,8 @@ from ..sources.suffix_rules import suffix_rules
 # fixed value: a host that is a dotted quad is its own domain
 IPV4_HOST = r"^\d{1,3}(\.\d{1,3}){3}$"
 SCHEME = r"^(?:[A-Za-z0-9+\-.]+:)?//"
+# fixed value: label separators other than '.', mapped to '.'
+IDEOGRAPHIC_DOTS = "\u3002\uff0e\uff61"
 
 
 def netloc_host(c) -> Column:
@@ -25,7 +27,8 @@ def netloc_host(c) -> Column:
     rest = F.regexp_replace(c, SCHEME, "")
     auth = F.regexp_extract(rest, r"^([^/?#]*)", 1)
     no_user = F.substring_index(auth, "@", -1)  # text after the last '@' (userinfo dropped)
-    return F.regexp_extract(no_user, r"^([^:]*)", 1)
+    # ideographic and full-width full stops separate labels too
+    return F.translate(F.regexp_extract(no_user, r"^([^:]*)", 1), IDEOGRAPHIC_DOTS, "...")
 
 
 def with_registered_domain(df: DataFrame, url_col: str = "url",

@@ -112,7 +112,7 @@ def host_sql(u: str = "url") -> str:
     rest = f"regexp_replace({u}, {q(r'^(?:[A-Za-z0-9+\-.]+:)?//')}, '')"
     auth = f"regexp_extract({rest}, '^([^/?#]*)', 1)"
     nouser = f"list_last(string_split({auth}, '@'))"
-    return f"regexp_extract({nouser}, '^([^:]*)', 1)"
+    return f"translate(regexp_extract({nouser}, '^([^:]*)', 1), '\u3002\uff0e\uff61', '...')"
 
 
 def suffix_ctes(src: str, key: str = "page_id") -> str:

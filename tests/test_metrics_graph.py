@@ -60,11 +60,45 @@ def test_auc_against_brute_force(spark):
         assert math.isclose(got_q[g], _brute_auc(s, lab), abs_tol=1e-12)
 
 
+def _ref_roc(scores, labels):
+    """ROC curve as commonly defined: distinct thresholds descending, collinear
+    intermediate points dropped, a leading (0, 0) point at +inf."""
+    import numpy as np
+    order = np.argsort(-np.asarray(scores), kind="mergesort")
+    s = np.asarray(scores)[order]
+    y = np.asarray(labels, dtype=float)[order]
+    idx = np.r_[np.where(np.diff(s))[0], y.size - 1]
+    tps = np.cumsum(y)[idx]
+    fps = 1 + idx - tps
+    thr = s[idx]
+    if len(fps) > 2:
+        keep = np.where(np.r_[True, np.logical_or(np.diff(fps, 2), np.diff(tps, 2)), True])[0]
+        fps, tps, thr = fps[keep], tps[keep], thr[keep]
+    fps, tps, thr = np.r_[0, fps], np.r_[0, tps], np.r_[np.inf, thr]
+    return list(zip(thr, tps / tps[-1], fps / fps[-1]))
+
+
+def test_roc_points_match_reference_curve(spark):
+    rnd = random.Random(11)
+    rows = [(g, round(rnd.random(), 1), rnd.random() < 0.4) for g in range(2) for _ in range(300)]
+    df = spark.createDataFrame(rows, "cls int, score double, is_pos boolean")
+    for buckets in (M.value_bucket(df, 4), None):
+        got = {}
+        for r in M.roc_points(df, bucket=buckets).collect():
+            got.setdefault(r.cls, []).append((r.threshold, r.tpr, r.fpr))
+        for g in range(2):
+            ref = _ref_roc([r[1] for r in rows if r[0] == g], [r[2] for r in rows if r[0] == g])
+            mine = sorted(got[g], key=lambda t: -t[0])
+            assert len(mine) == len(ref)
+            for (t1, a1, b1), (t2, a2, b2) in zip(mine, ref):
+                assert t1 == t2 and math.isclose(a1, a2) and math.isclose(b1, b2)
+
+
 def test_roc_points_monotone(spark):
     rnd = random.Random(3)
     df = spark.createDataFrame([(0, rnd.random(), rnd.random() < 0.5) for _ in range(300)],
                                "cls int, score double, is_pos boolean")
-    pts = sorted(M.roc_points(df).collect(), key=lambda r: -r.threshold)
+    pts = sorted(M.roc_points(df, drop_intermediate=False).collect(), key=lambda r: -r.threshold)
     tpr = [p.tpr for p in pts]
     fpr = [p.fpr for p in pts]
     assert tpr == sorted(tpr) and fpr == sorted(fpr) and tpr[-1] == 1.0 and fpr[-1] == 1.0

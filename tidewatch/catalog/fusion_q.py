@@ -227,10 +227,13 @@ def _ovr(spark, sf_dir):
 
 @query("roc_points", f"""WITH o AS ({_OVR_SQL}),
 d AS (SELECT cls, score, sum(CAST(is_pos AS BIGINT)) AS pos, sum(CAST(NOT is_pos AS BIGINT)) AS neg FROM o GROUP BY cls, score),
-c AS (SELECT cls, score, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp,
+c AS (SELECT cls, score, pos, neg, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp,
+             lead(pos) OVER w AS np, lead(neg) OVER w AS nn, row_number() OVER w AS rn,
              sum(pos) OVER (PARTITION BY cls) AS P, sum(neg) OVER (PARTITION BY cls) AS N
-      FROM d WINDOW w AS (PARTITION BY cls ORDER BY score DESC ROWS UNBOUNDED PRECEDING))
-SELECT CAST(cls AS INTEGER) AS cls, score AS threshold, {_r('tp / NULLIF(P, 0)')} AS tpr, {_r('fp / NULLIF(N, 0)')} AS fpr FROM c""")
+      FROM d WINDOW w AS (PARTITION BY cls ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT CAST(cls AS INTEGER) AS cls, score AS threshold, {_r('tp / NULLIF(P, 0)')} AS tpr, {_r('fp / NULLIF(N, 0)')} AS fpr
+FROM c WHERE rn = 1 OR np IS NULL OR np <> pos OR nn <> neg
+UNION ALL SELECT DISTINCT CAST(cls AS INTEGER), CAST('inf' AS DOUBLE), {_r('0.0 / NULLIF(P, 0)')}, {_r('0.0 / NULLIF(N, 0)')} FROM c""")
 def roc_points(spark, sf_dir):
     """E5 + E6: one-vs-rest ROC points of the hybrid on test."""
     return rounded(M.roc_points(_ovr(spark, sf_dir)))

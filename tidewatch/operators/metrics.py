@@ -131,7 +131,7 @@ def _roc_base(scored: DataFrame, group: str, bucket) -> DataFrame:
     d = d.join(F.broadcast(bt), [group, "_bk"])
     wi = Window.partitionBy(group, "_bk").orderBy(F.col("score").desc()).rowsBetween(
         Window.unboundedPreceding, -1)
-    return d.select(group, "score", "pos", "neg", "P", "N",
+    return d.select(group, "_bk", "score", "pos", "neg", "P", "N",
                     (F.col("_pa") + F.coalesce(F.sum("pos").over(wi), F.lit(0))).alias("pos_above"),
                     (F.col("_na") + F.coalesce(F.sum("neg").over(wi), F.lit(0))).alias("neg_above"))
 
@@ -156,14 +156,42 @@ def value_bucket(scored: DataFrame, buckets: int = 1024):
     return apply
 
 
-def roc_points(scored: DataFrame, group: str = "cls", bucket=None) -> DataFrame:
-    """One ROC point per distinct score (threshold) and group.  Buckets
-    default to approximate score quantiles, so dense score regions are split
-    evenly; ``prob_bucket`` gives fixed-width buckets without the extra pass."""
+def roc_points(scored: DataFrame, group: str = "cls", bucket=None,
+               drop_intermediate: bool = True) -> DataFrame:
+    """ROC points per group, as a ROC curve routine reports them: a
+    leading ``(0, 0)`` point at threshold +inf, then one point per distinct
+    score in descending order; with ``drop_intermediate`` a point is dropped
+    when the next point adds the same positives and negatives (collinear
+    steps), except the first and the last.
+
+    The next point of the last score in a bucket is the first point of the
+    next lower bucket, taken from a (group, bucket) table (bounded, broadcast)
+    so no window spans a whole group.  Buckets default to approximate score
+    quantiles; ``prob_bucket`` gives fixed-width buckets without that pass.
+    """
     b = _roc_base(scored, group, bucket if bucket is not None else value_bucket(scored))
-    return b.select(group, F.col("score").alias("threshold"),
-                    F.try_divide(F.col("pos_above") + F.col("pos"), F.col("P")).alias("tpr"),
-                    F.try_divide(F.col("neg_above") + F.col("neg"), F.col("N")).alias("fpr"))
+    pts = b.select(group, F.col("score").alias("threshold"),
+                   F.try_divide(F.col("pos_above") + F.col("pos"), F.col("P")).alias("tpr"),
+                   F.try_divide(F.col("neg_above") + F.col("neg"), F.col("N")).alias("fpr"),
+                   "pos", "neg", "pos_above", "neg_above", "_bk")
+    if drop_intermediate:
+        w = Window.partitionBy(group, "_bk").orderBy(F.col("threshold").desc())
+        pts = pts.select("*", F.lead("pos").over(w).alias("_np"), F.lead("neg").over(w).alias("_nn"))
+        firsts = pts.groupBy(group, "_bk").agg(
+            F.max_by(F.struct("pos", "neg"), "threshold").alias("_f"))
+        wb = Window.partitionBy(group).orderBy(F.col("_bk").desc())
+        # one row per (group, bucket): the first point of the next lower bucket
+        nxt = firsts.select(group, "_bk", F.lead("_f").over(wb).alias("_nf"))
+        pts = pts.join(F.broadcast(nxt), [group, "_bk"])
+        np_, nn_ = F.coalesce("_np", F.col("_nf.pos")), F.coalesce("_nn", F.col("_nf.neg"))
+        first = (F.col("pos_above") == 0) & (F.col("neg_above") == 0)
+        keep = first | np_.isNull() | (np_ != F.col("pos")) | (nn_ != F.col("neg"))
+        pts = pts.filter(keep)
+    pts = pts.select(group, "threshold", "tpr", "fpr")
+    origin = b.select(group, "P", "N").distinct().select(
+        group, F.lit(float("inf")).alias("threshold"),
+        F.try_divide(F.lit(0.0), F.col("P")).alias("tpr"), F.try_divide(F.lit(0.0), F.col("N")).alias("fpr"))
+    return origin.unionByName(pts)
 
 
 def auc(scored: DataFrame, group: str = "cls", bucket=None) -> DataFrame:

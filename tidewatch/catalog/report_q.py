@@ -34,10 +34,7 @@ def _model_metrics(spark, sf_dir):
 
 
 def _info(spark, sf_dir):
-    u = labelled_urls(spark, sf_dir)
-    return u.agg(F.count(F.lit(1)).alias("dataset_size"),
-                 F.lit(len(FEATURE_COLS)).cast("long").alias("num_features"),
-                 F.countDistinct("registered_domain").alias("num_domains"))
+    return M.dataset_info(labelled_urls(spark, sf_dir), len(FEATURE_COLS))
 
 
 _SUM = _summary_sql(_MODELS_SQL, "target", "pred", ["model"])

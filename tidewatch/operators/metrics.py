@@ -213,3 +213,13 @@ def stage_share(df: DataFrame, run: str, stage: str, duration: str) -> DataFrame
     per = df.groupBy(run, stage).agg(F.sum(duration).alias("stage_ms"))
     tot = F.sum("stage_ms").over(Window.partitionBy(run))
     return per.withColumn("share", F.col("stage_ms") / F.greatest(tot, F.lit(0.001)))
+
+
+def dataset_info(df: DataFrame, n_features: int, domain_col: str = "registered_domain",
+                 approx: bool = False, rsd: float = 0.01) -> DataFrame:
+    """A3 + A12: rows, feature count and distinct domains in one aggregate;
+    ``approx`` uses a HyperLogLog++ sketch (no shuffle of distinct keys)."""
+    distinct = (F.approx_count_distinct(domain_col, rsd) if approx else F.countDistinct(domain_col))
+    return df.agg(F.count(F.lit(1)).alias("dataset_size"),
+                  F.lit(n_features).cast("long").alias("num_features"),
+                  distinct.alias("num_domains"))

@@ -142,8 +142,7 @@ def evaluation_job(spark: SparkSession, data_path: str, model_path: str, output_
                                 "Feature string, Importance double")
     io.write_csv(imp.orderBy(F.col("Importance").desc(), "Feature").limit(20).coalesce(1),
                  f"{output_path}/feature_importance")
-    info = df.agg(F.count(F.lit(1)).alias("dataset_size"), F.lit(len(FEATURE_COLS)).cast("long").alias("num_features"),
-                  F.countDistinct("registered_domain").alias("num_domains"))
+    info = metrics.dataset_info(df, len(FEATURE_COLS))
     rec = comparison_record(summary, info)
     io.write_json(rec.coalesce(1), f"{output_path}/model_comparison")
     return json.loads(rec.toJSON().first())

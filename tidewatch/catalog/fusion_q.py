@@ -273,6 +273,24 @@ def auc_events(spark, sf_dir):
     return rounded(M.auc(_events_ovr(spark, sf_dir)))
 
 
+_ROC_SQL = """WITH o AS ({ovr}),
+d AS (SELECT cls, score, sum(CAST(is_pos AS BIGINT)) AS pos, sum(CAST(NOT is_pos AS BIGINT)) AS neg FROM o GROUP BY cls, score),
+c AS (SELECT cls, score, pos, neg, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp,
+             lead(pos) OVER w AS np, lead(neg) OVER w AS nn, row_number() OVER w AS rn,
+             sum(pos) OVER (PARTITION BY cls) AS P, sum(neg) OVER (PARTITION BY cls) AS N
+      FROM d WINDOW w AS (PARTITION BY cls ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT cls, score AS threshold, round(tp / NULLIF(P, 0), 9) + 0.0 AS tpr, round(fp / NULLIF(N, 0), 9) + 0.0 AS fpr
+FROM c WHERE rn = 1 OR np IS NULL OR np <> pos OR nn <> neg
+UNION ALL SELECT DISTINCT cls, CAST('inf' AS DOUBLE), round(0.0 / NULLIF(P, 0), 9) + 0.0,
+  round(0.0 / NULLIF(N, 0), 9) + 0.0 FROM c"""
+
+
+@query("roc_events", _ROC_SQL.format(ovr=_EV_OVR_SQL))
+def roc_events(spark, sf_dir):
+    """E6 at table scale: ROC curve of ``value`` for each event type vs the rest."""
+    return rounded(M.roc_points(_events_ovr(spark, sf_dir)))
+
+
 @query("log_loss", f"""SELECT {_r(f"avg(-ln(CASE target {' '.join(f'WHEN {i} THEN pgn{i}' for i in CLS)} END + {_EPS}))")} AS log_loss,
   {_r(f"avg(CAST({_argmax_sql([f'pgn{i}' for i in CLS])} = target AS DOUBLE))")} AS accuracy
 FROM (SELECT *, {', '.join(f'pg{i} / ((((pg0 + pg1) + pg2) + pg3) + {_EPS}) AS pgn{i}' for i in CLS)} FROM ({SCORED_SQL}) WHERE split = 'val')""")

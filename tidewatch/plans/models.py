@@ -69,6 +69,10 @@ def select_graph_model(train: DataFrame, val: DataFrame, cols, label: str = "tar
     """M2/M3: train one MLP per ``(max_iter, seed)`` candidate and keep the
     one with the lowest validation log loss (returns model, loss table)."""
     from ..operators.metrics import log_loss
+    candidates = list(candidates)
+    if len(candidates) == 1:  # nothing to choose from: skip the validation pass
+        it, seed = candidates[0]
+        return train_graph_model(train, cols, label=label, hidden=hidden, max_iter=it, seed=seed), None
     best, rows = None, []
     for it, seed in candidates:
         m = train_graph_model(train, cols, label=label, hidden=hidden, max_iter=it, seed=seed)

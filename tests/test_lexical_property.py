@@ -13,7 +13,7 @@ from tidewatch.constants import FEATURE_COLS
 from tidewatch.functions.lexical import with_lexical_features
 
 ALPHABET = list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") + list(
-    ".-/:?&=%;~+*#@_! ") + ["٣", "é", "ß", "中", "Ⅻ"]
+    ".-/:?&=%;~+*#@_! ") + ["٣", "é", "ß", "中", "Ⅻ", "😀", "𝔘"]
 PIECES = ["http://", "https://", "www.", ".com", "login", "Verify", "bit.ly", ".exe", ".xyz", "//", ":8080",
           "1.2.3.4", "paypal", ".pro"]
 

@@ -85,7 +85,7 @@ def fit_reputation(train: DataFrame, key: str, parent: str, class_col: str, clas
 
 
 def apply_reputation(df: DataFrame, stats: dict, key: str, parent: str, k: int,
-                     spread: Column | None = None, hot_fraction: float = 0.001,
+                     spread: Column | None = None, hot_fraction: float = 1e-4,
                      broadcast_parent: bool = True) -> DataFrame:
     """Map learnt statistics onto every row with the fallback chain
     key -> parent -> global (J1-J3)."""
@@ -112,7 +112,7 @@ def apply_reputation(df: DataFrame, stats: dict, key: str, parent: str, k: int,
 
 def reputation(df: DataFrame, key: str, parent: str, class_col: str, classes,
                split_col: str = "split", train_value: str = "train",
-               spread: Column | None = None, hot_fraction: float = 0.001,
+               spread: Column | None = None, hot_fraction: float = 1e-4,
                broadcast_parent: bool = True) -> DataFrame:
     """Append the reputation table columns to every row of ``df``.
 

@@ -30,7 +30,7 @@ def hot_keys(stats: DataFrame, key: str, count_col: str, fraction: float,
 
 
 def skew_safe_left_join(big: DataFrame, stats: DataFrame, key: str, count_col: str,
-                        spread: Column, hot_fraction: float = 0.001,
+                        spread: Column, hot_fraction: float = 1e-4,
                         total: DataFrame | None = None) -> DataFrame:
     """``big LEFT JOIN stats USING (key)`` where ``stats`` is unique per key.
 

@@ -63,6 +63,7 @@ def parse_rules(text: str, icann_only: bool = True) -> list[tuple[str, bool, boo
 
 
 _PARSED: dict = {}
+_FRAMES: dict = {}
 
 
 def suffix_rules(spark: SparkSession, path: str | None = None,
@@ -71,11 +72,14 @@ def suffix_rules(spark: SparkSession, path: str | None = None,
     key = (path, icann_only)
     if key not in _PARSED:
         _PARSED[key] = parse_rules(psl_text(path), icann_only)
-    rows = _PARSED[key]
-    depth = max(k.count(".") + 1 + (1 if w else 0) for k, _, w, _ in rows)
-    df = spark.createDataFrame(
-        rows, "rule_key string, is_rule boolean, is_wild_parent boolean, is_exception boolean")
-    return df, depth
+    fkey = (id(spark), key)
+    if fkey not in _FRAMES:
+        rows = _PARSED[key]
+        depth = max(k.count(".") + 1 + (1 if w else 0) for k, _, w, _ in rows)
+        df = spark.createDataFrame(
+            rows, "rule_key string, is_rule boolean, is_wild_parent boolean, is_exception boolean")
+        _FRAMES[fkey] = (df.cache(), depth)  # a few hundred KB, reused by every suffix join
+    return _FRAMES[fkey]
 
 
 def psl_section_sql(path: str = SYSTEM_PSL) -> str:

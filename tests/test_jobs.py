@@ -91,3 +91,19 @@ def test_invalid_url_keeps_its_row(spark):
     assert out[2].status == "invalid" and out[2].predicted_class is None
     assert out[1].status == "ok" and out[1].predicted_class is not None
     assert out[3].is_allowed and out[3].predicted_class == "benign"
+
+
+def test_raw_csv_missing_values_and_multiline(spark):
+    """Quoted multi-line fields survive; pandas-style missing markers are NULL and C3 drops them."""
+    from tidewatch.operators import clean
+    d = tempfile.mkdtemp(prefix="tw-csv-", dir="/tmp")
+    with open(f"{d}/raw.csv", "w") as f:
+        f.write('url,type\n"http://a.com/x,y",benign\nNA,phishing\nnull,benign\n"http://b.com/""q""",malware\n'
+                '"http://c.com/multi\nline",defacement\nhttp://d.com,NaN\n')
+    raw = io.read_raw_csv(spark, f"{d}/raw.csv")
+    rows = raw.collect()
+    assert len(rows) == 6
+    assert rows[0].url == "http://a.com/x,y" and rows[1].url is None and rows[2].url is None
+    assert rows[3].url == 'http://b.com/"q"' and rows[4].url == "http://c.com/multi\nline"
+    kept = clean.encode_target(clean.validate_and_clean(raw)).collect()
+    assert sorted(r.url for r in kept) == ["http://a.com/x,y", 'http://b.com/"q"', "http://c.com/multi\nline"]

@@ -132,7 +132,8 @@ def test_propagation_means(graph_fixture):
 
 
 def test_graph_model_scores_sum_to_one(graph_fixture):
-    prop = GR.propagate(graph_fixture, FEATURE_COLS, spread=F.xxhash64("url"))
+    prop = GR.with_suffix_vector(GR.propagate(graph_fixture, FEATURE_COLS, spread=F.xxhash64("url")), "tld",
+                                 MD.SUFFIX_BUCKETS)
     cols = MD.graph_feature_cols()
     m = MD.train_graph_model(prop.filter("split = 'train'"), cols, max_iter=20)
     out = MD.export_graph_scores(MD.graph_probs(m, prop, cols)).collect()
@@ -172,3 +173,11 @@ def test_ngram_hash_matches_python(spark):
     assert got.keys() == exp.keys()
     for k in exp:
         assert math.isclose(got[k], exp[k])
+
+
+def test_ngram_vector_equals_long_form(spark):
+    df = spark.createDataFrame([("co.uk",), ("io",), ("x",), ("",), (".kawasaki.jp.",)], "t string")
+    long = {(r.key, r.bucket): r.weight for r in GR.ngram_hash(df, "t", 16).collect()}
+    for r in df.select("t", GR.ngram_hash_vector("t", 16).alias("v")).collect():
+        for b, w in enumerate(r.v):
+            assert math.isclose(w, long.get((r.t, b), 0.0), abs_tol=1e-12)

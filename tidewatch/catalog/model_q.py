@@ -42,7 +42,8 @@ def rf_scores(spark, sf_dir):
 def mlp_scores(spark, sf_dir):
     """M2 + M4: propagated graph features -> MLP -> domain_class_{i}_prob."""
     lf = with_features(labelled_urls(spark, sf_dir))
-    prop = GR.propagate(lf, FEATURE_COLS, spread=F.xxhash64("url"))
+    prop = GR.with_suffix_vector(GR.propagate(lf, FEATURE_COLS, spread=F.xxhash64("url")), "tld",
+                                 MD.SUFFIX_BUCKETS)
     cols = MD.graph_feature_cols()
     m = MD.train_graph_model(materialize(prop.filter(F.col("split") == "train"), "graph_train"), cols)
     g = MD.export_graph_scores(MD.graph_probs(m, prop, cols))

@@ -250,3 +250,44 @@ def cosine(a, b) -> Column:
     na = F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x * x))
     nb = F.sqrt(F.aggregate(b, F.lit(0.0), lambda s, x: s + x * x))
     return F.try_divide(dot, na * nb)
+
+
+def _md5_mod(g: Column, buckets: int) -> Column:
+    """md5(g) mod buckets by Horner's rule over four 32-bit words."""
+    h = F.md5(g)
+    m = F.lit(0).cast("long")
+    for w in range(4):
+        word = F.conv(F.substring(h, 8 * w + 1, 8), 16, 10).cast("long")
+        m = F.pmod(m * F.lit(1 << 32) + word, F.lit(buckets))
+    return m
+
+
+def ngram_hash_vector(c, buckets: int, sizes=(2, 3)) -> Column:
+    """U4, row-wise form: the same L1-normalised n-gram hash histogram as
+    ``ngram_hash`` but as an ARRAY<DOUBLE> of length ``buckets`` computed with
+    expressions only (no aggregation), so it also runs inside a stream.
+    Used as the suffix node's features: seen and unseen suffixes get the
+    same deterministic embedding."""
+    c = F.col(c) if isinstance(c, str) else c
+    s = F.regexp_replace(c, r"^\.+|\.+$", "")
+    n = F.length(s)
+
+    def grams(k):
+        return F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substring(s, i, k))) \
+            .otherwise(F.array().cast("array<string>"))
+    all_g = F.concat(*[grams(k) for k in sizes])
+    singles = F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(s, i, 1))) \
+        .otherwise(F.array().cast("array<string>"))
+    g = F.when(F.size(all_g) > 0, all_g).otherwise(singles)
+    idx = F.transform(g, lambda x: _md5_mod(x, buckets))
+    total = F.size(idx)
+    return F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)),
+                       lambda b: F.when(total > 0, F.size(F.filter(idx, lambda x: x == b)) / total)
+                       .otherwise(F.lit(0.0)))
+
+
+def with_suffix_vector(df: DataFrame, tld: str = "tld", buckets: int = 16, prefix: str = "tldv") -> DataFrame:
+    """Append ``{prefix}_0..{prefix}_{buckets-1}``: the suffix's n-gram hash embedding."""
+    v = ngram_hash_vector(tld, buckets)
+    return df.withColumn("_tv", v).select(
+        *df.columns, *[F.element_at("_tv", i + 1).alias(f"{prefix}_{i}") for i in range(buckets)])

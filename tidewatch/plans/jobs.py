@@ -75,7 +75,9 @@ def graph_job(spark: SparkSession, data_path: str, output_path: str, max_iter: i
     df = spark.read.parquet(data_path)
     tcol = clean.resolve_target(df)
     df = split.stratified_split(_with_keys(df), tcol, "url", nested=True)
-    prop = materialize(graph.propagate(df, FEATURE_COLS, spread=F.xxhash64("url")), "graph_features")
+    prop = graph.with_suffix_vector(graph.propagate(df, FEATURE_COLS, spread=F.xxhash64("url")), "tld",
+                                    MD.SUFFIX_BUCKETS)
+    prop = materialize(prop, "graph_features", partition_by=["split"])
     cols = MD.graph_feature_cols()
     model, _ = MD.select_graph_model(prop.filter(F.col("split") == "train"), prop.filter(F.col("split") == "val"),
                                      cols, label=tcol, candidates=((max_iter, 42), (max_iter, 7)))

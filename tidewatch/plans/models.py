@@ -22,8 +22,13 @@ from ..constants import CLASSES, FEATURE_COLS
 K = len(CLASSES)
 
 
-def graph_feature_cols(feature_cols=FEATURE_COLS) -> list[str]:
-    return list(feature_cols) + [f"dom_{c}" for c in feature_cols] + [f"tld_{c}" for c in feature_cols]
+SUFFIX_BUCKETS = 16
+
+
+def graph_feature_cols(feature_cols=FEATURE_COLS, suffix_buckets: int = SUFFIX_BUCKETS) -> list[str]:
+    """URL features, domain mean, suffix mean and the suffix's n-gram hash embedding."""
+    return (list(feature_cols) + [f"dom_{c}" for c in feature_cols] + [f"tld_{c}" for c in feature_cols]
+            + [f"tldv_{i}" for i in range(suffix_buckets)])
 
 
 def _padded(prob: Column, k: int = K) -> Column:

@@ -56,6 +56,7 @@ def fit_engines(labelled: DataFrame, alpha: float = SERVING_ALPHA, rf_trees: int
     tp = materialize(GR.tld_profile(prof, lf, FEATURE_COLS), "dim_tld")
     glob = materialize(GR.global_profile(prof, train, FEATURE_COLS), "global_profile")
     prop = GR.propagate(lf, FEATURE_COLS, spread=F.xxhash64("url"), profile=prof, suffix_profile=tp)
+    prop = GR.with_suffix_vector(prop, "tld", MD.SUFFIX_BUCKETS)
     gcols = MD.graph_feature_cols()
     # iterative training reads its input once per iteration: cut the lineage
     prop = materialize(prop, "graph_features", partition_by=["split"])
@@ -108,6 +109,7 @@ def score(urls: DataFrame, eng: Engines, url_col: str = "url", normalise: bool =
     cs = cs.select(*[c for c in cs.columns if not c.startswith(("cs_", "tld_", "glob_"))],
                    *[F.col(f"cs_{c}").alias(f"dom_{c}") for c in FEATURE_COLS],
                    *[F.coalesce(F.col(f"tld_{c}"), F.col(f"glob_{c}")).alias(f"tld_{c}") for c in FEATURE_COLS])
+    cs = GR.with_suffix_vector(cs, "tld", MD.SUFFIX_BUCKETS)
     gcols = MD.graph_feature_cols()
     scored = MD.graph_probs(eng.graph, cs, gcols)
     p = normalise_exact(blend("p_lex", "p_graph", eng.alpha))

@@ -107,3 +107,11 @@ def test_raw_csv_missing_values_and_multiline(spark):
     assert rows[3].url == 'http://b.com/"q"' and rows[4].url == "http://c.com/multi\nline"
     kept = clean.encode_target(clean.validate_and_clean(raw)).collect()
     assert sorted(r.url for r in kept) == ["http://a.com/x,y", 'http://b.com/"q"', "http://c.com/multi\nline"]
+
+
+def test_all_job_and_skip_prep(spark):
+    work = tempfile.mkdtemp(prefix="tw-all-", dir="/tmp")
+    io.write_csv(url_table(spark, SF01).select("url", "type"), f"{work}/raw")
+    a = jobs.all_job(spark, f"{work}/raw", f"{work}/out", mode="legacy")
+    b = jobs.all_job(spark, f"{work}/raw", f"{work}/out", mode="legacy", skip_prep=True)
+    assert a == b and a["best_alpha"] == 0.7

@@ -33,6 +33,8 @@ SUFFIX_CASES = [
     ("x.y.city.kawasaki.jp", "city.kawasaki.jp", "kawasaki.jp"), ("foo.github.io", "github.io", "io"),
     ("com", "com", "com"), ("localhost", "localhost.", ""), ("1.2.3.4", "1.2.3.4.", ""),
     ("https://user@www.google.com:443/x?y#z", "google.com", "com"),
+    ("http://www.example.xn--p1ai/x", "example.xn--p1ai", "xn--p1ai"), ("http://пример.рф", "пример.рф", "рф"),
+    ("http://www.example。co．uk/", "example.co.uk", "co.uk"),
 ]
 
 

@@ -59,6 +59,16 @@ def parse_rules(text: str, icann_only: bool = True) -> list[tuple[str, bool, boo
             flags.setdefault(rule[2:], [False, False, False])[1] = True
         else:
             flags.setdefault(rule, [False, False, False])[0] = True
+    # hosts may be written in punycode: add the ASCII (IDNA) form of every
+    # internationalised rule key with the same flags
+    for k, v in list(flags.items()):
+        if not k.isascii():
+            try:
+                ascii_key = ".".join(lab.encode("idna").decode("ascii") for lab in k.split("."))
+            except UnicodeError:
+                continue
+            cur = flags.setdefault(ascii_key, [False, False, False])
+            flags[ascii_key] = [a or b for a, b in zip(cur, v)]
     return [(k, *v) for k, v in sorted(flags.items())]
 
 

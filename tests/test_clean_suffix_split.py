@@ -35,6 +35,7 @@ SUFFIX_CASES = [
     ("https://user@www.google.com:443/x?y#z", "google.com", "com"),
     ("http://www.example.xn--p1ai/x", "example.xn--p1ai", "xn--p1ai"), ("http://пример.рф", "пример.рф", "рф"),
     ("http://www.example。co．uk/", "example.co.uk", "co.uk"),
+    ("http://[::1]:8080/x", "[::1].", ""), ("http://user@[2001:db8::1]/p", "[2001:db8::1].", ""),
 ]
 
 

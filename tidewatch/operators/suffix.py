@@ -16,6 +16,7 @@ from ..sources.suffix_rules import suffix_rules
 
 # fixed value: a host that is a dotted quad is its own domain
 IPV4_HOST = r"^\d{1,3}(\.\d{1,3}){3}$"
+IPV6_HOST = r"^\[[0-9A-Fa-f:.]*:[0-9A-Fa-f:.]*\]$"
 SCHEME = r"^(?:[A-Za-z0-9+\-.]+:)?//"
 # fixed value: label separators other than '.', mapped to '.'
 IDEOGRAPHIC_DOTS = "\u3002\uff0e\uff61"
@@ -27,8 +28,10 @@ def netloc_host(c) -> Column:
     rest = F.regexp_replace(c, SCHEME, "")
     auth = F.regexp_extract(rest, r"^([^/?#]*)", 1)
     no_user = F.substring_index(auth, "@", -1)  # text after the last '@' (userinfo dropped)
+    v6 = F.regexp_extract(no_user, r"^(\[[^\]]*\])", 1)  # bracketed IPv6 keeps its colons
     # ideographic and full-width full stops separate labels too
-    return F.translate(F.regexp_extract(no_user, r"^([^:]*)", 1), IDEOGRAPHIC_DOTS, "...")
+    v4 = F.translate(F.regexp_extract(no_user, r"^([^:]*)", 1), IDEOGRAPHIC_DOTS, "...")
+    return F.when(v6 != "", v6).otherwise(v4)
 
 
 def with_registered_domain(df: DataFrame, url_col: str = "url",
@@ -63,7 +66,7 @@ def with_registered_domain(df: DataFrame, url_col: str = "url",
     exc_len = F.lit(None).cast("int")
     for k in range(depth, 0, -1):
         exc_len = F.when(F.coalesce(F.col(f"_e{k}"), F.lit(False)), F.lit(k - 1)).otherwise(exc_len)
-    is_ip = F.col("_h").rlike(IPV4_HOST)
+    is_ip = F.col("_h").rlike(IPV4_HOST) | F.col("_h").rlike(IPV6_HOST)
     slen = F.when(is_ip, F.lit(0)).otherwise(F.coalesce(exc_len, match_len))
     out = out.select("*", slen.alias("_s"))
     orig = F.split(F.col("_h"), r"\.")

@@ -112,7 +112,9 @@ def host_sql(u: str = "url") -> str:
     rest = f"regexp_replace({u}, {q(r'^(?:[A-Za-z0-9+\-.]+:)?//')}, '')"
     auth = f"regexp_extract({rest}, '^([^/?#]*)', 1)"
     nouser = f"list_last(string_split({auth}, '@'))"
-    return f"translate(regexp_extract({nouser}, '^([^:]*)', 1), '\u3002\uff0e\uff61', '...')"
+    v6 = f"regexp_extract({nouser}, '^(\\[[^\\]]*\\])', 1)"
+    v4 = f"translate(regexp_extract({nouser}, '^([^:]*)', 1), '\u3002\uff0e\uff61', '...')"
+    return f"(CASE WHEN {v6} <> '' THEN {v6} ELSE {v4} END)"
 
 
 def suffix_ctes(src: str, key: str = "page_id") -> str:
@@ -136,9 +138,11 @@ ck AS (SELECT rk, k, c AS key, 'n' AS mode FROM cd
 mt AS (SELECT ck.rk, max(CASE WHEN mode IN ('n', 'w') THEN k END) AS mlen,
               max(CASE WHEN mode = 'e' THEN k - 1 END) AS elen
        FROM ck JOIN rl ON rl.rule = ck.key GROUP BY ck.rk),
-sl AS (SELECT lb.*, CASE WHEN regexp_matches(host, '^\\d{{1,3}}(\\.\\d{{1,3}}){{3}}$') THEN 0
+sl AS (SELECT lb.*, CASE WHEN regexp_matches(host, '^\\d{{1,3}}(\\.\\d{{1,3}}){{3}}$')
+                             OR regexp_matches(host, '^\\[[0-9A-Fa-f:.]*:[0-9A-Fa-f:.]*\\]$') THEN 0
                         ELSE coalesce(mt.elen, mt.mlen, 0) END AS slen,
-              regexp_matches(host, '^\\d{{1,3}}(\\.\\d{{1,3}}){{3}}$') AS is_ip, len(olabs) AS n
+              regexp_matches(host, '^\\d{{1,3}}(\\.\\d{{1,3}}){{3}}$')
+                OR regexp_matches(host, '^\\[[0-9A-Fa-f:.]*:[0-9A-Fa-f:.]*\\]$') AS is_ip, len(olabs) AS n
        FROM lb LEFT JOIN mt ON lb.rk = mt.rk),
 sx AS (SELECT rk,
               CASE WHEN slen > 0 THEN array_to_string(list_slice(olabs, n - slen + 1, n), '.') ELSE '' END AS tld,

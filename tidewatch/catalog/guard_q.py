@@ -36,7 +36,7 @@ def _known(spark, sf_dir):
 
 def _guarded(spark, sf_dir):
     h = G.flag_unseen(_serving(spark, sf_dir), "path_key", _known(spark, sf_dir))
-    rule = G.guard_rule("url", "is_unseen")
+    rule = G.guard_rule("url", "is_unseen", signals=True)
     return (h.select("*", *G.guard_signals("url"))
             .withColumn("guard_rule", rule)
             .withColumn("p_guard", G.apply_guard("p_serve", F.col("guard_rule"))))

@@ -47,26 +47,33 @@ def flag_unseen(df: DataFrame, key_col: str, known: DataFrame, out_col: str = "i
     return j.withColumn(out_col, F.col("_seen_n").isNull()).drop("_seen_n")
 
 
+def _malware_marker(url: Column) -> Column:
+    low = F.lower(url)
+    hit = F.lit(False)
+    for m in MALWARE_MARKERS:
+        hit = hit | (F.instr(low, F.lit(m)) > 0)
+    return hit
+
+
 def guard_signals(url_col: str = "url") -> list[Column]:
+    """U7 + U1 inputs of the guard: distinct keywords present, a malware
+    marker present, Shannon entropy of the raw URL."""
     u = F.col(url_col)
-    low = F.lower(u)
-    malware = F.lit(False)
-    for m in MALWARE_MARKERS:
-        malware = malware | (F.instr(low, F.lit(m)) > 0)
     return [keyword_hits(u, GUARD_KEYWORDS).alias("guard_keywords"),
-            malware.alias("guard_malware"),
+            _malware_marker(u).alias("guard_malware"),
             shannon_entropy(u).alias("guard_entropy")]
 
 
-def guard_rule(url_col: str = "url", unseen_col: str = "is_unseen") -> Column:
-    """Which override fires: 'malware', 'phishing' or null."""
+def guard_rule(url_col: str = "url", unseen_col: str = "is_unseen", signals: bool = False) -> Column:
+    """Which override fires: 'malware', 'phishing' or null.  With
+    ``signals=True`` the columns of ``guard_signals`` are read instead of
+    being computed again."""
     u = F.col(url_col)
-    low = F.lower(u)
-    malware = F.lit(False)
-    for m in MALWARE_MARKERS:
-        malware = malware | (F.instr(low, F.lit(m)) > 0)
-    kw = keyword_hits(u, GUARD_KEYWORDS)
-    phish = (kw >= GUARD_MIN_KEYWORDS) | ((shannon_entropy(u) > GUARD_ENTROPY) & (kw >= 1))
+    if signals:
+        kw, malware, ent = F.col("guard_keywords"), F.col("guard_malware"), F.col("guard_entropy")
+    else:
+        kw, malware, ent = keyword_hits(u, GUARD_KEYWORDS), _malware_marker(u), shannon_entropy(u)
+    phish = (kw >= GUARD_MIN_KEYWORDS) | ((ent > GUARD_ENTROPY) & (kw >= 1))
     unseen = F.col(unseen_col)
     return (F.when(unseen & malware, F.lit("malware"))
             .when(unseen & phish, F.lit("phishing")))

@@ -46,23 +46,72 @@ def stratified_rank(df: DataFrame, class_col: str, key_col: str, seed: str = SPL
     return ranked.withColumn("_rank", F.col("_before") + F.row_number().over(w)).drop("_before", "_b")
 
 
+def _class_cuts(d: DataFrame, class_col: str, tie: str, cuts: dict) -> DataFrame:
+    """Per class, the (hash, tie) value of the row at each cut rank.
+
+    ``cuts`` maps a cut name to a Column of the 1-based rank (from ``_n``).
+    Only the hash bucket that contains a cut rank is ranked, so this reads a
+    few thousandths of the rows; the result has one row per class.
+    """
+    counts = d.groupBy(class_col, "_b").agg(F.count(F.lit(1)).alias("_cnt"))
+    w_cls = Window.partitionBy(class_col)
+    off = (counts
+           .withColumn("_before", F.coalesce(F.sum("_cnt").over(
+               w_cls.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+           .withColumn("_n", F.sum("_cnt").over(w_cls)))
+    # the bucket holding each cut rank, and the rank inside that bucket
+    targets = off.select(class_col, "_b", "_before", "_cnt", "_n",
+                         *[rank.alias(f"_k_{name}") for name, rank in cuts.items()])
+    per_cut = None
+    for name in cuts:
+        k = F.col(f"_k_{name}")
+        t = targets.filter((k > F.col("_before")) & (k <= F.col("_before") + F.col("_cnt"))).select(
+            class_col, "_b", (k - F.col("_before")).alias("_r"), F.lit(name).alias("_cut"))
+        per_cut = t if per_cut is None else per_cut.unionByName(t)
+    # at most (#cuts x #classes) buckets: bounded broadcast
+    want = F.broadcast(per_cut)
+    cand = d.join(F.broadcast(per_cut.select(class_col, "_b").distinct()), [class_col, "_b"], "left_semi")
+    w = Window.partitionBy(class_col, "_b").orderBy("_h", tie)
+    ranked = cand.select(class_col, "_b", "_h", tie, F.row_number().over(w).alias("_r"))
+    hit = ranked.join(want, [class_col, "_b", "_r"])
+    piv = hit.groupBy(class_col).pivot("_cut", list(cuts)).agg(
+        F.first(F.struct(F.col("_h").alias("h"), F.col(tie).alias("t"))))
+    return piv.select(class_col, *[F.col(name).alias(f"_cut_{name}") for name in cuts])
+
+
+def _le(h, t, cut) -> Column:
+    """(h, t) <= cut in (hash, tie) order; a NULL cut (empty quota) is never reached."""
+    return F.coalesce((h < cut["h"]) | ((h == cut["h"]) & (t <= cut["t"])), F.lit(False))
+
+
 def stratified_split(df: DataFrame, class_col: str, key_col: str, nested: bool = True,
                      train_pct: int = 70, seed: str = SPLIT_SEED, tie_col: str | None = None,
                      out_col: str = "split", hex_digits: int = 3) -> DataFrame:
     """``split`` in {train, val, test} (nested) or {train, test}.
 
-    Per class: train = floor(n * train_pct / 100) first ranks, then
-    val = floor(rest / 2), test = the others.
+    Per class, rows ordered by (md5(seed || key), tie): the first
+    floor(n * train_pct / 100) are train, then floor(rest / 2) val, the rest
+    test.  Instead of ranking every row, the (hash, tie) value at each cut is
+    found from per-bucket counts and a rank inside the one bucket holding it;
+    rows are then labelled by comparing with the per-class cut values, a
+    map-only pass (no shuffle of the rows themselves).
     """
-    r = stratified_rank(df, class_col, key_col, seed, tie_col, hex_digits)
+    tie = tie_col or key_col
+    d = (df.withColumn("_h", split_hash(key_col, seed))
+         .withColumn("_b", _bucket(F.col("_h"), hex_digits)))
     n_train = F.floor(F.col("_n") * train_pct / 100)
-    n_val = n_train + F.floor((F.col("_n") - n_train) / 2)
+    cuts = {"train": n_train}
     if nested:
-        s = (F.when(F.col("_rank") <= n_train, "train")
-             .when(F.col("_rank") <= n_val, "val").otherwise("test"))
-    else:
-        s = F.when(F.col("_rank") <= n_train, "train").otherwise("test")
-    return r.withColumn(out_col, s).drop("_h", "_rank", "_n")
+        cuts["val"] = n_train + F.floor((F.col("_n") - n_train) / 2)
+    bounds = _class_cuts(d, class_col, tie, cuts)
+    # one row per class: broadcast
+    j = d.join(F.broadcast(bounds), class_col, "left")
+    h, t = F.col("_h"), F.col(tie)
+    label = F.when(_le(h, t, F.col("_cut_train")), "train")
+    if nested:
+        label = label.when(_le(h, t, F.col("_cut_val")), "val")
+    out = j.withColumn(out_col, label.otherwise("test"))
+    return out.drop("_h", "_b", *[f"_cut_{name}" for name in cuts])
 
 
 def bernoulli_split(df: DataFrame, key_col: str, train_pct: int = 70, seed: str = SPLIT_SEED,

@@ -266,11 +266,17 @@ def _events_ovr(spark, sf_dir):
         "cls", F.col("value").alias("score"), (F.col("event_type") == F.col("cls")).alias("is_pos"))
 
 
+def _events_buckets(spark, sf_dir):
+    """Score quantiles from the events themselves (the one-vs-rest rows repeat
+    each value once per class, so the distribution is the same)."""
+    return M.value_bucket(read_table(spark, sf_dir, "events").select(F.col("value").alias("score")))
+
+
 @query("auc_events", _AUC_SQL.format(ovr=_EV_OVR_SQL).replace("CAST(cls AS INTEGER)", "cls"))
 def auc_events(spark, sf_dir):
     """E7 at table scale: AUC of ``value`` for each event type vs the rest;
     unbounded scores are bucketed by approximate quantiles."""
-    return rounded(M.auc(_events_ovr(spark, sf_dir)))
+    return rounded(M.auc(_events_ovr(spark, sf_dir), bucket=_events_buckets(spark, sf_dir)))
 
 
 _ROC_SQL = """WITH o AS ({ovr}),
@@ -288,7 +294,7 @@ UNION ALL SELECT DISTINCT cls, CAST('inf' AS DOUBLE), round(0.0 / NULLIF(P, 0),
 @query("roc_events", _ROC_SQL.format(ovr=_EV_OVR_SQL))
 def roc_events(spark, sf_dir):
     """E6 at table scale: ROC curve of ``value`` for each event type vs the rest."""
-    return rounded(M.roc_points(_events_ovr(spark, sf_dir)))
+    return rounded(M.roc_points(_events_ovr(spark, sf_dir), bucket=_events_buckets(spark, sf_dir)))
 
 
 @query("log_loss", f"""SELECT {_r(f"avg(-ln(CASE target {' '.join(f'WHEN {i} THEN pgn{i}' for i in CLS)} END + {_EPS}))")} AS log_loss,

@@ -81,3 +81,13 @@ def test_first_k_per_group(spark):
     df = spark.range(100).select((F.col("id") % 3).alias("g"), F.col("id"))
     out = split.first_k_per_group(df, ["g"], ["id"], 2).collect()
     assert sorted((r.g, r.id) for r in out) == [(0, 0), (0, 3), (1, 1), (1, 4), (2, 2), (2, 5)]
+
+
+def test_spread_small_input_only_for_few_splits(spark):
+    from tidewatch.sources.tables import spread_small_input
+    cores = spark.sparkContext.defaultParallelism
+    one = spark.range(100).coalesce(1)
+    many = spark.range(100).repartition(cores * 2)
+    assert spread_small_input(one).rdd.getNumPartitions() == cores
+    plan = spread_small_input(many)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1  # only the caller's own repartition, none added

@@ -89,5 +89,4 @@ def test_spread_small_input_only_for_few_splits(spark):
     one = spark.range(100).coalesce(1)
     many = spark.range(100).repartition(cores * 2)
     assert spread_small_input(one).rdd.getNumPartitions() == cores
-    plan = spread_small_input(many)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange") == 1  # only the caller's own repartition, none added
+    assert spread_small_input(many) is many  # enough splits: returned unchanged, no shuffle added

@@ -10,6 +10,7 @@ distributed on the train split only.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -66,7 +67,12 @@ def train_graph_model(train: DataFrame, cols, label: str = "target", hidden: int
                                          maxIter=max_iter, seed=seed)
     data = train.select(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in cols],
                         F.col(label).cast("double").alias(label))
-    return Pipeline(stages=[asm, sc, mlp]).fit(data)
+    # L-BFGS reads its input once per iteration: keep it in memory, spilling to disk
+    data = data.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return Pipeline(stages=[asm, sc, mlp]).fit(data)
+    finally:
+        data.unpersist()
 
 
 def select_graph_model(train: DataFrame, val: DataFrame, cols, label: str = "target",

@@ -90,3 +90,15 @@ def test_spread_small_input_only_for_few_splits(spark):
     many = spark.range(100).repartition(cores * 2)
     assert spread_small_input(one).rdd.getNumPartitions() == cores
     assert spread_small_input(many) is many  # enough splits: returned unchanged, no shuffle added
+
+
+def test_split_exact_quotas_with_duplicate_keys(spark):
+    """Fully duplicated rows tied at a cut still give exact per-class quotas."""
+    base = spark.range(400).select((F.col("id") % 2).cast("int").alias("cls"),
+                                   F.concat(F.lit("k"), (F.col("id") % 150).cast("string")).alias("key"))
+    s = split.stratified_split(base, "cls", "key")
+    counts = {(r.cls, r.split): r.c for r in s.groupBy("cls", "split").agg(F.count("*").alias("c")).collect()}
+    for c in (0, 1):
+        n = 200
+        tr = n * 70 // 100
+        assert counts[(c, "train")] == tr and counts[(c, "val")] == (n - tr) // 2

@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from . import pii
 from .common import WORD, documents
 from .exact_dedup import mark_copies
+from .language_id import held_out, identify
 from .mixing import mix
+from .near_dedup import near_components
+from .packing import pack
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -108,3 +111,34 @@ SELECT doc_id, size::BIGINT AS size, sz AS source_size, target,
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "source")
     return mix(docs, columns=["doc_id"]).drop("draws")
+
+
+@query("op4_packing")
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(documents(spark, sf_dir).select("doc_id", "text"))
+
+
+@query("op9_minhash_near_dedup", rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
+       'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS w FROM documents),
+s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) < 2 THEN w
+       ELSE [w[i] || ' ' || w[i + 1] for i in range(1, len(w))] END)) AS sh FROM d),
+c AS (SELECT sh, len(sh) AS n, min(doc_id) AS rep FROM s GROUP BY sh),
+e AS (SELECT rep, n, unnest(sh) AS x FROM c),
+p AS (SELECT a.rep AS a, b.rep AS b FROM e a JOIN e b ON a.x = b.x AND a.rep < b.rep
+       AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+      GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+l AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r AS (SELECT rep AS a, rep AS b FROM c WHERE n > 0 UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+k AS (SELECT a, min(b) AS least FROM r GROUP BY a)
+SELECT s.doc_id, len(s.sh)::BIGINT AS n_shingles, coalesce(k.least, s.doc_id) AS component_id,
+       s.doc_id = coalesce(k.least, s.doc_id) AS kept
+FROM s JOIN c ON s.sh = c.sh LEFT JOIN k ON len(s.sh) > 0 AND k.a = c.rep""")
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_components(documents(spark, sf_dir).select("doc_id", "text")).drop("key")
+
+
+@query("op10_language_id")
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    return identify(docs, columns=["doc_id"]).withColumn("held_out", held_out("doc_id"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, pii
+from . import ann, pii, toxicity
 from .common import WORD, documents
 from .exact_dedup import mark_copies
 from .language_id import held_out, identify
@@ -155,3 +155,12 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""")
 def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir.rstrip('/')}/embeddings.parquet")
     return ann.search(vectors, vectors.filter(F.col("vec_id") % 20 == 0))
+
+
+@query("op6_toxicity")
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
+    t = toxicity.score(docs, toxicity.learn(docs, labels), columns=["doc_id"])
+    return t.select("doc_id", held_out("doc_id").alias("held_out"), "score",
+                    (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), "spans")

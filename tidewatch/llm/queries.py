@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, pii, toxicity
+from . import ann, pii, token_files, toxicity
 from .common import WORD, documents
 from .exact_dedup import mark_copies
 from .language_id import held_out, identify
@@ -164,3 +164,9 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = toxicity.score(docs, toxicity.learn(docs, labels), columns=["doc_id"])
     return t.select("doc_id", held_out("doc_id").alias("held_out"), "score",
                     (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), "spans")
+
+
+@query("op5_token_files")
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return token_files.token_index(token_files.write_token_files(docs))

@@ -50,3 +50,26 @@ def positional(df: DataFrame) -> tuple[DataFrame, list[str]]:
 def place(names: list[str], name: str) -> str:
     """Working name of input column ``name`` after :func:`positional`."""
     return f"c{names.index(name)}"
+
+
+SPREAD = 4
+
+
+def spread_join(rows: DataFrame, keyed: DataFrame, on: list[str], count: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` with ``keyed`` (one row a key, ``count`` = rows of that key).
+
+    Keys with more than a share of a partition are joined by broadcast: there are at most
+    ``SPREAD * partitions`` of them.  The others are shuffled, each small against a partition.
+    """
+    share = max(1000, total // (SPREAD * shuffle_partitions(rows.sparkSession)))
+    hot = keyed.filter(F.col(count) > share)
+    cold = keyed.filter(F.col(count) <= share)
+    near = rows.join(F.broadcast(hot), on)
+    far = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold, on)
+    return near.unionByName(far)
+
+
+def sized_join(big: DataFrame, small: DataFrame, on: list[str], rows: int, width: int, how: str = "inner",
+               limit: int = 48 << 20) -> DataFrame:
+    """Join with ``small`` broadcast if its ``rows`` of about ``width`` bytes fit ``limit``, else shuffled."""
+    return big.join(F.broadcast(small) if rows * width <= limit else small, on, how)

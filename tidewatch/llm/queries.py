@@ -12,6 +12,7 @@ from .language_id import held_out, identify
 from .mixing import mix
 from .near_dedup import near_components
 from .packing import pack
+from .repeated_spans import repeated_spans
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -170,3 +171,22 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     return token_files.token_index(token_files.write_token_files(docs))
+
+
+@query("op3_suffix_array_dedup", """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, p, md5(substr(h, 2 * p + 1, 400)) AS x
+      FROM (SELECT doc_id, h, unnest(range(0, greatest(len(h) // 2 - 199, 0))) AS p FROM d)),
+r AS (SELECT doc_id, p FROM w WHERE x IN (SELECT x FROM w GROUP BY x HAVING count(*) > 1)),
+g AS (SELECT *, CASE WHEN p <= lag(p) OVER o + 200 THEN 0 ELSE 1 END AS fresh FROM r WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
+i AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM g),
+s AS (SELECT doc_id, run, min(p) AS a, max(p) + 200 AS b FROM i GROUP BY doc_id, run),
+t AS (SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, list(a ORDER BY a) AS aa, list(b ORDER BY a) AS bb
+      FROM s GROUP BY doc_id)
+SELECT d.doc_id, len(h) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(CASE WHEN aa IS NULL THEN h ELSE array_to_string(
+         [substr(h, 2 * f + 1, 2 * ((aa || [len(h) // 2])[i] - f)) for f, i in [0] || bb], '') END)) AS kept_sha256
+FROM d LEFT JOIN t ON d.doc_id = t.doc_id""")
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return repeated_spans(docs, columns=["doc_id"]).drop("spans")

@@ -34,7 +34,7 @@ from .common import staged
 CAPACITY = 1024
 END_ID = 2
 VOCABULARY = "byte_bpe_50k.tiktoken"
-GROUP = 2000
+GROUP = 4000
 ROUNDS = 6
 LOOSE = 0.95  # certified groups give up sequences filled less than this
 _ENCODERS: dict = {}

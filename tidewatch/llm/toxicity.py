@@ -114,8 +114,9 @@ class Chain:
         right = np.concatenate([at[:, 1:], np.zeros((len(x), 1), int)], axis=1)
         return self.bias[0] + self.emit[0][at] + self.emit[1][left] + self.emit[2][right]
 
-    def marginals(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def marginals(self, x: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(probability of toxic at each step, expected transitions), by forward-backward."""
+        weight = np.ones(len(x)) if weight is None else weight
         phi, here = self.potentials(x), x >= 0
         n, steps = x.shape
         node = np.ones((n, steps, 2))
@@ -134,31 +135,35 @@ class Chain:
             b = ahead @ move.T
             joint = alpha[:, t, :, None] * move[None] * ahead[:, None, :]
             joint /= joint.sum(axis=(1, 2), keepdims=True)
-            pair += joint[here[:, t + 1]].sum(axis=0)
+            pair += np.tensordot(weight * here[:, t + 1], joint, 1)
             b /= b.sum(axis=1, keepdims=True)
             beta[:, t] = np.where(here[:, t + 1, None], b, 1.0)
         p = alpha * beta
         p /= p.sum(axis=2, keepdims=True)
         return np.where(here, p[:, :, 1], 0.0), pair
 
-    def gradient(self, x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
-        p, pair = self.marginals(x)
+    def gradient(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
+        p, pair = self.marginals(x, weight)
         here, at = x >= 0, np.maximum(x, 0)
-        diff = np.where(here, y - p, 0.0)
+        diff = np.where(here, y - p, 0.0) * weight[:, None]
         bins = self.emit.shape[1]
         emit = np.zeros_like(self.emit)
         emit[0] = np.bincount(at.ravel(), diff.ravel(), bins)
         emit[1] = np.bincount(at[:, :-1].ravel(), diff[:, 1:].ravel(), bins)
         emit[2] = np.bincount(np.where(here, at, 0)[:, 1:].ravel(), diff[:, :-1].ravel(), bins)
         both = here[:, 1:]
-        seen = np.bincount((y[:, :-1] * 2 + y[:, 1:])[both].astype(int), minlength=4).reshape(2, 2)
+        steps = (y[:, :-1] * 2 + y[:, 1:])[both].astype(int)
+        seen = np.bincount(steps, np.broadcast_to(weight[:, None], both.shape)[both], 4).reshape(2, 2)
         return [emit, np.array([diff.sum()]), seen - pair]
 
     def fit(self, x: np.ndarray, y: np.ndarray, turns: int = 150, rate: float = 0.1, ridge: float = 1.0) -> None:
+        """Adam on the penalised likelihood; equal sentences (most hold no evidence) count as one with a weight."""
+        both, weight = np.unique(np.concatenate([x, y], axis=1), axis=0, return_counts=True)
+        x, y, weight = both[:, :x.shape[1]], both[:, x.shape[1]:], weight.astype(float)
         m = [np.zeros_like(w) for w in self.parts()]
         v = [np.zeros_like(w) for w in self.parts()]
         for t in range(1, turns + 1):
-            for w, g, a, b in zip(self.parts(), self.gradient(x, y), m, v):
+            for w, g, a, b in zip(self.parts(), self.gradient(x, y, weight), m, v):
                 g = g - ridge * w
                 a += 0.1 * (g - a)
                 b += 0.01 * (g * g - b)
@@ -221,7 +226,7 @@ class Model:
                 marks.append([int(z and b in strong) for b in r])
         if rows and any(map(any, marks)):
             x = padded(rows)
-            y = np.maximum(padded(marks), 0)
+            y = np.where(x >= 0, padded(marks), 0)
             self.chain.fit(x, y)
         s = np.array([self.summary(self.marginals(d)) for d in docs])
         design, z, w = np.column_stack([np.ones(len(s)), s]), np.array(toxic, float), np.zeros(3)

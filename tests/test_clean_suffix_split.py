@@ -92,13 +92,27 @@ def test_spread_small_input_only_for_few_splits(spark):
     assert spread_small_input(many) is many  # enough splits: returned unchanged, no shuffle added
 
 
-def test_split_exact_quotas_with_duplicate_keys(spark):
-    """Fully duplicated rows tied at a cut still give exact per-class quotas."""
-    base = spark.range(400).select((F.col("id") % 2).cast("int").alias("cls"),
-                                   F.concat(F.lit("k"), (F.col("id") % 150).cast("string")).alias("key"))
-    s = split.stratified_split(base, "cls", "key")
-    counts = {(r.cls, r.split): r.c for r in s.groupBy("cls", "split").agg(F.count("*").alias("c")).collect()}
-    for c in (0, 1):
-        n = 200
-        tr = n * 70 // 100
-        assert counts[(c, "train")] == tr and counts[(c, "val")] == (n - tr) // 2
+def test_split_of_repeated_keys(spark):
+    """A key's rows share one part, under any partitioning; quotas move by no more than the keys at the cuts."""
+    base = spark.range(2000).select((F.col("id") % 2).cast("int").alias("cls"),
+                                    F.concat(F.lit("k"), (F.col("id") % 46).cast("string")).alias("key"))
+    hot = spark.range(400).select(F.lit(0).alias("cls"), F.lit("hot").alias("key"))
+    base = base.unionByName(hot)
+    runs = [split.stratified_split(base.repartition(n), "cls", "key").groupBy("cls", "key").agg(
+        F.collect_set("split").alias("parts"), F.count("*").alias("n")).collect() for n in (1, 17)]
+    assert sorted(map(repr, runs[0])) == sorted(map(repr, runs[1]))
+    assert all(len(r.parts) == 1 for r in runs[0])
+    for c, largest in ((0, 400), (1, 44)):
+        rows = [r for r in runs[0] if r.cls == c]
+        n = sum(r.n for r in rows)
+        train = sum(r.n for r in rows if r.parts == ["train"])
+        assert n * 70 // 100 <= train < n * 70 // 100 + largest
+
+
+def test_split_with_more_classes_than_are_broadcast(spark, monkeypatch):
+    base = spark.range(600).select((F.col("id") % 5).alias("cls"), F.col("id").alias("key"))
+    want = {tuple(r) for r in split.stratified_split(base, "cls", "key").collect()}
+    monkeypatch.setattr(split, "BROADCAST_CLASSES", 2)
+    assert {tuple(r) for r in split.stratified_split(base, "cls", "key").collect()} == want
+    none = base.filter("id < 0") if "id" in base.columns else base.filter("key < 0")
+    assert split.stratified_split(none, "cls", "key").count() == 0

@@ -25,7 +25,14 @@ def test_jobs_chain(spark):
     ev = jobs.evaluation_job(spark, f"{work}/graph_features", f"{work}/lexical_model", f"{work}/reports")
     assert ev["dataset_size"] == 250 and "timestamp" in ev
     imp = spark.read.option("header", True).csv(f"{work}/reports/feature_importance")
-    assert imp.count() == 20
+    assert imp.count() == 40
+    auc = spark.read.json(f"{work}/reports/auc_lexical")
+    assert auc.count() == 4
+    rep = spark.read.json(f"{work}/reports/classification_report")
+    assert {r.model for r in rep.select("model").distinct().collect()} == {"lexical", "graph", "hybrid"}
+    splits = [{(r.url, r.split) for r in spark.read.parquet(f"{work}/{t}").select("url", "split").collect()}
+              for t in ("features", "graph_features")]
+    assert splits[0] == splits[1]
     g = jobs.graph_job(spark, f"{work}/features", f"{work}/gnn_features", max_iter=10)
     assert g["val_log_loss"] > 0
     out = spark.read.parquet(f"{work}/gnn_features")
@@ -60,7 +67,7 @@ def test_engines_roundtrip_and_foreach_batch(spark):
     assert a == b
     out = tempfile.mkdtemp(prefix="tw-fb-", dir="/tmp")
     src = url_stream(spark, SF001, "page_id bigint, url string, html string", file_glob="pages.parquet")
-    foreach_batch_score(spark, src.select("page_id", "url"), eng2, out)
+    foreach_batch_score(src.select("page_id", "url"), eng2, out, tempfile.mkdtemp(prefix="tw-ck-", dir="/tmp"))
     c = {r.page_id: r.predicted_class for r in spark.read.parquet(out).collect()}
     assert c == a
 
@@ -75,7 +82,8 @@ def test_stream_over_several_microbatches(spark):
     urls = url_table(spark, SF001).select("page_id", "url")
     urls.repartition(3).write.mode("overwrite").parquet(src_dir)
     eng = engines(spark, SF001)
-    out = run_stream_score(spark, url_stream(spark, src_dir, "page_id bigint, url string", max_files=1), eng)
+    out = run_stream_score(url_stream(spark, src_dir, "page_id bigint, url string", max_files=1), eng,
+                           tempfile.mkdtemp(prefix="tw-out-", dir="/tmp"), tempfile.mkdtemp(prefix="tw-ck-", dir="/tmp"))
     s = {r.page_id: (r.predicted_class, round(r.confidence_score, 9)) for r in spark.read.parquet(out).collect()}
     b = {r.page_id: (r.predicted_class, round(r.confidence_score, 9)) for r in score(urls, eng).collect()}
     assert s == b and len(s) == urls.count()

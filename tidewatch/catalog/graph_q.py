@@ -146,11 +146,9 @@ def tld_ngram_hash(spark, sf_dir):
     return rounded(GR.ngram_hash(u, "host", 64))
 
 
-def _emb_edges(spark, sf_dir):
+def _embeddings(spark, sf_dir):
     from ..sources.tables import read_table
-    emb = read_table(spark, sf_dir, "embeddings")
-    edges = emb.select(F.col("vec_id").alias("src"), F.col("label").alias("dst"))
-    return emb, edges
+    return read_table(spark, sf_dir, "embeddings")
 
 
 @query("embedding_neighbor_mean", """SELECT label AS dst, CAST(pos - 1 AS INTEGER) AS pos,
@@ -160,8 +158,8 @@ GROUP BY label, pos""")
 def embedding_neighbor_mean(spark, sf_dir):
     """G4 on vector features: element-wise mean embedding of each label node
     over its member vectors (vec -> label edges)."""
-    emb, edges = _emb_edges(spark, sf_dir)
-    return rounded(GR.neighbor_mean_vectors(emb, edges, "vec_id", "embedding"), 6)
+    m = GR.mean_vectors(_embeddings(spark, sf_dir), "label", "embedding")
+    return rounded(m.select(F.col("label").alias("dst"), F.posexplode("mean").alias("pos", "mean"), "n"), 6)
 
 
 @query("embedding_hop_back", """WITH m AS (SELECT label, list(mean ORDER BY pos) AS centre FROM (
@@ -173,9 +171,9 @@ FROM embeddings e JOIN m ON e.label = m.label""")
 def embedding_hop_back(spark, sf_dir):
     """G5 on vectors: second hop back to each vector, its cosine similarity to
     the mean of its label node."""
-    emb, edges = _emb_edges(spark, sf_dir)
-    centres = GR.collect_vectors(GR.neighbor_mean_vectors(emb, edges, "vec_id", "embedding"),
-                                 out="centre").withColumnRenamed("dst", "label")
-    j = emb.join(centres, "label")
+    from ..operators.skew import skew_safe_left_join
+    emb = _embeddings(spark, sf_dir)
+    centres = GR.mean_vectors(emb, "label", "embedding", out="centre").select("label", "centre")
+    j = skew_safe_left_join(emb, centres, "label", None, F.xxhash64("vec_id")).filter(F.col("centre").isNotNull())
     return rounded(j.select("vec_id", "label", GR.cosine(F.col("embedding").cast("array<double>"),
                                                          "centre").alias("cos_to_centre")), 6)

@@ -95,9 +95,7 @@ def _final(spark, sf_dir):
     take the guarded serving vector; results stay keyed by page_id."""
     g = _guarded(spark, sf_dir)
     g = G.flag_allowed(g, "registered_domain")
-    allowed = g.filter("is_allowed").withColumn("p_verdict", G.allow_vector())
-    rest = g.filter(~F.col("is_allowed")).withColumn("p_verdict", F.col("p_guard"))
-    return allowed.unionByName(rest)
+    return g.withColumn("p_verdict", F.when(F.col("is_allowed"), G.allow_vector()).otherwise(F.col("p_guard")))
 
 
 @query("allowlist_split", f"SELECT page_id, registered_domain, is_allowed, "

@@ -23,7 +23,7 @@ _ENGINES: dict = {}
 
 
 def engines(spark, sf_dir):
-    key = (id(spark), input_signature(f"{sf_dir}/pages.parquet"))
+    key = (spark.sparkContext.applicationId, input_signature(f"{sf_dir}/pages.parquet"))
     if key not in _ENGINES:
         _ENGINES[key] = fit_engines(labelled_urls(spark, sf_dir))
     return _ENGINES[key]

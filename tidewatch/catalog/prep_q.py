@@ -66,7 +66,7 @@ def suffix_domain(spark, sf_dir):
 
 _SPLIT_SQL = """SELECT page_id, url, type, CASE WHEN rk <= n * 70 // 100 THEN 'train'
   WHEN rk <= n * 70 // 100 + (n - n * 70 // 100) // 2 THEN 'val' ELSE 'test' END AS split
-  FROM (SELECT *, row_number() OVER (PARTITION BY type ORDER BY md5('42' || url), url) AS rk,
+  FROM (SELECT *, rank() OVER (PARTITION BY type ORDER BY md5('42' || url), url) AS rk,
                count(*) OVER (PARTITION BY type) AS n FROM ({src}))"""
 
 
@@ -83,7 +83,7 @@ _LI_SRC = ("SELECT l_orderkey, l_linenumber, l_returnflag, "
 @query("strat_split_lineitem",
        """SELECT l_orderkey, l_linenumber, l_returnflag, CASE WHEN rk <= n * 70 // 100 THEN 'train'
   ELSE 'test' END AS split
-  FROM (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY md5('42' || k), k) AS rk,
+  FROM (SELECT *, rank() OVER (PARTITION BY l_returnflag ORDER BY md5('42' || k), k) AS rk,
                count(*) OVER (PARTITION BY l_returnflag) AS n FROM (""" + _LI_SRC + "))")
 def strat_split_lineitem(spark, sf_dir):
     """P1 at table scale (70/30 per return flag); the split is the lineitem

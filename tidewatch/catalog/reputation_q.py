@@ -91,8 +91,7 @@ def reputation_fallback(spark, sf_dir):
     """J1-J3 with a fine key (host + first path segment) and host as parent:
     many test keys are unseen in train, so every fallback level is used."""
     u = labelled_urls(spark, sf_dir).select("page_id", "url", "path_key", "host", "target", "split")
-    r = R.reputation(u, "path_key", "host", "target", CLS, spread=F.xxhash64("url"),
-                     broadcast_parent=False)
+    r = R.reputation(u, "path_key", "host", "target", CLS, spread=F.xxhash64("url"))
     return rounded(r.drop("target", "split"))
 
 

@@ -38,12 +38,17 @@ def graph_edges(df: DataFrame, url_key: str = "page_id") -> DataFrame:
 
 
 def graph_size(df: DataFrame, url_key: str = "page_id") -> DataFrame:
-    """A10: node and edge counts in one aggregate."""
-    return df.agg(F.count(F.lit(1)).alias("url_nodes"),
-                  F.countDistinct("registered_domain").alias("domain_nodes"),
-                  F.countDistinct("tld").alias("tld_nodes"),
-                  F.countDistinct("registered_domain", "tld").alias("domain_tld_edges"),
-                  F.count(F.lit(1)).alias("url_domain_edges"))
+    """A10: node and edge counts, rolled up from one (domain, suffix) aggregate."""
+    from ..session import materialize
+    pairs = materialize(df.groupBy("registered_domain", "tld").agg(F.count(F.lit(1)).alias("n")), "graph_pairs")
+    full = F.col("registered_domain").isNotNull() & F.col("tld").isNotNull()
+    one = pairs.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("url_nodes"),
+                    F.count(F.when(full, 1)).alias("domain_tld_edges"))
+    doms = pairs.select("registered_domain").distinct().agg(F.count("registered_domain").alias("domain_nodes"))
+    tlds = pairs.select("tld").distinct().agg(F.count("tld").alias("tld_nodes"))
+    # three one-row frames
+    return one.crossJoin(F.broadcast(doms)).crossJoin(F.broadcast(tlds)).select(
+        "url_nodes", "domain_nodes", "tld_nodes", "domain_tld_edges", F.col("url_nodes").alias("url_domain_edges"))
 
 
 def neighbor_mean(nodes: DataFrame, edges: DataFrame, key: str, feature_cols,
@@ -94,8 +99,8 @@ def propagate(df: DataFrame, feature_cols, domain: str = "registered_domain", tl
     """Per URL ``[x, mean over its domain, mean over its suffix]``.
 
     Closed form of two mean-aggregation hops on the URL-domain-suffix graph
-    from pre-aggregates; the domain lookup is skew-safe, the suffix table is
-    bounded by the public-suffix list and broadcast.
+    from pre-aggregates; the domain and the suffix lookup are skew-safe (a
+    wildcard rule makes any label a suffix, so the suffix table has no bound).
     """
     from ..session import materialize
     from .skew import skew_safe_left_join
@@ -106,7 +111,7 @@ def propagate(df: DataFrame, feature_cols, domain: str = "registered_domain", tl
     keep = prof.select(domain, "dom_n", *[f"dom_{c}" for c in feature_cols])
     spread = spread if spread is not None else F.xxhash64(*[F.col(c) for c in df.columns])
     out = skew_safe_left_join(df, keep, domain, "dom_n", spread)
-    return out.join(F.broadcast(tp), tld, "left")
+    return skew_safe_left_join(out, tp, tld, "tld_n", F.xxhash64(spread))
 
 
 def cold_start(query: DataFrame, profile: DataFrame, glob: DataFrame, feature_cols,
@@ -136,12 +141,14 @@ def two_hop_nodes(graph: DataFrame, query: DataFrame, url_key: str = "page_id",
     """Distinct nodes within two hops of the query URLs.
 
     hop 1: the query URLs' domains; hop 2: every URL of those domains and
-    their suffixes.  Semi joins only; no per-domain loops.
+    their suffixes.  One skew-safe semi join; no per-domain loops.
     """
+    from .skew import skew_safe_semi_join
     q = query.select(url_key, domain).distinct()
     doms = q.select(domain).distinct()
-    urls2 = graph.join(doms, domain, "left_semi").select(url_key)
-    tlds = graph.join(doms, domain, "left_semi").select(tld).distinct()
+    near = skew_safe_semi_join(graph.select(url_key, domain, tld), doms, domain, F.xxhash64(url_key))
+    urls2 = near.select(url_key)
+    tlds = near.select(tld).distinct()
     return (q.select(F.lit("url").alias("node_type"), F.col(url_key).cast("string").alias("node"))
             .unionByName(doms.select(F.lit("domain").alias("node_type"), F.col(domain).alias("node")))
             .unionByName(urls2.select(F.lit("url").alias("node_type"), F.col(url_key).cast("string").alias("node")))
@@ -235,6 +242,26 @@ def neighbor_mean_vectors(nodes: DataFrame, edges: DataFrame, key: str, vec_col:
                                      F.count(F.lit(1)).alias("n"))
 
 
+def mean_vectors(df: DataFrame, group: str, vec_col: str, out: str = "mean") -> DataFrame:
+    """Element-wise mean vector per group, ``(group, n, out)``: one vector
+    summary a task and group (combined map-side), no row per element."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+    v = df.select(group, array_to_vector(F.col(vec_col).cast("array<double>")).alias("_v"))
+    return v.groupBy(group).agg(F.count(F.lit(1)).alias("n"), Summarizer.mean(F.col("_v")).alias("_m")).select(
+        group, "n", vector_to_array("_m").alias(out))
+
+
+def linear_layer(mean, x, w_mean, w_self, bias) -> Column:
+    """G4's layer ``relu(W_l * mean + b + W_r * x)`` on array columns; the
+    weights are arrays of rows (one per output) and may come from a table."""
+    def dot(row, v):
+        return F.aggregate(F.zip_with(row, v, lambda a, b: a * b), F.lit(0.0), lambda s, y: s + y)
+    mean, x, w_mean, w_self, bias = (F.col(c) if isinstance(c, str) else c for c in (mean, x, w_mean, w_self, bias))
+    return F.transform(bias, lambda b, i: F.greatest(
+        dot(F.get(w_mean, i), mean) + b + dot(F.get(w_self, i), x), F.lit(0.0)))
+
+
 def collect_vectors(long: DataFrame, key: str = "dst", value: str = "mean", out: str = "vec") -> DataFrame:
     """Long ``(key, pos, value)`` back to one array per key (length = the
     vector dimension, a fixed bound)."""

@@ -20,16 +20,18 @@ def allow_list_df(spark, domains=ALLOW_LIST) -> DataFrame:
 
 def flag_allowed(df: DataFrame, domain_col: str = "registered_domain",
                  allow: DataFrame | None = None, out_col: str = "is_allowed") -> DataFrame:
-    """Allow-list membership by a broadcast join (the list is small and
-    fixed; a table of any size up to the broadcast limit works the same)."""
-    from .skew import bounded_broadcast
+    """Allow-list membership.  The built-in list has 8 entries and is
+    broadcast; a caller's table of any size takes the skew-safe join."""
+    from .skew import skew_safe_left_join
     fixed = allow is None
     allow = allow_list_df(df.sparkSession) if fixed else allow
-    a = allow.select(F.col(allow.columns[0]).alias("_allow")).distinct().withColumn(out_col, F.lit(True))
-    # the built-in list has 8 entries; a caller's table is broadcast after a size check
-    a = F.broadcast(a) if fixed else bounded_broadcast(a)
-    return (df.join(a, F.col(domain_col) == F.col("_allow"), "left").drop("_allow")
-            .withColumn(out_col, F.coalesce(F.col(out_col), F.lit(False))))
+    a = allow.select(F.col(allow.columns[0]).alias(domain_col)).distinct().withColumn(out_col, F.lit(True))
+    if fixed:
+        j = df.join(F.broadcast(a.withColumnRenamed(domain_col, "_allow")),
+                    F.col(domain_col) == F.col("_allow"), "left").drop("_allow")
+    else:
+        j = skew_safe_left_join(df, a, domain_col, None, F.xxhash64(*[F.col(c) for c in df.columns]))
+    return j.withColumn(out_col, F.coalesce(F.col(out_col), F.lit(False)))
 
 
 def flag_unseen(df: DataFrame, key_col: str, known: DataFrame, out_col: str = "is_unseen",
@@ -37,8 +39,8 @@ def flag_unseen(df: DataFrame, key_col: str, known: DataFrame, out_col: str = "i
     """Key absent from the known key set.
 
     The known keys are counted (one aggregate), and the lookup is skew-safe:
-    keys frequent in the known set are matched through a bounded broadcast,
-    the rest by a shuffle join on a spread key.
+    keys frequent in the looked-up rows, known or not, are matched through a
+    bounded broadcast, the rest by a shuffle join.
     """
     from .skew import skew_safe_left_join
     kc = known.groupBy(F.col(known.columns[0]).alias(key_col)).agg(F.count(F.lit(1)).alias("_seen_n"))

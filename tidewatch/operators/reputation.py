@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .skew import bounded_broadcast, skew_safe_left_join
+from .skew import skew_safe_left_join
 
 
 def class_index(class_col: str, classes) -> Column:
@@ -85,18 +85,15 @@ def fit_reputation(train: DataFrame, key: str, parent: str, class_col: str, clas
 
 
 def apply_reputation(df: DataFrame, stats: dict, key: str, parent: str, k: int,
-                     spread: Column | None = None, hot_fraction: float = 1e-4,
-                     broadcast_parent: bool = True) -> DataFrame:
+                     spread: Column | None = None, hot_fraction: float = 1e-4) -> DataFrame:
     """Map learnt statistics onto every row with the fallback chain
     key -> parent -> global (J1-J3)."""
     if spread is None:
         spread = F.xxhash64(*[F.col(c) for c in df.columns])
     pri = stats["pri"]
-    out = skew_safe_left_join(df, stats["dom"], key, "dom_n", spread, hot_fraction,
-                              pri.select("_total"))
-    par = stats["par"]
-    # parent keys (suffixes, nations) are few; the hint is given only after a count check
-    out = out.join(bounded_broadcast(par) if broadcast_parent else par, parent, "left")
+    out = skew_safe_left_join(df, stats["dom"], key, "dom_n", spread, hot_fraction)
+    # the parent key is the hottest there is (a suffix, a nation): same join
+    out = skew_safe_left_join(out, stats["par"], parent, None, F.xxhash64(spread), hot_fraction)
     out = out.crossJoin(F.broadcast(pri.drop("_total")))  # one row
     cols = [F.coalesce(F.col("dom_n"), F.lit(0)).cast("long").alias("domain_frequency"),
             F.coalesce(F.col("dom_entropy"), F.lit(0.0)).alias("domain_class_entropy")]
@@ -112,20 +109,17 @@ def apply_reputation(df: DataFrame, stats: dict, key: str, parent: str, k: int,
 
 def reputation(df: DataFrame, key: str, parent: str, class_col: str, classes,
                split_col: str = "split", train_value: str = "train",
-               spread: Column | None = None, hot_fraction: float = 1e-4,
-               broadcast_parent: bool = True) -> DataFrame:
+               spread: Column | None = None, hot_fraction: float = 1e-4) -> DataFrame:
     """Append the reputation table columns to every row of ``df``.
 
     Statistics come from ``split == train`` rows only (leak-free).  Column
     names follow the reputation table: ``domain_frequency``,
     ``domain_class_entropy``, and per class i ``domain_class_{i}_count``,
     ``tld_class_{i}_prob``, ``domain_class_{i}_prob``, ``R_graph_class_{i}``.
-    ``broadcast_parent`` is for parent keys of bounded cardinality (public
-    suffixes, nations); otherwise the parent join is left to AQE.
     """
     train = df.filter(F.col(split_col) == F.lit(train_value)).select(key, parent, class_col)
     stats = fit_reputation(train, key, parent, class_col, classes)
-    return apply_reputation(df, stats, key, parent, len(classes), spread, hot_fraction, broadcast_parent)
+    return apply_reputation(df, stats, key, parent, len(classes), spread, hot_fraction)
 
 
 def reputation_columns(k: int) -> list[str]:

@@ -6,42 +6,34 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
-    """Broadcast hint only after checking the row count (reads at most
-    ``max_rows + 1`` rows); a larger table is returned unhinted so the join
-    stays a shuffle join (AQE may still broadcast it if it measures it small)."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
-def hot_keys(stats: DataFrame, key: str, count_col: str, fraction: float,
-             total: DataFrame | None = None) -> DataFrame:
-    """Keys whose count is at least ``fraction`` of the total.
-
-    At most ``1 / fraction`` keys can qualify (the counts sum to the total),
-    so the result has a proven size bound and may be broadcast.  ``total`` is
-    a one-row ``_total`` DataFrame when the caller has it cheaper.
-    """
-    if total is None:
-        total = stats.agg(F.sum(count_col).alias("_total"))
-    return (stats.crossJoin(F.broadcast(total))  # one-row side
-            .filter(F.col(count_col) >= F.lit(fraction) * F.col("_total"))
-            .drop("_total"))
-
-
-def skew_safe_left_join(big: DataFrame, stats: DataFrame, key: str, count_col: str,
-                        spread: Column, hot_fraction: float = 1e-4,
-                        total: DataFrame | None = None) -> DataFrame:
+def hot_keys(rows: DataFrame, key: str, fraction: float, weight: Column | None = None) -> DataFrame:
+    """Keys holding at least ``fraction`` of ``rows``: at most ``1 / fraction``
+    keys qualify (their counts sum to the total), so the result has a proven
+    size bound and may be broadcast.  Counts are combined map-side first."""
+    n = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    counts = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(n.alias("_n"))
+    total = counts.agg(F.sum("_n").alias("_total"))
+    return (counts.crossJoin(F.broadcast(total))  # one-row side
+            .filter(F.col("_n") >= F.lit(fraction) * F.col("_total")).select(key))
+
+
+def skew_safe_left_join(big: DataFrame, stats: DataFrame, key: str, count_col: str | None,
+                        spread: Column, hot_fraction: float = 1e-4) -> DataFrame:
     """``big LEFT JOIN stats USING (key)`` where ``stats`` is unique per key.
 
-    Hot keys (>= ``hot_fraction`` of the stats' counts) are joined through a
-    broadcast of their (bounded) stats rows; for the shuffled join of the
-    remaining keys the hot rows get a non-matching join key spread by
-    ``spread`` (a deterministic per-row hash), so no reducer receives the hot
-    key's rows in one piece.  NULL keys are spread the same way.
+    Hot keys are found in the rows being joined, whether ``stats`` knows them or
+    not; their (bounded) stats rows are broadcast.  For the shuffled join of the
+    other keys the hot rows get a non-matching join key spread by ``spread`` (a
+    deterministic per-row hash), so no reducer receives a hot key's rows in one
+    piece.  NULL keys are spread the same way.  A stream cannot be counted ahead:
+    there the keys that are hot in ``count_col`` of the stats are taken.
     """
     stat_cols = [c for c in stats.columns if c != key]
-    hot = hot_keys(stats, key, count_col, hot_fraction, total)
+    if big.isStreaming:
+        hot = hot_keys(stats, key, hot_fraction, F.col(count_col)) if count_col else stats.limit(0).select(key)
+    else:
+        hot = hot_keys(big, key, hot_fraction)
+    hot = hot.join(stats, key, "left")
     hot_b = F.broadcast(hot.select(F.col(key).alias("_hk"), F.lit(True).alias("_is_hot"),
                                    *[F.col(c).alias(f"_h_{c}") for c in stat_cols]))
     b = big.join(hot_b, big[key] == F.col("_hk"), "left").drop("_hk")
@@ -55,3 +47,10 @@ def skew_safe_left_join(big: DataFrame, stats: DataFrame, key: str, count_col: s
     out += [F.when(F.col("_is_hot"), F.col(f"_h_{c}")).otherwise(F.col(f"_c_{c}")).alias(c)
             for c in stat_cols]
     return j.select(*out)
+
+
+def skew_safe_semi_join(big: DataFrame, keys: DataFrame, key: str, spread: Column,
+                        hot_fraction: float = 1e-4) -> DataFrame:
+    """Rows of ``big`` whose key is in ``keys``, balanced as the join above."""
+    known = keys.select(key).distinct().withColumn("_known", F.lit(True))
+    return skew_safe_left_join(big, known, key, None, spread, hot_fraction).filter(F.col("_known")).drop("_known")

@@ -157,7 +157,7 @@ def split_sql(src: str, class_col: str, key: str, nested: bool = True) -> str:
     """Rows of ``src`` plus ``split`` by md5-ordered exact class quotas."""
     val = ("WHEN rk <= n * 70 // 100 + (n - n * 70 // 100) // 2 THEN 'val' " if nested else "")
     return (f"SELECT * EXCLUDE (rk, n), CASE WHEN rk <= n * 70 // 100 THEN 'train' {val}ELSE 'test' END AS split "
-            f"FROM (SELECT *, row_number() OVER (PARTITION BY {class_col} ORDER BY md5('42' || CAST({key} AS VARCHAR)), "
+            f"FROM (SELECT *, rank() OVER (PARTITION BY {class_col} ORDER BY md5('42' || CAST({key} AS VARCHAR)), "
             f"{key}) AS rk, count(*) OVER (PARTITION BY {class_col}) AS n FROM ({src}))")
 
 

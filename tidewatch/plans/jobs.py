@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..constants import ALPHA_GRID, CLASSES, FEATURE_COLS, SERVING_ALPHA
 from ..functions.lexical import feature_columns
-from ..functions.probs import argmax, prob_array, round_vec
+from ..functions.probs import argmax, prob_array
 from ..operators import clean, fusion, graph, metrics, reputation, split
 from ..operators.suffix import with_registered_domain
 from ..session import materialize
@@ -35,13 +35,14 @@ CLS = list(range(len(CLASSES)))
 
 
 def feature_job(spark: SparkSession, raw_path: str, output_path: str, fix_bias: bool = False) -> dict:
-    """S1 -> (C1) -> C3 -> L1-L40 -> C4 -> S3, plus the class distribution (A1)."""
+    """S1 -> (C1) -> C3 -> L1-L40 -> C4 -> split (P2) -> S3, plus the class
+    distribution (A1).  The split is stored: every later job reads this one."""
     raw = io.read_raw_csv(spark, raw_path)
     if fix_bias:
         raw = clean.bias_fix(raw)
     df = clean.validate_and_clean(raw)
     df = df.select("*", *feature_columns("url"))
-    df = clean.encode_target(df)
+    df = split.stratified_split(clean.encode_target(df), "target", "url", nested=True)
     io.write_parquet(df, output_path)
     out = spark.read.parquet(output_path)
     dist = {CLASSES[r["target"]]: r["n_rows"] for r in reputation.class_distribution(out, "target").collect()}
@@ -54,16 +55,16 @@ def _with_keys(df: DataFrame) -> DataFrame:
     return with_registered_domain(df)
 
 
-def _row_key(df: DataFrame) -> str:
-    return "page_id" if "page_id" in df.columns else "url"
+def _with_split(df: DataFrame, target: str) -> DataFrame:
+    """The stored split; a table that has none (not from ``feature_job``) gets one."""
+    return df if "split" in df.columns else split.stratified_split(df, target, "url", nested=True)
 
 
 def legacy_job(spark: SparkSession, data_path: str, output_path: str) -> dict:
     """Reputation table (legacy graph mode): U3 -> 70/30 split -> A4-A7 + J1-J3."""
     df = spark.read.parquet(data_path)
     tcol = clean.resolve_target(df)
-    df = _with_keys(df)
-    df = split.stratified_split(df, tcol, "url", nested=True)
+    df = _with_split(_with_keys(df), tcol)
     rep = reputation.reputation(df, "registered_domain", "tld", tcol, CLS, spread=F.xxhash64("url"))
     io.write_parquet(rep, output_path)
     out = spark.read.parquet(output_path)
@@ -74,7 +75,7 @@ def graph_job(spark: SparkSession, data_path: str, output_path: str, max_iter: i
     """Graph engine (gnn mode): propagate -> MLP -> domain_class_{i}_prob (M2, M4)."""
     df = spark.read.parquet(data_path)
     tcol = clean.resolve_target(df)
-    df = split.stratified_split(_with_keys(df), tcol, "url", nested=True)
+    df = _with_split(_with_keys(df), tcol)
     prop = graph.with_suffix_vector(graph.propagate(df, FEATURE_COLS, spread=F.xxhash64("url")), "tld",
                                     MD.SUFFIX_BUCKETS)
     prop = materialize(prop, "graph_features", partition_by=["split"])
@@ -92,7 +93,7 @@ def lexical_job(spark: SparkSession, data_path: str, model_path: str) -> dict:
     """M1 on the train split; model saved with S7."""
     df = spark.read.parquet(data_path)
     tcol = clean.resolve_target(df)
-    df = split.stratified_split(df, tcol, "url", nested=True)
+    df = _with_split(df, tcol)
     model = MD.train_lexical_model(materialize(df.filter(F.col("split") == "train"), "lexical_train"),
                                    label=tcol)
     MD.save_model(model, model_path)
@@ -103,8 +104,7 @@ def _fusion_input(spark: SparkSession, data_path: str, model_path: str) -> tuple
     df = spark.read.parquet(data_path)
     tcol = clean.resolve_target(df)
     gcols = fusion.graph_prob_columns(df, len(CLS))
-    if "split" not in df.columns:
-        df = split.stratified_split(df, tcol, "url", nested=True)
+    df = _with_split(df, tcol)
     df = df.withColumn("p_graph", prob_array(gcols))
     df = MD.lexical_probs(MD.load_model(model_path), df.withColumn(tcol, F.col(tcol).cast("int")))
     return materialize(df, "fusion_input"), tcol
@@ -125,25 +125,24 @@ def fusion_job(spark: SparkSession, data_path: str, model_path: str, output_path
 
 def evaluation_job(spark: SparkSession, data_path: str, model_path: str, output_path: str,
                    alpha: float = SERVING_ALPHA) -> dict:
-    """E1-E10 on the test split: reports written as JSON / CSV tables."""
+    """E1-E10 on the test split, for the lexical, the graph and the hybrid engine:
+    reports written as JSON / CSV tables."""
     df, tcol = _fusion_input(spark, data_path, model_path)
     test = fusion.fused_prediction(df.filter(F.col("split") == "test"), "p_lex", "p_graph", alpha)
-    test = test.withColumn("pred_lex", argmax(round_vec("p_lex")))
-    models = (test.select(F.lit("lexical").alias("model"), F.col(tcol).alias("y"), F.col("pred_lex").alias("yhat"))
-              .unionByName(test.select(F.lit("hybrid").alias("model"), F.col(tcol).alias("y"),
-                                       F.col("pred").alias("yhat"))))
+    engines = {"lexical": argmax("p_lex"), "graph": argmax("p_graph"), "hybrid": F.col("pred")}
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), yhat.alias("yhat")) for m, yhat in engines.items()]))
+    models = test.select(F.col(tcol).alias("y"), each.alias("e")).select("e.model", "y", "e.yhat")
     summary = metrics.summary(models, "y", "yhat", ["model"])
     io.write_json(metrics.class_report(models, "y", "yhat", ["model"]), f"{output_path}/classification_report")
     io.write_json(metrics.confusion(models, "y", "yhat", ["model"]), f"{output_path}/confusion_matrix")
-    ovr = metrics.one_vs_rest(test, "p_final", tcol, len(CLS))
-    io.write_json(metrics.auc(ovr), f"{output_path}/auc")
-    io.write_json(metrics.roc_points(ovr), f"{output_path}/roc_points")
-    # Importances of the lexical forest (40 numbers reach the driver)
-    rf = MD.load_model(model_path).stages[-1]
-    imp = spark.createDataFrame([(n, float(v)) for n, v in zip(FEATURE_COLS, rf.featureImportances.toArray())],
-                                "Feature string, Importance double")
-    io.write_csv(imp.orderBy(F.col("Importance").desc(), "Feature").limit(20).coalesce(1),
-                 f"{output_path}/feature_importance")
+    for name, p in (("", "p_final"), ("_lexical", "p_lex")):
+        ovr = metrics.one_vs_rest(test, p, tcol, len(CLS))
+        io.write_json(metrics.auc(ovr), f"{output_path}/auc{name}")
+        io.write_json(metrics.roc_points(ovr), f"{output_path}/roc_points{name}")
+    # Importances of the lexical forest, all 40 (40 numbers reach the driver)
+    imp = MD.forest_importance(spark, MD.load_model(model_path))
+    imp = imp.select(F.col("feature").alias("Feature"), F.col("importance").alias("Importance"))
+    io.write_csv(imp.orderBy(F.col("Importance").desc(), "Feature").coalesce(1), f"{output_path}/feature_importance")
     info = metrics.dataset_info(df, len(FEATURE_COLS))
     rec = comparison_record(summary, info)
     io.write_json(rec.coalesce(1), f"{output_path}/model_comparison")
@@ -167,6 +166,11 @@ def all_job(spark: SparkSession, raw_path: str, work_dir: str, mode: str = "lega
     return {"test_f1": round(res["test_f1"], 4), "best_alpha": res["best_alpha"]}
 
 
+def _alpha(given: float | None) -> float:
+    """The blend weight asked for (0 is one), else the serving default."""
+    return SERVING_ALPHA if given is None else given
+
+
 def main(argv=None) -> None:
     p = argparse.ArgumentParser(prog="tidewatch")
     p.add_argument("step", choices=["features", "legacy", "graph", "lexical", "fusion", "evaluate", "all"])
@@ -193,7 +197,7 @@ def main(argv=None) -> None:
     elif a.step == "fusion":
         r = fusion_job(spark, a.data_path, a.model_path, a.output_path, a.alpha)
     elif a.step == "evaluate":
-        r = evaluation_job(spark, a.data_path, a.model_path, a.output_path, a.alpha or SERVING_ALPHA)
+        r = evaluation_job(spark, a.data_path, a.model_path, a.output_path, _alpha(a.alpha))
     else:
-        r = all_job(spark, a.raw_data_path, a.work_dir, a.mode, a.skip_prep, a.alpha or SERVING_ALPHA)
+        r = all_job(spark, a.raw_data_path, a.work_dir, a.mode, a.skip_prep, _alpha(a.alpha))
     print(json.dumps(r, default=str))

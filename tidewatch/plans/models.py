@@ -56,6 +56,13 @@ def lexical_probs(model: PipelineModel, df: DataFrame, out: str = "p_lex") -> Da
     return model.transform(df).select(*cols, _padded(F.col("lex_prob")).alias(out))
 
 
+def forest_importance(spark, model: PipelineModel, feature_cols=FEATURE_COLS) -> DataFrame:
+    """``(feature, importance)`` of a fitted lexical model, one row a feature."""
+    values = model.stages[-1].featureImportances.toArray()
+    return spark.createDataFrame([(n, float(v)) for n, v in zip(feature_cols, values)],
+                                 "feature string, importance double")
+
+
 def train_graph_model(train: DataFrame, cols, label: str = "target", hidden: int = 64,
                       max_iter: int = 60, seed: int = 42) -> PipelineModel:
     """M2: scaler + MLP [d, hidden, 4] on propagated graph features."""
@@ -80,10 +87,6 @@ def select_graph_model(train: DataFrame, val: DataFrame, cols, label: str = "tar
     """M2/M3: train one MLP per ``(max_iter, seed)`` candidate and keep the
     one with the lowest validation log loss (returns model, loss table)."""
     from ..operators.metrics import log_loss
-    candidates = list(candidates)
-    if len(candidates) == 1:  # nothing to choose from: skip the validation pass
-        it, seed = candidates[0]
-        return train_graph_model(train, cols, label=label, hidden=hidden, max_iter=it, seed=seed), None
     best, rows = None, []
     for it, seed in candidates:
         m = train_graph_model(train, cols, label=label, hidden=hidden, max_iter=it, seed=seed)

@@ -41,8 +41,7 @@ def _scored_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
         "sig_parent", F.col("https_flag").cast("string"))
     base = f.select("page_id", "url", "target", "split", "path_key", "host", "registered_domain",
                     "lex_sig", "sig_parent")
-    g = reputation(base, "path_key", "host", "target", CLS, spread=F.xxhash64("url"),
-                   broadcast_parent=False)
+    g = reputation(base, "path_key", "host", "target", CLS, spread=F.xxhash64("url"))
     g = g.select(*base.columns, prob_array([f"domain_class_{i}_prob" for i in CLS]).alias("p_graph"))
     lx = reputation(g, "lex_sig", "sig_parent", "target", CLS, spread=F.xxhash64("url"))
     lx = lx.select(*g.columns, prob_array([f"domain_class_{i}_prob" for i in CLS]).alias("p_lex"))

@@ -82,7 +82,7 @@ def suffix_rules(spark: SparkSession, path: str | None = None,
     key = (path, icann_only)
     if key not in _PARSED:
         _PARSED[key] = parse_rules(psl_text(path), icann_only)
-    fkey = (id(spark), key)
+    fkey = (spark.sparkContext.applicationId, key)
     if fkey not in _FRAMES:
         rows = _PARSED[key]
         depth = max(k.count(".") + 1 + (1 if w else 0) for k, _, w, _ in rows)

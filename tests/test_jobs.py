@@ -108,7 +108,7 @@ def test_raw_csv_missing_values_and_multiline(spark):
     with open(f"{d}/raw.csv", "w") as f:
         f.write('url,type\n"http://a.com/x,y",benign\nNA,phishing\nnull,benign\n"http://b.com/""q""",malware\n'
                 '"http://c.com/multi\nline",defacement\nhttp://d.com,NaN\n')
-    raw = io.read_raw_csv(spark, f"{d}/raw.csv")
+    raw = io.read_raw_csv(spark, f"{d}/raw.csv", multi_line=True)
     rows = raw.collect()
     assert len(rows) == 6
     assert rows[0].url == "http://a.com/x,y" and rows[1].url is None and rows[2].url is None

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from .. import oracle_sql as S
 from ..constants import CLASS_IDS, FEATURE_COLS
-from ..functions.lexical import display_truncate, entropy_risk, feature_columns, shannon_entropy
+from ..functions.lexical import (char_stats_long, display_truncate, entropy_risk, feature_columns, lexical_host,
+                                 shannon_entropy)
 from ..operators import clean
 from ..operators import graph as GR
 from ..plans.prepare import labelled_urls
@@ -60,21 +61,19 @@ def node_ids(spark, sf_dir):
 
 
 _DF = S.features("text", "dhost", "dpath")
-_DOC_SQL = (f"SELECT d.doc_id, CAST(l.quality * 2 + l.toxic AS INTEGER) AS target, d.text, "
+_DOC_SQL = (f"SELECT d.doc_id, coalesce(CAST(CAST(l.quality * 2 + l.toxic AS INTEGER) AS VARCHAR), 'unlabelled') AS target, d.text, "
             f"regexp_extract(d.text, {S.q(r'^(?:https?://)?([^/:\?]+)')}, 1) AS dhost, "
             f"regexp_extract(d.text, {S.q(r'^(?:https?://)?[^/:\?]+(/[^\?]*)')}, 1) AS dpath "
-            f"FROM documents d JOIN labels l ON d.doc_id = l.doc_id")
-_DOC_COLS = ["url_length", "num_digits", "num_special_chars", "vowel_count", "entropy", "unique_char_ratio",
-             "longest_token_length", "suspicious_keyword_count", "has_exe_or_zip", "double_slash_count"]
+            f"FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
 
 
 @query("lexical_documents", "SELECT target, CAST(count(*) AS BIGINT) AS n_docs, " + ", ".join(
-    f"round(avg({_DF[c]}), 6) + 0.0 AS avg_{c}" for c in _DOC_COLS) + f" FROM ({_DOC_SQL}) GROUP BY target")
+    f"round(avg({_DF[c]}), 6) + 0.0 AS avg_{c}" for c in FEATURE_COLS) + f" FROM ({_DOC_SQL}) GROUP BY target")
 def lexical_documents(spark, sf_dir):
-    """Lexical functions over whole document texts, averaged per label class
-    (quality * 2 + toxic); entropies use the vectorised long-text form."""
+    """All 40 lexical functions over all whole document texts, averaged per label
+    class (quality * 2 + toxic, or unlabelled); one Arrow pass counts characters."""
     d = document_table(spark, sf_dir)
-    f = d.select("target", *[c for c, n in zip(feature_columns("text", long_text=True), FEATURE_COLS)
-                             if n in _DOC_COLS])
+    d = d.select("target", "text", char_stats_long("text").alias("_t"), char_stats_long(lexical_host("text")).alias("_h"))
+    f = d.select("target", *feature_columns("text", stats=("_t", "_h")))
     return rounded(f.groupBy("target").agg(F.count(F.lit(1)).alias("n_docs"),
-                                           *[F.avg(c).alias(f"avg_{c}") for c in _DOC_COLS]), 6)
+                                           *[F.avg(c).alias(f"avg_{c}") for c in FEATURE_COLS]), 6)

@@ -11,7 +11,7 @@ from ..functions.probs import argmax, normalise_exact, prob_columns, renormalise
 from ..operators import fusion as FU
 from ..operators import metrics as M
 from ..plans.scores import SIG_FEATURES, scored_urls
-from ..sources.tables import read_table, spread_small_input
+from ..sources.tables import read_table
 from . import query, rounded
 from .reputation_q import LABELLED_SQL
 
@@ -259,24 +259,11 @@ _EV_OVR_SQL = ("SELECT c.cls, e.value AS score, e.event_type = c.cls AS is_pos F
                f"CROSS JOIN ({_EV_TYPES_SQL}) c")
 
 
-def _events_ovr(spark, sf_dir):
-    ev = spread_small_input(read_table(spark, sf_dir, "events")).select("event_type", "value")
-    types = M.class_set(ev.select(F.col("event_type").alias("cls")))
-    return ev.crossJoin(F.broadcast(types)).select(
-        "cls", F.col("value").alias("score"), (F.col("event_type") == F.col("cls")).alias("is_pos"))
-
-
-def _events_buckets(spark, sf_dir):
-    """Score quantiles from the events themselves (the one-vs-rest rows repeat
-    each value once per class, so the distribution is the same)."""
-    return M.value_bucket(read_table(spark, sf_dir, "events").select(F.col("value").alias("score")))
-
-
 @query("auc_events", _AUC_SQL.format(ovr=_EV_OVR_SQL).replace("CAST(cls AS INTEGER)", "cls"))
 def auc_events(spark, sf_dir):
-    """E7 at table scale: AUC of ``value`` for each event type vs the rest;
-    unbounded scores are bucketed by approximate quantiles."""
-    return rounded(M.auc(_events_ovr(spark, sf_dir), bucket=_events_buckets(spark, sf_dir)))
+    """E7 at table scale: AUC of ``value`` for each event type vs the rest,
+    from one pooled rank."""
+    return rounded(M.auc_by_class(read_table(spark, sf_dir, "events"), "event_type", "value"))
 
 
 _ROC_SQL = """WITH o AS ({ovr}),
@@ -294,7 +281,7 @@ UNION ALL SELECT DISTINCT cls, CAST('inf' AS DOUBLE), round(0.0 / NULLIF(P, 0),
 @query("roc_events", _ROC_SQL.format(ovr=_EV_OVR_SQL))
 def roc_events(spark, sf_dir):
     """E6 at table scale: ROC curve of ``value`` for each event type vs the rest."""
-    return rounded(M.roc_points(_events_ovr(spark, sf_dir), bucket=_events_buckets(spark, sf_dir)))
+    return rounded(M.roc_by_class(read_table(spark, sf_dir, "events"), "event_type", "value"))
 
 
 @query("log_loss", f"""SELECT {_r(f"avg(-ln(CASE target {' '.join(f'WHEN {i} THEN pgn{i}' for i in CLS)} END + {_EPS}))")} AS log_loss,

@@ -68,7 +68,7 @@ def global_profile(spark, sf_dir):
 
 _TP_SQL = ("SELECT tld, " + ", ".join(f"avg(dom_{c}) AS tld_{c}" for c in FEATURE_COLS)
            + f" FROM (SELECT DISTINCT registered_domain, tld FROM ({LABELLED_SQL})) e JOIN ({_PROF_SQL}) p USING (registered_domain) GROUP BY tld")
-_SHOW = FEATURE_COLS[:6] + ["entropy", "letter_ratio"]
+_SHOW = FEATURE_COLS
 
 
 @query("neighbor_mean", "SELECT l.page_id, " + ", ".join(f"{_r6(f'p.dom_{c}')} AS dom_{c}" for c in _SHOW)
@@ -131,9 +131,9 @@ def _ngram_sql(buckets: int) -> str:
     for i in range(4):
         m = f"(({m}) * 4294967296 + {w(i)}) % {buckets}"
     return f"""WITH k AS (SELECT DISTINCT host AS key, regexp_replace(host, '^\\.+|\\.+$', '', 'g') AS s FROM ({LABELLED_SQL})),
-g2 AS (SELECT key, substr(s, i, 2) AS gram FROM k, range(1, 300) t(i) WHERE i <= length(s) - 1),
-g3 AS (SELECT key, substr(s, i, 3) AS gram FROM k, range(1, 300) t(i) WHERE i <= length(s) - 2),
-g1 AS (SELECT key, substr(s, i, 1) AS gram FROM k, range(1, 300) t(i) WHERE i <= length(s) AND length(s) < 2),
+g2 AS (SELECT key, substr(s, i, 2) AS gram FROM k, range(1, (SELECT max(length(s)) + 1 FROM k)) t(i) WHERE i <= length(s) - 1),
+g3 AS (SELECT key, substr(s, i, 3) AS gram FROM k, range(1, (SELECT max(length(s)) + 1 FROM k)) t(i) WHERE i <= length(s) - 2),
+g1 AS (SELECT key, substr(s, i, 1) AS gram FROM k, range(1, (SELECT max(length(s)) + 1 FROM k)) t(i) WHERE i <= length(s) AND length(s) < 2),
 g AS (SELECT * FROM g2 UNION ALL SELECT * FROM g3 UNION ALL SELECT * FROM g1),
 c AS (SELECT key, CAST({m} AS INTEGER) AS bucket, count(*) AS c FROM g GROUP BY ALL)
 SELECT key, bucket, round(c / sum(c) OVER (PARTITION BY key), 9) + 0.0 AS weight FROM c"""

@@ -8,7 +8,7 @@ from .. import oracle_sql as S
 from ..constants import CLASS_IDS
 from ..operators import clean, split
 from ..operators.suffix import with_registered_domain
-from ..sources.tables import URLS_SQL, url_table
+from ..sources.tables import DIRTY_SQL, URLS_SQL, dirty_url_table, url_table
 from . import query, rounded
 
 _COIN_SQL = "substr(md5('42' || {u}), 1, 1) >= '8'"
@@ -49,10 +49,10 @@ _MAP_SQL = " ".join(f"WHEN '{k}' THEN {v}" for k, v in CLASS_IDS.items())
 
 @query("clean_encode",
        f"SELECT page_id, url, lower(trim(type)) AS type, CAST(CASE lower(trim(type)) {_MAP_SQL} END AS INTEGER) "
-       f"AS target FROM ({URLS_SQL}) WHERE url IS NOT NULL AND type IS NOT NULL "
+       f"AS target FROM ({DIRTY_SQL}) WHERE url IS NOT NULL AND type IS NOT NULL "
        f"AND regexp_matches(url, '\\S') AND lower(trim(type)) IN ('benign','defacement','phishing','malware')")
 def clean_encode(spark, sf_dir):
-    return clean.encode_target(clean.validate_and_clean(url_table(spark, sf_dir)))
+    return clean.encode_target(clean.validate_and_clean(dirty_url_table(spark, sf_dir)))
 
 
 @query("suffix_domain",
@@ -86,10 +86,10 @@ _LI_SRC = ("SELECT l_orderkey, l_linenumber, l_returnflag, "
   FROM (SELECT *, rank() OVER (PARTITION BY l_returnflag ORDER BY md5('42' || k), k) AS rk,
                count(*) OVER (PARTITION BY l_returnflag) AS n FROM (""" + _LI_SRC + "))")
 def strat_split_lineitem(spark, sf_dir):
-    """P1 at table scale (70/30 per return flag); the split is the lineitem
-    stage table that the reputation queries read as well."""
-    from ..plans.prepare import lineitem_labelled
-    return lineitem_labelled(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_returnflag", "split")
+    """P1 at table scale (70/30 per return flag): rows are labelled in place."""
+    from ..plans.prepare import lineitem_rows
+    li = lineitem_rows(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_returnflag", "row_key")
+    return split.stratified_split(li, "l_returnflag", "row_key", nested=False).drop("row_key")
 
 
 @query("split_sizes",

@@ -5,9 +5,9 @@ CLASSES = ["benign", "defacement", "phishing", "malware"]
 CLASS_IDS = {name: i for i, name in enumerate(CLASSES)}
 
 # --- fixed values: lexical feature patterns ---------------------------------
-SUSPICIOUS_KEYWORDS = ["login", "verify", "update", "secure", "bank", "account",
-                       "confirm", "free", "bonus", "admin", "webscr", "paypal",
-                       "signin"]
+KEYWORD_PATTERN = r"(?i)(login|verify|update|secure|bank|account|confirm|free|bonus|admin|webscr|paypal|signin)"
+CONSONANT_PATTERN = "[bcdfghjklmnpqrstvwxyzBCDFGHJKLMNPQRSTVWXYZ]"
+SPECIAL_PATTERN = r"[^a-zA-Z0-9.\-/:\?]"
 SHORTENER_PATTERN = r"(bit\.ly|goo\.gl|t\.co|ow\.ly|is\.gd|tinyurl|tr\.im)"
 ARCHIVE_PATTERN = r"(?i)(\.exe|\.zip|\.rar|\.tar|\.gz|\.7z)"
 SUSPICIOUS_TLD_PATTERN = r"(?i)(\.top|\.xyz|\.club|\.site|\.online|\.pro|\.pw)"
@@ -39,9 +39,8 @@ VAL_FRACTION = 0.15
 ENTROPY_LOW = 3.5
 ENTROPY_HIGH = 4.5
 DISPLAY_WIDTH = 35
-TOPOLOGY_RISK = {"malicious": 0.95, "benign": 0.05}
 
-# Feature order; the single source of truth for every model and report.
+# --- fixed values: feature names in order; the single source of truth for every model and report
 FEATURE_COLS = [
     "url_length", "domain_length", "path_length", "subdomain_count", "num_dots",
     "num_digits", "num_hyphens", "num_special_chars", "https_flag", "contains_ip",

@@ -11,14 +11,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import (ARCHIVE_PATTERN, DISPLAY_WIDTH, ENTROPY_HIGH,
-                         ENTROPY_LOW, FEATURE_COLS, SHORTENER_PATTERN,
-                         SUSPICIOUS_KEYWORDS, SUSPICIOUS_TLD_PATTERN)
+from ..constants import (ARCHIVE_PATTERN, CONSONANT_PATTERN, DISPLAY_WIDTH, ENTROPY_HIGH,
+                         ENTROPY_LOW, FEATURE_COLS, KEYWORD_PATTERN, SHORTENER_PATTERN,
+                         SPECIAL_PATTERN, SUSPICIOUS_TLD_PATTERN)
 
 # fixed values: host and path patterns of the lexical features
 HOST_PATTERN = r"^(?:https?://)?([^/:\?]+)"
 PATH_PATTERN = r"^(?:https?://)?[^/:\?]+(/[^\?]*)"
-KEYWORD_PATTERN = "(?i)(" + "|".join(SUSPICIOUS_KEYWORDS) + ")"
 IPV4_PATTERN = r"(?U)\b(?:\d{1,3}\.){3}\d{1,3}\b"
 TOKEN_SEPARATOR = r"[^\p{L}\p{N}_]+"
 
@@ -59,14 +58,15 @@ def shannon_entropy(c) -> Column:
     return F.when(F.coalesce(n, F.lit(0)) == 0, F.lit(0.0)).otherwise(ent)
 
 
-def _entropy_batch(texts):
-    """Shannon entropies of a batch of strings, fully vectorised: every
-    (row, code point) pair is counted by one numpy unique over the batch."""
+def _char_stats(texts):
+    """Shannon entropy and number of distinct characters of a batch of strings,
+    fully vectorised: every (row, code point) pair is counted by one numpy
+    unique over the batch."""
     import numpy as np
     import pandas as pd
     enc = [t.encode("utf-32-le") if isinstance(t, str) else b"" for t in texts]
     lens = np.fromiter((len(e) // 4 for e in enc), dtype=np.int64, count=len(enc))
-    out = np.zeros(len(enc))
+    out, distinct = np.zeros(len(enc)), np.zeros(len(enc), dtype=np.int64)
     if lens.sum():
         cp = np.frombuffer(b"".join(enc), dtype=np.uint32).astype(np.uint64)
         seg = np.repeat(np.arange(len(enc), dtype=np.uint64), lens)
@@ -74,19 +74,24 @@ def _entropy_batch(texts):
         row = (keys >> np.uint64(32)).astype(np.int64)
         prob = counts / lens[row]
         out = np.bincount(row, weights=-prob * np.log2(prob), minlength=len(enc))
-    return pd.Series(out + 0.0)
+        distinct = np.bincount(row, minlength=len(enc))
+    return pd.DataFrame({"entropy": out + 0.0, "distinct": distinct})
 
 
-def shannon_entropy_long(c) -> Column:
-    """Entropy for long texts (documents).  The built-in form above rescans
-    the string once per distinct character, which is fine for URLs but costs
-    O(length x alphabet) on whole documents; this Arrow-batched pandas UDF
-    counts code points with one vectorised numpy pass per batch."""
+def char_stats_long(c) -> Column:
+    """struct(entropy, distinct) of long texts (documents).  The built-in form
+    above rescans the string once per distinct character, which is fine for URLs
+    but costs O(length x alphabet) on whole documents; this Arrow-batched pandas
+    UDF counts code points with one vectorised numpy pass per batch."""
     from pyspark.sql.functions import pandas_udf
-    fn = pandas_udf(_entropy_batch, "double")
+    fn = pandas_udf(_char_stats, "entropy double, distinct long")
     return fn(_c(c))
 
 
+def shannon_entropy_long(c) -> Column:
+    return char_stats_long(c)["entropy"]
+
+
 def unique_char_count(c) -> Column:
     c = _c(c)
     return F.when(F.length(c) == 0, F.lit(0)).otherwise(
@@ -120,17 +125,18 @@ def _ratio(num: Column, den: Column) -> Column:
     return F.coalesce(num / F.when(den != 0, den), F.lit(0.0)).cast("double")
 
 
-def feature_columns(url_col: str = "url", long_text: bool = False) -> list[Column]:
-    """The 40 lexical features of ``url_col`` in FEATURE_COLS order.
-    ``long_text`` switches the two entropies to the vectorised long-text form."""
+def feature_columns(url_col: str = "url", stats: tuple[str, str] | None = None) -> list[Column]:
+    """The 40 lexical features of ``url_col`` in FEATURE_COLS order.  For long
+    texts ``stats`` names two columns with ``char_stats_long`` of the text and of
+    its lexical host; entropies and distinct characters are read from them."""
     u = F.col(url_col)
     host = lexical_host(u)
     path = lexical_path(u)
     n = F.length(u)
     num_digits = count_matches(u, r"\p{Nd}")
-    num_special = count_matches(u, r"[^a-zA-Z0-9.\-/:\?]")
+    num_special = count_matches(u, SPECIAL_PATTERN)
     vowels = count_matches(u, "[aeiouAEIOU]")
-    consonants = count_matches(u, "[bcdfghjklmnpqrstvwxyzBCDFGHJKLMNPQRSTVWXYZ]")
+    consonants = count_matches(u, CONSONANT_PATTERN)
     letters = count_matches(u, "[a-zA-Z]")
     sub_count = count_matches(host, r"\.")
     big = "bigint"
@@ -158,9 +164,9 @@ def feature_columns(url_col: str = "url", long_text: bool = False) -> list[Colum
         "consonant_count": consonants.cast(big),
         "letter_count": letters.cast(big),
         "has_port": u.rlike(r":\p{Nd}+").cast(big),
-        "entropy": (shannon_entropy_long if long_text else shannon_entropy)(u),
-        "domain_entropy": (shannon_entropy_long if long_text else shannon_entropy)(host),
-        "unique_char_ratio": _ratio(unique_char_count(u), n),
+        "entropy": F.col(stats[0])["entropy"] if stats else shannon_entropy(u),
+        "domain_entropy": F.col(stats[1])["entropy"] if stats else shannon_entropy(host),
+        "unique_char_ratio": _ratio(F.col(stats[0])["distinct"] if stats else unique_char_count(u), n),
         "digit_ratio": _ratio(num_digits, n),
         "special_char_ratio": _ratio(num_special, n),
         "query_param_count": count_matches(u, "[&?]").cast(big),

@@ -90,16 +90,6 @@ def log_loss(df: DataFrame, p: str, y: str, group_cols=()) -> DataFrame:
         F.avg((pred == F.col(y)).cast("double")).alias("accuracy"))
 
 
-def class_set(labels: DataFrame, limit: int = 10000) -> DataFrame:
-    """Distinct class labels, checked to be at most ``limit`` before the
-    caller broadcasts them (one-vs-rest multiplies rows by the class count)."""
-    d = labels.distinct()
-    n = d.limit(limit + 1).count()
-    if n > limit:
-        raise ValueError(f"more than {limit} classes: one-vs-rest is not meaningful")
-    return d
-
-
 def one_vs_rest(df: DataFrame, p: str, y: str, k: int, group_cols=()) -> DataFrame:
     """E5: rows ``(class, score, is_pos)`` for each class of a probability vector."""
     g = [F.col(c) for c in group_cols]
@@ -148,6 +138,8 @@ def value_bucket(scored: DataFrame, buckets: int = 1024):
     from pyspark.ml.feature import Bucketizer
     probs = [i / buckets for i in range(1, buckets)]
     bounds = sorted(set(scored.approxQuantile("score", probs, 1.0 / (4 * buckets))))
+    if not bounds:  # no score at all
+        return lambda df: df.withColumn("_bk", F.lit(0))
     splits = [float("-inf")] + [float(b) for b in bounds] + [float("inf")]
 
     def apply(df: DataFrame) -> DataFrame:
@@ -203,6 +195,86 @@ def auc(scored: DataFrame, group: str = "cls", bucket=None) -> DataFrame:
         F.first("P").alias("n_pos"), F.first("N").alias("n_neg"))
 
 
+def pooled_scores(df: DataFrame, class_col: str, score_col: str) -> DataFrame:
+    """Distinct scores of one pool of rows, whatever the number of classes:
+    ``score, n, classes`` (array of class and count), ``_pid`` (ranges of
+    falling score) and ``n_above``, the rows with a larger score.
+
+    Rows are counted per (score, class) before anything else; distinct scores
+    are range-partitioned and ranked by a small table of partition sums."""
+    from ..session import materialize
+    counts = (df.select(F.col(class_col).alias("cls"), F.col(score_col).alias("score"))
+              .filter("score IS NOT NULL AND cls IS NOT NULL").groupBy("score", "cls").agg(F.count(F.lit(1)).alias("c")))
+    pool = counts.groupBy("score").agg(F.sum("c").alias("n"), F.sort_array(F.collect_list(F.struct("cls", "c"))).alias("classes"))
+    pool = materialize(pool.repartitionByRange(F.col("score").desc()).withColumn("_pid", F.spark_partition_id()), "score_pool")
+    sums = pool.groupBy("_pid").agg(F.sum("n").alias("_n"))  # one row a partition
+    above = sums.select("_pid", F.coalesce(F.sum("_n").over(
+        Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_above"))
+    w = Window.partitionBy("_pid").orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    return (pool.join(F.broadcast(above), "_pid")
+            .withColumn("n_above", F.col("_above") + F.coalesce(F.sum("n").over(w), F.lit(0))).drop("_above"))
+
+
+def auc_by_class(df: DataFrame, class_col: str, score_col: str, out: str = "cls") -> DataFrame:
+    """E7 for one score and many classes: AUC of the score for each class
+    against the rest, by the rank sum over the pooled scores (ties count one
+    half).  Every row is counted once; nothing is multiplied by the classes."""
+    pool = pooled_scores(df, class_col, score_col)
+    # rows above a row of this score, its ties counted half
+    e = pool.select((F.col("n_above") + F.col("n") / 2.0).alias("above"), F.explode("classes").alias("k"))
+    r = e.groupBy(F.col("k.cls").alias(out)).agg(F.sum(F.col("k.c") * F.col("above")).alias("_s"),
+                                                 F.sum("k.c").alias("n_pos"))
+    total = r.agg(F.sum("n_pos").alias("_t"))
+    r = r.crossJoin(F.broadcast(total)).withColumn("n_neg", F.col("_t") - F.col("n_pos"))  # one row
+    # of the rows above, those of the class itself add up to n_pos^2 / 2
+    above_neg = F.col("_s") - F.col("n_pos") * F.col("n_pos") / 2.0
+    return r.select(out, (1.0 - F.try_divide(above_neg, F.col("n_pos") * F.col("n_neg"))).alias("auc"), "n_pos", "n_neg")
+
+
+def roc_by_class(df: DataFrame, class_col: str, score_col: str, out: str = "cls") -> DataFrame:
+    """E6 for one score and many classes: the points ``roc_points`` gives, from
+    one pool of distinct scores.
+
+    A step that adds the same positives and negatives as the next is dropped, so
+    between two of its own scores a class keeps points only where the pool's
+    counts change: a score is paired with the classes it or the next score
+    holds, and with all classes only at such a change and at both ends."""
+    pool = pooled_scores(df, class_col, score_col)
+    none = F.array().cast(pool.schema["classes"].dataType)
+    w = Window.partitionBy("_pid").orderBy(F.col("score").desc())
+    tops = pool.groupBy("_pid").agg(F.max_by(F.struct("n", "classes"), "score").alias("_top"))
+    nxt = tops.select("_pid", F.lead("_top").over(Window.orderBy("_pid")).alias("_next"))  # one row a partition
+    pool = (pool.withColumn("_lead", F.lead(F.struct("n", "classes")).over(w)).join(F.broadcast(nxt), "_pid")
+            .withColumn("_lead", F.coalesce("_lead", "_next")).drop("_next"))
+    sizes = pool.select(F.explode("classes").alias("k")).groupBy(F.col("k.cls").alias("cls")).agg(F.sum("k.c").alias("P"))
+    every = sizes.agg(F.collect_list("cls").alias("_all"), F.sum("P").alias("_t"))  # the result has a row for each
+    names = lambda c: F.transform(c, lambda k: k["cls"])
+    ends = (F.col("n_above") == 0) | F.col("_lead").isNull() | (F.col("_lead.n") != F.col("n"))
+    near = F.array_union(names(F.col("classes")), names(F.coalesce(F.col("_lead.classes"), none)))
+    rows = pool.crossJoin(F.broadcast(every)).withColumn("cls", F.explode(F.when(ends, F.col("_all")).otherwise(near)))
+    count = lambda c: F.coalesce(F.get(F.filter(c, lambda k: k["cls"] == F.col("cls")), F.lit(0))["c"], F.lit(0))
+    rows = rows.select("cls", "_pid", "score", "n", "n_above", "_t", count(F.col("classes")).alias("pos"),
+                       F.col("_lead.n").alias("n_next"), count(F.col("_lead.classes")).alias("pos_next"))
+    per = pool.select("_pid", F.explode("classes").alias("k")).groupBy(
+        F.col("k.cls").alias("cls"), "_pid").agg(F.sum("k.c").alias("_in"))
+    # positives of each class in the partitions above: one row a class and partition
+    grid = sizes.select("cls", "P").join(F.broadcast(tops.select("_pid")), how="cross").join(per, ["cls", "_pid"], "left")
+    grid = grid.select("cls", "_pid", "P", F.coalesce(F.sum("_in").over(Window.partitionBy("cls").orderBy("_pid").rowsBetween(
+        Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    run = Window.partitionBy("cls", "_pid").orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.join(grid, ["cls", "_pid"]).withColumn("tp", F.col("_before") + F.sum("pos").over(run))
+    step = (F.col("pos") != F.col("pos_next")) | ((F.col("n") - F.col("pos")) != (F.col("n_next") - F.col("pos_next")))
+    kept = rows.filter((F.col("n_above") == 0) | F.col("n_next").isNull() | step)
+    points = kept.select(F.col("cls").alias(out), F.col("score").alias("threshold"),
+                         F.try_divide(F.col("tp"), F.col("P")).alias("tpr"),
+                         F.try_divide(F.col("n_above") + F.col("n") - F.col("tp"), F.col("_t") - F.col("P")).alias("fpr"))
+    total = sizes.agg(F.sum("P").alias("_t"))
+    origin = sizes.crossJoin(F.broadcast(total)).select(
+        F.col("cls").alias(out), F.lit(float("inf")).alias("threshold"), F.try_divide(F.lit(0.0), F.col("P")).alias("tpr"),
+        F.try_divide(F.lit(0.0), F.col("_t") - F.col("P")).alias("fpr"))
+    return origin.unionByName(points)
+
+
 def improvement(hyb: Column, lex: Column) -> Column:
     """Relative gain in percent, 0 when the base is 0."""
     return F.when(lex != 0, (hyb - lex) / lex * 100.0).otherwise(0.0)

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from ..sources.suffix_rules import suffix_rules
 
 # fixed value: a host that is a dotted quad is its own domain
-IPV4_HOST = r"^\d{1,3}(\.\d{1,3}){3}$"
+_OCTET = "(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+IPV4_HOST = rf"^{_OCTET}(\.{_OCTET}){{3}}$"
 IPV6_HOST = r"^\[[0-9A-Fa-f:.]*:[0-9A-Fa-f:.]*\]$"
 SCHEME = r"^(?:[A-Za-z0-9+\-.]+:)?//"
 # fixed value: label separators other than '.', mapped to '.'
@@ -31,6 +32,7 @@ def netloc_host(c) -> Column:
     v6 = F.regexp_extract(no_user, r"^(\[[^\]]*\])", 1)  # bracketed IPv6 keeps its colons
     # ideographic and full-width full stops separate labels too
     v4 = F.translate(F.regexp_extract(no_user, r"^([^:]*)", 1), IDEOGRAPHIC_DOTS, "...")
+    v4 = F.regexp_replace(v4, r"\.+$", "")  # a fully qualified host ends in a dot
     return F.when(v6 != "", v6).otherwise(v4)
 
 

@@ -6,8 +6,9 @@ Only string templates live here; the Spark side never executes them.
 from __future__ import annotations
 
 from .constants import FEATURE_COLS
-from .functions.lexical import (HOST_PATTERN, KEYWORD_PATTERN, PATH_PATTERN)
-from .constants import ARCHIVE_PATTERN, SHORTENER_PATTERN, SUSPICIOUS_TLD_PATTERN
+from .constants import (ARCHIVE_PATTERN, CONSONANT_PATTERN, KEYWORD_PATTERN, SHORTENER_PATTERN,
+                        SPECIAL_PATTERN, SUSPICIOUS_TLD_PATTERN)
+from .functions.lexical import HOST_PATTERN, PATH_PATTERN
 
 
 def q(s: str) -> str:
@@ -33,9 +34,9 @@ def features(u: str = "url", host: str = "host", path: str = "path") -> dict[str
     """SQL of the 40 features given column names of url, host and path."""
     n = f"length({u})"
     digits = cnt(u, r"\p{Nd}")
-    special = cnt(u, r"[^a-zA-Z0-9.\-/:\?]")
+    special = cnt(u, SPECIAL_PATTERN)
     vowels = cnt(u, "[aeiouAEIOU]")
-    cons = cnt(u, "[bcdfghjklmnpqrstvwxyzBCDFGHJKLMNPQRSTVWXYZ]")
+    cons = cnt(u, CONSONANT_PATTERN)
     letters = cnt(u, "[a-zA-Z]")
     sub = cnt(host, r"\.")
     b = lambda e: f"CAST({e} AS BIGINT)"
@@ -113,7 +114,7 @@ def host_sql(u: str = "url") -> str:
     auth = f"regexp_extract({rest}, '^([^/?#]*)', 1)"
     nouser = f"list_last(string_split({auth}, '@'))"
     v6 = f"regexp_extract({nouser}, '^(\\[[^\\]]*\\])', 1)"
-    v4 = f"translate(regexp_extract({nouser}, '^([^:]*)', 1), '\u3002\uff0e\uff61', '...')"
+    v4 = f"rtrim(translate(regexp_extract({nouser}, '^([^:]*)', 1), '\u3002\uff0e\uff61', '...'), '.')"
     return f"(CASE WHEN {v6} <> '' THEN {v6} ELSE {v4} END)"
 
 
@@ -138,10 +139,10 @@ ck AS (SELECT rk, k, c AS key, 'n' AS mode FROM cd
 mt AS (SELECT ck.rk, max(CASE WHEN mode IN ('n', 'w') THEN k END) AS mlen,
               max(CASE WHEN mode = 'e' THEN k - 1 END) AS elen
        FROM ck JOIN rl ON rl.rule = ck.key GROUP BY ck.rk),
-sl AS (SELECT lb.*, CASE WHEN regexp_matches(host, '^\\d{{1,3}}(\\.\\d{{1,3}}){{3}}$')
+sl AS (SELECT lb.*, CASE WHEN (regexp_matches(host, '^[0-9]+(\\.[0-9]+){{3}}$') AND NOT regexp_matches(host, '(^|\\.)(0[0-9]|[0-9]{{4}}|[3-9][0-9]{{2}}|2[6-9][0-9]|25[6-9])'))
                              OR regexp_matches(host, '^\\[[0-9A-Fa-f:.]*:[0-9A-Fa-f:.]*\\]$') THEN 0
                         ELSE coalesce(mt.elen, mt.mlen, 0) END AS slen,
-              regexp_matches(host, '^\\d{{1,3}}(\\.\\d{{1,3}}){{3}}$')
+              (regexp_matches(host, '^[0-9]+(\\.[0-9]+){{3}}$') AND NOT regexp_matches(host, '(^|\\.)(0[0-9]|[0-9]{{4}}|[3-9][0-9]{{2}}|2[6-9][0-9]|25[6-9])'))
                 OR regexp_matches(host, '^\\[[0-9A-Fa-f:.]*:[0-9A-Fa-f:.]*\\]$') AS is_ip, len(olabs) AS n
        FROM lb LEFT JOIN mt ON lb.rk = mt.rk),
 sx AS (SELECT rk,

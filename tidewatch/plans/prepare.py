@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import clean, split
 from ..operators.suffix import netloc_host, with_registered_domain
 from ..session import input_signature, stage_table
-from ..sources.tables import read_table, spread_small_input, url_table
+from ..sources.tables import read_table, url_table
 
 # fixed value: domain key of the fallback runs = host plus first path segment
 PATH_KEY = r"^https?://([^/]+/[^/?#]+)"
@@ -35,12 +35,15 @@ def lineitem_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stage_table(spark, "lineitem_labelled", key, lambda: _lineitem_labelled(spark, sf_dir), ["split"])
 
 
-def _lineitem_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = spread_small_input(read_table(spark, sf_dir, "lineitem")).select(
+def lineitem_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag",
         F.concat_ws("-", F.col("l_orderkey").cast("string"),
                     F.col("l_linenumber").cast("string")).alias("row_key"))
+
+
+def _lineitem_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     sup = read_table(spark, sf_dir, "supplier").select(
         F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey"))
-    li = li.join(sup, "l_suppkey", "left")
+    li = lineitem_rows(spark, sf_dir).join(sup, "l_suppkey", "left")
     return split.stratified_split(li, "l_returnflag", "row_key", nested=False)

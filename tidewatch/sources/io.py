@@ -15,15 +15,15 @@ PANDAS_NA_VALUES = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN"
                     "nan", "null"]
 
 
-def read_raw_csv(spark: SparkSession, path: str, schema: str = RAW_SCHEMA) -> DataFrame:
+def read_raw_csv(spark: SparkSession, path: str, schema: str = RAW_SCHEMA, multi_line: bool = False) -> DataFrame:
     """Raw ``(url, type)`` CSV with an explicit schema.
 
-    Quoted fields may span lines; values a pandas reader would read as
-    missing become NULL.  (A multi-line CSV file is read by one task per
-    file: convert large inputs to Parquet once, then use ``read_table``.)
+    Values a pandas reader would read as missing become NULL.  A file is split
+    among tasks; ``multi_line`` is for files whose quoted fields span lines,
+    which one task a file has to read.
     """
     df = (spark.read.schema(schema)
-          .option("header", True).option("multiLine", True)
+          .option("header", True).option("multiLine", multi_line)
           .option("quote", '"').option("escape", '"').csv(path))
     na = F.array(*[F.lit(v) for v in PANDAS_NA_VALUES])
     return df.select(*[F.when(F.array_contains(na, F.col(c)), F.lit(None)).otherwise(F.col(c)).alias(c)
@@ -31,8 +31,9 @@ def read_raw_csv(spark: SparkSession, path: str, schema: str = RAW_SCHEMA) -> Da
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """CSV with header (quotes escaped by doubling)."""
-    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    """CSV with header (quotes escaped by doubling, blanks kept)."""
+    (df.write.mode("overwrite").option("header", True).option("escape", '"')
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
 def write_parquet(df: DataFrame, path: str, partition_by=None) -> None:

@@ -50,7 +50,7 @@ def test_oracle_agreement(spark, duck, name):
 
 
 def test_stream_equals_batch(spark):
-    stream = {r.page_id: r for r in E.queries()["score_stream"](spark, SF001).collect()}
+    stream = {r.page_id: r for r in E.queries()["score_stream_model"](spark, SF001).collect()}
     from tidewatch.catalog.model_q import engines
     from tidewatch.plans.scoring import score
     from tidewatch.sources.tables import url_table

@@ -9,6 +9,7 @@ from ..constants import FEATURE_COLS
 from ..functions.lexical import feature_columns
 from ..operators import graph as GR
 from ..plans.prepare import labelled_urls
+from ..session import materialize
 from . import query, rounded
 from .reputation_q import LABELLED_SQL
 
@@ -93,13 +94,72 @@ def cold_start(spark, sf_dir):
     URL into their mean, unseen keys take the global profile."""
     lf = _lf(spark, sf_dir)
     train = lf.filter(F.col("split") == "train")
-    prof = GR.domain_profile(train, _SHOW, domain="path_key")
+    prof = materialize(GR.domain_profile(train, _SHOW, domain="path_key"), "cold_profile")
     glob = GR.global_profile(prof, train, _SHOW, domain="path_key")
     q = lf.filter(F.col("split") != "train").select("page_id", "path_key", *_SHOW)
     cs = GR.cold_start(q, prof, glob, _SHOW, domain="path_key")
     return rounded(cs.select("page_id", "domain_unseen", *[f"cs_{c}" for c in _SHOW]), 6)
 
 
+_GS_PROF = ("SELECT registered_domain, tld, split, " + ", ".join(FEATURE_COLS) + f" FROM ({_LF_SQL})")
+_DOM_T = ("SELECT registered_domain, count(*) AS n, " + ", ".join(f"sum({c}) AS s_{c}, avg({c}) AS a_{c}" for c in FEATURE_COLS)
+          + f" FROM ({_GS_PROF}) WHERE split = 'train' GROUP BY registered_domain")
+_TLD_T = ("SELECT tld, " + ", ".join(f"avg(a_{c}) AS t_{c}" for c in FEATURE_COLS)
+          + f" FROM (SELECT DISTINCT registered_domain, tld FROM ({_GS_PROF}) WHERE split = 'train') e JOIN ({_DOM_T}) d USING (registered_domain) GROUP BY tld")
+_GLOB_T = "SELECT " + ", ".join(f"avg(a_{c}) AS g_{c}" for c in FEATURE_COLS) + f" FROM ({_DOM_T})"
+
+
+@query("cold_start_serving", "SELECT q.page_id, d.n IS NULL AS domain_unseen, t.tld IS NULL AS suffix_unseen, " + ", ".join(
+    _r6(f"CASE WHEN d.n IS NULL THEN g.g_{c} ELSE (d.s_{c} + q.{c}) / (d.n + 1) END") + f" AS dom_{c}" for c in FEATURE_COLS)
+    + ", " + ", ".join(_r6(f"coalesce(t.t_{c}, g.g_{c})") + f" AS tld_{c}" for c in FEATURE_COLS)
+    + f" FROM ({_LF_SQL}) q LEFT JOIN ({_DOM_T}) d USING (registered_domain) LEFT JOIN ({_TLD_T}) t ON q.tld = t.tld "
+    f"CROSS JOIN ({_GLOB_T}) g WHERE q.split <> 'train'")
+def cold_start_serving(spark, sf_dir):
+    """G6 as served: registered domain and suffix of val/test URLs against the
+    train graph; an unseen domain or suffix takes the global profile."""
+    from ..operators.skew import skew_safe_left_join
+    lf = _lf(spark, sf_dir)
+    train = lf.filter(F.col("split") == "train")
+    prof = materialize(GR.domain_profile(train, FEATURE_COLS), "cold_domains")
+    glob = materialize(GR.global_profile(prof, train, FEATURE_COLS), "cold_global")
+    tlds = GR.tld_profile(prof, train, FEATURE_COLS)
+    q = lf.filter(F.col("split") != "train").select("page_id", "registered_domain", "tld", *FEATURE_COLS)
+    cs = skew_safe_left_join(GR.cold_start(q, prof, glob, FEATURE_COLS), tlds, "tld", "tld_n", F.xxhash64("page_id"))
+    cs = cs.crossJoin(F.broadcast(glob))  # one row
+    return rounded(cs.select("page_id", "domain_unseen", F.col("tld_n").isNull().alias("suffix_unseen"),
+                             *[F.col(f"cs_{c}").alias(f"dom_{c}") for c in FEATURE_COLS],
+                             *[F.coalesce(f"tld_{c}", f"glob_{c}").alias(f"tld_{c}") for c in FEATURE_COLS]), 6)
+
+
+# weights of an eight-output layer by a rule, for both engines
+_OUT, _IN = 8, len(FEATURE_COLS)
+_WL = [[((i * 7 + j * 3) % 11 - 5) / 1000 for j in range(_IN)] for i in range(_OUT)]
+_WR = [[((i * 5 + j * 2) % 7 - 3) / 1000 for j in range(_IN)] for i in range(_OUT)]
+_B = [(i % 3 - 1) / 10 for i in range(_OUT)]
+
+
+def _layer_sql(i: int) -> str:
+    terms = [f"CAST({_WL[i][j]!r} AS DOUBLE) * p.dom_{c} + CAST({_WR[i][j]!r} AS DOUBLE) * l.{c}" for j, c in enumerate(FEATURE_COLS)]
+    return _r6(f"greatest({' + '.join(terms)} + CAST({_B[i]!r} AS DOUBLE), 0.0)") + f" AS h_{i}"
+
+
+@query("graph_layer", "SELECT l.page_id, " + ", ".join(_layer_sql(i) for i in range(_OUT))
+       + f" FROM ({_LF_SQL}) l JOIN ({_PROF_SQL}) p USING (registered_domain)")
+def graph_layer(spark, sf_dir):
+    """One layer relu(W_l * mean + b + W_r * x) over every URL, mean over its
+    domain, weights from a one-row table."""
+    from ..operators.skew import skew_safe_left_join
+    lf = _lf(spark, sf_dir)
+    prof = materialize(GR.domain_profile(lf, FEATURE_COLS), "layer_domains")
+    prof = prof.select("registered_domain", "dom_n", F.array(*[f"dom_{c}" for c in FEATURE_COLS]).alias("mean"))
+    weights = spark.createDataFrame([(_WL, _WR, _B)], "w_mean array<array<double>>, w_self array<array<double>>, bias array<double>")
+    x = lf.select("page_id", "registered_domain", F.array(*FEATURE_COLS).alias("x"))
+    j = skew_safe_left_join(x, prof, "registered_domain", "dom_n", F.xxhash64("page_id")).crossJoin(F.broadcast(weights))
+    h = GR.linear_layer("mean", "x", "w_mean", "w_self", "bias")
+    return rounded(j.select("page_id", h.alias("h")).select(
+        "page_id", *[F.element_at("h", i + 1).alias(f"h_{i}") for i in range(_OUT)]), 6)
+
+
 @query("two_hop", f"""WITH l AS ({LABELLED_SQL}), q AS (SELECT page_id, registered_domain FROM l WHERE split = 'test'),
 d AS (SELECT DISTINCT registered_domain FROM q)
 SELECT DISTINCT node_type, node FROM (

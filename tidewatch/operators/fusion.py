@@ -19,6 +19,15 @@ def graph_prob_columns(df: DataFrame, k: int) -> list[str]:
     raise KeyError(f"Graph probability columns not found in dataset. Expected {cols}")
 
 
+def align_scores(df: DataFrame, scores: DataFrame, key: str) -> DataFrame:
+    """Rows of ``df`` with the score columns of another table, by ``key``
+    (unique in ``scores``), and ``has_scores``; a key of many rows stays spread."""
+    from .skew import skew_safe_left_join
+    s = scores.withColumn("has_scores", F.lit(True))
+    j = skew_safe_left_join(df, s, key, None, F.xxhash64(*[F.col(c) for c in df.columns]))
+    return j.withColumn("has_scores", F.coalesce("has_scores", F.lit(False)))
+
+
 def fused_prediction(df: DataFrame, p_lex: str, p_graph: str, alpha, out: str = "p_final") -> DataFrame:
     """F1 + G8: blend the lexical vector with the renormalised graph vector;
     ``pred`` is the argmax of the blend rounded to 9 digits (ties to first)."""

@@ -19,7 +19,7 @@ from ..functions.probs import prob_columns, prob_map
 from ..operators import graph as GR
 from ..operators import guard as G
 from ..operators import metrics as M
-from ..operators.fusion import align_scores, fused_prediction
+from ..operators.fusion import align_scores
 from ..plans import models as MD
 from ..plans.prepare import labelled_urls
 from ..plans.scores import scored_urls

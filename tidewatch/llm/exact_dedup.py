@@ -86,7 +86,8 @@ def mark_copies(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
         salt = F.pmod(F.monotonically_increasing_id(), F.col("pieces")).cast("int")
         pieces = (keyed.join(F.broadcast(hot), "k2").withColumn("salt", salt).drop("pieces")
                   .repartition("k2", "salt").withColumn("norm", norm))
-        part = staged(groups(pieces, ["k2", "salt"]), "hot-runs")
+        part = groups(pieces, ["k2", "salt"]).withColumn("norm", F.when(F.col("rank") == 1, F.col("norm")))
+        part = staged(part, "hot-runs")  # the text stays with one row a run
         reps = _runs(part.filter("rank = 1").select(
             "k2", "salt", F.col("run").alias("piece_run"), "norm", F.col(ic).alias("id"),
             "keep_id", "group_size"), ["k2"])

@@ -28,8 +28,9 @@ EXCERPT = 2048
 DICT_BYTES = 192 << 10
 BLOCK = 4096
 LEVEL = 6
-MARGIN = 0.005
+MARGIN = 0.002
 SHORT, TURNS = 1024, 8
+PAD = b" " * 256  # so that a short block is compressible at all and not stored as it is
 NO_LANGUAGE = "und"
 LETTER = r"\p{L}"
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -70,28 +71,37 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
     return {lang: b" ".join(parts)[-dict_bytes:] for lang, parts in sorted(content.items())}
 
 
-def _compressors(model: dict[str, bytes]) -> list:
+def _compressors(model: dict[str, bytes], fine: bool = False) -> list:
+    """One compressor a language; ``fine`` ones look for matches of three bytes on."""
     import zstandard as zstd
 
     made = []
     for content in model.values():
         d = zstd.ZstdCompressionDict(content, dict_type=zstd.DICT_TYPE_RAWCONTENT)
-        d.precompute_compress(level=LEVEL)
-        made.append(zstd.ZstdCompressor(level=LEVEL, dict_data=d, write_checksum=False,
-                                        write_content_size=False, write_dict_id=False))
+        if fine:
+            how = zstd.ZstdCompressionParameters(window_log=18, hash_log=17, chain_log=18, search_log=6, min_match=3,
+                                                 target_length=32, strategy=zstd.STRATEGY_BTLAZY2,
+                                                 write_content_size=0, write_dict_id=0)
+            d.precompute_compress(compression_params=how)
+            made.append(zstd.ZstdCompressor(compression_params=how, dict_data=d))
+        else:
+            d.precompute_compress(level=LEVEL)
+            made.append(zstd.ZstdCompressor(level=LEVEL, dict_data=d, write_checksum=False,
+                                            write_content_size=False, write_dict_id=False))
     return made
 
 
-def sizes(data: bytes, compressors: list) -> list[int]:
+def sizes(data: bytes, compressors: list, fine: list | None = None) -> list[int]:
     """Compressed bytes of the whole text, block by block, with each dictionary.
 
-    Texts below ``SHORT`` bytes are encoded in up to ``TURNS`` rotations of their words, so that
-    whole bytes do not hide a small margin.
+    Texts below ``SHORT`` bytes are encoded by the ``fine`` compressors in up to ``TURNS`` rotations
+    of their words, so that neither whole bytes nor storing hides a small margin.
     """
     if len(data) < SHORT:
         words = data.split(b" ")
         starts = sorted({len(words) * i // TURNS for i in range(TURNS)})
-        blocks = [b" ".join(words[i:] + words[:i]) for i in starts]
+        blocks = [PAD + b" ".join(words[i:] + words[:i]) + b" " for i in starts]
+        compressors = fine or compressors
     else:
         blocks = [data[i:i + BLOCK] for i in range(0, len(data), BLOCK)]
     return [sum(len(c.compress(b)) for b in blocks) for c in compressors]
@@ -110,7 +120,7 @@ def classify(docs: DataFrame, model: dict[str, bytes], text_col: str = "text", m
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs = list(shared.value)
-        compressors = _compressors(shared.value)
+        compressors, fine = _compressors(shared.value), _compressors(shared.value, fine=True)
         for batch in batches:
             preds, scores, rejected = [], [], []
             for text in batch.column(batch.num_columns - 1):
@@ -118,7 +128,7 @@ def classify(docs: DataFrame, model: dict[str, bytes], text_col: str = "text", m
                 if not data or not langs:
                     preds.append(NO_LANGUAGE), scores.append(0.0), rejected.append(True)
                     continue
-                n = sizes(data, compressors)
+                n = sizes(data, compressors, fine)
                 best = min(range(len(n)), key=n.__getitem__)
                 second = min((x for i, x in enumerate(n) if i != best), default=2 * n[best])
                 gap = 1.0 - n[best] / second

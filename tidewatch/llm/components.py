@@ -5,16 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import sized_join, staged
 
+_PAIR = 24  # bytes of a pointer
 
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of ``links`` (a, b): equal root if and only if connected.
 
-    Each round every node points to the neighbour (or itself) with the smallest hash of the round,
-    pointers are followed twice doubled, and links are rewritten to what their ends point to; links
-    inside one node vanish.  Hashed priorities keep pointer chains short, so the links shrink by a
-    constant factor a round whatever their shape.  Rounds are written to the shared folder.
+    Each round every node points to the neighbour (or itself) of the smallest rank, pointers are
+    followed twice doubled, and links are rewritten to what their ends point to; links inside one
+    node vanish.  Even rounds rank nodes by number, which ends stars around a smallest node at once;
+    odd rounds rank them by a hash, which keeps pointer chains short and so shrinks links of any
+    shape by a constant factor.  Rounds are written to the shared folder; pointers are broadcast
+    where their counted number is small and shuffled otherwise.
     """
     edges = staged(links.select("a", "b").filter("a <> b").distinct(), "links")
     root = staged(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
@@ -22,20 +25,24 @@ def components(links: DataFrame) -> DataFrame:
     turn = 0
     while edges.head(1):
         both = edges.union(edges.select("b", "a"))
-        rank = F.struct(F.xxhash64("b", F.lit(turn)).alias("h"), F.col("b").alias("to"))
-        best = both.groupBy("a").agg(F.min(rank).alias("best"))
-        own = F.struct(F.xxhash64("a", F.lit(turn)).alias("h"), F.col("a").alias("to"))
+
+        def rank(c):
+            return F.struct((F.xxhash64(c, F.lit(turn)) if turn % 2 else F.col(c)).alias("h"), F.col(c).alias("to"))
+
+        best = both.groupBy("a").agg(F.min(rank("b")).alias("best"))
+        own = rank("a")
         step = staged(best.select("a", F.least("best", own)["to"].alias("p")), f"pointers{turn}")
+        n = step.count()
         for _ in range(2):
             nxt = step.select(F.col("a").alias("p"), F.col("p").alias("q"))
-            step = step.join(nxt, "p").select("a", F.col("q").alias("p"))
+            step = sized_join(step, nxt, ["p"], n, _PAIR).select("a", F.col("q").alias("p"))
         step = staged(step, f"jumped{turn}")
         at = step.select(F.col("a").alias("b"), F.col("p").alias("q"))
-        edges = staged(edges.join(step, "a").join(at, "b")
-                       .select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
+        ends = sized_join(sized_join(edges, step, ["a"], n, _PAIR), at, ["b"], n, _PAIR)
+        edges = staged(ends.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
                        .filter("a <> b").distinct(), f"links{turn}")
         moved = step.select(F.col("a").alias("root"), "p")
-        root = staged(root.join(moved, "root", "left")
+        root = staged(sized_join(root, moved, ["root"], n, _PAIR, "left")
                       .select("node", F.coalesce("p", "root").alias("root")), f"roots{turn}")
         turn += 1
     return root

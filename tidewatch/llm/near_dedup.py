@@ -10,9 +10,10 @@ copies of any size enter as one row.  No bucket is expanded into its pairs:
 1. every class is compared with the first class of each of its buckets, best estimate first, and
    links are confirmed on the whole sets; components of these links are formed;
 2. only buckets that still hold several components are looked at again: classes compared with
-   further first classes, and classes outside a bucket's largest component with the others of the
-   bucket, each pair after a test of its signature estimate that is five deviations below the
-   threshold.  Pairs inside one component need no comparison, as only components are asked for.
+   further first classes (after a test of the signature estimate that is five deviations below the
+   threshold), and the strays outside a bucket's largest component with all rows of that group, set
+   against set, in blocks of bounded bytes that give out links only.  Pairs inside one component
+   need no comparison, as only components are asked for.
 
 Links are thus the exact ones among all pairs that share a band.  Sketches and bands travel instead
 of texts; texts of the compared classes are fetched by key.
@@ -27,11 +28,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged, text_or_empty
+from .common import shuffle_partitions, sized_join, spread_join, staged, text_or_empty
 from .components import components
 
 SHINGLE = 2
@@ -40,6 +42,7 @@ PERMUTATIONS = 100
 ROWS = 5
 BANDS = 2 * PERMUTATIONS // ROWS
 SURELY_LESS = 0.65  # estimates below are never at the threshold
+BLOCK_BYTES = 2 << 20
 _CHUNK = 1 << 15
 _M = np.uint64(0x9E3779B97F4A7C15)
 
@@ -155,18 +158,89 @@ def _linked(above: int, below: int):
     return run
 
 
-def _confirm(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, above: int, below: int) -> DataFrame:
+def _whole_sets(ids: DataFrame, reps: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(rid, shingles) of the classes ``ids``: their texts are found by key, one each."""
+    keys = staged(ids.join(reps.select("rid", "key"), "rid"), "near-keys")
+    texts = sized_join(docs, keys, ["key"], keys.count(), 64).select("rid", "text")
+    sets = texts.mapInArrow(_sets(k), "rid long, shingles binary")
+    return staged(sets.dropDuplicates(["rid"]), "near-sets")
+
+
+def _confirm(pairs: DataFrame, sets: DataFrame, above: int, below: int) -> DataFrame:
     """Links among ``pairs``, by the whole shingle sets of both texts."""
-    ends = pairs.select(F.col("a").alias("rid")).union(pairs.select("b")).distinct()
-    keys = ends.join(reps.select("rid", "key"), "rid")
-    texts = docs.join(keys, "key").dropDuplicates(["key"]).select("rid", "text")
-    sets = staged(texts.mapInArrow(_sets(k), "rid long, shingles binary"), "near-sets")
     left = sets.select(F.col("rid").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("rid").alias("b"), F.col("shingles").alias("y"))
     both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y")
     return staged(both.mapInArrow(_linked(above, below), "a long, b long"), "near-links")
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("rid")).union(pairs.select("b")).distinct()
+
+
+def _meet(above: int, below: int):
+    """Links of strays (left) with the rows of their group (right): one for each stray and component."""
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        groups = dict(list(right.groupby("top", sort=True)))
+        for top, strays in left.groupby("top", sort=True):
+            rows = groups.get(top)
+            if rows is None:
+                continue
+            sets = [np.frombuffer(x, np.uint64) for x in rows["shingles"]]
+            sizes = np.array([len(x) for x in sets])
+            tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+            order = np.argsort(tokens, kind="stable")
+            tokens, owner = tokens[order], owner[order]
+            rid, root = rows["rid"].to_numpy(), rows["root"].to_numpy()
+            for u, ru, shingles in zip(strays["rid"], strays["root"], strays["shingles"]):
+                x = np.frombuffer(shingles, np.uint64)
+                lo = np.searchsorted(tokens, x)
+                n = np.searchsorted(tokens, x, side="right") - lo
+                hits = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                both = np.bincount(owner[hits], minlength=len(sets))
+                fits = (below * both >= above * (len(x) + sizes - both)) & (root != ru)
+                at = np.flatnonzero(fits)
+                _, first = np.unique(root[at], return_index=True)
+                found.extend((u, v) for v in rid[at[first]])
+        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
+    return run
+
+
+def _strays(inner: DataFrame, sets: DataFrame, above: int, below: int) -> DataFrame:
+    """Links (a, b) between components that meet in a band of ``inner`` (band, rid, root).
+
+    The largest component of a band is its group; rows of other components are the group's strays.
+    Strays are held against all rows of their group in blocks of bounded bytes, each pair of blocks
+    once, and only links come out: no pair of rows is ever written.
+    """
+    spark = inner.sparkSession
+    top = (inner.groupBy("band", "root").count().groupBy("band")
+           .agg(F.max_by("root", F.struct("count", "root")).alias("top")))
+    rows = inner.join(top, "band").select("top", "rid", "root").distinct().join(sets, "rid")
+    rows = staged(rows.withColumn("stray", F.col("root") != F.col("top")), "near-groups")
+    size = F.octet_length("shingles")
+    volume = rows.groupBy("top").agg(F.sum(size).alias("all"), F.sum(F.when(F.col("stray"), size)).alias("strays"))
+    total = volume.agg(F.sum("all")).first()[0] or 0
+    buckets = max(shuffle_partitions(spark), int(total) // BLOCK_BYTES)
+    volume = volume.select("top", F.ceil(F.col("all") / BLOCK_BYTES).cast("int").alias("blocks"),
+                           F.ceil(F.col("strays") / BLOCK_BYTES).cast("int").alias("asks"))
+    rows = rows.join(volume, "top")
+    own = F.xxhash64("rid")
+    one = (F.col("blocks") <= 1) & (F.col("asks") <= 1)  # small groups share a bucket
+    bucket = F.when(one, F.pmod(F.xxhash64("top"), F.lit(buckets))).otherwise(F.col("top") + buckets).alias("bucket")
+    span = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    kept = ["top", "rid", "root", "shingles"]
+    asks = rows.filter("stray").select(bucket, F.pmod(own, "asks").cast("int").alias("ask"),
+                                       F.explode(span("blocks")).alias("block"), *kept)
+    held = rows.select(bucket, F.pmod(own, "blocks").cast("int").alias("block"),
+                       F.explode(span("asks")).alias("ask"), *kept)
+    asks, held = asks.toDF(*asks.columns), held.toDF(*held.columns)  # columns of their own
+    keys = ["bucket", "ask", "block"]
+    return staged(asks.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInPandas(_meet(above, below), "a long, b long"),
+                  "near-strays")
+
+
 def near_components(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = SHINGLE,
                     above: int = ABOVE, below: int = BELOW, permutations: int = PERMUTATIONS,
                     rows: int = ROWS) -> DataFrame:
@@ -183,44 +257,51 @@ def near_components(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     reps = staged(light.join(classes.select("rid"), "rid").select("rid", "key", "sketch", "bands"), "near-reps")
 
     banded = reps.select(F.explode("bands").alias("band"), "rid")
-    buckets = (banded.groupBy("band").agg(F.min("rid").alias("first"), F.max("rid").alias("last"))
+    buckets = (banded.groupBy("band").agg(F.min("rid").alias("first"), F.max("rid").alias("last"), F.count("*").alias("n"))
                .filter("first < last").drop("last"))
-    members = staged(banded.join(buckets, "band"), "near-members")
+    buckets = staged(buckets, "near-buckets")
+    members = staged(spread_join(banded, buckets, ["band"], "n", reps.count() * (2 * permutations // rows)).drop("n"),
+                     "near-members")
     star = members.filter("rid <> first").select(F.col("first").alias("a"), F.col("rid").alias("b")).distinct()
     star = staged(_estimate(star, reps), "near-star")
     nearest = star.groupBy("b").agg(F.max_by("a", F.struct("same", "a")).alias("a")).select("a", "b")
-    links = _confirm(staged(nearest, "near-first"), reps, own.select("key", "text"), shingle, above, below)
+    texts = own.select("key", "text")
+    nearest = staged(nearest, "near-first")
+    links = _confirm(nearest, _whole_sets(_ends(nearest), reps, texts, shingle), above, below)
 
     part = components(links)
     of = part.select(F.col("node").alias("rid"), "root")
-    placed = staged(members.join(of, "rid", "left").withColumn("root", F.coalesce("root", "rid")), "near-placed")
-    mixed = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("band")
-    mixed = staged(placed.join(mixed, "band"), "near-mixed")
-    largest = (mixed.groupBy("band", "root").count().groupBy("band")
-               .agg(F.max_by("root", F.struct("count", "root")).alias("top")))
-    inner = mixed.filter("rid <> first")
-    minor = inner.join(largest, "band").filter("root <> top").select(
-        "band", F.col("rid").alias("u"), F.col("root").alias("ru"))
-    across = (minor.join(inner.select("band", "rid", "root"), "band").filter("ru <> root")
-              .select(F.least("u", "rid").alias("a"), F.greatest("u", "rid").alias("b")).distinct())
-    across = _estimate(across, reps).select("a", "b")
+    inner = members.filter("rid <> first").join(of, "rid", "left").withColumn("root", F.coalesce("root", "rid"))
+    inner = staged(inner.select("band", "rid", "root"), "near-inner")
+    mixed = inner.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("band")
+    inner = staged(inner.join(mixed, "band"), "near-mixed")
     ra, rb = (part.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "ab")
-    later = (star.select("a", "b").join(ra, "a", "left").join(rb, "b", "left")
-             .filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
-             .join(nearest, ["a", "b"], "left_anti"))
-    second = staged(across.union(later).distinct(), "near-second")
-    if second.head(1):
-        more = _confirm(second, reps, own.select("key", "text"), shingle, above, below)
-        part = components(links.union(more))
+    second = (star.select("a", "b").join(ra, "a", "left").join(rb, "b", "left")
+              .filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+              .join(nearest, ["a", "b"], "left_anti"))
+    second = staged(second, "near-second")
+    more = _confirm(second, _whole_sets(_ends(second), reps, texts, shingle), above, below)
+    if inner.head(1):
+        more = more.union(_strays(inner, _whole_sets(inner.select("rid").distinct(), reps, texts, shingle), above, below))
+    if more.head(1):  # join the components that the further links connect
+        ends = more.join(ra, "a", "left").join(rb, "b", "left").select(
+            F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+        joined = components(ends)
+        alone = joined.join(part, "node", "left_anti")
+        part = part.join(joined.select(F.col("node").alias("root"), F.col("root").alias("r")), "root", "left").select(
+            "node", F.coalesce("r", "root").alias("root")).union(alone.select("node", "root"))
+        part = staged(part, "near-parts")
 
     of = part.select(F.col("node").alias("rid"), "root")
-    classes = (light.filter("n > 0").groupBy("digest").agg(F.min("rid").alias("rid"), F.min("doc_id").alias("least"))
-               .join(of, "rid", "left").withColumn("root", F.coalesce("root", "rid")))
+    classes = (light.filter("n > 0").groupBy("digest").agg(
+        F.min("rid").alias("rid"), F.min("doc_id").alias("least"), F.count("*").alias("copies"))
+        .join(of, "rid", "left").withColumn("root", F.coalesce("root", "rid")))
     classes = staged(classes, "near-classes")
     ids = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_class = classes.join(ids, "root").select("digest", "component_id")
-    out = light.select("doc_id", "key", "rid", "n", "digest").join(by_class, "digest", "left")
-    out = out.withColumn("component_id", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
+    by_class = staged(classes.join(ids, "root").select("digest", "component_id", "copies"), "near-ids")
+    some = light.filter("n > 0").select("doc_id", "key", "n", "digest")
+    out = spread_join(some, by_class, ["digest"], "copies", light.count()).select("doc_id", "key", "n", "component_id")
+    out = out.unionByName(light.filter("n = 0").select("doc_id", "key", "n", F.col("doc_id").alias("component_id")))
     return out.select("doc_id", "key", F.col("n").alias("n_shingles"), "component_id",
                       F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 

@@ -36,11 +36,11 @@ def cut_brute(texts, length):
     return out
 
 
-@pytest.mark.parametrize("length,gram,classes", [(200, 32, 2000), (40, 16, 2000), (40, 16, 1)])
+@pytest.mark.parametrize("length,gram,classes", [(200, 32, 2000), (40, 16, 2000), (40, 16, 3), (40, 16, 1)])
 def test_repeated_spans(sample, length, gram, classes, monkeypatch):
-    """Also with every anchor treated as crowded (windows counted by digest)."""
+    """Also with anchors divided by a longer one, and with windows counted by digest."""
     monkeypatch.setattr(R, "CLASSES", classes)
-    rows = R.repeated_spans(sample, length=length, gram=gram).collect()
+    rows = R.repeated_spans(sample, length=length, gram=gram, long_gram=length - 12).collect()
     want = cut_brute([r["text"] for r in rows], length)
     assert [(r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in rows] == want
     assert any(w[1] and w[1] < w[0] for w in want)

@@ -13,8 +13,10 @@ suffixes are first dealt by content in such a way that equal ones always meet:
 3. those are fetched and sorted bucket by bucket (whole anchors a bucket, bounded bytes): sampled
    triples are sorted, names recursed on, the remaining suffixes merged, and neighbours in the
    suffix array compared over their ``LENGTH``-byte prefixes.  Anchors with more than ``CLASSES``
-   classes would not fit a bucket; their windows are counted by a 128-bit digest instead, which
-   spreads them over all tasks and loses none;
+   classes (a short passage in many surroundings) are divided by a second anchor, the smallest
+   ``LONG_GRAM``-byte gram of a window, and again only what occurs twice goes on; should that leave a
+   group above ``CLASSES``, its windows are counted by a 128-bit digest, which spreads them over all
+   tasks.  None of these steps loses a window;
 4. flagged windows become byte ranges of each text, which are cut out in a last pass over the texts.
 
 Texts are referred to by two 64-bit hashes, so copies share their segments and ranges.
@@ -35,11 +37,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, sized_join, spread_join, staged, text_or_empty
+from .common import shuffle_partitions, spread_join, staged, text_or_empty
 from .suffix_array import suffix_array
 
 LENGTH = 200
 GRAM = 32
+LONG_GRAM = 128
 CLASSES = 2000
 BUCKET_BYTES = 1 << 20
 _PIECE = 1 << 19  # windows looked at together; positions take 20 bits
@@ -193,26 +196,40 @@ def runs(flags: np.ndarray) -> list[tuple[int, int]]:
 
 def _sort_bucket(length: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["anchor", "content"], kind="stable")
+        pdf = pdf.sort_values(["anchor", "content", "base"], kind="stable")
         parts = pdf["bytes"].tolist()
         flags, at, rows = repeated_windows(parts, length), 0, []
-        for anchor, content, part in zip(pdf["anchor"], pdf["content"], parts):
+        for anchor, content, base, part in zip(pdf["anchor"], pdf["content"], pdf["base"], parts):
             n = len(part) - length + 1
-            rows.extend((anchor, content, a, b) for a, b in runs(flags[at:at + n]))
+            rows.extend((anchor, content, base + a, base + b) for a, b in runs(flags[at:at + n]))
             at += n
         return pd.DataFrame(rows, columns=["anchor", "content", "a", "b"])
     return run
 
 
+def _divide(length: int, gram: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for anchor, content, part in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                b = np.frombuffer(part, np.uint8)
+                starts, count, long = segments(b, np.ones(len(b) - length + 1, bool), length, gram)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(starts), anchor)), pa.array(np.full(len(starts), content)),
+                     pa.array(starts.astype(np.int32)), pa.array(long),
+                     pa.array([part[a:a + w + length - 1] for a, w in zip(starts.tolist(), count.tolist())], pa.binary())],
+                    names=["anchor", "content", "base", "long", "bytes"])
+    return run
+
+
 def _digest_windows(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
 
         for batch in batches:
-            for anchor, content, part in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for anchor, content, base, part in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 n = len(part) - length + 1
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, anchor)), pa.array(np.full(n, content)), pa.array(np.arange(n, dtype=np.int32)),
+                    [pa.array(np.full(n, anchor)), pa.array(np.full(n, content)), pa.array(np.arange(base, base + n, dtype=np.int32)),
                      pa.array([xxh3_128_digest(part[i:i + length]) for i in range(n)], pa.binary())],
                     names=["anchor", "content", "a", "digest"])
     return run
@@ -247,7 +264,7 @@ def _cut(length: int):
 
 
 def repeated_spans(docs: DataFrame, text_col: str = "text", columns: list[str] | None = None,
-                   length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+                   length: int = LENGTH, gram: int = GRAM, long_gram: int = LONG_GRAM) -> DataFrame:
     """``columns`` (all by default) with n_bytes, n_removed, n_spans, kept_sha256 and the removed spans."""
     spark = docs.sparkSession
     names = docs.columns
@@ -270,16 +287,23 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", columns: list[str] |
     wanted = staged(alone.groupBy(F.col("at.k1").alias("k1"), F.col("at.k2").alias("k2")).agg(
         F.collect_list(F.struct("anchor", "content", F.col("at.s").alias("s"), F.col("at.w").alias("w"))).alias("wanted")),
         "repeat-wanted")
-    size = alone.agg(F.count("*").alias("n"), F.sum(F.col("at.w") + length - 1).alias("bytes")).first()
-    fetched = sized_join(t.select("k1", "k2", "text"), wanted, ["k1", "k2"], size["n"], 64).select("text", "wanted")
+    size = alone.agg(F.sum(F.col("at.w") + length - 1).alias("bytes")).first()
+    fetched = t.select("k1", "k2", "text").join(wanted, ["k1", "k2"]).select("text", "wanted")
     fetched = fetched.mapInArrow(_fetch(length), "anchor long, content long, bytes binary")
     fetched = staged(fetched.groupBy("anchor", "content").agg(F.first("bytes").alias("bytes"))
                      .join(several, "anchor"), "repeat-bytes")
     buckets = max(shuffle_partitions(spark), int(size["bytes"] or 0) // BUCKET_BYTES)
-    dealt = fetched.filter(F.col("classes") <= CLASSES).withColumn(
-        "bucket", F.pmod(F.xxhash64("anchor"), F.lit(buckets))).select("bucket", "anchor", "content", "bytes")
+    parts = ["anchor", "content", "base", "bytes"]
+    few = fetched.filter(F.col("classes") <= CLASSES).select(
+        F.xxhash64("anchor").alias("group"), "anchor", "content", F.lit(0).alias("base"), "bytes")
+    split = staged(fetched.filter(F.col("classes") > CLASSES).select("anchor", "content", "bytes").mapInArrow(
+        _divide(length, long_gram), "anchor long, content long, base int, long long, bytes binary"), "repeat-divided")
+    sizes = staged(split.groupBy("anchor", "long").agg(F.count("*").alias("n")).filter("n > 1"), "repeat-long")
+    split = staged(spread_join(split, sizes, ["anchor", "long"], "n", split.count()), "repeat-again")
+    few = few.unionByName(split.filter(F.col("n") <= CLASSES).select(F.xxhash64("anchor", "long").alias("group"), *parts))
+    dealt = few.withColumn("bucket", F.pmod(F.col("group"), F.lit(buckets)))
     sorted_runs = dealt.groupBy("bucket").applyInPandas(_sort_bucket(length), "anchor long, content long, a int, b int")
-    crowded = staged(fetched.filter(F.col("classes") > CLASSES).select("anchor", "content", "bytes").mapInArrow(
+    crowded = staged(split.filter(F.col("n") > CLASSES).select(*parts).mapInArrow(
         _digest_windows(length), "anchor long, content long, a int, digest binary"), "repeat-crowded")
     met = crowded.groupBy("anchor", "digest").agg(F.count("*").alias("n")).filter("n > 1").select("anchor", "digest")
     counted = crowded.join(met, ["anchor", "digest"]).select("anchor", "content", "a", (F.col("a") + 1).alias("b"))
@@ -294,9 +318,7 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", columns: list[str] |
     flagged = flagged.select("k1", "k2", "s", F.explode(F.coalesce("runs", whole_run)).alias("r"))
     ranges = staged(flagged.groupBy("k1", "k2").agg(F.collect_set(F.struct(
         (F.col("s") + F.col("r.a")).alias("a"), (F.col("s") + F.col("r.b")).alias("b"))).alias("found")), "repeat-ranges")
-    volume = ranges.agg(F.count("*").alias("n"), F.sum(F.size("found")).alias("r")).first()
-    width = 48 + 24 * (volume["r"] or 0) // max(volume["n"], 1)
-    last = sized_join(t, ranges, ["k1", "k2"], volume["n"], width, "left").select(*carried, "text", "found")
+    last = t.join(ranges, ["k1", "k2"], "left").select(*carried, "text", "found")
     kinds = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in last.schema.fields[:-2]), "n_bytes long",
                        "n_removed long", "n_spans long", "kept_sha256 string", "spans array<struct<start:int,end:int>>"])
     return last.mapInArrow(_cut(length), kinds).toDF(*out, "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")

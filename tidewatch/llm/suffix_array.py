@@ -8,10 +8,16 @@ import numpy as np
 def _names(s: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     """(order of the triples at ``at``, name of each in that order, number of names)."""
     a, b, c = s[at], s[at + 1], s[at + 2]
-    order = np.lexsort((c, b, a))
-    a, b, c = a[order], b[order], c[order]
+    bits = int(s.max()).bit_length()
+    if 3 * bits < 63:  # the triple as one number
+        key = a << 2 * bits | b << bits | c
+    else:
+        _, pair = np.unique(a << bits | b, return_inverse=True)
+        key = pair << bits | c
+    order = np.argsort(key)
+    key = key[order]
     new = np.ones(len(at), bool)
-    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])
+    new[1:] = key[1:] != key[:-1]
     names = np.cumsum(new)
     return order, names, int(names[-1])
 
@@ -37,8 +43,8 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     ordered = ordered[ordered < n]
     # the rest by (first symbol, rank of what follows), then merged with the sampled ones
     rest = np.arange(0, n, 3)
-    rest = rest[np.lexsort((rank[rest + 1], s[rest]))]
     width = len(sample) + 2
+    rest = rest[np.argsort(s[rest] * width + rank[rest + 1])]
     first, second = ordered[ordered % 3 == 1], ordered[ordered % 3 == 2]
     before1 = np.searchsorted(s[first] * width + rank[first + 1], s[rest] * width + rank[rest + 1])
     symbols = int(s.max()) + 1

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.plans import jobs
 from tidewatch.sources import io
-from tidewatch.sources.tables import url_table
+from tidewatch.sources.tables import page_url, url_table
 
 from conftest import SF01
 
@@ -67,7 +67,7 @@ def test_engines_roundtrip_and_foreach_batch(spark):
     assert a == b
     out = tempfile.mkdtemp(prefix="tw-fb-", dir="/tmp")
     src = url_stream(spark, SF001, "page_id bigint, url string, html string", file_glob="pages.parquet")
-    foreach_batch_score(src.select("page_id", "url"), eng2, out, tempfile.mkdtemp(prefix="tw-ck-", dir="/tmp"))
+    foreach_batch_score(src.select("page_id", page_url().alias("url")), eng2, out, tempfile.mkdtemp(prefix="tw-ck-", dir="/tmp"))
     c = {r.page_id: r.predicted_class for r in spark.read.parquet(out).collect()}
     assert c == a
 

@@ -22,7 +22,7 @@ import numpy as np
 SCALE = 16
 SLOTS = 3840  # of order 0: times 16 it leaves a sixteenth of the scale to the other orders
 RENEW = (64, 256, 1024, 4096)
-LANES = 2048
+LANES = 1024
 BITS1, BITS2 = 10, 11  # log2 of a block's order-1 and order-2 table
 MOST = 15  # largest count of a context
 ESCAPE = 1 << 16

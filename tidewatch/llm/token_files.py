@@ -36,8 +36,8 @@ from .common import staged, text_or_empty
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
-FILE_IDS = 4 << 20
-CACHE = 500_000
+FILE_IDS = 2 << 20
+CACHE = 250_000
 _HEAD = struct.Struct("<4sHIIQIII")
 _MARKS = re.compile(r"(?<=[a-z])([.,!]+)(?=[ \n])")
 _STATE: dict = {}

@@ -1,6 +1,7 @@
 """Repeated spans, packing and token files: brute force, bounds and exact round trips."""
 
 import hashlib
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -81,6 +82,17 @@ def test_ids_are_those_of_the_tokenizers_library(sample):
             assert got.tolist() == t.encode(text or "", add_special_tokens=False).ids + [2], (name, text)
 
 
+def test_capitals_that_compose_only_in_lower_case_keep_the_ids_of_the_library():
+    nfc = lambda s: unicodedata.normalize("NFC", s)
+    pairs = [chr(c) + chr(m) for c in range(0x41, 0x250) for m in range(0x300, 0x370)
+             if nfc(chr(c).lower() + chr(m)) != nfc(chr(c) + chr(m)).lower()]
+    assert len(pairs) > 40 and "J\u030c" in pairs
+    t = bpe("word_bpe_49k.json")
+    texts = pairs + [f"A {p}an, THE.{p}. I{p}\nX" for p in pairs] + ["ΣΑΣ. THE. ΣΑΣ, J\u030c"]
+    for text, got in zip(texts, token_files.tokenise(texts)):
+        assert got.tolist() == t.encode(text, add_special_tokens=False).ids + [2], text
+
+
 def test_packing(sample):
     rows = packing.pack(sample, with_ids=True, group=20).collect()
     enc, by_text = bpe("byte_bpe_50k.json"), {}

@@ -39,7 +39,7 @@ END_ID = 2
 FILE_IDS = 2 << 20
 CACHE = 250_000
 _HEAD = struct.Struct("<4sHIIQIII")
-_MARKS = re.compile(r"(?<=[a-z])([.,!]+)(?=[ \n])")
+_MARKS = re.compile(r"(?<=[A-Za-z])([.,!]+)(?=[ \n])")
 _STATE: dict = {}
 
 
@@ -63,11 +63,14 @@ def _tokenizer(path: str | None):
 def split_words(text: str) -> list[str]:
     """The text cut where this vocabulary always starts a new token: its words are encoded alone.
 
-    Lower-casing first only merges cache entries (the vocabulary lower-cases itself); texts with a
-    capital sigma are left to it, as its lower case depends on the place in Python.
+    The vocabulary composes characters (NFC) and then lower-cases, so only ASCII words, which have
+    nothing to compose, may be lower-cased here to merge cache entries.  Other words stay as they
+    are: J with a caron composes once it is a j, and would get other ids.
     """
-    text = text if "Σ" in text else text.lower()
-    return _MARKS.sub(r" \1", text).replace("\n", " ").replace("\t", " ").split(" ")
+    if text.isascii():
+        text = text.lower()
+    words = _MARKS.sub(r" \1", text).replace("\n", " ").replace("\t", " ").split(" ")
+    return words if text.isascii() else [w.lower() if w.isascii() else w for w in words]
 
 
 def tokenise(texts: list[str | None], path: str | None = None) -> list[np.ndarray]:

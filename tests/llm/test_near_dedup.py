@@ -70,6 +70,21 @@ def test_near_dedup_keeps_rows_whole(sample, clashing, nothing):
     assert N.near_dedup(nothing).count() == 0 and N.near_components(nothing).count() == 0
 
 
+def test_texts_are_fetched_once_and_joined_by_shuffle_at_every_size(sample, monkeypatch):
+    plans, own = [], N.staged
+
+    def staged(df, name):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return own(df, name)
+    monkeypatch.setattr(N, "staged", staged)
+    monkeypatch.setattr("tidewatch.llm.components.staged", staged)
+    N.near_components(sample).count()
+    assert [name for name, _ in plans].count("near-sets") == 1
+    joined = [(name, plan) for name, plan in plans if name.startswith(("near-sets", "jumped", "links", "roots")) and "Join" in plan]
+    assert {name for name, _ in joined} >= {"near-sets", "jumped0", "links0", "roots0"}
+    assert not [name for name, plan in joined if "Broadcast" in plan]
+
+
 def test_bands_miss_hardly_any_pair_at_the_threshold():
     rng = np.random.default_rng(0)
     mult = N._multipliers(N.PERMUTATIONS)

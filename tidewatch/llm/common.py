@@ -67,9 +67,3 @@ def spread_join(rows: DataFrame, keyed: DataFrame, on: list[str], count: str, to
     near = rows.join(F.broadcast(hot), on)
     far = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold, on)
     return near.unionByName(far)
-
-
-def sized_join(big: DataFrame, small: DataFrame, on: list[str], rows: int, width: int, how: str = "inner",
-               limit: int = 48 << 20) -> DataFrame:
-    """Join with ``small`` broadcast if its ``rows`` of about ``width`` bytes fit ``limit``, else shuffled."""
-    return big.join(F.broadcast(small) if rows * width <= limit else small, on, how)

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sized_join, staged
+from .common import staged
 
-_PAIR = 24  # bytes of a pointer
 
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of ``links`` (a, b): equal root if and only if connected.
@@ -16,8 +15,8 @@ def components(links: DataFrame) -> DataFrame:
     followed twice doubled, and links are rewritten to what their ends point to; links inside one
     node vanish.  Even rounds rank nodes by number, which ends stars around a smallest node at once;
     odd rounds rank them by a hash, which keeps pointer chains short and so shrinks links of any
-    shape by a constant factor.  Rounds are written to the shared folder; pointers are broadcast
-    where their counted number is small and shuffled otherwise.
+    shape by a constant factor.  Rounds are written to the shared folder; pointers are joined by
+    shuffle at every size.
     """
     edges = staged(links.select("a", "b").filter("a <> b").distinct(), "links")
     root = staged(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
@@ -32,17 +31,16 @@ def components(links: DataFrame) -> DataFrame:
         best = both.groupBy("a").agg(F.min(rank("b")).alias("best"))
         own = rank("a")
         step = staged(best.select("a", F.least("best", own)["to"].alias("p")), f"pointers{turn}")
-        n = step.count()
         for _ in range(2):
             nxt = step.select(F.col("a").alias("p"), F.col("p").alias("q"))
-            step = sized_join(step, nxt, ["p"], n, _PAIR).select("a", F.col("q").alias("p"))
+            step = step.join(nxt.hint("merge"), ["p"]).select("a", F.col("q").alias("p"))
         step = staged(step, f"jumped{turn}")
         at = step.select(F.col("a").alias("b"), F.col("p").alias("q"))
-        ends = sized_join(sized_join(edges, step, ["a"], n, _PAIR), at, ["b"], n, _PAIR)
+        ends = edges.join(step.hint("merge"), ["a"]).join(at.hint("merge"), ["b"])
         edges = staged(ends.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
                        .filter("a <> b").distinct(), f"links{turn}")
         moved = step.select(F.col("a").alias("root"), "p")
-        root = staged(sized_join(root, moved, ["root"], n, _PAIR, "left")
+        root = staged(root.join(moved.hint("merge"), ["root"], "left")
                       .select("node", F.coalesce("p", "root").alias("root")), f"roots{turn}")
         turn += 1
     return root

@@ -16,7 +16,7 @@ copies of any size enter as one row.  No bucket is expanded into its pairs:
    need no comparison, as only components are asked for.
 
 Links are thus the exact ones among all pairs that share a band.  Sketches and bands travel instead
-of texts; texts of the compared classes are fetched by key.
+of texts; texts of the classes that share a bucket are fetched by key, in one pass for all steps.
 
 Defined results: a null text, or one without words, has an empty set and is its own component; one
 word is a set of one; repeated rows and rows of null id belong to their class like any other (a
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, sized_join, spread_join, staged, text_or_empty
+from .common import shuffle_partitions, spread_join, staged, text_or_empty
 from .components import components
 
 SHINGLE = 2
@@ -159,9 +159,9 @@ def _linked(above: int, below: int):
 
 
 def _whole_sets(ids: DataFrame, reps: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """(rid, shingles) of the classes ``ids``: their texts are found by key, one each."""
+    """(rid, shingles) of the classes ``ids``: their texts are found by key, one each, by shuffle at every size."""
     keys = staged(ids.join(reps.select("rid", "key"), "rid"), "near-keys")
-    texts = sized_join(docs, keys, ["key"], keys.count(), 64).select("rid", "text")
+    texts = docs.join(keys.hint("merge"), ["key"]).select("rid", "text")
     sets = texts.mapInArrow(_sets(k), "rid long, shingles binary")
     return staged(sets.dropDuplicates(["rid"]), "near-sets")
 
@@ -174,10 +174,6 @@ def _confirm(pairs: DataFrame, sets: DataFrame, above: int, below: int) -> DataF
     return staged(both.mapInArrow(_linked(above, below), "a long, b long"), "near-links")
 
 
-def _ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("a").alias("rid")).union(pairs.select("b")).distinct()
-
-
 def _meet(above: int, below: int):
     """Links of strays (left) with the rows of their group (right): one for each stray and component."""
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -267,7 +263,8 @@ def near_components(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     nearest = star.groupBy("b").agg(F.max_by("a", F.struct("same", "a")).alias("a")).select("a", "b")
     texts = own.select("key", "text")
     nearest = staged(nearest, "near-first")
-    links = _confirm(nearest, _whole_sets(_ends(nearest), reps, texts, shingle), above, below)
+    sets = _whole_sets(members.select("rid").distinct(), reps, texts, shingle)
+    links = _confirm(nearest, sets, above, below)
 
     part = components(links)
     of = part.select(F.col("node").alias("rid"), "root")
@@ -280,9 +277,9 @@ def near_components(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
               .filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
               .join(nearest, ["a", "b"], "left_anti"))
     second = staged(second, "near-second")
-    more = _confirm(second, _whole_sets(_ends(second), reps, texts, shingle), above, below)
+    more = _confirm(second, sets, above, below)
     if inner.head(1):
-        more = more.union(_strays(inner, _whole_sets(inner.select("rid").distinct(), reps, texts, shingle), above, below))
+        more = more.union(_strays(inner, sets, above, below))
     if more.head(1):  # join the components that the further links connect
         ends = more.join(ra, "a", "left").join(rb, "b", "left").select(
             F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))

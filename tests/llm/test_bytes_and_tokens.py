@@ -63,6 +63,21 @@ def test_repeated_spans_columns_and_empty(clashing, nothing):
     assert R.repeated_spans(nothing).count() == 0
 
 
+def test_joined_texts_stay_within_the_bits_of_a_position():
+    rng = np.random.default_rng(6)
+    long = rng.integers(97, 123, 600_000, np.uint8).tobytes()
+    texts = [long[:524_280], long]
+    windows, rows = 0, []
+    for b, valid, text, offset in R._groups(texts, 200):
+        assert len(b) < 1 << 20
+        starts, count, anchor = R.segments(b, valid)
+        windows += int(count.sum())
+        rows += zip(text[starts].tolist(), (starts + offset[starts]).tolist(), count.tolist(), anchor.tolist())
+    assert windows == sum(len(t) - 199 for t in texts)
+    at = [{s + j: a for i, s, n, a in rows if i == k for j in range(n)} for k in (0, 1)]
+    assert all(at[1][s] == a for s, a in at[0].items())  # equal windows, equal anchors
+
+
 def bpe(name):
     t = Tokenizer.from_file(public_tokenizers.path(name))
     t.encode_special_tokens = True

@@ -110,6 +110,9 @@ def _groups(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, np.nd
             continue
         for start in range(0, len(t) - length + 1, _PIECE):
             part = t[start:start + _PIECE + length - 1]
+            if parts and total + len(part) >= 2 * _PIECE:  # positions would not fit their 20 bits
+                yield _join(parts, length)
+                parts, total = [], 0
             parts.append((i, start, part))
             total += len(part)
             if total >= _PIECE:

@@ -70,6 +70,15 @@ def test_near_dedup_keeps_rows_whole(sample, clashing, nothing):
     assert N.near_dedup(nothing).count() == 0 and N.near_components(nothing).count() == 0
 
 
+def test_one_row_of_a_component_stays(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(5, a, "x"), (5, a, "y"), (5, a + " more", "x"), (7, a, "x"), (None, a, "x"), (None, b, "x"),
+            (None, b + " more", "x"), (None, b, "y"), (3, c, "x"), (8, "", "x"), (8, None, "x"), (None, " ", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    out = [(r["doc_id"], (r["text"] or " ")[0]) for r in N.near_dedup(df).collect()]
+    assert sorted(out, key=repr) == sorted([(5, "a"), (None, "b"), (3, "c"), (8, " "), (8, " "), (None, " ")], key=repr)
+
+
 def test_texts_are_fetched_once_and_joined_by_shuffle_at_every_size(sample, monkeypatch):
     plans, own = [], N.staged
 

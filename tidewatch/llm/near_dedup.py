@@ -237,10 +237,15 @@ def _strays(inner: DataFrame, sets: DataFrame, above: int, below: int) -> DataFr
                   "near-strays")
 
 
-def near_components(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = SHINGLE,
-                    above: int = ABOVE, below: int = BELOW, permutations: int = PERMUTATIONS,
-                    rows: int = ROWS) -> DataFrame:
+def near_components(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
     """(doc_id, key, n_shingles, component_id, kept) of every row; ``key`` digests id and text."""
+    return _rooted(docs, text_col, id_col, **options).drop("root")
+
+
+def _rooted(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = SHINGLE,
+            above: int = ABOVE, below: int = BELOW, permutations: int = PERMUTATIONS,
+            rows: int = ROWS) -> DataFrame:
+    """The components with ``root``, which also tells those of null ids apart (null without words)."""
     own = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
     key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(":"), F.col("text")))
     own = own.withColumn("key", key)
@@ -295,23 +300,31 @@ def near_components(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
         .join(of, "rid", "left").withColumn("root", F.coalesce("root", "rid")))
     classes = staged(classes, "near-classes")
     ids = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_class = staged(classes.join(ids, "root").select("digest", "component_id", "copies"), "near-ids")
+    by_class = staged(classes.join(ids, "root").select("digest", "component_id", "copies", "root"), "near-ids")
     some = light.filter("n > 0").select("doc_id", "key", "n", "digest")
-    out = spread_join(some, by_class, ["digest"], "copies", light.count()).select("doc_id", "key", "n", "component_id")
-    out = out.unionByName(light.filter("n = 0").select("doc_id", "key", "n", F.col("doc_id").alias("component_id")))
+    out = spread_join(some, by_class, ["digest"], "copies", light.count()).select("doc_id", "key", "n", "component_id", "root")
+    out = out.unionByName(light.filter("n = 0").select("doc_id", "key", "n", F.col("doc_id").alias("component_id"),
+                                                       F.lit(None).cast("long").alias("root")))
     return out.select("doc_id", "key", F.col("n").alias("n_shingles"), "component_id",
-                      F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+                      F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"), "root")
 
 
 def near_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` without near copies: of each component the row of the smallest id stays, whole.
+    """``docs`` without near copies: of each component one row stays, whole.
 
-    Rows of null id leave if their component has an id, and all stay if it has none.
+    It is the row of the smallest id (null ids last), then of the smallest key; of rows equal in id
+    and text one.  Rows without words are components of their own and stay.
     """
     names = docs.columns
     t = docs.toDF(*[f"c{i}" for i in range(len(names))])
     own_id, text = F.col(f"c{names.index(id_col)}"), text_or_empty(f"c{names.index(text_col)}")
-    found = near_components(docs, text_col, id_col, **options)
-    leaves = found.filter(~F.col("kept") & F.col("component_id").isNotNull()).select("key").distinct()
+    found = staged(_rooted(docs, text_col, id_col, **options).filter("root IS NOT NULL").select("doc_id", "key", "root"),
+                   "near-found")
+    stay = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("least"))
+    stay = stay.select(F.col("least.key").alias("key"), F.lit(True).alias("stays"))
+    marks = found.groupBy("key").count().join(stay, "key", "left").filter("stays IS NULL OR count > 1")
+    marks = staged(marks.select("key", F.coalesce("stays", F.lit(False)).alias("repeated")), "near-marks")
     key = F.md5(F.concat(F.coalesce(own_id.cast("string"), F.lit("-")), F.lit(":"), text))
-    return t.withColumn("key", key).join(leaves, "key", "left_anti").drop("key").toDF(*names)
+    t = t.withColumn("key", key).join(marks, "key", "left")
+    kept = t.filter("repeated IS NULL").unionByName(t.filter("repeated").dropDuplicates(["key"]))
+    return kept.drop("key", "repeated").toDF(*names)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, pii, token_files, toxicity
+from . import ann, merkle, pii, token_files, toxicity
 from .common import WORD, documents
 from .exact_dedup import mark_copies
 from .language_id import held_out, identify
@@ -190,3 +190,49 @@ FROM d LEFT JOIN t ON d.doc_id = t.doc_id""")
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     return repeated_spans(docs, columns=["doc_id"]).drop("spans")
+
+
+def _merkle_sql() -> str:
+    """Levels by recursion, siblings by a self-join, CRC-32 bit by bit, proofs folded along a list."""
+    def field(c):
+        return f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR END"
+    plain = [field(c) for c in merkle.FIELDS]
+    cut = [field("replace(text, chr(10), '')") if c == "text" else field(c) for c in merkle.FIELDS]
+    crc = ("list_reduce(list_prepend(4294967295::BIGINT, flatten([[ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1] "
+           "for c in string_split(doc_id::VARCHAR, '')])), lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) "
+           "WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)")
+
+    def levels(name, base):
+        return f"""{name}(tree, level, pos, n, h) AS (SELECT tree, 0, pos, n, h FROM {base} UNION ALL
+  SELECT tree, level + 1, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM {name} WHERE n > 1
+  GROUP BY tree, level, pos // 3, n)"""
+
+    def beside(name, lv):
+        return f"""{name} AS (SELECT a.tree, a.level, a.pos, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') || '|'
+  || coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS s FROM {lv} a JOIN {lv} b
+  ON a.tree = b.tree AND a.level = b.level AND a.pos // 3 = b.pos // 3 WHERE a.n > 1 GROUP BY a.tree, a.level, a.pos)"""
+    return f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, CASE WHEN source IS NULL THEN '' ELSE '=' || source END AS tree,
+  sha256({' || '.join(plain)}) AS h,
+  CASE WHEN {crc} & 1 = 1 AND text IS NOT NULL THEN sha256({' || '.join(cut)}) END AS changed FROM documents),
+l AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, h, rid) - 1 AS pos,
+      count(*) OVER (PARTITION BY tree) AS n FROM d),
+{levels('lv', 'l')},
+t AS (SELECT '' AS tree, tree AS src, h, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n FROM lv WHERE n = 1),
+{levels('tv', 't')},
+{beside('ls', 'lv')},
+{beside('ts', 'tv')},
+p AS (SELECT l.rid, 0 AS part, ls.level, ls.s FROM l JOIN ls ON l.tree = ls.tree AND l.pos // (3 ** ls.level)::BIGINT = ls.pos
+      UNION ALL SELECT l.rid, 1, ts.level, ts.s FROM l JOIN t ON l.tree = t.src JOIN ts ON t.pos // (3 ** ts.level)::BIGINT = ts.pos),
+q AS (SELECT rid, list(s ORDER BY part, level) AS path FROM p GROUP BY rid),
+r AS (SELECT l.*, t.h AS subroot, (SELECT h FROM tv WHERE n = 1) AS root, coalesce(path, []) AS path
+      FROM l JOIN t ON l.tree = t.src LEFT JOIN q ON l.rid = q.rid),
+f AS (SELECT *, list_reduce(list_prepend(coalesce(changed, h), path),
+      lambda x, y: sha256(split_part(y, '|', 1) || x || split_part(y, '|', 2))) AS folded FROM r)
+SELECT doc_id, h AS leaf, subroot, root, sha256(replace(array_to_string(path, ''), '|', '')) AS proof_sha256,
+       folded AS folded_root, folded = root AS verified FROM f"""
+
+
+@query("op11_merkle_manifest", _merkle_sql())
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audit(documents(spark, sf_dir))

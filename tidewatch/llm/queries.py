@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, merkle, pii, token_files, toxicity
+from . import ann, merkle, pii, token_files, toxicity, whitening
 from .common import WORD, documents
 from .exact_dedup import mark_copies
 from .language_id import held_out, identify
@@ -236,3 +236,9 @@ SELECT doc_id, h AS leaf, subroot, root, sha256(replace(array_to_string(path, ''
 @query("op11_merkle_manifest", _merkle_sql())
 def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.audit(documents(spark, sf_dir))
+
+
+@query("op13_embedding_whitening")
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir.rstrip('/')}/embeddings.parquet").select("vec_id", "embedding")
+    return whitening.by_component(whitening.whiten(vectors, columns=["vec_id"]))

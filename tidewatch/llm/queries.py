@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, merkle, pii, token_files, toxicity, whitening
+from . import ann, bpe, merkle, pii, token_files, toxicity, whitening
 from .common import WORD, documents
 from .exact_dedup import mark_copies
 from .language_id import held_out, identify
@@ -238,6 +238,13 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.audit(documents(spark, sf_dir))
 
 
+@query("op12_bpe_reuse")
+def op12_bpe_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = bpe.decode(bpe.encode(documents(spark, sf_dir).select("doc_id", "text"), columns=["doc_id"]))
+    return t.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+                    F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 @query("op13_embedding_whitening")
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir.rstrip('/')}/embeddings.parquet").select("vec_id", "embedding")

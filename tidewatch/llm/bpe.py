@@ -33,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
 import xxhash
 from pyspark import TaskContext
@@ -45,6 +46,7 @@ from .common import place, positional, shuffle_partitions, staged
 
 BITS = 26
 SPREAD = 4
+BATCH = 4 << 20
 # fixed value: the word pattern of the byte-level pre-tokenizer
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _CJK, _STOPS = "ぁ-ゖァ-ヺ一-龥", "、。！，？"
@@ -159,6 +161,17 @@ def assemble(v: Vocabulary, pieces) -> np.ndarray:
     return np.concatenate([*done, left])
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``BATCH`` bytes of text (or one row), so that a worker holds few texts at a time."""
+    for b in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(b.column(0)), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < b.num_rows:
+            stop = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + BATCH, side="right")))
+            yield b.slice(at, stop - at)
+            at = stop
+
+
 def _chunked(v: Vocabulary, texts: list[str | None]):
     """Every text's segments, and of each ordinary segment the ends of its chunks."""
     split = [v.segments(t or "") for t in texts]
@@ -175,7 +188,7 @@ def _shared_bits(docs: DataFrame, path: str, bits: int) -> np.ndarray:
     """Bitmap over hash values: chunks that occur more than once in all texts."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
-        for b in batches:
+        for b in _slices(batches):
             h = [x for parts in _chunked(v, b.column(0).to_pylist()) for x in _hashes(parts)]
             h, n = np.unique(np.array(h, np.uint64), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
@@ -249,7 +262,7 @@ def encode(docs: DataFrame, text: str = "text", columns: list[str] | None = None
     def in_place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Texts without a shared chunk."""
         v = vocabulary(path)
-        for b in batches:
+        for b in _slices(batches):
             rows, ids = [], []
             for i, parts, mine in each(b):
                 if not mine.any():
@@ -260,10 +273,10 @@ def encode(docs: DataFrame, text: str = "text", columns: list[str] | None = None
                 yield pa.RecordBatch.from_arrays([*taken.columns[1:], pa.array(ids, pa.binary())], [*own, "ids"])
 
     def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of the other texts: a row a piece (ids or reference), and the shared chunks, once a batch."""
+        """Of the other texts: a row a piece (ids or reference), and the shared chunks, once a slice."""
         v = vocabulary(path)
         key = TaskContext.get().partitionId() << 33
-        for b in batches:
+        for b in _slices(batches):
             out: dict[str, list] = {k: [] for k in ("row", "key", "no", "fresh", "ref", "ids", "chunk", "n")}
             chunks: dict[bytes, list] = {}
 

@@ -47,6 +47,7 @@ from .common import place, positional, shuffle_partitions, staged
 BITS = 26
 SPREAD = 4
 BATCH = 4 << 20
+ROWS = 256  # texts put together at a time
 # fixed value: the word pattern of the byte-level pre-tokenizer
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _CJK, _STOPS = "ぁ-ゖァ-ヺ一-龥", "、。！，？"
@@ -79,8 +80,7 @@ class Vocabulary:
         byte = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         ranks = {bytes(byte[c] for c in k): v for k, v in spec["model"]["vocab"].items() if k not in special}
-        self.encoder = tiktoken.Encoding("byte-level", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
-        self.special = special
+        self.ranks, self.special = ranks, special
         longest_first = sorted(special, key=len, reverse=True)
         self.splitter = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if special else None
         self.bytes = [b""] * (max([*ranks.values(), *special.values()]) + 1)
@@ -89,6 +89,11 @@ class Vocabulary:
                 self.bytes[v] = k
         self.lengths = np.array([len(b) for b in self.bytes])
 
+    @functools.cached_property
+    def encoder(self) -> tiktoken.Encoding:
+        """Made where it is used: decoding does without it."""
+        return tiktoken.Encoding("byte-level", pat_str=WORDS, mergeable_ranks=self.ranks, special_tokens={})
+
     def ids(self, text: str) -> np.ndarray:
         """Ids of a text without special strings."""
         return np.array(self.encoder.encode_ordinary(text), "<u4")
@@ -161,10 +166,10 @@ def assemble(v: Vocabulary, pieces) -> np.ndarray:
     return np.concatenate([*done, left])
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of at most ``BATCH`` bytes of text (or one row), so that a worker holds few texts at a time."""
+def _slices(batches: Iterator[pa.RecordBatch], column: int = 0) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``BATCH`` bytes of a column (or one row), so that a worker holds few texts at a time."""
     for b in batches:
-        size = np.cumsum(pc.fill_null(pc.binary_length(b.column(0)), 0).to_numpy(zero_copy_only=False))
+        size = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False))
         at = 0
         while at < b.num_rows:
             stop = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + BATCH, side="right")))
@@ -355,7 +360,7 @@ def _gathered(moved: DataFrame, own: list[str], path: str) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
-        for b in batches:
+        for b in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
             ids = [assemble(v, [(np.frombuffer(x, "<u4"), f) for x, f in zip(p, fresh)]).tobytes()
                    for p, fresh in zip(b["parts"].to_pylist(), b["fresh"].to_pylist())]
             yield pa.RecordBatch.from_arrays([*b.columns[2:], pa.array(ids, pa.binary())], [*own, "ids"])
@@ -372,7 +377,7 @@ def decode(rows: DataFrame, ids: str = "ids", out: str = "decoded", path: str |
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
-        for b in batches:
+        for b in _slices(batches, at):
             texts = [None if x is None else v.text(np.frombuffer(x, "<u4").tolist()).decode("utf-8", "replace")
                      for x in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], fields)

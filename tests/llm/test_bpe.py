@@ -77,7 +77,8 @@ def shared(spark, sample):
 @pytest.mark.parametrize("bits", [26, 18])
 def test_encode_and_decode(spark, sample, library, bits, monkeypatch):
     df = shared(spark, sample)
-    rows = bpe.decode(bpe.encode(df, bits=bits)).collect()
+    rows = bpe.decode(bpe.encode(df, bits=bits, decoded="back")).collect()
+    assert all(r["back"] == r["decoded"] for r in rows)
     held(rows, [tuple(r) for r in df.select("doc_id", "text").collect()], library)
 
 

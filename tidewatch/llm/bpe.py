@@ -106,6 +106,10 @@ class Vocabulary:
         known = self.bytes
         return b"".join([known[i] for i in ids if i < len(known)])
 
+    def decoded(self, ids: bytes) -> str:
+        """Text of stored ids; bytes that are no UTF-8 become U+FFFD."""
+        return self.text(np.frombuffer(ids, "<u4").tolist()).decode("utf-8", "replace")
+
 
 @functools.lru_cache(maxsize=4)
 def vocabulary(path: str) -> Vocabulary:
@@ -239,9 +243,13 @@ def _reference(text: str) -> bytes:
 
 
 def encode(docs: DataFrame, text: str = "text", columns: list[str] | None = None, path: str | None = None,
-           bits: int = BITS) -> DataFrame:
-    """``columns`` of every row and ``ids``, the binary ids of its text."""
+           bits: int = BITS, decoded: str | None = None) -> DataFrame:
+    """``columns`` of every row and ``ids``, the binary ids of its text.
+
+    ``decoded`` names a further column: the text of these ids, as :func:`decode` gives it, made in the same task.
+    """
     path = path or default_path()
+    more = ["decoded"] if decoded else []
     spark = docs.sparkSession
     t, names = positional(docs)
     columns = names if columns is None else columns
@@ -275,7 +283,7 @@ def encode(docs: DataFrame, text: str = "text", columns: list[str] | None = None
                     ids.append(assemble(v, [(local_ids(v, s, f), f) for s, f, _ in _pieces(parts, iter(mine))]).tobytes())
             if rows:
                 taken = b.take(pa.array(rows))
-                yield pa.RecordBatch.from_arrays([*taken.columns[1:], pa.array(ids, pa.binary())], [*own, "ids"])
+                yield pa.RecordBatch.from_arrays([*taken.columns[1:], *_results(v, ids, more)], [*own, "ids", *more])
 
     def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of the other texts: a row a piece (ids or reference), and the shared chunks, once a slice."""
@@ -312,14 +320,21 @@ def encode(docs: DataFrame, text: str = "text", columns: list[str] | None = None
                 yield pa.RecordBatch.from_arrays([*taken.columns[1:], first, *cols],
                                                  [*own, "first", *list(out)[1:]])
     fields = [t.schema[c] for c in own]
-    plain = t.mapInArrow(in_place, StructType([*fields, StructField("ids", _type("binary"))]))
+    plain = t.mapInArrow(in_place, StructType([*fields, *_result_fields(more)]))
     kinds = dict(first="boolean", key="long", no="int", fresh="boolean", ref="binary", ids="binary", chunk="string", n="long")
     moved = t.mapInArrow(apart, StructType([*[StructField(f.name, f.dataType) for f in fields],
                                             *[StructField(c, _type(k)) for c, k in kinds.items()]]))
     moved = staged(moved, "bpe-pieces")
-    joined = _gathered(moved, own, path)
-    out = plain.unionByName(joined)
-    return out.select(*[F.col(o).alias(c) for o, c in zip(own, columns)], "ids")
+    out = plain.unionByName(_gathered(moved, own, path, more))
+    return out.select(*[F.col(o).alias(c) for o, c in zip(own, columns)], "ids", *[F.col("decoded").alias(decoded) for _ in more])
+
+
+def _results(v: Vocabulary, ids: list[bytes], more: list[str]) -> list[pa.Array]:
+    return [pa.array(ids, pa.binary()), *[pa.array([v.decoded(x) for x in ids], pa.string()) for _ in more]]
+
+
+def _result_fields(more: list[str]) -> list[StructField]:
+    return [StructField("ids", _type("binary")), *[StructField(c, _type("string")) for c in more]]
 
 
 def _type(name: str):
@@ -338,7 +353,7 @@ def _encoded_chunks(moved: DataFrame, path: str) -> DataFrame:
     return staged(one.select("ref", "n", "chunk").mapInArrow(work, "ref binary, n long, ids binary"), "bpe-chunks")
 
 
-def _gathered(moved: DataFrame, own: list[str], path: str) -> DataFrame:
+def _gathered(moved: DataFrame, own: list[str], path: str, more: list[str]) -> DataFrame:
     """Texts put together from their pieces and the ids of the shared chunks."""
     spark = moved.sparkSession
     chunks = _encoded_chunks(moved, path)
@@ -363,9 +378,9 @@ def _gathered(moved: DataFrame, own: list[str], path: str) -> DataFrame:
         for b in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
             ids = [assemble(v, [(np.frombuffer(x, "<u4"), f) for x, f in zip(p, fresh)]).tobytes()
                    for p, fresh in zip(b["parts"].to_pylist(), b["fresh"].to_pylist())]
-            yield pa.RecordBatch.from_arrays([*b.columns[2:], pa.array(ids, pa.binary())], [*own, "ids"])
+            yield pa.RecordBatch.from_arrays([*b.columns[2:], *_results(v, ids, more)], [*own, "ids", *more])
     fields = [StructField(c, moved.schema[c].dataType) for c in own]
-    return rows.mapInArrow(work, StructType([*fields, StructField("ids", _type("binary"))]))
+    return rows.mapInArrow(work, StructType([*fields, *_result_fields(more)]))
 
 
 def decode(rows: DataFrame, ids: str = "ids", out: str = "decoded", path: str | None = None) -> DataFrame:
@@ -378,8 +393,7 @@ def decode(rows: DataFrame, ids: str = "ids", out: str = "decoded", path: str |
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
         for b in _slices(batches, at):
-            texts = [None if x is None else v.text(np.frombuffer(x, "<u4").tolist()).decode("utf-8", "replace")
-                     for x in b.column(at).to_pylist()]
+            texts = [None if x is None else v.decoded(x) for x in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], fields)
     done = t.mapInArrow(work, StructType([*t.schema.fields, StructField("decoded", _type("string"))]))
     return done.toDF(*names, out)

@@ -240,7 +240,7 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op12_bpe_reuse")
 def op12_bpe_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = bpe.decode(bpe.encode(documents(spark, sf_dir).select("doc_id", "text"), columns=["doc_id"]))
+    t = bpe.encode(documents(spark, sf_dir).select("doc_id", "text"), columns=["doc_id"], decoded="decoded")
     return t.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
                     F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 

@@ -34,5 +34,5 @@ def rounded(df: DataFrame, digits: int = 9) -> DataFrame:
 
 
 def load_all() -> None:
-    from . import (extra_q, fusion_q, graph_q, guard_q, lexical_q, model_q, prep_q,  # noqa: F401
+    from . import (boosting_q, extra_q, fusion_q, graph_q, guard_q, lexical_q, model_q, prep_q,  # noqa: F401
                    report_q, reputation_q)

@@ -5,7 +5,7 @@ graph scores, lexical model, fusion metrics, evaluation, batch scoring.
     python -m tidewatch features --raw-data-path urls.csv --output-path out/features
     python -m tidewatch legacy   --data-path out/features --output-path out/graph_features
     python -m tidewatch graph    --data-path out/features --output-path out/gnn_features
-    python -m tidewatch lexical  --data-path out/features --model-path out/lexical_model
+    python -m tidewatch lexical  --data-path out/features --model-path out/lexical_model [--lexical boosted]
     python -m tidewatch fusion   --data-path out/graph_features --model-path out/lexical_model \\
                                  --output-path out/hybrid_metrics [--alpha 0.7]
     python -m tidewatch evaluate --data-path out/graph_features --model-path out/lexical_model \\
@@ -89,15 +89,15 @@ def graph_job(spark: SparkSession, data_path: str, output_path: str, max_iter: i
     return {"val_log_loss": ll["log_loss"], "val_accuracy": ll["accuracy"]}
 
 
-def lexical_job(spark: SparkSession, data_path: str, model_path: str) -> dict:
-    """M1 on the train split; model saved with S7."""
+def lexical_job(spark: SparkSession, data_path: str, model_path: str, kind: str = "forest") -> dict:
+    """M1 (``kind``: forest or boosted) on the train split; model saved with S7."""
     df = spark.read.parquet(data_path)
     tcol = clean.resolve_target(df)
     df = _with_split(df, tcol)
-    model = MD.train_lexical_model(materialize(df.filter(F.col("split") == "train"), "lexical_train"),
-                                   label=tcol)
+    train = materialize(df.filter(F.col("split") == "train"), "lexical_train")
+    model = (MD.train_boosted_model if kind == "boosted" else MD.train_lexical_model)(train, label=tcol)
     MD.save_model(model, model_path)
-    return {"trees": len(model.stages[-1].trees)}
+    return {"trees": sum(map(len, model.trees)) if kind == "boosted" else len(model.stages[-1].trees)}
 
 
 def _fusion_input(spark: SparkSession, data_path: str, model_path: str) -> tuple[DataFrame, str]:
@@ -150,7 +150,7 @@ def evaluation_job(spark: SparkSession, data_path: str, model_path: str, output_
 
 
 def all_job(spark: SparkSession, raw_path: str, work_dir: str, mode: str = "legacy",
-            skip_prep: bool = False, alpha: float = SERVING_ALPHA) -> dict:
+            skip_prep: bool = False, alpha: float = SERVING_ALPHA, kind: str = "forest") -> dict:
     """Chain of the steps above; ``skip_prep`` reuses an existing feature table."""
     feats = f"{work_dir}/features"
     if skip_prep:
@@ -159,7 +159,7 @@ def all_job(spark: SparkSession, raw_path: str, work_dir: str, mode: str = "lega
         io.stage(spark, feats, missing)
     else:
         feature_job(spark, raw_path, feats, fix_bias=True)
-    lexical_job(spark, feats, f"{work_dir}/lexical_model")
+    lexical_job(spark, feats, f"{work_dir}/lexical_model", kind)
     gpath = f"{work_dir}/graph_features"
     (legacy_job if mode == "legacy" else graph_job)(spark, feats, gpath)
     res = fusion_job(spark, gpath, f"{work_dir}/lexical_model", f"{work_dir}/hybrid_metrics", alpha)
@@ -181,6 +181,7 @@ def main(argv=None) -> None:
     p.add_argument("--work-dir")
     p.add_argument("--alpha", type=float, default=None)
     p.add_argument("--mode", choices=["legacy", "gnn"], default="legacy")
+    p.add_argument("--lexical", choices=["forest", "boosted"], default="forest")
     p.add_argument("--skip-prep", action="store_true")
     p.add_argument("--master", default=None)
     a = p.parse_args(argv)
@@ -193,11 +194,11 @@ def main(argv=None) -> None:
     elif a.step == "graph":
         r = graph_job(spark, a.data_path, a.output_path)
     elif a.step == "lexical":
-        r = lexical_job(spark, a.data_path, a.model_path)
+        r = lexical_job(spark, a.data_path, a.model_path, a.lexical)
     elif a.step == "fusion":
         r = fusion_job(spark, a.data_path, a.model_path, a.output_path, a.alpha)
     elif a.step == "evaluate":
         r = evaluation_job(spark, a.data_path, a.model_path, a.output_path, _alpha(a.alpha))
     else:
-        r = all_job(spark, a.raw_data_path, a.work_dir, a.mode, a.skip_prep, _alpha(a.alpha))
+        r = all_job(spark, a.raw_data_path, a.work_dir, a.mode, a.skip_prep, _alpha(a.alpha), a.lexical)
     print(json.dumps(r, default=str))

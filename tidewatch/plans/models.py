@@ -1,7 +1,7 @@
 """Lexical and graph classifiers on Spark ML.
 
 M1: VectorAssembler + RandomForestClassifier on the 40 lexical features
-(native multiclass probabilities).  M2: the graph engine as "propagate, then
+(native multiclass probabilities), or gradient-boosted trees (operators.boosting).  M2: the graph engine as "propagate, then
 classify": two mean-aggregation hops (operators.graph.propagate) produce
 ``[x, domain mean, suffix mean]`` and a StandardScaler + multilayer
 perceptron (hidden 64, softmax over 4 classes) classifies them.  Both train
@@ -15,10 +15,11 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import CLASSES, FEATURE_COLS
+from ..operators.boosting import BoostedTrees, Params, fit_boosted
 
 K = len(CLASSES)
 
@@ -51,13 +52,24 @@ def train_lexical_model(train: DataFrame, feature_cols=FEATURE_COLS, label: str
     return Pipeline(stages=[asm, rf]).fit(data)
 
 
-def lexical_probs(model: PipelineModel, df: DataFrame, out: str = "p_lex") -> DataFrame:
+def train_boosted_model(train: DataFrame, feature_cols=FEATURE_COLS, label: str = "target",
+                        params: Params | None = None) -> BoostedTrees:
+    """M1: gradient-boosted trees on the lexical features, one tree a class and round."""
+    return fit_boosted(train, feature_cols, label, K, params)
+
+
+def lexical_probs(model: PipelineModel | BoostedTrees, df: DataFrame, out: str = "p_lex") -> DataFrame:
+    """Class probabilities of either lexical model."""
+    if isinstance(model, BoostedTrees):
+        return model.predict(df, out)
     cols = df.columns
     return model.transform(df).select(*cols, _padded(F.col("lex_prob")).alias(out))
 
 
-def forest_importance(spark, model: PipelineModel, feature_cols=FEATURE_COLS) -> DataFrame:
+def forest_importance(spark, model: PipelineModel | BoostedTrees, feature_cols=FEATURE_COLS) -> DataFrame:
     """``(feature, importance)`` of a fitted lexical model, one row a feature."""
+    if isinstance(model, BoostedTrees):
+        return spark.createDataFrame(model.importance(), "feature string, importance double")
     values = model.stages[-1].featureImportances.toArray()
     return spark.createDataFrame([(n, float(v)) for n, v in zip(feature_cols, values)],
                                  "feature string, importance double")
@@ -111,10 +123,19 @@ def export_graph_scores(df: DataFrame, p: str = "p_graph") -> DataFrame:
                      *[F.element_at(F.col(p), i + 1).alias(f"domain_class_{i}_prob") for i in range(K)])
 
 
-def save_model(model: PipelineModel, path: str) -> None:
-    """Persist a fitted pipeline."""
-    model.write().overwrite().save(path)
+def save_model(model: PipelineModel | BoostedTrees, path: str) -> None:
+    """Persist a fitted model."""
+    if isinstance(model, BoostedTrees):
+        spark = SparkSession.getActiveSession()
+        spark.createDataFrame([(model.to_json(),)], "boosted_trees string").write.mode("overwrite").parquet(path)
+    else:
+        model.write().overwrite().save(path)
 
 
-def load_model(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+def load_model(path: str) -> PipelineModel | BoostedTrees:
+    """Either kind: a Spark ML pipeline keeps a ``metadata`` folder, boosted trees are a one-row table."""
+    spark = SparkSession.getActiveSession()
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/metadata")
+    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return PipelineModel.load(path)
+    return BoostedTrees.from_json(spark.read.parquet(path).first()["boosted_trees"])

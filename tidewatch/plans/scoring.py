@@ -25,6 +25,7 @@ from ..functions.lexical import feature_columns
 from ..functions.probs import argmax, blend, class_name, confidence, normalise_exact, prob_map
 from ..operators import graph as GR
 from ..operators import guard as G
+from ..operators.boosting import BoostedTrees
 from ..operators.clean import normalise_url
 from ..operators.skew import skew_safe_left_join
 from ..operators.suffix import with_registered_domain
@@ -34,7 +35,7 @@ from . import models as MD
 
 @dataclass
 class Engines:
-    lexical: PipelineModel
+    lexical: PipelineModel | BoostedTrees
     graph: PipelineModel
     dim_domain: DataFrame      # registered_domain, dom_n, dom_sum_*, dom_*
     dim_tld: DataFrame         # tld, tld_*
@@ -52,13 +53,13 @@ def with_features(df: DataFrame, url_col: str = "url", normalise: bool = False)
 
 
 def fit_engines(labelled: DataFrame, alpha: float = SERVING_ALPHA, rf_trees: int = 20,
-                mlp_iter: int = 40, mlp_seeds=(42, 7)) -> Engines:
-    """Train M1 and M2 on ``split == 'train'`` (of the MLP candidates the one with
-    the lowest validation log loss stays); build the serving dims."""
+                mlp_iter: int = 40, mlp_seeds=(42, 7), lexical: str = "forest") -> Engines:
+    """Train M1 (``lexical``: forest or boosted) and M2 on ``split == 'train'`` (of the MLP
+    candidates the one with the lowest validation log loss stays); build the serving dims."""
     # the feature table is read by every step below: compute the 40 features once
     lf = materialize(with_features(labelled, normalise=True), "feature_table", partition_by=["split"])
     train = lf.filter(F.col("split") == "train")
-    lex = MD.train_lexical_model(train, num_trees=rf_trees)
+    lex = MD.train_boosted_model(train) if lexical == "boosted" else MD.train_lexical_model(train, num_trees=rf_trees)
     # The serving dimensions are written once and read back (pruned scans)
     prof = materialize(GR.domain_profile(lf, FEATURE_COLS), "dim_domain")
     tp = materialize(GR.tld_profile(prof, lf, FEATURE_COLS), "dim_tld")
@@ -76,7 +77,7 @@ def fit_engines(labelled: DataFrame, alpha: float = SERVING_ALPHA, rf_trees: int
 
 def save_engines(eng: Engines, path: str) -> None:
     """S6 + S7: persist models and dimension tables under ``path``."""
-    eng.lexical.write().overwrite().save(f"{path}/lexical_model")
+    MD.save_model(eng.lexical, f"{path}/lexical_model")
     eng.graph.write().overwrite().save(f"{path}/graph_model")
     eng.dim_domain.write.mode("overwrite").parquet(f"{path}/dim_domain")
     eng.dim_tld.write.mode("overwrite").parquet(f"{path}/dim_tld")
@@ -86,7 +87,7 @@ def save_engines(eng: Engines, path: str) -> None:
 
 
 def load_engines(spark, path: str) -> Engines:
-    return Engines(PipelineModel.load(f"{path}/lexical_model"), PipelineModel.load(f"{path}/graph_model"),
+    return Engines(MD.load_model(f"{path}/lexical_model"), PipelineModel.load(f"{path}/graph_model"),
                    spark.read.parquet(f"{path}/dim_domain"), spark.read.parquet(f"{path}/dim_tld"),
                    spark.read.parquet(f"{path}/global_profile"),
                    spark.read.parquet(f"{path}/alpha").first()["alpha"])

@@ -14,6 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.versions import KeyDictionary, KeyedSums
 from ..plans.scoring import Engines, score
 
 Transform = Callable[[DataFrame], DataFrame]
@@ -76,3 +77,24 @@ def foreach_batch_score(source: DataFrame, eng: Engines, out_dir: str, checkpoin
     """Micro-batch scoring with batch writes per epoch."""
     finish(stream_batches_into(source, lambda b: score(b, eng), out_dir, checkpoint_dir), timeout_s)
     return out_dir
+
+
+def keep_sums(source: DataFrame, table: KeyedSums, checkpoint_dir: str, transform: Transform | None = None) -> StreamingQuery:
+    """Keep a table of counts and sums up to date with a stream: one merge a micro-batch.
+
+    A batch that is run again after a failure has its epoch in the table's log and changes nothing.
+    """
+    def merge(batch: DataFrame, epoch_id: int) -> None:
+        table.merge(transform(batch) if transform else batch, epoch_id)
+
+    return (source.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint_dir)
+            .trigger(availableNow=True).start())
+
+
+def keep_ids(source: DataFrame, table: KeyDictionary, checkpoint_dir: str) -> StreamingQuery:
+    """Give the keys of a stream stable ids: one addition a micro-batch."""
+    def add(batch: DataFrame, epoch_id: int) -> None:
+        table.add(batch, epoch_id)
+
+    return (source.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint_dir)
+            .trigger(availableNow=True).start())

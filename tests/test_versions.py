@@ -102,3 +102,16 @@ def test_two_writers_of_one_version_never_share_an_id(spark):
     assert two.read().count() == 2
     assert two.add(keys("b", "c")) == 1  # and repeats from the new one
     assert sorted((r["k"], r["id"]) for r in one.read().collect()) == [("a", 0), ("b", 1), ("c", 2)]
+
+
+def test_a_repeated_run_leaves_one_record(spark):
+    from tidewatch.plans.reports import append_runs, latest_runs, run_table
+    path = folder() + "/runs"
+    rec = lambda *f1: spark.createDataFrame([(m, f) for m, f in zip(("lexical", "hybrid"), f1)], "model string, macro_f1 double")
+    append_runs(rec(0.1, 0.2), path, "01", "2026-01-01 10:00:00")
+    append_runs(rec(0.3, 0.4), path, "02", "2026-01-02 10:00:00")
+    append_runs(rec(0.5, 0.6), path, "02", "2026-01-02 11:00:00")
+    append_runs(rec(0.7), path, "1", "2026-01-02 11:00:00")
+    assert sorted((r["run_id"], r["model"], r["macro_f1"]) for r in run_table(spark, path).collect()) == [
+        ("01", "hybrid", 0.2), ("01", "lexical", 0.1), ("02", "hybrid", 0.6), ("02", "lexical", 0.5), ("1", "lexical", 0.7)]
+    assert sorted((r["model"], r["run_id"]) for r in latest_runs(spark, path).collect()) == [("hybrid", "02"), ("lexical", "1")]

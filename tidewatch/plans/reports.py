@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 
 def fusion_metrics_doc(search: DataFrame, summary: DataFrame, confusion: DataFrame,
@@ -39,3 +40,25 @@ def comparison_record(model_metrics: DataFrame, info: DataFrame) -> DataFrame:
                                                    (F.col("hybrid_macro_f1") - F.col("lightgbm_macro_f1"))
                                                    / F.col("lightgbm_macro_f1") * 100.0).otherwise(0.0))
     return r.crossJoin(info).withColumn("timestamp", F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss"))
+
+
+def append_runs(records: DataFrame, path: str, run_id: str, finished: str) -> None:
+    """Add a run's records (one row a model) to the run table; a run written again replaces its own
+    partition and no other."""
+    r = records.withColumn("finished", F.lit(finished).cast("timestamp")).withColumn("run_id", F.lit(run_id))
+    r.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
+
+
+def run_table(spark: SparkSession, path: str) -> DataFrame:
+    """Every record; the run id is text, whatever it looks like."""
+    schema = StructType([f if f.name != "run_id" else StructField("run_id", StringType())
+                         for f in spark.read.parquet(path).schema])
+    return spark.read.schema(schema).parquet(path)
+
+
+def latest_runs(spark: SparkSession, path: str, by: str = "model") -> DataFrame:
+    """Each model's record of the run that ended last (of runs that ended together, the larger id)."""
+    t = run_table(spark, path)
+    newest = t.groupBy(by).agg(F.max(F.struct("finished", "run_id")).alias("_last"))
+    t = t.join(newest, by)
+    return t.filter((F.col("finished") == F.col("_last.finished")) & (F.col("run_id") == F.col("_last.run_id"))).drop("_last")

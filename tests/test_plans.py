@@ -64,3 +64,29 @@ def test_roc_has_no_whole_class_window(static_spark):
     p = _plan(static_spark, "auc")
     # the prefix-sum window over scores is partitioned by (class, bucket)
     assert re.search(r"windowspecdefinition\(cls#\d+, _bk#\d+, score#\d+ DESC", p)
+
+
+def test_scoring_moves_no_dimension(static_spark):
+    """The dimension side of a lookup is read bucketed by its key, without an exchange."""
+    p = _plan(static_spark, "score_batch")
+    assert "Bucketed: true" in p
+    # the URLs, and the fixed allow list's distinct entries ahead of their broadcast
+    assert sorted(re.findall(r"Exchange hashpartitioning\((\w+)#", p)) == ["page_id", "registered_domain"]
+
+
+def test_the_engines_dimensions_are_bucketed_too(static_spark):
+    from pyspark.sql import functions as F
+    from tidewatch.operators.skew import hot_keys_of, skew_safe_left_join
+    from tidewatch.session import bucketed_table
+    rows = static_spark.range(1000).select("id", F.concat(F.lit("k"), (F.col("id") % 90).cast("string")).alias("k"))
+    dim = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    plain, kept = (skew_safe_left_join(rows, d, "k", "n", F.xxhash64("id"), hot=hot_keys_of(rows, ["k"], 0.5)["k"])
+                   for d in (dim, bucketed_table(dim, "dim", "k")))
+    p = kept._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in p and "hashpartitioning(_ck" not in p and "hashpartitioning(_jk" in p
+    assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, plain.collect()))
+
+
+def test_lookups_that_follow_each_other_do_not_run_twice(static_spark):
+    p = _plan(static_spark, "reputation_lineitem")
+    assert p.count("Scan parquet") <= 8 and p.count("Join") <= 10

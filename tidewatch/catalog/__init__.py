@@ -35,4 +35,4 @@ def rounded(df: DataFrame, digits: int = 9) -> DataFrame:
 
 def load_all() -> None:
     from . import (boosting_q, extra_q, fusion_q, graph_q, guard_q, kept_q, lexical_q, model_q, prep_q,  # noqa: F401
-                   report_q, reputation_q)
+                   report_q, reputation_q, typed_q)

@@ -24,7 +24,7 @@ from ..plans import models as MD
 from ..plans.prepare import labelled_urls
 from ..plans.scores import scored_urls
 from ..plans.scoring import fit_engines, score, verdict, with_features
-from ..session import ensure_checkpoint_dir, input_signature, materialize
+from ..session import bucketed_table, ensure_checkpoint_dir, input_signature, materialize
 from ..sources.tables import page_url, url_table
 from ..streaming.score_stream import finish, run_stream_score, stream_batches_into, stream_into, url_stream
 from . import query, rounded
@@ -64,7 +64,7 @@ _DECIDED_SQL = ("SELECT page_id, url, 'ok' AS status, is_allowed, " + f"{_NAMES_
 def _fixed(spark, sf_dir):
     """Serving vector, domain and unseen flag of every page: the static side."""
     h = G.flag_unseen(_serving(spark, sf_dir), "path_key", _known(spark, sf_dir))
-    return materialize(h.select("page_id", "registered_domain", "is_unseen", "p_serve"), "fixed_scores")
+    return bucketed_table(h.select("page_id", "registered_domain", "is_unseen", "p_serve"), "fixed_scores", "page_id")
 
 
 def _decide(urls, fixed):

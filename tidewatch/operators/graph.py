@@ -103,19 +103,21 @@ def propagate(df: DataFrame, feature_cols, domain: str = "registered_domain", tl
     wildcard rule makes any label a suffix, so the suffix table has no bound).
     """
     from ..session import materialize
-    from .skew import skew_safe_left_join
+    from .skew import hot_keys_of, skew_safe_left_join
     # the profile is read three times (suffix means, hot keys, lookup): write it once
     prof = profile if profile is not None else materialize(domain_profile(df, feature_cols, domain),
                                                            "domain_profile")
     tp = suffix_profile if suffix_profile is not None else tld_profile(prof, df, feature_cols, domain, tld)
     keep = prof.select(domain, "dom_n", *[f"dom_{c}" for c in feature_cols])
     spread = spread if spread is not None else F.xxhash64(*[F.col(c) for c in df.columns])
-    out = skew_safe_left_join(df, keep, domain, "dom_n", spread)
-    return skew_safe_left_join(out, tp, tld, "tld_n", F.xxhash64(spread))
+    hot = hot_keys_of(df, [domain, tld])
+    out = skew_safe_left_join(df, keep, domain, "dom_n", spread, hot=hot[domain])
+    return skew_safe_left_join(out, tp, tld, "tld_n", F.xxhash64(spread), hot=hot[tld])
 
 
 def cold_start(query: DataFrame, profile: DataFrame, glob: DataFrame, feature_cols,
-               domain: str = "registered_domain", spread: Column | None = None) -> DataFrame:
+               domain: str = "registered_domain", spread: Column | None = None,
+               hot: DataFrame | None = None) -> DataFrame:
     """Domain-side mean for URLs scored against a fixed graph.
 
     A known domain folds the query URL in as one more neighbour,
@@ -127,7 +129,7 @@ def cold_start(query: DataFrame, profile: DataFrame, glob: DataFrame, feature_co
     p = profile.select(domain, "dom_n", *[f"dom_sum_{c}" for c in feature_cols])
     spread = spread if spread is not None else F.xxhash64(*[F.col(c) for c in query.columns])
     # a popular domain in the query batch must not land on one reducer
-    j = skew_safe_left_join(query, p, domain, "dom_n", spread).crossJoin(F.broadcast(glob))  # one row
+    j = skew_safe_left_join(query, p, domain, "dom_n", spread, hot=hot).crossJoin(F.broadcast(glob))  # one row
     cols = [F.col(c) for c in query.columns] + [F.col("dom_n").isNull().alias("domain_unseen")]
     for c in feature_cols:
         cols.append(F.when(F.col("dom_n").isNull(), F.col(f"glob_{c}"))

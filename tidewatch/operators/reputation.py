@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .skew import skew_safe_left_join
+from .skew import hot_keys_of, skew_safe_left_join
 
 
 def class_index(class_col: str, classes) -> Column:
@@ -91,9 +91,10 @@ def apply_reputation(df: DataFrame, stats: dict, key: str, parent: str, k: int,
     if spread is None:
         spread = F.xxhash64(*[F.col(c) for c in df.columns])
     pri = stats["pri"]
-    out = skew_safe_left_join(df, stats["dom"], key, "dom_n", spread, hot_fraction)
+    hot = hot_keys_of(df, [key, parent], hot_fraction)
+    out = skew_safe_left_join(df, stats["dom"], key, "dom_n", spread, hot_fraction, hot[key])
     # the parent key is the hottest there is (a suffix, a nation): same join
-    out = skew_safe_left_join(out, stats["par"], parent, None, F.xxhash64(spread), hot_fraction)
+    out = skew_safe_left_join(out, stats["par"], parent, None, F.xxhash64(spread), hot_fraction, hot[parent])
     out = out.crossJoin(F.broadcast(pri.drop("_total")))  # one row
     cols = [F.coalesce(F.col("dom_n"), F.lit(0)).cast("long").alias("domain_frequency"),
             F.coalesce(F.col("dom_entropy"), F.lit(0.0)).alias("domain_class_entropy")]

@@ -17,8 +17,25 @@ def hot_keys(rows: DataFrame, key: str, fraction: float, weight: Column | None =
             .filter(F.col("_n") >= F.lit(fraction) * F.col("_total")).select(key))
 
 
+def hot_keys_of(rows: DataFrame, keys, fraction: float = 1e-4) -> dict[str, DataFrame]:
+    """:func:`hot_keys` of several columns from one pass over ``rows``, written: at most ``1 / fraction`` keys a
+    column.  Joins that follow each other take theirs from here; counted on their own input, each would
+    run the joins before it once more.  None for a stream, which cannot be counted ahead."""
+    from ..session import materialize
+    if rows.isStreaming:
+        return {k: None for k in keys}
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("k"), F.col(c).cast("string").alias("v"))
+                               for i, c in enumerate(keys)]))
+    n = rows.select(each.alias("e")).filter("e.v IS NOT NULL").groupBy("e.k", "e.v").agg(F.count(F.lit(1)).alias("n"))
+    total = n.groupBy("k").agg(F.sum("n").alias("total"))  # one row a column
+    found = materialize(n.join(F.broadcast(total), "k").filter(F.col("n") >= F.lit(fraction) * F.col("total")).select("k", "v"),
+                        "hot_keys")
+    return {c: found.filter(F.col("k") == i).select(F.col("v").cast(rows.schema[c].dataType).alias(c))
+            for i, c in enumerate(keys)}
+
+
 def skew_safe_left_join(big: DataFrame, stats: DataFrame, key: str, count_col: str | None,
-                        spread: Column, hot_fraction: float = 1e-4) -> DataFrame:
+                        spread: Column, hot_fraction: float = 1e-4, hot: DataFrame | None = None) -> DataFrame:
     """``big LEFT JOIN stats USING (key)`` where ``stats`` is unique per key.
 
     Hot keys are found in the rows being joined, whether ``stats`` knows them or
@@ -26,10 +43,16 @@ def skew_safe_left_join(big: DataFrame, stats: DataFrame, key: str, count_col: s
     other keys the hot rows get a non-matching join key spread by ``spread`` (a
     deterministic per-row hash), so no reducer receives a hot key's rows in one
     piece.  NULL keys are spread the same way.  A stream cannot be counted ahead:
-    there the keys that are hot in ``count_col`` of the stats are taken.
+    there the keys that are hot in ``count_col`` of the stats are taken.  ``hot``: these
+    keys, where they are known already (:func:`hot_keys_of`).
+
+    The cold side is joined on ``key`` as it stands: bucketed by it (``session.bucketed_table``), it does
+    not move.
     """
     stat_cols = [c for c in stats.columns if c != key]
-    if big.isStreaming:
+    if hot is not None:
+        pass
+    elif big.isStreaming:
         hot = hot_keys(stats, key, hot_fraction, F.col(count_col)) if count_col else stats.limit(0).select(key)
     else:
         hot = hot_keys(big, key, hot_fraction)

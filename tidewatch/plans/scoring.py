@@ -27,9 +27,9 @@ from ..operators import graph as GR
 from ..operators import guard as G
 from ..operators.boosting import BoostedTrees
 from ..operators.clean import normalise_url
-from ..operators.skew import skew_safe_left_join
+from ..operators.skew import hot_keys_of, skew_safe_left_join
 from ..operators.suffix import with_registered_domain
-from ..session import materialize
+from ..session import bucketed_table, materialize
 from . import models as MD
 
 
@@ -61,8 +61,9 @@ def fit_engines(labelled: DataFrame, alpha: float = SERVING_ALPHA, rf_trees: int
     train = lf.filter(F.col("split") == "train")
     lex = MD.train_boosted_model(train) if lexical == "boosted" else MD.train_lexical_model(train, num_trees=rf_trees)
     # The serving dimensions are written once and read back (pruned scans)
-    prof = materialize(GR.domain_profile(lf, FEATURE_COLS), "dim_domain")
-    tp = materialize(GR.tld_profile(prof, lf, FEATURE_COLS), "dim_tld")
+    # bucketed by their key, so that lookups move the URLs only
+    prof = bucketed_table(GR.domain_profile(lf, FEATURE_COLS), "dim_domain", "registered_domain")
+    tp = bucketed_table(GR.tld_profile(prof, lf, FEATURE_COLS), "dim_tld", "tld")
     glob = materialize(GR.global_profile(prof, train, FEATURE_COLS), "global_profile")
     prop = GR.propagate(lf, FEATURE_COLS, spread=F.xxhash64("url"), profile=prof, suffix_profile=tp)
     prop = GR.with_suffix_vector(prop, "tld", MD.SUFFIX_BUCKETS)
@@ -105,8 +106,9 @@ def graph_probs_cold(feats: DataFrame, eng: Engines, keep: list[str]) -> DataFra
     """Graph engine on rows with features and registered domain: ``p_graph`` and ``domain_unseen``."""
     # the URL joins its domain as one more neighbour
     spread = F.xxhash64(*[F.col(c) for c in keep])
-    cs = GR.cold_start(feats, eng.dim_domain, eng.glob, FEATURE_COLS, spread=spread)
-    cs = skew_safe_left_join(cs, eng.dim_tld, "tld", "tld_n", F.xxhash64(spread))
+    hot = hot_keys_of(feats, ["registered_domain", "tld"])
+    cs = GR.cold_start(feats, eng.dim_domain, eng.glob, FEATURE_COLS, spread=spread, hot=hot["registered_domain"])
+    cs = skew_safe_left_join(cs, eng.dim_tld, "tld", "tld_n", F.xxhash64(spread), hot=hot["tld"])
     cs = cs.crossJoin(F.broadcast(eng.glob))  # one row
     # an unseen suffix falls back to the global profile
     cs = cs.select(*[c for c in cs.columns if not c.startswith(("cs_", "tld_", "glob_"))],

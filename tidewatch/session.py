@@ -151,6 +151,24 @@ def materialize(df, name: str = "stage", key: tuple | None = None, partition_by=
     return spark.read.parquet(path)
 
 
+def bucketed_table(df, name: str, key: str, buckets: int | None = None):
+    """Write ``df`` under the shared checkpoint directory, bucketed and sorted by ``key``, and read it back.
+
+    A join on ``key`` reads the buckets as they lie: only its other side is shuffled, to as many
+    partitions.  ``buckets`` is the number of shuffle partitions unless given (with fewer, Spark may
+    shuffle both sides to use its cores).
+    """
+    import uuid
+    spark = df.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"{name}_{uuid.uuid4().hex}"
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{table}"
+    # one task a bucket writes one file
+    (df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", path).format("parquet").saveAsTable(table))
+    _UNKEYED.append((spark, path))
+    return spark.table(table)
+
+
 def release_stages(spark: SparkSession | None = None) -> int:
     """Delete the unkeyed stage tables written so far (of ``spark``, or all);
     frames that still read them must not be used afterwards."""

@@ -6,12 +6,15 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..constants import FEATURE_COLS
+from ..constants import CLASSES, FEATURE_COLS
 from ..operators import metrics as M
+from ..operators import sketches as K
 from ..operators.versions import KeyDictionary, KeyedSums
 from ..plans.prepare import labelled_urls
 from ..plans.reports import append_runs, latest_runs
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, materialize
+from ..sources import io
+from ..sources.tables import DIRTY_SQL, dirty_url_table
 from ..streaming.score_stream import finish, keep_sums, url_stream
 from . import ORACLE, query, rounded
 from .fusion_q import _models
@@ -67,3 +70,51 @@ def run_history(spark, sf_dir):
     append_runs(m.filter("model <> 'lexical'"), path, "c", "2026-01-03 00:00:00")
     cols = ["accuracy", "macro_precision", "macro_recall", "macro_f1"]
     return rounded(latest_runs(spark, path).select("model", "run_id", *cols))
+
+
+_NAMES = ", ".join(f"'{c}'" for c in CLASSES)
+_STATUS_SQL = f"""SELECT CASE WHEN page_id % 11 = 7 THEN 'malformed' WHEN url IS NULL OR type IS NULL THEN 'missing'
+  WHEN NOT regexp_matches(url, '\\S') THEN 'blank' WHEN lower(trim(type)) NOT IN ({_NAMES}) THEN 'unknown_class' ELSE 'kept' END AS status,
+  page_id, url FROM ({DIRTY_SQL})"""
+
+
+@query("ingest_rejects", f"""WITH s AS ({_STATUS_SQL}), k(status) AS (VALUES {', '.join(f"('{s}')" for s in io.STATUSES)})
+SELECT k.status, count(s.status) AS n_observed, count(s.status) AS n_written,
+  CAST(coalesce(sum(length(url)) FILTER (s.status = 'kept'), 0) AS BIGINT) AS kept_chars FROM k LEFT JOIN s ON k.status = s.status GROUP BY k.status""")
+def ingest_rejects(spark, sf_dir):
+    """A dirty CSV of all URLs (some records with a field too many) read once; kept and rejected
+    records with the counts observed on the way."""
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(F.col(c), F.lit('"'), F.lit('""')), F.lit('"'))
+    extra = F.when(F.col("page_id") % 11 == 7, F.lit(",one more")).otherwise(F.lit(""))
+    line = F.concat(F.coalesce(quoted("url"), F.lit("")), F.lit(","), F.coalesce(quoted("type"), F.lit("")), extra)
+    raw, out = _folder(spark, "raw"), _folder(spark, "ingested")
+    dirty_url_table(spark, sf_dir).select(line.alias("value")).write.text(raw)
+    counts = io.ingest_csv(spark, raw, out, header=False)
+    seen = spark.createDataFrame([(s, counts[s]) for s in io.STATUSES], "status string, n_observed long")
+    kept = io.read_ingested(spark, out).select(F.lit("kept").alias("status"), F.length("url").alias("chars"))
+    gone = io.read_ingested(spark, out, rejected=True).select("status", F.lit(0).alias("chars"))
+    there = kept.unionByName(gone).groupBy("status").agg(F.count(F.lit(1)).alias("n_written"), F.sum("chars").alias("kept_chars"))
+    return seen.join(there, "status", "left").select("status", "n_observed", F.coalesce("n_written", F.lit(0)).alias("n_written"),
+                                                     F.coalesce("kept_chars", F.lit(0)).alias("kept_chars"))
+
+
+@query("distinct_sketches", f"""WITH l AS ({LABELLED_SQL}) SELECT CAST(target AS INTEGER) AS class, count(*) AS n_rows,
+  count(DISTINCT registered_domain) AS n_exact, true AS within_bound, true AS union_alike FROM l GROUP BY target
+UNION ALL SELECT NULL, count(*), count(DISTINCT registered_domain), true, true FROM l""")
+def distinct_sketches(spark, sf_dir):
+    """Distinct domains a class and of all from sketches stored a (class, split), united without a
+    rescan; within four standard errors of the exact count, and the same as sketches made in one pass."""
+    u = labelled_urls(spark, sf_dir)
+    stored = materialize(K.distinct_sketches(u, "registered_domain", ["target", "split"]), "sketches")
+    once = K.distinct_sketches(u, "registered_domain", ["target"])
+    a = K.estimates(K.united(stored, ["target"]).unionByName(K.united(stored).withColumn("target", F.lit(None).cast("int"))))
+    b = K.estimates(K.united(once, ["target"]).unionByName(K.united(once).withColumn("target", F.lit(None).cast("int"))))
+    exact = u.groupBy("target").agg(F.countDistinct("registered_domain").alias("n_exact")).unionByName(
+        u.agg(F.countDistinct("registered_domain").alias("n_exact")).withColumn("target", F.lit(None).cast("int")))
+    # one row a class on either side
+    same = lambda x, y: F.col(f"{x}.target").eqNullSafe(F.col(f"{y}.target"))
+    j = a.alias("a").join(b.alias("b"), same("a", "b")).join(exact.alias("e"), same("a", "e"))
+    off = F.abs(F.col("a.n_distinct") - F.col("e.n_exact"))
+    return j.select(F.col("a.target").alias("class"), F.col("a.n_rows").alias("n_rows"), "e.n_exact",
+                    (off <= F.greatest(F.lit(0.5), 4 * K.ERROR * F.col("e.n_exact"))).alias("within_bound"),
+                    (F.col("a.n_distinct") == F.col("b.n_distinct")).alias("union_alike"))

@@ -156,12 +156,16 @@ def _forest(spark, sf_dir):
     return lf, MD.train_lexical_model(lf.filter(F.col("split") == "train"))
 
 
-def _graph_scores(spark, sf_dir):
+def _graph_table(spark, sf_dir):
     lf = with_features(labelled_urls(spark, sf_dir), normalise=True)
     prop = GR.with_suffix_vector(GR.propagate(lf, FEATURE_COLS, spread=F.xxhash64("url")), "tld",
                                  MD.SUFFIX_BUCKETS)
     cols = MD.graph_feature_cols()
-    prop = materialize(prop.select("page_id", "target", "split", *cols), "graph_train", partition_by=["split"])
+    return materialize(prop.select("page_id", "target", "split", *cols), "graph_train", partition_by=["split"]), cols
+
+
+def _graph_scores(spark, sf_dir):
+    prop, cols = _graph_table(spark, sf_dir)
     m, _ = MD.select_graph_model(prop.filter(F.col("split") == "train"), prop.filter(F.col("split") == "val"), cols)
     return MD.graph_probs(m, prop, cols)
 
@@ -194,6 +198,27 @@ def mlp_scores_model(spark, sf_dir):
     return rounded(g.select("page_id", "split", *[f"domain_class_{i}_prob" for i in CLS]))
 
 
+@query("mlp_slices", f"SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS n_bad, true AS kept_is_lowest, true AS resumed_alike, "
+       f"true AS beats_prior FROM ({LABELLED_SQL})")
+def mlp_slices(spark, sf_dir):
+    """M2: training in slices; the kept model has the lowest validation loss, a second call goes on from
+    the stored slices, and the model has learnt."""
+    prop, cols = _graph_table(spark, sf_dir)
+    train, val = prop.filter("split = 'train'"), prop.filter("split = 'val'")
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/models/{uuid.uuid4().hex}"
+    MD.train_graph_in_slices(train, val, cols, folder, slices=2, slice_iter=10)  # as if the driver was lost here
+    model, table = MD.train_graph_in_slices(train, val, cols, folder, slices=4, slice_iter=10)
+    scored = materialize(MD.graph_probs(model, prop, cols).select("split", "target", "p_graph"), "slice_scores")
+    per = _facts(scored, "p_graph")
+    own = M.log_loss(scored.filter("split = 'val'"), "p_graph", "target").select(F.col("log_loss").alias("own"))
+    low = table.agg(F.min("val_log_loss").alias("low"), F.min(F.when(F.col("kept"), F.col("val_log_loss"))).alias("kept"),
+                    F.max("slice").alias("last"))
+    total = per.agg(F.sum("n_rows").alias("n_rows"), F.sum("n_bad").alias("n_bad"), F.min("beats_prior").alias("beats_prior"))
+    one = total.crossJoin(F.broadcast(own)).crossJoin(F.broadcast(low))  # one row each
+    return one.select("n_rows", "n_bad", (F.col("kept") == F.col("low")).alias("kept_is_lowest"),
+                      ((F.abs(F.col("own") - F.col("kept")) < 1e-9) & (F.col("last") >= 2)).alias("resumed_alike"), "beats_prior")
+
+
 @query("importance_facts", f"SELECT CAST({len(FEATURE_COLS)} AS BIGINT) AS n_features, CAST(1.0 AS DOUBLE) AS total, "
        "CAST(0 AS BIGINT) AS n_negative, true AS some_are_used")
 def importance_facts(spark, sf_dir):

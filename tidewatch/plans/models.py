@@ -110,6 +110,67 @@ def select_graph_model(train: DataFrame, val: DataFrame, cols, label: str = "tar
     return best[0], table
 
 
+def train_graph_in_slices(train: DataFrame, val: DataFrame, cols, folder: str, label: str = "target", hidden: int = 64,
+                          slices: int = 8, slice_iter: int = 10, patience: int = 3, seed: int = 42):
+    """M2 as the original trains it: after every slice of iterations the validation loss, the best weights kept.
+
+    A slice starts from the weights of the one before it and stores its model and losses below ``folder``.
+    Training ends after ``slices``, or ``patience`` of them without a lower validation loss.  Called
+    again with the same folder (a lost driver), it goes on after the last slice that was stored
+    whole.  Returns the model of the lowest validation loss (of equal ones the first) and the table of losses.
+    """
+    from ..operators.metrics import log_loss
+    spark = train.sparkSession
+    filled = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in cols]
+    stored = _stored_slices(spark, folder)
+    scale = weights = data = None
+    losses = []
+    for i in range(slices):
+        place = f"{folder.rstrip('/')}/slice={i}"
+        if i in stored:
+            model = PipelineModel.load(f"{place}/model")
+        else:
+            if data is None:  # only where a slice is left to train
+                scale = Pipeline(stages=[VectorAssembler(inputCols=list(cols), outputCol="g_vec", handleInvalid="keep"),
+                                         StandardScaler(inputCol="g_vec", outputCol="g_scaled", withMean=True, withStd=True)])
+                scale = scale.fit(train.select(*filled))
+                data = scale.transform(train.select(*filled, F.col(label).cast("double").alias(label)))
+                data = data.select("g_scaled", label).persist(StorageLevel.MEMORY_AND_DISK)
+            mlp = MultilayerPerceptronClassifier(
+                featuresCol="g_scaled", labelCol=label, probabilityCol="g_prob", rawPredictionCol="g_raw",
+                predictionCol="g_pred", layers=[len(cols), hidden, K], maxIter=slice_iter, seed=seed)
+            if weights is not None:
+                mlp = mlp.setInitialWeights(weights)
+            model = PipelineModel(stages=[*scale.stages, mlp.fit(data)])
+            model.write().overwrite().save(f"{place}/model")
+            ll = log_loss(graph_probs(model, val, cols), "p_graph", label).first()
+            row = [(i, float(ll["log_loss"]), float(ll["accuracy"]))]
+            # written last: a slice without its losses does not count
+            spark.createDataFrame(row, SLICES).coalesce(1).write.mode("overwrite").parquet(f"{place}/losses")
+        weights = model.stages[-1].weights
+        losses.append(tuple(spark.read.schema(SLICES).parquet(f"{place}/losses").first()))
+        best = min(losses, key=lambda r: (r[1], r[0]))
+        if i - best[0] >= patience:
+            break
+    if data is not None:
+        data.unpersist()
+    return (PipelineModel.load(f"{folder.rstrip('/')}/slice={best[0]}/model"),
+            spark.createDataFrame([(*r, r[0] == best[0]) for r in losses], SLICES + ", kept boolean"))
+
+
+SLICES = "slice int, val_log_loss double, val_accuracy double"
+
+
+def _stored_slices(spark: SparkSession, folder: str) -> set[int]:
+    """Slices from 0 on whose losses were written; one that is missing ends the row."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    out: set[int] = set()
+    while fs.exists(path(f"{folder.rstrip('/')}/slice={len(out)}/losses/_SUCCESS")):
+        out.add(len(out))
+    return out
+
+
 def graph_probs(model: PipelineModel, df: DataFrame, cols, out: str = "p_graph") -> DataFrame:
     keep = df.columns
     filled = df.select(*[F.col(c) for c in keep if c not in cols],

@@ -14,7 +14,7 @@ without state.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
@@ -29,6 +29,7 @@ from ..operators.boosting import BoostedTrees
 from ..operators.clean import normalise_url
 from ..operators.skew import hot_keys_of, skew_safe_left_join
 from ..operators.suffix import with_registered_domain
+from ..operators.versions import KeyedSums
 from ..session import bucketed_table, materialize
 from . import models as MD
 
@@ -53,9 +54,11 @@ def with_features(df: DataFrame, url_col: str = "url", normalise: bool = False)
 
 
 def fit_engines(labelled: DataFrame, alpha: float = SERVING_ALPHA, rf_trees: int = 20,
-                mlp_iter: int = 40, mlp_seeds=(42, 7), lexical: str = "forest") -> Engines:
+                mlp_iter: int = 40, mlp_seeds=(42, 7), lexical: str = "forest",
+                slices_path: str | None = None) -> Engines:
     """Train M1 (``lexical``: forest or boosted) and M2 on ``split == 'train'`` (of the MLP
-    candidates the one with the lowest validation log loss stays); build the serving dims."""
+    candidates the one with the lowest validation log loss stays; with ``slices_path`` the best
+    slice of one training that can be resumed there); build the serving dims."""
     # the feature table is read by every step below: compute the 40 features once
     lf = materialize(with_features(labelled, normalise=True), "feature_table", partition_by=["split"])
     train = lf.filter(F.col("split") == "train")
@@ -71,11 +74,19 @@ def fit_engines(labelled: DataFrame, alpha: float = SERVING_ALPHA, rf_trees: int
     # iterative training reads its input once per iteration: cut the lineage
     prop = materialize(prop, "graph_features", partition_by=["split"])
     gtrain = prop.filter(F.col("split") == "train")
-    gmodel, _ = MD.select_graph_model(gtrain, prop.filter(F.col("split") == "val"), gcols,
-                                      candidates=tuple((mlp_iter, sd) for sd in mlp_seeds))
+    gval = prop.filter(F.col("split") == "val")
+    if slices_path:
+        gmodel, _ = MD.train_graph_in_slices(gtrain, gval, gcols, slices_path)
+    else:
+        gmodel, _ = MD.select_graph_model(gtrain, gval, gcols, candidates=tuple((mlp_iter, sd) for sd in mlp_seeds))
     return Engines(lex, gmodel, prof, tp, glob, alpha)
 
 
+def refreshed(eng: Engines, profile: KeyedSums) -> Engines:
+    """The engines with the domain profile as a kept table has it now."""
+    return replace(eng, dim_domain=profile.profile())
+
+
 def save_engines(eng: Engines, path: str) -> None:
     """S6 + S7: persist models and dimension tables under ``path``."""
     MD.save_model(eng.lexical, f"{path}/lexical_model")

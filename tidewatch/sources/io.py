@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..constants import CLASS_IDS
+
 RAW_SCHEMA = "url string, type string"
 
 # fixed values: strings a pandas CSV reader treats as missing by default
@@ -30,6 +32,43 @@ def read_raw_csv(spark: SparkSession, path: str, schema: str = RAW_SCHEMA, multi
                        for c in df.columns])
 
 
+def ingest_csv(spark: SparkSession, path: str, out: str, schema: str = RAW_SCHEMA, header: bool = True) -> dict[str, int]:
+    """S1 + C3 + C4 with the rejected rows kept: every record of the raw CSV goes below ``out`` in one pass,
+    in a folder of its ``status`` (:func:`ingest_status`), rejected ones with their text (``record``).
+
+    Returns the records of each status, observed while they were written.
+    """
+    from pyspark.sql import Observation
+    raw = (spark.read.schema(f"{schema}, record string").option("header", header).option("quote", '"').option("escape", '"')
+           .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "record").csv(path))
+    na = F.array(*[F.lit(v) for v in PANDAS_NA_VALUES])
+    blanked = [F.when(F.array_contains(na, F.col(c)), F.lit(None)).otherwise(F.col(c)).alias(c) for c in raw.columns if c != "record"]
+    t = raw.select(*blanked, "record").withColumn("status", ingest_status())
+    seen = Observation()
+    counts = [F.sum((F.col("status") == s).cast("long")).alias(s) for s in STATUSES]
+    t = t.observe(seen, *counts)
+    # a kept record needs no text; of a rejected one all that was read is told
+    text = F.when(F.col("status") != "kept", F.coalesce("record", F.to_csv(F.struct(*[c for c in t.columns if c not in ("record", "status")]))))
+    t.withColumn("record", text).write.mode("overwrite").partitionBy("status").parquet(out)
+    return {s: int(seen.get[s] or 0) for s in STATUSES}
+
+
+STATUSES = ["kept", "malformed", "missing", "blank", "unknown_class"]
+
+
+def ingest_status(url: str = "url", label: str = "type", record: str = "record") -> Column:
+    """What becomes of a raw record: the first of the reasons for which cleaning drops it, else ``kept``."""
+    name = F.regexp_replace(F.lower(F.col(label)), r"(?U)^\s+|\s+$", "")
+    return (F.when(F.col(record).isNotNull(), "malformed").when(F.col(url).isNull() | F.col(label).isNull(), "missing")
+            .when(~F.col(url).rlike(r"(?U)\S"), "blank").when(~name.isin(list(CLASS_IDS)), "unknown_class").otherwise("kept"))
+
+
+def read_ingested(spark: SparkSession, out: str, rejected: bool = False, schema: str = RAW_SCHEMA) -> DataFrame:
+    """The kept records, or the rejected ones with their status and text; only their folders are read."""
+    t = spark.read.schema(f"{schema}, record string, status string").parquet(out)
+    return t.filter("status <> 'kept'") if rejected else t.filter("status = 'kept'").drop("status", "record")
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """CSV with header (quotes escaped by doubling, blanks kept)."""
     (df.write.mode("overwrite").option("header", True).option("escape", '"')

@@ -11,8 +11,8 @@ when nothing is gained.
 Groups have at most about ``GROUP`` pieces whatever the input, hold ids and lengths only, and are
 independent of the order in which rows arrive.  Each round is written to the shared folder.
 
-Ids come from the public byte-level vocabulary through tiktoken, which gives the ids of the
-tokenizers library for it (a test compares the two) at a quarter of its time.
+Ids are those of the tokenizers library at its defaults for the byte-level vocabulary file (strings of
+special tokens get their special id); :mod:`bpe` reads the file and a test compares the two.
 
 Defined results: a null text is empty and has the end id only; every row is packed, also repeated
 ones; an empty table gives no pieces.
@@ -20,6 +20,7 @@ ones; an empty table gives no pieces.
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -29,37 +30,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bpe import Vocabulary, default_path, vocabulary
 from .common import staged
 
 CAPACITY = 1024
 END_ID = 2
-VOCABULARY = "byte_bpe_50k.tiktoken"
 GROUP = 4000
-ROUNDS = 6
 LOOSE = 0.95  # certified groups give up sequences filled less than this
-_ENCODERS: dict = {}
 
 
-def encoder(path: str | None = None):
-    """Byte-level BPE encoder of a vocabulary file of ranks; special strings are ordinary text."""
-    import base64
-
-    import public_tokenizers
-    import tiktoken
-
-    path = path or public_tokenizers.path(VOCABULARY)
-    if path not in _ENCODERS:
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _ENCODERS[path] = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN,
-                                            mergeable_ranks=ranks, special_tokens={})
-    return _ENCODERS[path]
-
-
-def token_ids(text: str | None, enc) -> np.ndarray:
-    """uint32 ids of a whole text with the end id."""
-    ids = enc.encode_to_numpy(text or "", disallowed_special=())
-    return np.append(ids.astype("<u4", copy=False), np.uint32(END_ID)).astype("<u4", copy=False)
+def token_ids(text: str | None, v: Vocabulary) -> np.ndarray:
+    """uint32 ids of a whole text with the end id; strings of special tokens get their special id."""
+    parts = [v.ids(s) if i % 2 == 0 else np.array([v.special[s]], "<u4") for i, s in enumerate(v.segments(text or ""))]
+    return np.concatenate([*parts, np.array([END_ID], "<u4")])
 
 
 def cut(n: int, capacity: int = CAPACITY) -> list[int]:
@@ -79,7 +62,7 @@ def pieces(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", capa
     types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = vocabulary(path or default_path())
         for batch in batches:
             rows, cols = [], [[] for _ in fields]
             for i, text in enumerate(batch.column(1)):
@@ -174,7 +157,7 @@ def pack(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", capaci
     pool = all_pieces.filter(F.col("length") < capacity).select("rid", "length")
     kept: list[DataFrame] = []
     n, before = pool.count(), None
-    for turn in range(ROUNDS):
+    for turn in itertools.count():  # a round that goes on has gained a sequence, so there are finitely many
         if not n:
             break
         packed = staged(_pack_groups(pool, -(-n // group), turn, capacity), f"pack-round{turn}")

@@ -36,6 +36,14 @@ def test_language_odd_rows(spark, sample, clashing, nothing):
     assert [r[0] for r in blind] == ["und"]
 
 
+def test_numerals_are_no_letters(spark):
+    docs = documents(spark, SF01)
+    odd = [(-1, "½ ² ③ Ⅷ 12 _ ٣"), (-2, "... 𝟘 ⅔"), (-3, "the ½ of the house and the garden Ⅷ")]
+    out = {r["doc_id"]: r for r in L.classify(spark.createDataFrame(odd, "doc_id long, text string"), L.learn(docs)).collect()}
+    assert out[-1]["lang_pred"] == out[-2]["lang_pred"] == "und" and out[-3]["lang_pred"] == "en"
+    assert L.normalise("a½b Ⅷ c") == b"a b c"
+
+
 def test_language_does_not_read_the_label_of_a_scored_row(spark):
     docs = documents(spark, SF01)
     model = L.learn(docs)

@@ -34,11 +34,16 @@ PAD = b" " * 256  # so that a short block is compressible at all and not stored
 NO_LANGUAGE = "und"
 LETTER = r"\p{L}"
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
+#: Word characters that are no letters either: numerals like a half, a superscript or a Roman one.
+_NUMERALS = frozenset(c for c in map(chr, range(0x80, 0x110000)) if c.isalnum() and not c.isalpha())
 
 
 def normalise(text: str) -> bytes:
     """Lower case; each run of anything but letters becomes one space."""
-    return _NOT_LETTERS.sub(" ", text.lower()).strip().encode("utf-8", "replace")
+    text = _NOT_LETTERS.sub(" ", text.lower())
+    if not text.isascii() and not _NUMERALS.isdisjoint(text):
+        text = " ".join("".join(" " if c in _NUMERALS else c for c in text).split())
+    return text.strip().encode("utf-8", "replace")
 
 
 def held_out(id_col: str | Column = "doc_id") -> Column:

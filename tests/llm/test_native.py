@@ -2,14 +2,14 @@
 
 import hashlib
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.llm import mixing, pii
 from tidewatch.llm.exact_dedup import exact_dedup, mark_copies
-from tidewatch.llm.mixing import hypergeometric, mix, mixed_rows, split_quotas
+from tidewatch.llm.mixing import hypergeometric, mix, mixed_rows, permuted, sharded_rows, split_quotas
 
 from llm_fixtures import clashing, nothing, sample  # noqa: F401
 
@@ -154,13 +154,66 @@ def test_mixed_rows_repeat_whole_documents(sample):
     assert out.count() == want and out.columns == sample.columns
 
 
-def test_blocks_of_a_shard_are_drawn_as_the_tree_says(sample):
-    """Each (source, block) lies in one shard, and shards take disjoint blocks."""
-    at = {}
-    for r in mix(sample, block_words=64).collect():
+def plain_permutation(n, key):
+    """The swap-or-not order of 0 .. n - 1, number by number."""
+    out = []
+    for x in range(n):
+        for k, a, c in mixing.round_keys():
+            y = (k + key - x) % n
+            if (max(x, y) * a + c + key) % mixing.PRIME * 2 > mixing.PRIME:
+                x = y
+        out.append(x)
+    return out
+
+
+def test_permuted_is_a_keyed_bijection(spark):
+    for n in (1, 2, 3, 7, 64, 1000):
+        got = [r[0] for r in spark.range(n).orderBy("id").select(
+            permuted(F.col("id"), F.lit(n).cast("long"), F.lit(12345).cast("long"))).collect()]
+        assert sorted(got) == list(range(n)) and got == plain_permutation(n, 12345)
+    assert len({(b - a) % 1000 for a, b in zip(got, got[1:])}) > 500  # no rotation, no stride
+    other = plain_permutation(1000, 54321)
+    assert sum(a == b for a, b in zip(got, other)) < 20
+
+
+def test_blocks_of_a_shard_are_drawn_as_the_tree_says(spark, sample):
+    """Block by block: the tree's quotas are laid over the permuted numbers of each source."""
+    rows = mix(sample, block_words=64).collect()
+    blocks = {r["source"]: -(-int(r["target"] + 0.5) // 64) for r in rows}
+    names = sorted(s for s in blocks if s is not None) + [None]
+    leaves = split_quotas(spark.createDataFrame([([blocks[s] for s in names],)], "quotas array<long>")).collect()
+    leaves.sort(key=lambda r: r["shard"])
+    shard_of = {}
+    for i, s in enumerate(names):
+        key = int(hashlib.md5((mixing.SEED + (":null" if s is None else ":key:" + s)).encode()).hexdigest()[:7], 16)
+        drawn = [r["shard"] for r in leaves for _ in range(r["quotas"][i])]
+        assert len(drawn) == blocks[s]
+        shard_of[s] = [drawn[x] for x in plain_permutation(blocks[s], key)]
+    seen = set()
+    for r in rows:
         for d in r["draws"]:
-            assert at.setdefault((r["source"], d.block), d.shard) == d.shard
-    assert len(set(at.values())) > 8
+            assert d.shard == shard_of[r["source"]][d.block]
+            seen.add(d.shard)
+    assert len(seen) > 8
+
+
+def test_shards_are_laid_one_by_one_and_shuffled(sample, clashing, nothing):
+    plan = mix(sample, block_words=64)
+    want = Counter()
+    for r in plan.collect():
+        want.update((d.shard, r["doc_id"], r["text"]) for d in r["draws"] if d.words * 2 >= r["size"])
+    out = sharded_rows(sample, block_words=64)
+    got = out.withColumn("part", F.spark_partition_id()).collect()
+    assert Counter((r["shard"], r["doc_id"], r["text"]) for r in got) == want
+    place = {}
+    for shard in {r["shard"] for r in got}:  # a small shard is one run of rows of one partition
+        at = [i for i, r in enumerate(got) if r["shard"] == shard]
+        assert at == list(range(at[0], at[-1] + 1)) and len({got[i]["part"] for i in at}) == 1
+        place[shard] = [got[i]["doc_id"] for i in at]
+    longest = [i for i in max(place.values(), key=len) if i is not None]
+    assert len(longest) > 4 and longest != sorted(longest)
+    assert [r[:-1] for r in got] == [tuple(r) for r in sharded_rows(sample.repartition(5), block_words=64).collect()]
+    assert sharded_rows(clashing).columns == ["shard", *clashing.columns] and sharded_rows(nothing).count() == 0
 
 
 def test_split_quotas_are_exact_and_hypergeometric(spark):

@@ -12,7 +12,8 @@ permutation of the source's blocks, and rows are shuffled within a shard by a ha
 Nothing is sampled or collected: word positions come from a two-level prefix sum (sums of hash
 buckets per source, then a window within a bucket), so a source with a third of all rows is spread
 over as many buckets as its rows need.  Source totals, targets and quotas are tables with one row a
-source or a shard.
+source or a shard.  A shard's rows lie in as many partitions as they need, by ranges of the shuffling
+hash, so no task holds a whole shard.
 
 Defined results: a null text has size 0; a null source is a source of its own, ordered last; sizes
 of 0 take nothing; tied or repeated rows are laid side by side; an empty table gives an empty mix.
@@ -20,6 +21,7 @@ of 0 take nothing; tied or repeated rows are laid side by side; an empty table g
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -33,7 +35,8 @@ SEED = "mix-1"
 BLOCK_WORDS = 4096
 LEVELS = 5  # 2 ** LEVELS output shards
 ROWS_PER_BUCKET = 20_000
-STEP = (1 << 31) - 1  # a prime above any block count: multiples of it permute the blocks
+PRIME = (1 << 31) - 1
+ROUNDS = 24
 
 
 def word_count(text: Column) -> Column:
@@ -115,8 +118,8 @@ def split_quotas(quotas: DataFrame, levels: int = LEVELS, seed: str = SEED) -> D
 
         def draw(s, q):
             i = F.size(s["left"])
-            u = (F.pmod(F.xxhash64(F.lit(seed), F.lit(level), F.col("node"), i), F.lit(1 << 52))
-                 .cast("double") + 0.5) / float(1 << 52)
+            name = F.concat_ws(":", F.lit(seed), F.lit(level), F.col("node"), i)
+            u = (F.conv(F.substring(F.md5(name), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
             x = hypergeometric(s["population"], q, s["draws"], u)
             return F.struct((s["population"] - q).alias("population"), (s["draws"] - x).alias("draws"),
                             F.concat(s["left"], F.array(x)).alias("left"))
@@ -132,6 +135,39 @@ def split_quotas(quotas: DataFrame, levels: int = LEVELS, seed: str = SEED) -> D
     return t.withColumnRenamed("node", "shard")
 
 
+def round_keys(seed: str = SEED) -> list[tuple[int, int, int]]:
+    """(mirror, factor, summand) of each round of :func:`permuted`, below 2^31."""
+    out = []
+    for r in range(ROUNDS):
+        digest = hashlib.md5(f"{seed}:round:{r}".encode()).hexdigest()
+        out.append(tuple(int(digest[8 * i:8 * i + 7], 16) + 1 for i in range(3)))
+    return out
+
+
+def source_key(src: Column, null_source: Column, seed: str = SEED) -> Column:
+    """28 bits that make a source's permutation its own."""
+    name = F.concat(F.lit(seed), F.when(null_source, F.lit(":null")).otherwise(F.lit(":key:")), src)
+    return F.conv(F.substring(F.md5(name), 1, 7), 16, 10).cast("long")
+
+
+def permuted(block: Column, blocks: Column, key: Column, seed: str = SEED) -> Column:
+    """Number of ``block`` in a keyed random order of 0 .. blocks - 1 (below 2^31).
+
+    A swap-or-not shuffle: a round mirrors the numbers at a keyed point and swaps a pair of mirrored
+    numbers or not, by a keyed bit of the larger one.  Each round maps the range onto itself, whatever
+    its length, so the order needs no table of blocks and no shuffle.
+    """
+    n = F.greatest(blocks, F.lit(1).cast("long"))
+    rounds = F.array(*[F.struct(*[F.lit(v).cast("long").alias(c) for c, v in zip("kac", r)]) for r in round_keys(seed)])
+
+    def swap(x: Column, r: Column) -> Column:
+        other = F.pmod(r["k"] + key - x, n)
+        bit = F.pmod(F.greatest(x, other) * r["a"] + r["c"] + key, F.lit(PRIME).cast("long")) * 2 > PRIME
+        return F.when(bit, other).otherwise(x)
+
+    return F.aggregate(rounds, block, swap)
+
+
 def _sources(light: DataFrame, levels: int, block_words: int) -> DataFrame:
     """One row a source: target, words to take, blocks, and the shards' upper block numbers."""
     sums = light.groupBy("src", "null_source").agg(F.sum("size").alias("source_size"))
@@ -146,7 +182,7 @@ def _sources(light: DataFrame, levels: int, block_words: int) -> DataFrame:
     uppers = (each.select("rn", "shard", upto.alias("upper")).groupBy("rn")
               .agg(F.transform(F.sort_array(F.collect_list(F.struct("shard", "upper"))),
                                lambda s: s["upper"]).alias("uppers")))
-    return src.join(uppers, "rn")
+    return src.join(uppers, "rn").withColumn("key", source_key(F.col("src"), F.col("null_source")))
 
 
 def mix(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source",
@@ -154,8 +190,8 @@ def mix(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_
         block_words: int = BLOCK_WORDS) -> DataFrame:
     """``columns`` of every row (all by default) with size, source_size, target, taken and draws.
 
-    ``draws`` has one entry for each reading of the document: copy, words, shard, block and the
-    key ``place`` by which a shard's rows are shuffled locally.
+    ``draws`` has one entry for each reading of the document: copy, words, the shard whose quota
+    holds its block, the block and the key ``place`` by which a shard's rows are shuffled locally.
     """
     rows, names = positional(docs)
     out = columns if columns is not None else names
@@ -180,31 +216,44 @@ def mix(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_
          .join(buckets, ["src", "null_source", "bucket"])
          .withColumn("start", F.col("start") + F.col("before")))
 
+    def words(copy: Column) -> Column:
+        return F.least(F.col("size"), F.greatest(F.col("take") - copy * F.col("source_size") - F.col("start"), F.lit(0)))
+
     def piece(copy: Column) -> Column:
-        at = copy * F.col("source_size") + F.col("start")
-        words = F.least(F.col("size"), F.greatest(F.col("take") - at, F.lit(0)))
-        block = F.floor(at / block_words).cast("long")
-        offset = F.pmod(F.xxhash64(F.lit(SEED), "src"), F.greatest("blocks", F.lit(1)))
-        spot = F.pmod(block * STEP + offset, F.greatest("blocks", F.lit(1)))
-        shard = F.size(F.filter("uppers", lambda u: u <= spot))
-        return F.struct(copy.cast("int").alias("copy"), words.alias("words"), shard.alias("shard"),
+        block = F.floor((copy * F.col("source_size") + F.col("start")) / block_words).cast("long")
+        number = permuted(block, F.col("blocks"), F.col("key"))
+        shard = F.aggregate("uppers", F.lit(0), lambda n, u: n + (u <= number).cast("int"))
+        return F.struct(copy.cast("int").alias("copy"), words(copy).alias("words"), shard.alias("shard"),
                         block.alias("block"), F.xxhash64(F.lit(SEED), "h", copy).alias("place"))
 
-    readings = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(LIMIT).cast("long")), piece)
-    drawn = F.filter(readings, lambda p: (p["words"] > 0) & (p["shard"] < (1 << levels)))
-    t = t.withColumn("draws", drawn)
+    copies = F.sequence(F.lit(0).cast("long"), F.lit(LIMIT).cast("long"))
+    t = t.withColumn("draws", F.transform(F.filter(copies, lambda c: words(c) > 0), piece))
     taken = F.aggregate("draws", F.lit(0).cast("long"), lambda a, p: a + p["words"])
     return t.select(*carried, "size", "source_size", "target", taken.alias("taken"), "draws").toDF(
         *out, "size", "source_size", "target", "taken", "draws")
 
 
-def mixed_rows(docs: DataFrame, **options) -> DataFrame:
-    """Rows of the mix: whole documents, repeated as often as drawn.
+def sharded_rows(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself: (shard, the columns of ``docs``), whole documents as often as drawn.
 
-    A source's last document, of which the mix takes only a part, is in if at least half of it is.
+    A shard's rows lie next to each other in the order of ``place``: rows are dealt by (shard, range of
+    ``place``) and sorted within the partition.  A source's last document, of which the mix takes only a
+    part, is in if at least half of it is.
     """
     names = list(docs.columns)
-    t = mix(docs, **options).toDF(*[f"c{i}" for i in range(len(names))],
-                                  "size", "source_size", "target", "taken", "draws")
+    cols = [f"c{i}" for i in range(len(names))]
+    t = mix(docs, **options).toDF(*cols, "size", "source_size", "target", "taken", "draws")
     t = t.withColumn("draw", F.explode(F.filter("draws", lambda p: p["words"] * 2 >= F.col("size"))))
-    return t.select(*[f"c{i}" for i in range(len(names))]).toDF(*names)
+    shards = 1 << options.get("levels", LEVELS)
+    parts = max(1, -(-docs.count() // (shards * ROWS_PER_BUCKET)))
+    t = t.select(F.col("draw.shard").alias("shard"), F.col("draw.place").alias("place"), *cols)
+    t = t.withColumn("part", F.floor((F.col("place") / float(1 << 64) + 0.5) * parts).cast("int"))
+    t = t.repartition(shards * parts, "shard", "part").sortWithinPartitions("shard", "part", "place")
+    return t.select("shard", *cols).toDF("shard", *names)
+
+
+def mixed_rows(docs: DataFrame, **options) -> DataFrame:
+    """Rows of :func:`sharded_rows`, in their order, with the columns of ``docs`` only."""
+    t = sharded_rows(docs, **options)
+    cols = [f"c{i}" for i in range(len(docs.columns))]
+    return t.toDF("shard", *cols).select(*cols).toDF(*docs.columns)

@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, merkle, pii, token_files, toxicity, whitening
+from . import ann, bpe, merkle, mixing, pii, token_files, toxicity, whitening
 from .common import WORD, documents
 from .exact_dedup import mark_copies
 from .language_id import held_out, identify
-from .mixing import mix
 from .near_dedup import near_components
 from .packing import pack
 from .repeated_spans import repeated_spans
@@ -90,28 +89,76 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mark_copies(documents(spark, sf_dir).select("doc_id", "text"), keep="largest", columns=["doc_id"])
 
 
-@query("op7_mixing", rf"""
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS size,
+def _mixing_sql() -> str:
+    """Word positions by a window; the tree one source a step; permutation one round a step."""
+    rounds = ", ".join(f"({i}, {k}, {a}, {c})" for i, (k, a, c) in enumerate(mixing.round_keys()))
+
+    def choose(n, k):
+        return f"(lgamma(greatest({n}, 0) + 1) - lgamma(greatest({k}, 0) + 1) - lgamma(greatest({n} - ({k}), 0) + 1))"
+    weight = f"exp({choose('g', 'k')} + {choose('(n - g)', '(d - k)')} - {choose('n', 'd')})"
+    return rf"""
+WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS size,
                   md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS h FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS sz FROM d GROUP BY source),
-r AS (SELECT *, row_number() OVER (ORDER BY source COLLATE "binary" NULLS LAST) - 1 AS rn FROM s),
+r AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rn FROM s),
 w AS (SELECT *, [5, 2, 1][(rn % 3 + 1)::INT] AS weight, 3 * sz AS ceiling FROM r),
 f AS (SELECT *, ceiling / weight AS full_at FROM w),
 l AS (SELECT *, ((SELECT sum(sz) FROM s) - coalesce(sum(ceiling) OVER (ORDER BY full_at, rn
          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE / (sum(weight) OVER (ORDER BY full_at, rn
          ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS level FROM f),
 o AS (SELECT *, (SELECT level FROM l WHERE full_at >= level ORDER BY full_at, rn LIMIT 1) AS share FROM l),
-t AS (SELECT source, sz, CASE WHEN share IS NULL OR full_at < share THEN ceiling::DOUBLE ELSE share * weight END AS target
+t AS (SELECT source, sz, rn, CASE WHEN share IS NULL OR full_at < share THEN ceiling::DOUBLE ELSE share * weight END AS target
       FROM o),
-p AS (SELECT d.*, t.sz, t.target, round(t.target)::BIGINT AS take,
-             sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS start
-      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size::BIGINT AS size, sz AS source_size, target,
-       (least(size, greatest(take - start, 0)) + least(size, greatest(take - start - sz, 0))
-        + least(size, greatest(take - start - 2 * sz, 0)))::BIGINT AS taken FROM p""".replace(' COLLATE "binary"', ""))
+b AS (SELECT *, round(target)::BIGINT AS take, ceil(round(target) / {mixing.BLOCK_WORDS})::BIGINT AS blocks,
+             ('0x' || substr(md5(coalesce('mix-1:key:' || source, 'mix-1:null')), 1, 7))::BIGINT AS key FROM t),
+q AS (SELECT list(blocks ORDER BY rn) AS quotas FROM b),
+tree AS (SELECT 0 AS level, 0 AS node, quotas, 1 AS i, list_sum(quotas)::BIGINT AS n,
+                ((list_sum(quotas) + 1) // 2)::BIGINT AS d, []::BIGINT[] AS l FROM q
+  UNION ALL
+  SELECT level + (i > len(quotas))::INT, CASE WHEN i > len(quotas) THEN node * 2 + side ELSE node END,
+         CASE WHEN i > len(quotas) THEN half ELSE quotas END, CASE WHEN i > len(quotas) THEN 1 ELSE i + 1 END,
+         CASE WHEN i > len(quotas) THEN list_sum(half)::BIGINT ELSE n - g END,
+         CASE WHEN i > len(quotas) THEN ((list_sum(half) + 1) // 2)::BIGINT ELSE d - x END,
+         CASE WHEN i > len(quotas) THEN [] ELSE list_append(l, x) END
+  FROM (SELECT *, CASE WHEN n <= 0 OR d <= 0 OR g <= 0 THEN 0 WHEN d >= n THEN g WHEN g >= n THEN d
+                       ELSE least(hi, lo + len(list_filter(range(1, hi - lo + 2), lambda j: list_sum(list_transform(
+                         range(lo, lo + j), lambda k: {weight})) < u))) END AS x,
+               CASE WHEN side = 0 THEN l ELSE list_transform(l, lambda v, j: quotas[j] - v) END AS half
+        FROM (SELECT *, coalesce(quotas[i], 0) AS g, greatest(0, d - (n - coalesce(quotas[i], 0))) AS lo,
+                     least(coalesce(quotas[i], 0), d) AS hi,
+                     (('0x' || substr(md5('mix-1:' || level || ':' || node || ':' || (i - 1)), 1, 13))::BIGINT + 0.5::DOUBLE)
+                       / {1 << 52}::DOUBLE AS u
+              FROM tree, (SELECT unnest([0, 1]) AS side) WHERE level < {mixing.LEVELS}))
+  WHERE i > len(quotas) OR side = 0),
+leaf AS (SELECT node, unnest(quotas) AS quota, generate_subscripts(quotas, 1) - 1 AS rn
+         FROM tree WHERE level = {mixing.LEVELS} AND i = 1),
+upto AS (SELECT rn, node, sum(quota) OVER (PARTITION BY rn ORDER BY node) AS upper FROM leaf),
+rounds(step, k, a, c) AS (VALUES {rounds}),
+perm AS (SELECT rn, unnest(range(blocks)) AS block, blocks, key, unnest(range(blocks)) AS x, 0 AS step FROM b
+  UNION ALL
+  SELECT rn, block, blocks, key, CASE WHEN (greatest(x, y) * a + c + key) % {mixing.PRIME} * 2 > {mixing.PRIME} THEN y ELSE x END,
+         step + 1
+  FROM (SELECT p.*, a, c, ((k + key - x) % blocks + blocks) % blocks AS y FROM perm p JOIN rounds USING (step))),
+dealt AS (SELECT p.rn, block, count(*) FILTER (upper <= x) AS shard FROM perm p JOIN upto u ON p.rn = u.rn
+          WHERE step = {mixing.ROUNDS} GROUP BY p.rn, block),
+p AS (SELECT d.*, b.sz, b.rn, b.target, b.take,
+             sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS start,
+             row_number() OVER () AS line
+      FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source),
+c AS (SELECT line, rn, copy, copy * sz + start AS at, least(size, greatest(take - copy * sz - start, 0))::BIGINT AS words
+      FROM p, (SELECT unnest(range({mixing.LIMIT + 1})) AS copy)),
+a AS (SELECT line, sum(words) AS taken, string_agg(copy || ':' || shard || ':' || words, ',' ORDER BY copy) AS draws
+      FROM c JOIN dealt ON c.rn = dealt.rn AND c.at // {mixing.BLOCK_WORDS} = dealt.block WHERE words > 0 GROUP BY line)
+SELECT doc_id, size::BIGINT AS size, sz AS source_size, target, coalesce(taken, 0)::BIGINT AS taken,
+       coalesce(draws, '') AS draws FROM p LEFT JOIN a ON p.line = a.line"""
+
+
+@query("op7_mixing", _mixing_sql())
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``draws`` tells the shard of each reading: copy:shard:words, joined by commas."""
     docs = documents(spark, sf_dir).select("doc_id", "text", "source")
-    return mix(docs, columns=["doc_id"]).drop("draws")
+    told = F.transform("draws", lambda p: F.concat_ws(":", p["copy"], p["shard"], p["words"]))
+    return mixing.mix(docs, columns=["doc_id"]).withColumn("draws", F.array_join(told, ","))
 
 
 @query("op4_packing")

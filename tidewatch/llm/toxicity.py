@@ -1,6 +1,7 @@
 """Operator 6: toxic spans by a linear-chain conditional random field, aggregated to documents.
 
-Tokens are runs of letters, lower-cased; sentences (at most ``SENTENCE`` tokens) are the chains.  The
+Tokens are runs of letters of the text as it stands, lower-cased one by one (so that offsets hold where
+lower case has another length); sentences (at most ``SENTENCE`` tokens) are the chains.  The
 field has two states per token (toxic or not), a feature for the evidence bin of the token and of
 its two neighbours, and transitions.  Token labels come from the labelled documents: a token of a
 toxic document is labelled toxic if its word occurs far more often in toxic than in other training
@@ -63,7 +64,7 @@ def _fold_rows(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
 
 def word_evidence(train: DataFrame) -> dict[str, float]:
     """Log-odds of the words that mark toxic documents, from (text, toxic) rows: at most WORDS."""
-    words = F.regexp_extract_all(F.lower("text"), F.lit(WORD_PATTERN), F.lit(0))
+    words = F.transform(F.regexp_extract_all("text", F.lit(WORD_PATTERN), F.lit(0)), F.lower)
     t = train.select("toxic", words.alias("w")).select("toxic", F.posexplode("w").alias("i", "word"), "w")
     before = F.when(F.col("i") > 0, F.get("w", F.col("i") - 1)).otherwise(F.lit(""))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(before), F.lit(64)).cast("int"))
@@ -81,7 +82,8 @@ def word_evidence(train: DataFrame) -> dict[str, float]:
 def sentences(text: str, evidence: dict[str, int]) -> list[list[int]]:
     """Evidence bins of the tokens, sentence by sentence."""
     out, current = [], []
-    for w in _WORD_OR_END.findall(text.lower()):
+    tokens = _WORD_OR_END.findall(text.lower()) if text.isascii() else map(str.lower, _WORD_OR_END.findall(text))
+    for w in tokens:
         if w in ".!?\n":
             if current:
                 out.append(current)
@@ -240,8 +242,8 @@ class Model:
     def spans(self, text: str, p: list[np.ndarray]) -> list[tuple[int, int]]:
         """Offsets of runs of tokens whose marginal reaches SPAN."""
         flags = np.concatenate(p) >= SPAN if p else np.zeros(0, bool)
-        if not flags.any() or len(text.lower()) != len(text):
-            text = text if flags.any() else ""
+        if not flags.any():
+            return []
         out: list[tuple[int, int]] = []
         last = -2
         for i, m in enumerate(_WORD.finditer(text)):

@@ -81,6 +81,15 @@ def test_toxicity_held_out_and_offsets(spark):
             assert r["spans"]
 
 
+def test_toxic_offsets_where_lower_case_is_longer(spark):
+    docs, labels = toxic_table(spark)
+    model = T.learn(docs, labels)
+    texts = ["İstanbul is fine. zork fleem here", "aİb cİd eİf ZORK fleem tail", "ΣΑΣ zork fleem", "½ zork fleem İ"]
+    for r in T.score(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"), model).collect():
+        found = [w for s in r["spans"] for w in r["text"][s.start:s.end].lower().split()]
+        assert found == ["zork", "fleem"], (r["text"], found)
+
+
 def test_toxicity_odd_rows(spark, sample, clashing, nothing):
     docs, labels = toxic_table(spark, 300)
     model = T.learn(docs, labels)
@@ -135,7 +144,7 @@ def test_nearest_neighbours_against_brute_force(vectors, monkeypatch):
     monkeypatch.setattr(ann, "BLOCK", 200)
     monkeypatch.setattr(ann, "QUERY_BLOCK", 16)
     got = {}
-    for r in ann.search(df, df.filter(F.col("vec_id") % 20 == 0)).collect():
+    for r in ann.search(df, F.col("vec_id") % 20 == 0).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
     assert set(got) == set(range(0, 900, 20))
     hits = 0
@@ -152,9 +161,42 @@ def test_nearest_neighbours_against_brute_force(vectors, monkeypatch):
 def test_few_vectors_and_none(vectors, spark):
     df, _ = vectors
     few = df.filter("vec_id in (0, 1, 2, 1000)")
-    assert ann.search(few, few.filter("vec_id = 0")).count() == 2
-    assert ann.search(df.filter("vec_id >= 1000"), df.filter("vec_id = 1000")).count() == 0
-    assert ann.search(few, few.filter("vec_id > 5000")).count() == 0
+    assert ann.search(few, F.col("vec_id") == 0).count() == 2
+    assert ann.search(df.filter("vec_id >= 1000"), F.col("vec_id") == 1000).count() == 0
+    assert ann.search(few, F.col("vec_id") > 5000).count() == 0
+
+
+def test_rows_of_one_id_are_rows_of_their_own(spark):
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(40, 8))
+    ids = [0, 0, 0, *range(3, 40)]
+    df = spark.createDataFrame([(i, x.tolist(), "x") for i, x in zip(ids, v)],
+                               "vec_id long, embedding array<double>, v string").withColumn("block", F.lit(1))
+    got = [(r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in ann.search(df, F.col("vec_id") == 0).collect()]
+    want = []
+    for q in range(3):
+        best = sorted((-(v[q] @ v[c]), ids[c]) for c in range(40) if c != q)[:20]
+        want += [(0, i + 1, c, round(-s, 9)) for i, (s, c) in enumerate(best)]
+    assert sorted(got) == sorted(want)
+
+
+@pytest.mark.parametrize("dim", [3, 8, 64, 100])
+def test_estimates_are_bit_counts_of_rounded_queries(dim):
+    """The packed form equals the plain product of the signs with the rounded query."""
+    rng = np.random.default_rng(dim)
+    v, q = rng.normal(size=(70, dim)), rng.normal(size=(9, dim))
+    centre, turn = v.mean(axis=0), ann.rotation(dim)
+    bits, length, fit = ann.encode(v, centre, turn)
+    about, width = ann.estimate(bits, length, fit, q, centre, turn, bound=0.0)
+    signs = np.sign((v - centre) @ turn)
+    t = q @ turn
+    low, top = t.min(axis=1, keepdims=True), t.max(axis=1, keepdims=True)
+    step = (top - low) / (2 ** ann.QUERY_BITS - 1)
+    rounded = low + step * np.rint((t - low) / step)
+    scale = length / fit / np.sqrt(dim)
+    assert np.allclose(about, (q @ centre)[:, None] + rounded @ signs.T * scale)
+    plain = (q @ centre)[:, None] + t @ signs.T * scale  # without rounding: within the width
+    assert (np.abs(about - plain) <= width).all()
 
 
 def test_error_bounds_hold():

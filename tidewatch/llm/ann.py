@@ -2,9 +2,10 @@
 
 Vectors are centred, rotated by a seeded random orthogonal matrix and reduced to the sign of each
 coordinate, packed to bits, with two correction scalars: the length of the centred vector and the
-inner product of its direction with its code.  From these an inner product with a rotated query is
-estimated without bias, with an error bound that is proportional to the query's length.  The
-likeliest candidates are scored first; a candidate whose upper bound lies below the ``k``-th best of
+inner product of its direction with its code.  A rotated query is rounded to ``QUERY_BITS`` bits a
+coordinate and cut into bit planes, so that its inner product with a code is a sum of bit counts of
+packed words.  From these an inner product is estimated, with an error bound that is proportional
+to the query's length and holds what the rounding may add.  The likeliest candidates are scored first; a candidate whose upper bound lies below the ``k``-th best of
 them is not looked at again, the others are scored exactly, in double precision, on the original
 vectors.
 
@@ -16,8 +17,9 @@ bounded by two blocks whatever the table.
 
 Defined results: vectors that are null, zero, or hold a null or non-finite component take no part,
 as candidate or as query; vectors of another dimension than the first one by id fail loudly; ties
-go to the smaller id; a row with a null id takes no part; repeated ids each count as a row; an empty
-table gives an empty result.
+go to the smaller id; a row with a null id takes no part; rows are told apart by a row number, so
+repeated ids each count as a row: a query has its own list for each row of its id, and the other
+rows of that id are candidates; an empty table or no query gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import shuffle_partitions, staged
@@ -37,6 +39,7 @@ QUERY_BLOCK = 2048
 STEP = 256  # queries of a block estimated at a time
 PAIRS = 8  # block pairs a task
 SEED = 20
+QUERY_BITS = 6  # bits a coordinate of a rotated query
 BOUND = 3.5  # deviations of the estimate that the error bound covers
 SLACK = 1e-9  # beyond rounding: ties are decided on sums taken in one order
 
@@ -55,17 +58,42 @@ def encode(vectors: np.ndarray, centre: np.ndarray, turn: np.ndarray) -> tuple[n
     return np.packbits(unit > 0, axis=1), length, fit
 
 
+def words(bits: np.ndarray) -> np.ndarray:
+    """Packed bytes (last axis) as 64-bit words, the end filled with zeros."""
+    gap = -bits.shape[-1] % 8
+    filled = np.concatenate([bits, np.zeros((*bits.shape[:-1], gap), np.uint8)], axis=-1)
+    return np.ascontiguousarray(filled).view(np.uint64)
+
+
+def planes(turned: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bit planes as words, lowest value, step, sum of the rounding errors) of each rotated query."""
+    low = turned.min(axis=1)
+    step = (turned.max(axis=1) - low) / ((1 << QUERY_BITS) - 1)
+    step = np.where(step > 0, step, 1.0)
+    level = np.rint((turned - low[:, None]) / step[:, None]).astype(np.int64)
+    off = np.abs(turned - (low[:, None] + level * step[:, None])).sum(axis=1)
+    cut = [words(np.packbits((level >> j) & 1 == 1, axis=1)) for j in range(QUERY_BITS)]
+    return np.stack(cut, axis=1), low, step, off
+
+
 def estimate(bits: np.ndarray, length: np.ndarray, fit: np.ndarray, query: np.ndarray, centre: np.ndarray,
              turn: np.ndarray, bound: float = BOUND) -> tuple[np.ndarray, np.ndarray]:
-    """(estimated inner products, error bounds), one row a query."""
+    """(estimated inner products, error bounds), one row a query, from the packed codes."""
     dim = query.shape[1]
-    signs = np.unpackbits(bits, axis=1, count=dim).astype(np.float64) * 2 - 1
-    turned = query @ turn
+    code = words(bits)
+    cut, low, step, off = planes(query @ turn)
+    level = low[:, None] + step[:, None] * np.rint((query @ turn - low[:, None]) / step[:, None])
+    both = np.zeros((len(query), len(code)), np.int64)  # sum of the query's levels where the code has a one
+    for j in range(QUERY_BITS):
+        for w in range(code.shape[1]):
+            both += np.bitwise_count(cut[:, j, w][:, None] & code[:, w][None, :]).astype(np.int64) << j
+    ones = np.bitwise_count(code).sum(axis=1, dtype=np.int64)
+    dot = 2 * (low[:, None] * ones[None, :] + step[:, None] * both) - level.sum(axis=1)[:, None]
     safe = np.where(fit > 0, fit, 1.0)
-    along = (turned @ signs.T) / np.sqrt(dim) * (length / safe)[None, :]
+    scale = (length / safe / np.sqrt(dim))[None, :]
     spread = np.sqrt(np.maximum(1 - safe * safe, 0)) / safe * length / np.sqrt(max(dim - 1, 1))
-    width = bound * np.linalg.norm(query, axis=1)[:, None] * spread[None, :]
-    return (query @ centre)[:, None] + along, width + 1e-9
+    width = bound * np.linalg.norm(query, axis=1)[:, None] * spread[None, :] + off[:, None] * scale
+    return (query @ centre)[:, None] + dot * scale, width + 1e-9
 
 
 def exact(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
@@ -73,17 +101,17 @@ def exact(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     return np.cumsum(query * vectors, axis=1)[:, -1]
 
 
-def nearest(qid: np.ndarray, query: np.ndarray, cid: np.ndarray, vectors: np.ndarray, code: tuple,
+def nearest(qrow: np.ndarray, query: np.ndarray, crow: np.ndarray, cid: np.ndarray, vectors: np.ndarray, code: tuple,
             centre: np.ndarray, turn: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query id, candidate id, score) of the k best of this block for each query."""
+    """(place of the query, candidate id, score) of the k best of this block for each query."""
     about, width = estimate(*code, query, centre, turn)
-    same = qid[:, None] == cid[None, :]
+    same = qrow[:, None] == crow[None, :]
     about[same] = -np.inf
     few = min(4 * k, len(cid))
     likely = np.argpartition(about, len(cid) - few, axis=1)[:, len(cid) - few:]
     high = about + width
     out = []
-    for i in range(len(qid)):
+    for i in range(len(qrow)):
         # the k-th best of the likeliest is a floor that candidates must be able to reach
         first = likely[i][~same[i, likely[i]]]
         score = np.sort(vectors[first] @ query[i])
@@ -94,13 +122,14 @@ def nearest(qid: np.ndarray, query: np.ndarray, cid: np.ndarray, vectors: np.nda
             at = at[score >= np.partition(score, -k)[-k] - SLACK]
         score = exact(query[i][None, :], vectors[at])
         best = np.lexsort((cid[at], -score))[:k]
-        out.append((np.full(len(best), qid[i]), cid[at][best], score[best]))
+        out.append((np.full(len(best), i), cid[at][best], score[best]))
     return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.empty(0, np.int64),) * 2 + (np.empty(0),)
 
 
-def usable(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(id, v, rid) with v array<double>: the rows that take part, numbered."""
-    t = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
+def usable(vectors: DataFrame, asked: Column, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """(id, v, asked, rid) with v array<double>: the rows that take part, numbered."""
+    t = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"),
+                       F.coalesce(asked, F.lit(False)).alias("asked"))
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     t = t.filter(F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0)
                  & F.coalesce(fine, F.lit(False))).filter(F.exists("v", lambda x: x != 0))
@@ -108,7 +137,7 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
 
 
 def _blocks(t: DataFrame, count: int, centre: np.ndarray, turn: np.ndarray, name: str, coded: bool) -> DataFrame:
-    """One row a block: ids, vectors and (for candidates) codes as bytes."""
+    """One row a block: row numbers, ids, vectors and (for candidates) codes as bytes."""
     dim = len(centre)
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -116,21 +145,22 @@ def _blocks(t: DataFrame, count: int, centre: np.ndarray, turn: np.ndarray, name
         if v.shape[1] != dim:
             raise ValueError(f"vectors of dimension {dim} asked for, {v.shape[1]} found")
         bits, length, fit = encode(v, centre, turn) if coded else (np.empty((0, 0), np.uint8), np.empty(0), np.empty(0))
-        return pd.DataFrame({"block": [int(pdf["block"].iloc[0])], "ids": [pdf["id"].to_numpy().astype("<i8").tobytes()],
+        return pd.DataFrame({"block": [int(pdf["block"].iloc[0])], "rows": [pdf["rid"].to_numpy().astype("<i8").tobytes()],
+                             "ids": [pdf["id"].to_numpy().astype("<i8").tobytes()],
                              "v": [v.tobytes()], "bits": [bits.tobytes()], "length": [length.tobytes()],
                              "fit": [fit.tobytes()]})
 
-    dealt = t.select("id", "v", F.pmod(F.xxhash64("rid"), F.lit(count)).cast("int").alias("block"))
+    dealt = t.select("rid", "id", "v", F.pmod(F.xxhash64("rid"), F.lit(count)).cast("int").alias("block"))
     return staged(dealt.groupBy("block").applyInPandas(
-        pack, "block int, ids binary, v binary, bits binary, length binary, fit binary"), f"ann-{name}")
+        pack, "block int, rows binary, ids binary, v binary, bits binary, length binary, fit binary"), f"ann-{name}")
 
 
-def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
+def search(vectors: DataFrame, asked: Column, id_col: str = "vec_id", vec_col: str = "embedding",
            k: int = K) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest by inner product of every query row."""
+    """(query_id, rank, vec_id, score): the k nearest by inner product of every row for which ``asked`` holds."""
     spark = vectors.sparkSession
-    base = usable(vectors, id_col, vec_col)
-    asked = usable(queries, id_col, vec_col)
+    base = usable(vectors, asked, id_col, vec_col)
+    queries = base.filter("asked")
     schema = "query_id long, rank int, vec_id long, score double"
     first = base.select("id", F.size("v").alias("dim")).orderBy("id").limit(1).collect()
     if not first:
@@ -138,28 +168,30 @@ def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_c
     dim = first[0]["dim"]
     means = base.agg(*[F.avg(F.get("v", F.lit(i))).alias(f"m{i}") for i in range(dim)]).first()
     centre, turn = np.array([m if m is not None else 0.0 for m in means]), rotation(dim)
-    n, m = base.count(), asked.count()
+    n, m = base.count(), queries.count()
     blocks, ask_blocks = max(1, -(-n // BLOCK)), max(1, -(-m // QUERY_BLOCK))
     cand = _blocks(base, blocks, centre, turn, "candidates", True)
-    ask = _blocks(asked, ask_blocks, centre, turn, "queries", False)
-    ask = ask.select(F.col("ids").alias("qids"), F.col("v").alias("qv"),
+    ask = _blocks(queries, ask_blocks, centre, turn, "queries", False)
+    ask = ask.select(F.col("rows").alias("qrows"), F.col("ids").alias("qids"), F.col("v").alias("qv"),
                      F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    found_schema = "query_row long, query_id long, vec_id long, score double"
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for r in pdf.itertuples(index=False):
-                qid, cid = np.frombuffer(r.qids, "<i8"), np.frombuffer(r.ids, "<i8")
+                qrow, qid = np.frombuffer(r.qrows, "<i8"), np.frombuffer(r.qids, "<i8")
+                crow, cid = np.frombuffer(r.rows, "<i8"), np.frombuffer(r.ids, "<i8")
                 code = (np.frombuffer(r.bits, np.uint8).reshape(len(cid), -1),
                         np.frombuffer(r.length, "<f8"), np.frombuffer(r.fit, "<f8"))
                 qv = np.frombuffer(r.qv, "<f8").reshape(len(qid), -1)
                 v = np.frombuffer(r.v, "<f8").reshape(len(cid), -1)
                 for i in range(0, len(qid), STEP):
-                    q, c, s = nearest(qid[i:i + STEP], qv[i:i + STEP], cid, v, code, centre, turn, k)
-                    yield pd.DataFrame({"query_id": q, "vec_id": c, "score": s})
+                    at, c, s = nearest(qrow[i:i + STEP], qv[i:i + STEP], crow, cid, v, code, centre, turn, k)
+                    yield pd.DataFrame({"query_row": qrow[i + at], "query_id": qid[i + at], "vec_id": c, "score": s})
 
     tasks = max(shuffle_partitions(spark), blocks * ask_blocks // PAIRS)
-    pairs = ask.join(cand, "block").repartition(tasks, "block", F.xxhash64("qids")).drop("block")
-    found = pairs.mapInPandas(meet, "query_id long, vec_id long, score double")
-    place = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    pairs = ask.join(cand, "block").repartition(tasks, "block", F.xxhash64("qrows")).drop("block")
+    found = pairs.mapInPandas(meet, found_schema)
+    place = Window.partitionBy("query_row").orderBy(F.col("score").desc(), "vec_id")
     return (found.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= k)
             .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))

@@ -1,16 +1,18 @@
 """Repeated spans, packing and token files: brute force, bounds and exact round trips."""
 
 import hashlib
+import random
 import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
 
-from tidewatch.llm import id_codec, packing, repeated_spans as R, token_files
+from tidewatch.llm import id_codec, packing, repeated_spans as R, token_files, word_ids
 from tidewatch.llm.bpe import default_path, vocabulary
 from tidewatch.llm.suffix_array import suffix_array
 
@@ -80,11 +82,8 @@ def test_joined_texts_stay_within_the_bits_of_a_position():
 
 
 def bpe(name):
-    """The byte-level library as it is; of the word vocabulary, special strings are ordinary text."""
-    t = Tokenizer.from_file(public_tokenizers.path(name))
-    if name.startswith("word"):
-        t.encode_special_tokens = True
-    return t
+    """The library as it is."""
+    return Tokenizer.from_file(public_tokenizers.path(name))
 
 
 ODD = ["", None, "The THE the,the. the! don't I'LL", "ΣΑΣ σας İstanbul ﬁn ½ Ⅷ", "áb é, x y z\x1cq\r\n\t.,!|",
@@ -111,6 +110,28 @@ def test_capitals_that_compose_only_in_lower_case_keep_the_ids_of_the_library():
         assert got.tolist() == t.encode(text, add_special_tokens=False).ids + [2], text
 
 
+def test_every_kind_of_neighbour_gets_the_ids_of_the_library():
+    rng = random.Random(2)
+    signs = [chr(c) for c in range(0x250)] + [chr(c) for c in range(0x250, 0x30000, 97) if not 0xD800 <= c < 0xE000]
+    texts = [f"A{c}b {c}{c}9 x'S{c}'ll DON'T{c}" for c in signs] + ["".join(rng.choices(signs[:0x250], k=30)) for _ in range(2000)]
+    texts += ["a <|endoftext|> b<|startoftext|>C<|ENDOFTEXT|><|end <|endoftext|>", "word " * 30_000 + "ж end"]
+    t = bpe("word_bpe_49k.json")
+    for text, got in zip(texts, token_files.tokenise(texts)):
+        assert got.tolist() == t.encode(text, add_special_tokens=False).ids + [2], ascii(text[:200])
+
+
+def test_known_stretches_survive_full_caches(monkeypatch):
+    """Also where all stretches share few places of the table, and with more of them than it keeps."""
+    monkeypatch.setattr(word_ids, "CACHE", 50)
+    monkeypatch.setattr(word_ids, "SLOT_BITS", 3)
+    own = word_ids.WordIds(public_tokenizers.path("word_bpe_49k.json"), 2)
+    rng, t = random.Random(3), bpe("word_bpe_49k.json")
+    for _ in range(30):
+        texts = [" ".join("".join(rng.choices("abcé'.9", k=rng.choice([1, 3, 9, 40]))) for _ in range(30)) for _ in range(4)]
+        for text, got in zip(texts, own.encode(texts)):
+            assert got.tolist() == t.encode(text, add_special_tokens=False).ids + [2], text
+
+
 def test_packing(sample):
     rows = packing.pack(sample, with_ids=True, group=20).collect()
     enc, by_text = bpe("byte_bpe_50k.json"), {}
@@ -185,6 +206,24 @@ def test_codec_round_trips():
             assert (id_codec.decode(id_codec.encode(ids, steps), n, steps) == ids).all()
 
 
+def test_codec_needs_less_than_order_0_and_zlib():
+    docs = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"]).column("text").slice(0, 1500).to_pylist()
+    ids = np.concatenate(token_files.tokenise(docs))
+    n = np.bincount(ids)[np.unique(ids)]
+    order_0 = -(n * np.log2(n / len(ids))).sum() / 8
+    size = sum(map(len, id_codec.encode(ids, id_codec.block_length(len(ids)))))
+    assert size < 0.85 * order_0 and size < 0.85 * len(zlib.compress(ids.tobytes(), 6))
+
+
+def test_blocks_are_decoded_alone_and_in_any_company():
+    ids = np.minimum(np.random.default_rng(4).zipf(1.4, 4000), 900).astype(np.uint16)
+    model, *blocks = id_codec.encode(ids, 500)
+    assert len(blocks) == 8
+    for i, b in enumerate(blocks):
+        assert (id_codec.decode([model, b], 500, 500) == ids[500 * i:500 * i + 500]).all()
+    assert (id_codec.decode([model, blocks[5], blocks[2]], 1000, 500) == np.concatenate([ids[2500:3000], ids[1000:1500]])).all()
+
+
 def test_codec_gains_on_repeating_ids_and_files_are_checked():
     ids = np.tile(np.arange(50, dtype="<u2"), 200)
     content = token_files.write_file([3, None], [ids, ids[:7]])

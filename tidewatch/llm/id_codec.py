@@ -1,128 +1,158 @@
-"""Adaptive context-mixing range coder for 16-bit token ids, over many independent blocks at once.
+"""Context-mixing range coder for 16-bit token ids, over many independent blocks at once.
 
-A sequence is cut into blocks of equal length; every block starts from an empty model, so blocks are
-coded side by side, one numpy lane a block, and each can be decoded alone.  An id is coded in one
-step of a 16-bit probability scale that mixes three predictions:
+A sequence (a file's ids) is cut into blocks of equal length, coded side by side, one numpy lane a
+block.  The file's statistics are counted first and stored once as its :class:`Model`; every block
+starts from them and from an empty order-2 memory, so each can be decoded alone.  Three predictions
+are mixed for an id:
 
-* order 2: the id that last followed the two ids before it,
-* order 1: the id that last followed the id before it,
-* order 0: frequencies of the block so far, renewed at ``RENEW`` ids, with an escape for new ids
-  that is followed by the plain 16 bits.
+* order 2, learned while coding: the id that last followed the two ids before it in the block.  Its
+  share of the scale follows how often the context and the block held in a row (``SHARE``);
+* order 1, of the file: ids after the id before, in ``UNITS`` parts a context, with an escape;
+* order 0, of the file: all ids in ``1 << SCALE`` slots, for what escapes from order 1.
 
-Each context counts how often in a row its prediction held; the two counts choose the shares of the
-scale that order 2, order 1 and order 0 receive.  Order 0 always receives ``SLOTS`` times a power of
-two, so that no step needs a division but the coder's own.  The coder keeps 48 bits and emits 16 at
-a time; a carry is added to what has been emitted.
+The coder keeps 48 bits and emits 16 at a time; a carry is added to what has been emitted.  Its
+quotients stay below 2^16 and its divisors below 2^32, so that division in doubles is exact.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 
 SCALE = 16
-SLOTS = 3840  # of order 0: times 16 it leaves a sixteenth of the scale to the other orders
-RENEW = (64, 256, 1024, 4096)
-LANES = 1024
-BITS1, BITS2 = 10, 11  # log2 of a block's order-1 and order-2 table
-MOST = 15  # largest count of a context
-ESCAPE = 1 << 16
+UNIT_BITS = 8
+UNITS = 1 << UNIT_BITS  # of a context's order-1 row
+LEAST_CONTEXT, LEAST_PAIR = 64, 4  # rarer contexts and pairs cost more in the model than they save
+LANES = 4096
+BITS2 = 10  # log2 of a block's order-2 table
+HASH = np.int32(40503)
+MOST = 15  # largest count of a context and of a block
+ESCAPE = (1 << 16) - 1
 _FLOOR = 1 << 32
 _WORD = (1 << 32) - 1
-_GROUP = 64
-
-
-def _shares() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """By ``count2 << 4 | count1``: share of order 2, of both, and the shift of order 0."""
-    c2, c1 = np.divmod(np.arange(256), 16)
-    hit2, hit1 = (c2 + 0.15) / (c2 + 1.6), (c1 + 0.1) / (c1 + 2.2)
-    miss = (1 - hit2) * (1 - hit1)
-    shift = np.clip(np.floor(np.log2(miss * (1 << SCALE) / SLOTS) + 0.5).astype(int), 0, 4)
-    left = (1 << SCALE) - (SLOTS << shift)
-    w2 = np.clip((left * hit2 / (hit2 + (1 - hit2) * hit1)).astype(int), 64, left - 64)
-    return w2.astype(np.int32), left.astype(np.int32), shift.astype(np.int32)
-
-
-W2, LEFT, SHIFT = _shares()
-
-
-class Mixer:
-    """The adaptive model of all blocks; encoder and decoder drive it with the same ids."""
-
-    def __init__(self, lanes: int, steps: int, decoding: bool):
-        self.every = np.arange(lanes)
-        self.lane_key = self.every.astype(np.int64) << 17
-        self.seen = np.zeros((lanes, steps), np.uint16)
-        self.base1, self.base2 = self.every << BITS1, self.every << BITS2
-        self.t1 = np.zeros(lanes << BITS1, np.int32)  # predicted id << 4 | count
-        self.t2 = np.zeros(lanes << BITS2, np.int32)
-        self.near = np.zeros(lanes, np.int64)  # hash of the id before, and of the one before that
-        self.far = np.zeros(lanes, np.int64)
-        self.decoding = decoding
-        self._order0(self.lane_key | ESCAPE, np.full(lanes, SLOTS, np.int64))
-
-    def predict(self) -> None:
-        """Predicted ids and the shares of the scale they own."""
-        self.i1 = self.base1 + (self.near & ((1 << BITS1) - 1))
-        self.i2 = self.base2 + ((self.near * 3 + self.far) & ((1 << BITS2) - 1))
-        self.v1, self.v2 = self.t1[self.i1], self.t2[self.i2]
-        self.p1, self.p2 = self.v1 >> 4, self.v2 >> 4
-        self.c2 = self.v2 & 15
-        which = self.c2 << 4 | self.v1 & 15
-        self.w2, self.left, self.shift = W2[which], LEFT[which], SHIFT[which]
-
-    def update(self, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray, step: int) -> None:
-        new = ids << 4
-        self.t2[self.i2] = np.where(hit2, self.v2 + (self.c2 < MOST), new)
-        self.t1[self.i1] = np.where(hit1, self.v1 + ((self.v1 & 15) < MOST), new)
-        self.far = self.near
-        self.near = (ids.astype(np.int64) * 40503) >> 5
-        self.seen[:, step] = ids
-        if step + 1 in RENEW:
-            self._renew(step + 1)
-
-    def _renew(self, n: int) -> None:
-        """Order-0 frequencies of the first n ids of every block."""
-        lanes = len(self.every)
-        flat = (np.sort(self.seen[:, :n], axis=1, kind="stable").astype(np.int64) | self.lane_key[:, None]).ravel()
-        first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
-        keys, counts = flat[first], np.diff(np.append(first, len(flat)))
-        lane = keys >> 17
-        once = np.bincount(lane[counts == 1], minlength=lanes)
-        escape = np.clip(SLOTS * once // (n + once + 1), 64, SLOTS // 2)
-        freqs = counts * (SLOTS - escape)[lane] // n
-        kept = freqs > 0  # beyond as many ids as slots, rare ones go by the escape
-        keys, freqs, lane = keys[kept], freqs[kept], lane[kept]
-        total = np.bincount(lane, freqs, lanes).astype(np.int64)
-        at = np.searchsorted(keys, self.lane_key + (1 << 17))
-        self._order0(np.insert(keys, at, self.lane_key | ESCAPE), np.insert(freqs, at, SLOTS - total))
-
-    def _order0(self, keys: np.ndarray, freqs: np.ndarray) -> None:
-        """keys: lane and id, an escape last in each lane; freqs sum to SLOTS in each lane."""
-        self.ids = (keys & 0x1FFFF).astype(np.int32)
-        self.escapes = np.flatnonzero(self.ids == ESCAPE)
-        ends = np.cumsum(freqs)
-        self.starts = ((ends - freqs) % SLOTS).astype(np.int32)
-        self.freqs = freqs.astype(np.int32)
-        if self.decoding:
-            self.slot = np.repeat(np.arange(len(keys), dtype=np.int32), freqs)
-            self.slot_base = self.every * SLOTS
-
-    def places(self, ids: np.ndarray) -> np.ndarray:
-        """Order-0 entry of each id (lanes x span), or the lane's escape."""
-        out = np.empty(ids.shape, np.int32)
-        table = np.full((_GROUP, ESCAPE), -1, np.int32)
-        begin = np.concatenate([[0], self.escapes + 1])
-        for a in range(0, len(ids), _GROUP):
-            b = min(a + _GROUP, len(ids))
-            entry = np.arange(begin[a], begin[b])
-            lane = np.repeat(np.arange(b - a), np.diff(begin[a:b + 1]))
-            real = self.ids[entry] != ESCAPE
-            cells = lane[real], self.ids[entry[real]]
-            table[cells] = entry[real]
-            found = table[np.arange(b - a)[:, None], ids[a:b]]
-            out[a:b] = np.where(found < 0, self.escapes[a:b, None], found)
-            table[cells] = -1
-        return out
+
+
+def _shares() -> np.ndarray:
+    """By ``streak << 4 | count``: order 2 takes ``1 - 2^-share`` of the scale, none of it for 0."""
+    streak, count = np.divmod(np.arange(256), 16)
+    held = count - 1 + 2.0 * streak
+    miss = np.where(count > 0, 1.2 / (held + 1.5), 1)
+    return np.clip(np.floor(-np.log2(np.minimum(miss, 1)) + 0.4), 0, 6).astype(np.int32)
+
+
+SHARE = _shares()
+SHIFT = SCALE - UNIT_BITS - SHARE  # size of an order-1 unit
+EDGE = (1 << SCALE) - (UNITS << SHIFT)  # order 2 owns what lies below
+
+
+class Model:
+    """Order-0 and order-1 frequencies; symbols are places in the ascending list of the file's ids."""
+
+    def __init__(self, ids: np.ndarray, freqs: np.ndarray, contexts: np.ndarray, counts: np.ndarray,
+                 symbols: np.ndarray, units: np.ndarray):
+        self.ids, self.freqs = ids.astype(np.int64), freqs.astype(np.int64)
+        self.contexts, self.counts = contexts.astype(np.int64), counts.astype(np.int64)
+        self.symbols, self.units = symbols.astype(np.int64), units.astype(np.int64)
+        self.starts = np.cumsum(self.freqs) - self.freqs
+        self.row = np.zeros(len(ids) + 1, np.int64)  # row 0: everything escapes; the last entry begins a block
+        self.row[self.contexts] = np.arange(1, len(contexts) + 1)
+        first = np.cumsum(self.counts) - self.counts
+        ends = np.cumsum(self.units)
+        before = np.concatenate([[0], ends])[first] if len(first) else first
+        self.at = ends - self.units - np.repeat(before, self.counts)
+        used = np.bincount(np.repeat(np.arange(len(contexts)), self.counts), self.units, len(contexts)).astype(np.int64)
+        self.used = np.concatenate([[0], used])  # what lies beyond is the row's escape
+
+    @classmethod
+    def of(cls, symbols: np.ndarray, ids: np.ndarray) -> tuple["Model", np.ndarray]:
+        """The model of a sequence of symbols, and the order-1 part of each symbol after the one before:
+        ``start << 16 | parts``, and 1 << 32 where it escapes.  Order 0 counts what escapes."""
+        d = len(ids)
+        if d > ESCAPE:
+            raise ValueError("more distinct ids than symbols")
+        bits = len(symbols).bit_length()
+        if bits > 31:
+            raise ValueError("a file has too many ids")
+        keys = symbols[:-1].astype(np.uint64) << np.uint64(16) | symbols[1:]
+        keys = np.sort(keys << np.uint64(bits) | np.arange(1, len(symbols), dtype=np.uint64))
+        by = (keys & np.uint64((1 << bits) - 1)).astype(np.int64)
+        keys = (keys >> np.uint64(bits)).astype(np.int64)
+        new = np.concatenate([[True], keys[1:] != keys[:-1]])[:len(keys)]
+        first = np.flatnonzero(new)
+        ctx, sym, n = keys[first] >> 16, keys[first] & 0xFFFF, np.diff(np.append(first, len(keys)))
+        total = np.bincount(ctx, n, d).astype(np.int64)
+        units = n * (UNITS - 1) // np.maximum(total[ctx], 1)
+        kept = (total[ctx] >= LEAST_CONTEXT) & (n >= LEAST_PAIR) & (units > 0)
+        contexts, counts = np.unique(ctx[kept], return_counts=True)
+        rest = np.bincount(symbols, minlength=d) - np.bincount(sym[kept], n[kept], d).astype(np.int64)
+        slots = (1 << SCALE) - d
+        freqs = 1 + rest * slots // max(1, int(rest.sum()))
+        freqs[np.argmax(freqs)] += (1 << SCALE) - freqs.sum()
+        model = cls(ids, freqs, contexts, counts, sym[kept], units[kept])
+        part = model.escape(ctx)
+        part[kept] = model.at << 16 | model.units
+        parts = np.empty(len(symbols), np.int64)
+        parts[by] = part[np.cumsum(new) - 1]
+        return model, parts
+
+    def escape(self, before: np.ndarray) -> np.ndarray:
+        """The part of the scale that means an escape after these symbols."""
+        used = self.used[self.row[before]]
+        return 1 << 32 | used << 16 | (UNITS - used)
+
+    def pack(self) -> bytes:
+        # all symbols and frequencies lie below 2^16 but the frequency of an only id
+        sizes = np.array([len(self.ids), len(self.contexts), len(self.symbols)], "<u4").tobytes()
+        parts = [(self.ids, "<u2"), (self.freqs - 1, "<u2"), (self.contexts, "<u2"), (self.counts, "<u2")]
+        steps = np.diff(self.symbols, prepend=0).astype("<u2")  # mostly small, so its high bytes are put apart
+        tail = [(steps & 255).astype("u1").tobytes(), (steps >> 8).astype("u1").tobytes(), self.units.astype("u1").tobytes()]
+        return zlib.compress(b"".join([sizes, *(a.astype(t).tobytes() for a, t in parts), *tail]), 6)
+
+    @classmethod
+    def unpack(cls, packed: bytes) -> "Model":
+        raw = zlib.decompress(packed)
+        d, rows, n = np.frombuffer(raw, "<u4", 3).tolist()
+        parts, at = [], 12
+        for size in (d, d, rows, rows):
+            parts.append(np.frombuffer(raw, "<u2", size, at).astype(np.int64))
+            at += 2 * size
+        low, high, units = (np.frombuffer(raw, "u1", n, at + i * n).astype(np.int64) for i in range(3))
+        return cls(parts[0], parts[1] + 1, parts[2], parts[3], np.cumsum(low | high << 8) & ESCAPE, units)
+
+    def cells(self) -> np.ndarray:
+        """By row and unit: ``symbol << 16 | start << 8 | parts - 1``, ESCAPE as the symbol of an escape."""
+        rows = len(self.used)
+        row = np.concatenate([np.repeat(np.arange(1, rows), self.counts), np.arange(rows)])
+        symbol = np.concatenate([self.symbols, np.full(rows, ESCAPE)])
+        start, units = np.concatenate([self.at, self.used]), np.concatenate([self.units, UNITS - self.used])
+        by = np.argsort(row << 9 | start, kind="stable")
+        return np.repeat((symbol << 16 | start << 8 | units - 1)[by].astype(np.uint32), units[by])
+
+
+class _Memory:
+    """Order 2 of all blocks; encoder and decoder drive it with the same symbols."""
+
+    def __init__(self, lanes: int):
+        self.base = np.arange(lanes, dtype=np.int64) << BITS2
+        self.table = np.zeros(lanes << BITS2, np.int32)  # symbol << 4 | how often it held in a row
+        self.streak = np.zeros(lanes, np.int32)
+        self.near = np.zeros(lanes, np.int32)
+        self.far = np.zeros(lanes, np.int32)
+
+    def predict(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Predicted symbol, the edge of its share and the shift of what is left."""
+        self.cell = self.base + ((self.near + self.far) >> 5 & ((1 << BITS2) - 1))
+        self.value = self.table.take(self.cell, mode="clip")
+        self.count = self.value & 15
+        which = self.streak << 4 | self.count
+        return self.value >> 4, EDGE.take(which, mode="clip"), SHIFT.take(which, mode="clip")
+
+    def update(self, symbols: np.ndarray, held: np.ndarray) -> None:
+        self.table[self.cell] = np.where(held, self.value + (self.count < MOST), symbols << 4 | 1)
+        self.streak = np.minimum(self.streak + 1, MOST) * held
+        self.far, self.near = self.near, symbols * HASH
+        self.far *= 3
 
 
 def block_length(n: int) -> int:
@@ -135,101 +165,110 @@ def _blocks(n: int, steps: int) -> int:
 
 
 def encode(ids: np.ndarray, steps: int) -> list[bytes]:
-    """One payload for each block of ``steps`` ids (the last one is padded)."""
+    """The packed model, then one payload for each block of ``steps`` ids (the last one is padded)."""
     lanes = _blocks(len(ids), steps)
-    grid = np.zeros(lanes * steps, np.uint16)
-    grid[:len(ids)] = ids
-    grid = grid.reshape(lanes, steps)
-    model = Mixer(lanes, steps, decoding=False)
+    present = np.flatnonzero(np.bincount(ids, minlength=1)) if len(ids) else np.zeros(1, np.int64)
+    place = np.zeros(1 << 16, np.uint16)
+    place[present] = np.arange(len(present))
+    flat = np.zeros(lanes * steps, np.uint16)
+    flat[:len(ids)] = place[ids]
+    model, parts = Model.of(flat, present)
+    parts[::steps] = model.escape(np.array([len(present)]))  # a block begins after nothing
+    grid = flat.reshape(lanes, steps).T.astype(np.int32, order="C")
+    parts = parts.reshape(lanes, steps).T
+    first = (parts >> 16 & 0xFFFF).astype(np.int32, order="C")
+    wide, escapes = (parts & 0xFFFF).astype(np.int32, order="C"), (parts >> 32).astype(bool, order="C")
+    memory = _Memory(lanes)
     low, width = np.zeros(lanes, np.int64), np.full(lanes, 1 << 48, np.int64)
-    out = np.zeros((lanes, 2 * steps + 8), np.uint16)
-    pos = np.ones(lanes, np.int64)  # word 0 takes a carry out of the first word
+    out = np.zeros((2 * steps + 8) * lanes, np.uint16)  # a word of all lanes after the other
+    pos = np.arange(lanes, dtype=np.int64) + lanes  # word 0 takes a carry out of the first word
 
     def emit() -> None:
-        over = np.flatnonzero(low >> 48)
-        if len(over):
-            low[over] &= (1 << 48) - 1
-            back = pos[over] - 1
-            while len(over):
-                out[over, back] += np.uint16(1)
-                wrapped = out[over, back] == 0
-                over, back = over[wrapped], back[wrapped] - 1
         at = np.flatnonzero(width < _FLOOR)
-        if len(at):
-            part = low[at]
-            out[at, pos[at]] = part >> 32
-            pos[at] += 1
-            low[at] = (part & _WORD) << 16
-            width[at] <<= 16
-
-    begin, places = 0, None
+        part, to = low.take(at, mode="clip"), pos.take(at, mode="clip")
+        over = np.flatnonzero(part >> 48)
+        if len(over):
+            back = to[over] - lanes
+            while len(back):
+                out[back] += np.uint16(1)
+                back = back[out[back] == 0] - lanes
+        out[to] = part >> 32  # without the carry, 16 bits
+        pos[at] = to + lanes
+        low[at] = (part & _WORD) << 16
+        width[at] = width.take(at, mode="clip") << 16
+
     for step in range(steps):
-        if places is None or step - begin == places.shape[1]:
-            begin = step
-            places = model.places(grid[:, step:min([r for r in RENEW if r > step] + [steps])])
-        x = grid[:, step].astype(np.int32)
-        model.predict()
-        entry = places[:, step - begin]
-        hit2, hit1 = x == model.p2, x == model.p1
-        start = np.where(hit2, 0, np.where(hit1, model.w2, model.left + (model.starts[entry] << model.shift)))
-        share = np.where(hit2, model.w2, np.where(hit1, model.left - model.w2, model.freqs[entry] << model.shift))
+        x = grid[step]
+        guess, edge, shift = memory.predict()
+        held = x == guess
+        hit = held & (edge > 0)
         unit = width >> SCALE
-        low += start * unit
-        np.multiply(unit, share, out=width)
+        low += unit * np.where(hit, 0, edge + (first[step] << shift))
+        np.multiply(unit, np.where(hit, edge, wide[step] << shift), out=width)
         emit()
-        plain = np.flatnonzero((model.ids[entry] == ESCAPE) & ~(hit2 | hit1))
-        if len(plain):
-            unit = width[plain] >> SCALE
-            low[plain] += x[plain] * unit
-            width[plain] = unit
+        rest = np.flatnonzero(escapes[step] & ~hit)
+        if len(rest):
+            unit, y = width.take(rest, mode="clip") >> SCALE, x.take(rest, mode="clip")
+            low[rest] += model.starts.take(y, mode="clip") * unit
+            width[rest] = model.freqs.take(y, mode="clip") * unit
             emit()
-        model.update(x, hit2, hit1, step)
-    tail = (low[:, None] >> np.array([32, 16, 0])).astype(np.uint16)
-    return [np.concatenate([out[i, :pos[i]], tail[i]]).astype("<u2").tobytes() for i in range(lanes)]
+        memory.update(x, held)
+    width[:] = 0
+    for _ in range(3):
+        emit()
+    words, out = pos // lanes, out.reshape(-1, lanes)[:int(pos.max()) // lanes].T.astype("<u2", order="C")
+    return [model.pack(), *(out[i, :n].tobytes() for i, n in enumerate(words.tolist()))]
 
 
-def decode(payloads: list[bytes], n: int, steps: int) -> np.ndarray:
-    """The n ids of the blocks."""
+def decode(parts: list[bytes], n: int, steps: int) -> np.ndarray:
+    """The n ids of the blocks; ``parts`` as :func:`encode` gives them, or the model and a few blocks."""
+    packed, *payloads = parts
     lanes = len(payloads)
     if lanes != _blocks(n, steps):
         raise ValueError("block count does not fit the number of ids")
-    model = Mixer(lanes, steps, decoding=True)
-    words = np.zeros((lanes, max(map(len, payloads)) // 2 + 4), np.int64)
+    model = Model.unpack(packed)
+    cells, slots = model.cells(), np.repeat(np.arange(len(model.ids), dtype=np.int32), model.freqs)
+    memory = _Memory(lanes)
+    wide = max(map(len, payloads)) // 2 + 4
+    words = np.zeros((lanes, wide), np.uint16)
     for i, p in enumerate(payloads):
         words[i, :len(p) // 2] = np.frombuffer(p, "<u2")
-    last = words.shape[1] - 1
-    rest = words[:, 0] << 48 | words[:, 1] << 32 | words[:, 2] << 16 | words[:, 3]
-    pos = np.full(lanes, 4)
+    rest = words[:, :4].astype(np.int64) @ (1 << np.array([48, 32, 16, 0]))
+    words = words.T.ravel()  # a word of all lanes after the other
+    pos = np.arange(lanes, dtype=np.int64) + 4 * lanes
     width = np.full(lanes, 1 << 48, np.int64)
-    out = np.zeros((lanes, steps), np.uint16)
+    out = np.zeros((steps, lanes), np.uint16)
+    row = np.zeros(lanes, np.int64)
+    top = np.int32((1 << SCALE) - 1)
 
     def fill() -> None:
         at = np.flatnonzero(width < _FLOOR)
-        if len(at):
-            rest[at] = rest[at] << 16 | words[at, np.minimum(pos[at], last)]
-            pos[at] += 1
-            width[at] <<= 16
+        where = pos.take(at, mode="clip")
+        rest[at] = rest.take(at, mode="clip") << 16 | words.take(where, mode="clip")
+        pos[at] = where + lanes
+        width[at] = width.take(at, mode="clip") << 16
 
     for step in range(steps):
-        model.predict()
+        guess, edge, shift = memory.predict()
         unit = width >> SCALE
-        v = np.minimum(rest // unit, (1 << SCALE) - 1).astype(np.int32)
-        hit2, beyond = v < model.w2, v >= model.left
-        entry = model.slot[model.slot_base + (np.where(beyond, v - model.left, 0) >> model.shift)]
-        symbol = model.ids[entry]
-        start = np.where(hit2, 0, np.where(beyond, model.left + (model.starts[entry] << model.shift), model.w2))
-        share = np.where(hit2, model.w2, np.where(beyond, model.freqs[entry] << model.shift, model.left - model.w2))
-        rest -= start * unit
-        np.multiply(unit, share, out=width)
+        v = np.minimum((rest / unit).astype(np.int32), top) - edge
+        hit = v < 0
+        cell = cells.take((row << UNIT_BITS) + np.maximum(v >> shift, 0), mode="clip")
+        start, parts = (cell >> 8 & 255).view(np.int32), (cell & 255).view(np.int32) + 1
+        symbol = (cell >> 16).view(np.int32)
+        rest -= unit * np.where(hit, 0, edge + (start << shift))
+        np.multiply(unit, np.where(hit, edge, parts << shift), out=width)
         fill()
-        x = np.where(hit2, model.p2, np.where(beyond, symbol, model.p1))
-        plain = np.flatnonzero(x == ESCAPE)
+        x = np.where(hit, guess, symbol)
+        plain = np.flatnonzero((symbol == ESCAPE) & ~hit)
         if len(plain):
-            unit = width[plain] >> SCALE
-            x[plain] = y = np.minimum(rest[plain] // unit, (1 << SCALE) - 1)
-            rest[plain] -= y * unit
-            width[plain] = unit
+            unit, left = width.take(plain, mode="clip") >> SCALE, rest.take(plain, mode="clip")
+            y = slots.take(np.minimum((left / unit).astype(np.int64), top), mode="clip")
+            rest[plain] = left - model.starts.take(y, mode="clip") * unit
+            width[plain] = model.freqs.take(y, mode="clip") * unit
+            x[plain] = y
             fill()
-        model.update(x, x == model.p2, x == model.p1, step)
-        out[:, step] = x
-    return out.ravel()[:n]
+        memory.update(x, x == guess)
+        row = model.row.take(x, mode="clip")
+        out[step] = x
+    return model.ids[out.T.ravel()[:n]].astype(np.uint16)

@@ -7,20 +7,24 @@ crc32 of its payload.  Files are rows of a Parquet table in the shared folder (p
 content), so they live where Spark writes and can be read from any machine.  Reading checks every
 checksum, decodes all blocks of a file at once and gives the documents back.
 
-A file, a batch of texts and the word cache (``CACHE`` words) bound a task's memory; one document
+A file, a batch of texts and the stretches that :mod:`word_ids` keeps bound a task's memory; one document
 longer than ``FILE_IDS`` makes a file of its own size.
 
 File format, little endian: ``TWID``, version u16, block length u32, blocks u32, ids u64, documents
-u32, size of the document table u32, its crc32 u32; per block payload size u32 and crc32 u32; the
-document table (zlib: ids i64 with a null mask u8, then lengths u64); the payloads.
+u32, size and crc32 of the document table (u32), size and crc32 of the coder's model (u32); per block
+payload size u32 and crc32 u32; the document table (zlib: ids i64 with a null mask u8, then lengths
+u64); the model; the payloads.
+
+Special strings of the vocabulary in a text get their ids, as the library gives them; documents are
+told apart by the document table, not by an id.
 
 Defined results: a null text is empty and has the end id only; null ids come first, ties in the id
-are ordered by text; an empty table gives no files and an empty result.
+are ordered by text, and ranges go on by its first characters, so that different texts of one id need
+not lie in one task; an empty table gives no files and an empty result.
 """
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -28,65 +32,29 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import id_codec
 from .common import staged, text_or_empty
+from .word_ids import WordIds
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
 FILE_IDS = 2 << 20
-CACHE = 250_000
-_HEAD = struct.Struct("<4sHIIQIII")
-_MARKS = re.compile(r"(?<=[A-Za-z])([.,!]+)(?=[ \n])")
+_HEAD = struct.Struct("<4sHIIQIIIII")
 _STATE: dict = {}
 
 
-def _tokenizer(path: str | None):
-    import os
-
+def tokenise(texts: list[str | None], path: str | None = None) -> list[np.ndarray]:
+    """uint16 ids of whole texts with the end id; a worker keeps its tokenizer."""
     import public_tokenizers
-    from tokenizers import Tokenizer
 
     path = path or public_tokenizers.path(VOCABULARY)
-    if _STATE.get("path") != path:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
-        t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True  # their strings in a text are ordinary text
-        if t.get_vocab_size() > 1 << 16:
-            raise ValueError("ids of this vocabulary need more than 16 bits")
-        _STATE.update(path=path, tokenizer=t, words={})
-    return _STATE["tokenizer"], _STATE["words"]
-
-
-def split_words(text: str) -> list[str]:
-    """The text cut where this vocabulary always starts a new token: its words are encoded alone.
-
-    The vocabulary composes characters (NFC) and then lower-cases, so only ASCII words, which have
-    nothing to compose, may be lower-cased here to merge cache entries.  Other words stay as they
-    are: J with a caron composes once it is a j, and would get other ids.
-    """
-    if text.isascii():
-        text = text.lower()
-    words = _MARKS.sub(r" \1", text).replace("\n", " ").replace("\t", " ").split(" ")
-    return words if text.isascii() else [w.lower() if w.isascii() else w for w in words]
-
-
-def tokenise(texts: list[str | None], path: str | None = None) -> list[np.ndarray]:
-    """uint16 ids of whole texts with the end id; each distinct word is encoded once a worker."""
-    tokenizer, known = _tokenizer(path)
-    cut = [split_words(t or "") for t in texts]
-    new = list(set().union(*cut) - known.keys()) if cut else []
-    if len(known) + len(new) > CACHE:
-        known.clear()
-        new = list(set().union(*cut))
-    for i in range(0, len(new), 4096):
-        part = new[i:i + 4096]
-        for word, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-            known[word] = np.array(e.ids, "<u2").tobytes()
-    end = END_ID.to_bytes(2, "little")
-    return [np.frombuffer(b"".join(map(known.__getitem__, words)) + end, "<u2") for words in cut]
+    if path not in _STATE:
+        _STATE.clear()
+        _STATE[path] = WordIds(path, END_ID)
+    return _STATE[path].encode(texts)
 
 
 def write_file(doc_ids: list, ids: list[np.ndarray]) -> bytes:
@@ -94,20 +62,21 @@ def write_file(doc_ids: list, ids: list[np.ndarray]) -> bytes:
     lengths = np.array([len(x) for x in ids], "<u8")
     stream = np.concatenate(ids)
     steps = id_codec.block_length(len(stream))
-    payloads = id_codec.encode(stream, steps)
+    model, *payloads = id_codec.encode(stream, steps)
     keys = np.array([0 if d is None else d for d in doc_ids], "<i8")
     null = np.array([d is None for d in doc_ids], "u1")
     table = zlib.compress(keys.tobytes() + null.tobytes() + lengths.tobytes(), 1)
-    head = _HEAD.pack(b"TWID", 1, steps, len(payloads), len(stream), len(ids), len(table), zlib.crc32(table))
+    head = _HEAD.pack(b"TWID", 2, steps, len(payloads), len(stream), len(ids), len(table), zlib.crc32(table),
+                      len(model), zlib.crc32(model))
     index = np.array([(len(p), zlib.crc32(p)) for p in payloads], "<u4").tobytes()
-    return b"".join([head, index, table, *payloads])
+    return b"".join([head, index, table, model, *payloads])
 
 
 def read_file(content: bytes) -> tuple[list, list[np.ndarray]]:
     """(document ids, their token ids); raises if a checksum or a count does not fit."""
-    magic, version, steps, blocks, n, docs, size, crc = _HEAD.unpack_from(content)
-    if magic != b"TWID" or version != 1:
-        raise ValueError("not a token file of version 1")
+    magic, version, steps, blocks, n, docs, size, crc, model_size, model_crc = _HEAD.unpack_from(content)
+    if magic != b"TWID" or version != 2:
+        raise ValueError("not a token file of version 2")
     at = _HEAD.size
     index = np.frombuffer(content, "<u4", 2 * blocks, at).reshape(blocks, 2)
     at += 8 * blocks
@@ -115,6 +84,10 @@ def read_file(content: bytes) -> tuple[list, list[np.ndarray]]:
     if zlib.crc32(table) != crc:
         raise ValueError("document table damaged")
     at += size
+    model = content[at:at + model_size]
+    if zlib.crc32(model) != model_crc:
+        raise ValueError("model damaged")
+    at += model_size
     payloads = []
     for length, check in index.tolist():
         payloads.append(content[at:at + length])
@@ -126,7 +99,7 @@ def read_file(content: bytes) -> tuple[list, list[np.ndarray]]:
     lengths = np.frombuffer(raw, "<u8", docs, 9 * docs).astype(np.int64)
     if lengths.sum() != n:
         raise ValueError("document lengths do not add up")
-    ids = id_codec.decode(payloads, n, steps)
+    ids = id_codec.decode([model, *payloads], n, steps)
     return ([None if z else int(k) for k, z in zip(keys, null)],
             np.split(ids, np.cumsum(lengths)[:-1]) if docs else [])
 
@@ -135,7 +108,7 @@ def write_token_files(docs: DataFrame, text_col: str = "text", id_col: str = "do
                       path: str | None = None, file_ids: int = FILE_IDS) -> DataFrame:
     """(part, file, n_ids, content): the files, written to the shared folder; documents ascend."""
     t = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    t = t.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    t = t.repartitionByRange("doc_id", F.substring("text", 1, 24)).sortWithinPartitions("doc_id", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number, keys, ids, held = TaskContext.get().partitionId(), 0, [], [], 0
@@ -146,8 +119,8 @@ def write_token_files(docs: DataFrame, text_col: str = "text", id_col: str = "do
                  pa.array([write_file(keys, ids)], pa.binary())], names=["part", "file", "n_ids", "content"])
 
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                few = batch.slice(i, 256)
+            for i in range(0, batch.num_rows, 1024):
+                few = batch.slice(i, 1024)
                 for key, x in zip(few.column(0).to_pylist(), tokenise(few.column(1).to_pylist(), path)):
                     if held and held + len(x) > file_ids:
                         yield file()
@@ -179,8 +152,12 @@ def read_token_files(files: DataFrame) -> DataFrame:
 
 def token_index(files: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of the documents in the files; start counts over all files."""
-    order = Window.orderBy("part", "file")  # one row a file, not a document
-    ahead = F.sum("n_ids").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_ids")
-    starts = files.select("part", "file", ahead.alias("ahead"))
+    def ahead(order) -> Column:
+        return F.sum("n_ids").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_ids")
+
+    parts = files.groupBy("part").agg(F.sum("n_ids").alias("n_ids"))  # one row a task
+    parts = parts.select("part", ahead(Window.orderBy("part")).alias("base"))
+    inside = files.select("part", "file", ahead(Window.partitionBy("part").orderBy("file")).alias("inside"))
+    starts = inside.join(parts, "part").select("part", "file", (F.col("base") + F.col("inside")).alias("ahead"))
     return (read_token_files(files).join(starts, ["part", "file"])
             .select("doc_id", (F.col("ahead") + F.col("at")).alias("start"), "n_tokens", "ids_crc32"))

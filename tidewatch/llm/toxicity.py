@@ -82,7 +82,10 @@ def word_evidence(train: DataFrame) -> dict[str, float]:
 def sentences(text: str, evidence: dict[str, int]) -> list[list[int]]:
     """Evidence bins of the tokens, sentence by sentence."""
     out, current = [], []
-    tokens = _WORD_OR_END.findall(text.lower()) if text.isascii() else map(str.lower, _WORD_OR_END.findall(text))
+    if "\u0130" in text or "\u03a3" in text:  # of all letters these two alone lower-case otherwise within a text
+        tokens = map(str.lower, _WORD_OR_END.findall(text))
+    else:
+        tokens = _WORD_OR_END.findall(text.lower())
     for w in tokens:
         if w in ".!?\n":
             if current:

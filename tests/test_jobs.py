@@ -52,6 +52,25 @@ def test_stage_reuse(spark):
     assert a.count() == b.count() == 5 and len(calls) == 1
 
 
+def test_stage_of_changed_inputs_is_made_anew(spark):
+    work = tempfile.mkdtemp(prefix="tw-stage-", dir="/tmp")
+    source, stage = f"{work}/in", f"{work}/s"
+
+    def build():
+        return spark.read.parquet(source).selectExpr("id * 2 AS twice")
+
+    def never():
+        raise AssertionError("made again from the same inputs")
+    for n in (3, 7):
+        spark.range(n).write.mode("overwrite").parquet(source)
+        assert io.stage(spark, stage, build, inputs=[source]).count() == n
+        assert io.stage(spark, stage, never, inputs=[source]).count() == n
+    io._write_made_from(spark, stage, "")  # as a driver lost while writing leaves it
+    assert io.stage(spark, stage, build, inputs=[source]).count() == 7
+    io.stage(spark, f"{work}/old", lambda: spark.range(2))  # a stage of unknown inputs
+    assert io.stage(spark, f"{work}/old", build, inputs=[source]).count() == 7
+
+
 def test_engines_roundtrip_and_foreach_batch(spark):
     from tidewatch.catalog.model_q import engines
     from tidewatch.plans.scoring import load_engines, save_engines, score

@@ -138,8 +138,9 @@ def stage_reuse(spark, sf_dir):
     def compute():
         computed.append(1)
         return url_table(spark, sf_dir)
-    io.stage(spark, path, compute)
-    return io.stage(spark, path, compute).agg(F.count(F.lit(1)).alias("n_rows"),
+    pages = [f"{sf_dir}/pages.parquet"]
+    io.stage(spark, path, compute, inputs=pages)
+    return io.stage(spark, path, compute, inputs=pages).agg(F.count(F.lit(1)).alias("n_rows"),
                                               F.lit(len(computed)).cast("long").alias("n_computed"))
 
 

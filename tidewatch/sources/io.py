@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import CLASS_IDS
+from ..session import input_signature
 
 RAW_SCHEMA = "url string, type string"
 
@@ -95,17 +96,35 @@ def read_json(spark: SparkSession, path: str, schema: str | None = None) -> Data
     return r.json(path)
 
 
-def stage(spark: SparkSession, path: str, compute: Callable[[], DataFrame], reuse: bool = True) -> DataFrame:
+def stage(spark: SparkSession, path: str, compute: Callable[[], DataFrame], reuse: bool = True,
+          inputs: Sequence[str] = ()) -> DataFrame:
     """Reuse a written stage when present (``--skip-prep``), else compute
-    and write it; an empty stage is an error."""
+    and write it; an empty stage is an error.  With ``inputs`` a stage is reused
+    only if their files (path, size, time) are those it was made from; what it
+    was made from is written last, so a stage that broke off is made anew."""
+    made_from = repr(input_signature(*inputs)) if inputs else None
     if reuse:
         try:
+            same = made_from is None or read_made_from(spark, path) == made_from
             df = spark.read.parquet(path)
-            if df.limit(1).count() == 0:
+            if same and df.limit(1).count() == 0:
                 raise ValueError(f"stage {path} is empty")
-            return df
+            if same:
+                return df
         except Exception as e:  # noqa: BLE001
             if "PATH_NOT_FOUND" not in str(e) and "does not exist" not in str(e):
                 raise
+    if made_from is not None:
+        _write_made_from(spark, path, "")
     write_parquet(compute(), path)
+    if made_from is not None:
+        _write_made_from(spark, path, made_from)
     return spark.read.parquet(path)
+
+
+def read_made_from(spark: SparkSession, path: str) -> str:
+    return spark.read.parquet(f"{path}.made_from").first()["inputs"]
+
+
+def _write_made_from(spark: SparkSession, path: str, inputs: str) -> None:
+    spark.range(1).select(F.lit(inputs).alias("inputs")).write.mode("overwrite").parquet(f"{path}.made_from")

@@ -48,3 +48,22 @@ def test_failures_are_raised(spark, form):
     bad = lambda df: df.withColumn("n", F.raise_error(F.lit("broken row")).cast("int"))
     with pytest.raises(Exception, match="broken row"):
         S.finish(start(S.url_stream(spark, src, "id bigint, url string"), bad, out, ckpt))
+
+
+@pytest.mark.parametrize("form", ["file", "folder"])
+@pytest.mark.parametrize("name", ["score_stream", "score_batches"])
+def test_pages_stream_from_one_file_or_a_folder(spark, name, form):
+    import os
+    import shutil
+
+    from tidewatch import catalog
+    catalog.load_all()
+    from conftest import SF001
+    src = tempfile.mkdtemp(prefix="tw-pages-", dir="/tmp")
+    if form == "folder":
+        spark.read.parquet(f"{SF001}/pages.parquet").repartition(3).write.parquet(f"{src}/pages.parquet")
+        assert os.path.isdir(f"{src}/pages.parquet")
+    else:
+        shutil.copyfile(f"{SF001}/pages.parquet", f"{src}/pages.parquet")
+    got = sorted(catalog.QUERIES[name](spark, src).collect())
+    assert got == sorted(catalog.QUERIES["score_batch"](spark, src).collect()) and len(got) == 50

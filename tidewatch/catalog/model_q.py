@@ -26,7 +26,7 @@ from ..plans.scores import scored_urls
 from ..plans.scoring import fit_engines, score, verdict, with_features
 from ..session import bucketed_table, ensure_checkpoint_dir, input_signature, materialize
 from ..sources.tables import page_url, url_table
-from ..streaming.score_stream import finish, run_stream_score, stream_batches_into, stream_into, url_stream
+from ..streaming.score_stream import finish, run_stream_score, stream_batches_into, stream_into, table_stream
 from . import query, rounded
 from .fusion_q import SCORED_SQL
 from .guard_q import _FINAL_SQL, _NAMES_SQL, _final, _known, _r, _serving
@@ -50,7 +50,7 @@ def _folders(spark, name):
 
 
 def _page_stream(spark, sf_dir):
-    src = url_stream(spark, sf_dir, PAGES, file_glob="pages.parquet")
+    src = table_stream(spark, f"{sf_dir.rstrip('/')}/pages.parquet", PAGES)
     return src.select("page_id", page_url().alias("url"))
 
 

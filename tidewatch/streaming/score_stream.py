@@ -33,6 +33,17 @@ def url_stream(spark: SparkSession, path: str, schema: str, max_files: int | Non
     return r.parquet(path)
 
 
+def table_stream(spark: SparkSession, path: str, schema: str, max_files: int | None = None) -> DataFrame:
+    """Stream of a parquet table that is one file or a folder of files.
+
+    The file source takes folders only: of a single file, its folder is watched for that name.
+    """
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():
+        return url_stream(spark, path, schema, max_files)
+    return url_stream(spark, at.getParent().toString(), schema, max_files, at.getName())
+
+
 def finish(query: StreamingQuery, timeout_s: float | None = None) -> None:
     """Wait for the query to end.  A failure of the query is raised; so is a
     ``timeout_s`` that runs out, after stopping the query: its checkpoint is

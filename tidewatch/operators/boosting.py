@@ -1,10 +1,11 @@
 """Gradient-boosted trees from DataFrame aggregates (M1).
 
 Features are binned once.  A round fits one tree a class to the softmax gradient; a level of all its trees
-is one aggregate of gradient and curvature by (class, node, feature, bin), with partial sums before the
-shuffle, then prefix sums over the bins and the best split of each node.  The driver receives one row a
-node.  Sums are of whole numbers (2^20 a unit), so a model does not depend on how rows lie in partitions.
-Scores so far are written every few rounds; between two writings the trees are applied as expressions.
+is one aggregate of gradient and curvature by (class, node, feature, bin): each task adds its rows to a
+histogram, batch by batch, and the histograms are summed after a shuffle; then prefix sums over the bins
+and the best split of each node.  The driver receives one row a node.  Sums are of whole numbers (2^20 a
+unit), so a model does not depend on how rows lie in partitions.  Scores so far are written every few
+rounds; between two writings the trees are applied on the way, to whole batches.
 
 Null and NaN features count as 0.  A node is split only where both sides keep ``min_rows`` rows and the
 gain is positive; equal gains go to the first feature, then the lowest threshold.  Left is ``x < threshold``.
@@ -16,12 +17,13 @@ import json
 import math
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 UNIT = 1 << 20
-TREE = "struct<f:array<int>,t:array<double>,v:array<double>>"
 
 
 @dataclass
@@ -81,19 +83,19 @@ def softmax(scores: Column) -> Column:
     return F.transform(F.array(scores), shares)[0]
 
 
-def _constant(value, kind: str) -> Column:
-    """A nested constant: one folded literal instead of thousands of expressions."""
-    return F.from_json(F.lit(json.dumps(value)), kind)
+def _matrix(lists):
+    """An Arrow array of equally long lists as rows of a numpy array."""
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
 
 
-def _node(tree: Column, x: Column, depth: int) -> Column:
-    """Heap place of the leaf that ``x`` reaches."""
-    steps = F.array(*[F.lit(i) for i in range(depth)])
-
-    def step(i, _):
-        f = F.get(tree["f"], i)
-        return F.when(f < 0, i).otherwise(2 * i + 1 + (F.get(x, f) >= F.get(tree["t"], i)).cast("int"))
-    return F.aggregate(steps, F.lit(0), step)
+def _places(tree: dict, x, steps: int):
+    """Heap place that each row of ``x`` has reached in ``tree`` after ``steps``."""
+    f, t = np.array(tree["f"]), np.array(tree["t"], dtype=float)
+    at, rows = np.zeros(len(x), dtype=np.int64), np.arange(len(x))
+    for _ in range(steps):
+        own = f[at]
+        at = np.where(own < 0, at, 2 * at + 1 + (x[rows, np.maximum(own, 0)] >= t[at]))
+    return at
 
 
 def _depth(trees) -> int:
@@ -101,14 +103,26 @@ def _depth(trees) -> int:
     return int(math.log2(size + 1)) - 1
 
 
+def _added(scores, trees: list[list[dict]], x):
+    """``scores`` (a row a row, a column a class) plus the values of each class's trees at ``x``."""
+    depth, out = _depth(trees), np.array(scores, dtype=float)
+    for c, own in enumerate(trees):
+        for t in own:
+            out[:, c] += np.array(t["v"], dtype=float)[_places(t, x, depth)]
+    return out
+
+
 def _add(scores: Column, trees: list[list[dict]], x: Column) -> Column:
     """``scores`` plus the values of each class's trees at ``x``."""
     if not any(trees):
         return scores
-    depth = _depth(trees)
-    every = _constant(trees, f"array<array<{TREE}>>")
-    return F.zip_with(scores, every, lambda s, own: F.aggregate(
-        own, s, lambda a, t: a + F.get(t["v"], _node(t, x, depth))))
+
+    def add(s: pa.Array, v: pa.Array) -> pa.Array:
+        if not len(s):
+            return s
+        out = _added(_matrix(s), trees, _matrix(v))
+        return pa.ListArray.from_arrays(pa.array(range(0, out.size + 1, len(trees)), pa.int32()), pa.array(out.ravel()))
+    return F.arrow_udf(add, "array<double>")(scores, x)
 
 
 def boundaries(train: DataFrame, features, bins: int) -> list[list[float]]:
@@ -132,22 +146,67 @@ def binned(train: DataFrame, features, label: str, bounds: list[list[float]], ba
     return t.select(F.array(*bins).cast("array<double>").alias("x"), "y", F.array(*[F.lit(b) for b in base]).alias("score"))
 
 
-def histogram(rows: DataFrame, trees: list[dict], k: int, depth: int) -> DataFrame:
+def _whole(v):
+    """Units of ``v`` as whole numbers, halves away from zero."""
+    size = np.abs(v * UNIT)
+    low = np.trunc(size)
+    return np.copysign(low + (size - low >= 0.5), v)
+
+
+def _task_histogram(trees: list[dict], waiting: list[list[dict]], k: int, depth: int):
+    """Batches of ``(x, y, score)`` to the sums of all of them, by (cls, node, feature, bin)."""
+    first, nodes = (1 << depth) - 1, 1 << depth
+
+    def run(batches):
+        sums = None  # class, kind (g, h, n), node, feature, bin
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x, score = _matrix(b.column(0)), _matrix(b.column(2))
+            y = b.column(1).fill_null(-1).to_numpy(zero_copy_only=False)
+            known = b.column(1).is_valid().to_numpy(zero_copy_only=False)
+            score = _added(score, waiting, x)
+            e = np.exp(score - score.max(axis=1, keepdims=True))
+            p = e / e.sum(axis=1, keepdims=True)
+            width, bins = x.shape[1], int(x.max(initial=0)) + 1
+            if sums is None:
+                sums = np.zeros((k, 3, nodes, width, bins), dtype=np.int64)
+            elif bins > sums.shape[-1]:
+                sums = np.pad(sums, [(0, 0)] * 4 + [(0, bins - sums.shape[-1])])
+            shape = sums.shape[2:]
+            cell = x.astype(np.int64) + np.arange(width) * shape[2]
+            for c in range(k):
+                at = _places(trees[c], x, depth) - first
+                here = np.flatnonzero(at >= 0)
+                cells = (cell[here] + (at[here] * shape[1] * shape[2])[:, None]).ravel()
+                q = p[here, c]
+                g = np.where(known[here], _whole(q - (y[here] == c)), 0)
+                for i, own in enumerate((g, _whole(q * (1 - q)), None)):
+                    # sums of a batch stay far below 2^53: exact as doubles
+                    own = own if own is None else np.repeat(own, width)
+                    found = np.bincount(cells, own, math.prod(shape))
+                    sums[c, i] += np.rint(found).astype(np.int64).reshape(shape)
+        if sums is None:
+            return
+        cls, node, feature, place = np.nonzero(sums[:, 2])
+        g, h, n = (sums[cls, i, node, feature, place] for i in range(3))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(cls.astype(np.int32)), pa.array((node + first).astype(np.int32)), pa.array(feature.astype(np.int32)),
+             pa.array(place.astype(float)), pa.array(g), pa.array(h), pa.array(n)],
+            names=["cls", "node", "feature", "bin", "g", "h", "n"])
+    return run
+
+
+def histogram(rows: DataFrame, trees: list[dict], k: int, depth: int, waiting: list[list[dict]] | None = None) -> DataFrame:
     """Sums by (cls, node, feature, bin) over the nodes of ``trees`` (one a class) at ``depth``.
 
-    ``rows``: ``x`` (bins), ``y`` and ``score``.
+    ``rows``: ``x`` (bins), ``y`` and ``score``, to which the trees ``waiting`` (some a class) are added.
+    A task holds one histogram, classes x nodes x features x bins, whatever its rows.
     """
-    own = _constant(trees, f"array<{TREE}>")
-    first = (1 << depth) - 1
-    t = rows.select("x", "y", softmax(F.col("score")).alias("p"))
-    each = F.transform(F.array(*[F.lit(c) for c in range(k)]), lambda c: F.struct(
-        c.alias("cls"), _node(F.get(own, c), F.col("x"), depth).alias("node"),
-        F.round((F.get("p", c) - (F.col("y") == c).cast("double")) * UNIT).cast("long").alias("g"),
-        F.round(F.get("p", c) * (1 - F.get("p", c)) * UNIT).cast("long").alias("h")))
-    t = t.select("x", F.explode(each).alias("e")).filter(F.col("e.node") >= first)
-    t = t.select("e.*", F.posexplode("x").alias("feature", "bin"))
-    return t.groupBy("cls", "node", "feature", "bin").agg(
-        F.sum("g").alias("g"), F.sum("h").alias("h"), F.count(F.lit(1)).alias("n"))
+    of = rows.select("x", F.col("y").cast("int").alias("y"), "score")
+    part = of.mapInArrow(_task_histogram(trees, waiting or [[] for _ in range(k)], k, depth),
+                         "cls int, node int, feature int, bin double, g long, h long, n long")
+    return part.groupBy("cls", "node", "feature", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.sum("n").alias("n"))
 
 
 def _term(g: Column, h: Column, l2: float) -> Column:
@@ -183,12 +242,12 @@ def log_priors(train: DataFrame, label: str, k: int) -> list[float]:
     return [math.log(max(n.get(c, 0), 0.5) / total) for c in range(k)]
 
 
-def _grow(rows: DataFrame, k: int, p: Params, gains: dict[int, float]) -> list[dict]:
+def _grow(rows: DataFrame, waiting: list[list[dict]], k: int, p: Params, gains: dict[int, float]) -> list[dict]:
     """One tree a class, in bin numbers (a split's threshold is the first bin on its right)."""
     size = (1 << (p.depth + 1)) - 1
     trees = [{"f": [-1] * size, "t": [0.0] * size, "v": [0.0] * size} for _ in range(k)]
     for depth in range(p.depth):
-        found = best_splits(split_gains(histogram(rows, trees, k, depth), p.l2, p.min_rows)).collect()
+        found = best_splits(split_gains(histogram(rows, trees, k, depth, waiting), p.l2, p.min_rows)).collect()
         split = [r for r in found if r["best"] is not None]
         for r in split:
             t, i, b = trees[r["cls"]], r["node"], r["best"]
@@ -216,8 +275,7 @@ def fit_boosted(train: DataFrame, features, label: str = "target", k: int = 4, p
         if r and r % p.write_every == 0:
             state = materialize(state.withColumn("score", _add(F.col("score"), waiting, F.col("x"))), "boost_state")
             waiting = [[] for _ in range(k)]
-        rows = state.withColumn("score", _add(F.col("score"), waiting, F.col("x")))
-        trees = _grow(rows, k, p, gains)
+        trees = _grow(state, waiting, k, p, gains)
         if all(t["f"][0] < 0 for t in trees):
             break
         for c in range(k):

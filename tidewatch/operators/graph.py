@@ -281,14 +281,21 @@ def cosine(a, b) -> Column:
     return F.try_divide(dot, na * nb)
 
 
+def once(value: Column, then) -> Column:
+    """``then(value)`` with ``value`` computed once, whatever ``then`` reads it for: inside higher-order
+    functions a repeated expression is evaluated again each time."""
+    return F.transform(F.array(value), then)[0]
+
+
 def _md5_mod(g: Column, buckets: int) -> Column:
     """md5(g) mod buckets by Horner's rule over four 32-bit words."""
-    h = F.md5(g)
-    m = F.lit(0).cast("long")
-    for w in range(4):
-        word = F.conv(F.substring(h, 8 * w + 1, 8), 16, 10).cast("long")
-        m = F.pmod(m * F.lit(1 << 32) + word, F.lit(buckets))
-    return m
+    def horner(h):
+        m = F.lit(0).cast("long")
+        for w in range(4):
+            word = F.conv(F.substring(h, 8 * w + 1, 8), 16, 10).cast("long")
+            m = F.pmod(m * F.lit(1 << 32) + word, F.lit(buckets))
+        return m
+    return once(F.md5(g), horner)
 
 
 def ngram_hash_vector(c, buckets: int, sizes=(2, 3)) -> Column:
@@ -298,21 +305,26 @@ def ngram_hash_vector(c, buckets: int, sizes=(2, 3)) -> Column:
     Used as the suffix node's features: seen and unseen suffixes get the
     same deterministic embedding."""
     c = F.col(c) if isinstance(c, str) else c
-    s = F.regexp_replace(c, r"^\.+|\.+$", "")
-    n = F.length(s)
 
-    def grams(k):
-        return F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substring(s, i, k))) \
+    def indices(s):
+        n = F.length(s)
+
+        def grams(k):
+            return F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substring(s, i, k))) \
+                .otherwise(F.array().cast("array<string>"))
+        all_g = F.concat(*[grams(k) for k in sizes])
+        singles = F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(s, i, 1))) \
             .otherwise(F.array().cast("array<string>"))
-    all_g = F.concat(*[grams(k) for k in sizes])
-    singles = F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(s, i, 1))) \
-        .otherwise(F.array().cast("array<string>"))
-    g = F.when(F.size(all_g) > 0, all_g).otherwise(singles)
-    idx = F.transform(g, lambda x: _md5_mod(x, buckets))
-    total = F.size(idx)
-    return F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)),
-                       lambda b: F.when(total > 0, F.size(F.filter(idx, lambda x: x == b)) / total)
-                       .otherwise(F.lit(0.0)))
+        g = once(all_g, lambda a: F.when(F.size(a) > 0, a).otherwise(singles))
+        return F.transform(g, lambda x: _md5_mod(x, buckets))
+
+    def shares(idx):
+        total = F.size(idx)
+        return F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)),
+                           lambda b: F.when(total > 0, F.size(F.filter(idx, lambda x: x == b)) / total)
+                           .otherwise(F.lit(0.0)))
+    # each step is read many times by the next one: computed once a row
+    return once(once(F.regexp_replace(c, r"^\.+|\.+$", ""), indices), shares)
 
 
 def with_suffix_vector(df: DataFrame, tld: str = "tld", buckets: int = 16, prefix: str = "tldv") -> DataFrame:

@@ -8,6 +8,8 @@ that ``\\d``/``\\w`` keep their Unicode meaning.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,34 +60,58 @@ def shannon_entropy(c) -> Column:
     return F.when(F.coalesce(n, F.lit(0)) == 0, F.lit(0.0)).otherwise(ent)
 
 
-def _char_stats(texts):
-    """Shannon entropy and number of distinct characters of a batch of strings,
-    fully vectorised: every (row, code point) pair is counted by one numpy
-    unique over the batch."""
-    import numpy as np
-    import pandas as pd
-    enc = [t.encode("utf-32-le") if isinstance(t, str) else b"" for t in texts]
-    lens = np.fromiter((len(e) // 4 for e in enc), dtype=np.int64, count=len(enc))
-    out, distinct = np.zeros(len(enc)), np.zeros(len(enc), dtype=np.int64)
-    if lens.sum():
-        cp = np.frombuffer(b"".join(enc), dtype=np.uint32).astype(np.uint64)
-        seg = np.repeat(np.arange(len(enc), dtype=np.uint64), lens)
-        keys, counts = np.unique((seg << np.uint64(32)) | cp, return_counts=True)
-        row = (keys >> np.uint64(32)).astype(np.int64)
-        prob = counts / lens[row]
-        out = np.bincount(row, weights=-prob * np.log2(prob), minlength=len(enc))
-        distinct = np.bincount(row, minlength=len(enc))
-    return pd.DataFrame({"entropy": out + 0.0, "distinct": distinct})
+STRETCH = 1 << 20  # characters counted at once
+
+
+def _pieces(texts: pa.Array):
+    """``(row, code points)`` of an Arrow array of strings, at most STRETCH at a time of a text."""
+    for row, text in enumerate(texts):
+        t = text.as_py() or ""
+        for i in range(0, len(t), STRETCH):
+            yield row, np.frombuffer(t[i:i + STRETCH].encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+
+
+def _stretches(texts: pa.Array):
+    """Pieces together as ``(rows, their code points)``, fewer than two times STRETCH a stretch."""
+    rows, parts, size = [], [], 0
+    for row, cp in _pieces(texts):
+        rows.append(row)
+        parts.append(cp)
+        size += len(cp)
+        if size >= STRETCH:
+            yield rows, parts
+            rows, parts, size = [], [], 0
+    if rows:
+        yield rows, parts
+
+
+def _char_stats(texts: pa.Array) -> pa.Array:
+    """Shannon entropy and number of distinct characters of a batch of strings.  Every (row, code point)
+    pair is counted by numpy, a stretch of the batch at a time, so memory does not follow its characters."""
+    keys, counts = [], []
+    for rows, parts in _stretches(texts):
+        seg = np.repeat(np.array(rows, dtype=np.uint64) << np.uint64(32), [len(p) for p in parts])
+        k, n = np.unique(seg | np.concatenate(parts), return_counts=True)
+        keys.append(k)
+        counts.append(n)
+    out, distinct = np.zeros(len(texts)), np.zeros(len(texts), dtype=np.int64)
+    if keys:
+        # a text over two stretches has counts in both
+        pair, at = np.unique(np.concatenate(keys), return_inverse=True)
+        count = np.bincount(at, np.concatenate(counts), len(pair))
+        row = (pair >> np.uint64(32)).astype(np.int64)
+        prob = count / np.bincount(row, count, len(texts))[row]
+        out = np.bincount(row, weights=-prob * np.log2(prob), minlength=len(texts))
+        distinct = np.bincount(row, minlength=len(texts))
+    return pa.StructArray.from_arrays([pa.array(out + 0.0), pa.array(distinct.astype(np.int64))], names=["entropy", "distinct"])
 
 
 def char_stats_long(c) -> Column:
     """struct(entropy, distinct) of long texts (documents).  The built-in form
     above rescans the string once per distinct character, which is fine for URLs
-    but costs O(length x alphabet) on whole documents; this Arrow-batched pandas
-    UDF counts code points with one vectorised numpy pass per batch."""
-    from pyspark.sql.functions import pandas_udf
-    fn = pandas_udf(_char_stats, "entropy double, distinct long")
-    return fn(_c(c))
+    but costs O(length x alphabet) on whole documents; this Arrow UDF counts
+    code points with numpy, and works on the batch as it came, stretch by stretch."""
+    return F.arrow_udf(_char_stats, "struct<entropy:double,distinct:long>")(_c(c))
 
 
 def shannon_entropy_long(c) -> Column:

@@ -67,3 +67,16 @@ def test_pages_stream_from_one_file_or_a_folder(spark, name, form):
         shutil.copyfile(f"{SF001}/pages.parquet", f"{src}/pages.parquet")
     got = sorted(catalog.QUERIES[name](spark, src).collect())
     assert got == sorted(catalog.QUERIES["score_batch"](spark, src).collect()) and len(got) == 50
+
+
+def test_the_trained_engines_score_a_stream_of_a_folder_of_pages(spark):
+    from tidewatch import catalog
+    catalog.load_all()
+    from conftest import SF001
+    src = tempfile.mkdtemp(prefix="tw-pages-", dir="/tmp")
+    spark.read.parquet(f"{SF001}/pages.parquet").repartition(3).write.parquet(f"{src}/pages.parquet")
+    got = {r.page_id: r for r in catalog.QUERIES["score_stream_model"](spark, src).collect()}
+    batch = {r.page_id: r for r in catalog.QUERIES["score_batch_model"](spark, src).collect()}
+    assert got.keys() == batch.keys() and len(got) == 50
+    for k, b in batch.items():
+        assert got[k].predicted_class == b.predicted_class and got[k].p_0 == pytest.approx(b.p_0, abs=1e-8)

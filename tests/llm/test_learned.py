@@ -158,6 +158,62 @@ def test_nearest_neighbours_against_brute_force(vectors, monkeypatch):
     assert hits / (20 * len(got)) >= 0.99
 
 
+def test_blocks_meet_in_tasks_bounded_and_without_copies(vectors, spark, monkeypatch):
+    """No pair of blocks is broadcast or shuffled, and tasks don't grow as query blocks times candidate blocks."""
+    df, v = vectors
+    monkeypatch.setattr(ann, "BLOCK", 10)
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 1)
+    found = ann.search(df, F.col("vec_id") % 20 == 0)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "Generate" not in plan and plan.count("Exchange") == 1, plan
+    sc = spark.sparkContext
+    sc.setJobGroup("ann-meet", "blocks meet")
+    try:
+        rows = found.collect()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        sc.setLocalProperty("spark.job.description", None)
+    tracker = sc.statusTracker()
+    stages = [tracker.getStageInfo(x) for j in tracker.getJobIdsForGroup("ann-meet") for x in tracker.getJobInfo(j).stageIds]
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert stages and max(x.numTasks for x in stages if x) <= (ann.TASKS + 1) * partitions
+    got = {}
+    for r in rows:
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    for q in range(0, 900, 20):
+        s = v @ v[q]
+        order = [i for i in sorted(range(900), key=lambda i: (-round(s[i], 12), i)) if i != q][:20]
+        assert [x for _, x in sorted(got.pop(q))] == order
+    assert not got
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e6])
+def test_products_taken_at_once_or_picked_out_agree(monkeypatch, scale):
+    rng = np.random.default_rng(11)
+    v = rng.normal(size=(600, 24)) * scale
+    v[300:] = v[rng.integers(0, 300, 300)]  # copies: ties go to the smaller id
+    rows, ids = np.arange(600), rng.permutation(600)
+    centre, turn = v.mean(axis=0), ann.rotation(24)
+    code = ann.encode(v, centre, turn)
+    found = []
+    for dense in (0, 10**9):
+        monkeypatch.setattr(ann, "DENSE", dense)
+        monkeypatch.setattr(ann, "SLICE", 100)
+        found.append(ann.nearest(rows[:40], v[:40], rows, ids, v, code, centre, turn))
+    assert all(np.array_equal(a, b) for a, b in zip(*found))
+    at, cid, score = found[0]
+    for q in range(40):
+        s = ann.exact(v[q][None, :], v)
+        order = sorted((i for i in range(600) if i != q), key=lambda i: (-s[i], ids[i]))[:20]
+        assert list(cid[at == q]) == list(ids[order]) and list(score[at == q]) == list(s[order])
+
+
+def test_best_of_each_query_in_order():
+    at, cid, score = ann.first_of_each(np.array([1, 0, 1, 1, 3]), np.array([9, 4, 7, 2, 5]), np.array([1.0, 2.0, 1.0, 3.0, 0.0]), 2)
+    assert at.tolist() == [0, 1, 1, 3] and cid.tolist() == [4, 2, 7, 5] and score.tolist() == [2.0, 3.0, 1.0, 0.0]
+    assert all(len(x) == 0 for x in ann.first_of_each(np.empty(0, int), np.empty(0, int), np.empty(0), 2))
+
+
 def test_few_vectors_and_none(vectors, spark):
     df, _ = vectors
     few = df.filter("vec_id in (0, 1, 2, 1000)")

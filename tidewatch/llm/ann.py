@@ -11,9 +11,11 @@ vectors.
 
 Every vector is coded (nothing is sampled but the centre, a mean of all).  Candidates are dealt into
 blocks of ``BLOCK`` rows, queries into blocks of ``QUERY_BLOCK`` rows; each query block meets each
-candidate block once (a stated query set against all rows, in blocks), keeps its ``k`` best there,
-and the partial lists of a query are merged.  A block is one row of packed bytes, so memory is
-bounded by two blocks whatever the table.
+candidate block once (a stated query set against all rows, in blocks) and keeps its ``k`` best.  A
+task reads a part of the candidate blocks against a part of the query blocks (a Cartesian product of
+the two staged tables, neither shuffled nor broadcast) and gives out the ``k`` best of a query over
+all its candidates; the lists of a query from several tasks are merged.  A block is one row of packed
+bytes, so a worker holds a batch of block pairs and ``k`` rows a query of its part.
 
 Defined results: vectors that are null, zero, or hold a null or non-finite component take no part,
 as candidate or as query; vectors of another dimension than the first one by id fail loudly; ties
@@ -37,11 +39,13 @@ K = 20
 BLOCK = 4096
 QUERY_BLOCK = 2048
 STEP = 256  # queries of a block estimated at a time
-PAIRS = 8  # block pairs a task
+TASKS = 4  # tasks, at most, in which blocks meet, for each partition that a shuffle has
 SEED = 20
 QUERY_BITS = 6  # bits a coordinate of a rotated query
 BOUND = 3.5  # deviations of the estimate that the error bound covers
-SLACK = 1e-9  # beyond rounding: ties are decided on sums taken in one order
+SLACK = 1e-9  # of the largest product there may be, beyond rounding: ties are decided on sums taken in one order
+SLICE = 4096  # pairs whose vectors are laid beside each other at a time
+DENSE = 16  # where more than this part of a block is left to score, all of its products are taken at once
 
 
 def rotation(dim: int, seed: int = SEED) -> np.ndarray:
@@ -83,17 +87,25 @@ def estimate(bits: np.ndarray, length: np.ndarray, fit: np.ndarray, query: np.nd
     code = words(bits)
     cut, low, step, off = planes(query @ turn)
     level = low[:, None] + step[:, None] * np.rint((query @ turn - low[:, None]) / step[:, None])
-    both = np.zeros((len(query), len(code)), np.int64)  # sum of the query's levels where the code has a one
-    for j in range(QUERY_BITS):
+    # sum of the query's levels where the code has a one, from the highest plane down
+    both = np.zeros((len(query), len(code)), np.uint16 if dim << QUERY_BITS < 1 << 16 else np.int64)
+    for j in reversed(range(QUERY_BITS)):
+        both <<= 1
         for w in range(code.shape[1]):
-            both += np.bitwise_count(cut[:, j, w][:, None] & code[:, w][None, :]).astype(np.int64) << j
+            both += np.bitwise_count(cut[:, j, w][:, None] & code[:, w][None, :])
     ones = np.bitwise_count(code).sum(axis=1, dtype=np.int64)
-    dot = 2 * (low[:, None] * ones[None, :] + step[:, None] * both) - level.sum(axis=1)[:, None]
+    dot = step[:, None] * both
+    dot += low[:, None] * ones[None, :]
+    dot *= 2
+    dot -= level.sum(axis=1)[:, None]
     safe = np.where(fit > 0, fit, 1.0)
     scale = (length / safe / np.sqrt(dim))[None, :]
     spread = np.sqrt(np.maximum(1 - safe * safe, 0)) / safe * length / np.sqrt(max(dim - 1, 1))
     width = bound * np.linalg.norm(query, axis=1)[:, None] * spread[None, :] + off[:, None] * scale
-    return (query @ centre)[:, None] + dot * scale, width + 1e-9
+    dot *= scale
+    dot += (query @ centre)[:, None]
+    width += 1e-9
+    return dot, width
 
 
 def exact(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
@@ -101,6 +113,21 @@ def exact(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     return np.cumsum(query * vectors, axis=1)[:, -1]
 
 
+def of_pairs(query: np.ndarray, vectors: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """:func:`exact` of query ``i`` and vector ``j`` for each pair, ``SLICE`` pairs at a time."""
+    cut = range(0, len(i), SLICE)
+    return np.concatenate([exact(query[i[a:a + SLICE]], vectors[j[a:a + SLICE]]) for a in cut] or [np.empty(0)])
+
+
+def first_of_each(at: np.ndarray, cid: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of each query by score, then id, in the order of the queries."""
+    order = np.lexsort((cid, -score, at))
+    at, cid, score = at[order], cid[order], score[order]
+    begin = np.flatnonzero(np.diff(at, prepend=-1))  # a query's first row
+    rank = np.arange(len(at)) - np.repeat(begin, np.diff(begin, append=len(at)))
+    return at[rank < k], cid[rank < k], score[rank < k]
+
+
 def nearest(qrow: np.ndarray, query: np.ndarray, crow: np.ndarray, cid: np.ndarray, vectors: np.ndarray, code: tuple,
             centre: np.ndarray, turn: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(place of the query, candidate id, score) of the k best of this block for each query."""
@@ -109,21 +136,25 @@ def nearest(qrow: np.ndarray, query: np.ndarray, crow: np.ndarray, cid: np.ndarr
     about[same] = -np.inf
     few = min(4 * k, len(cid))
     likely = np.argpartition(about, len(cid) - few, axis=1)[:, len(cid) - few:]
-    high = about + width
-    out = []
-    for i in range(len(qrow)):
-        # the k-th best of the likeliest is a floor that candidates must be able to reach
-        first = likely[i][~same[i, likely[i]]]
-        score = np.sort(vectors[first] @ query[i])
-        at = np.flatnonzero(high[i] >= (score[-k] if len(score) >= k else -np.inf) - SLACK)
-        at = at[~same[i, at]]
-        score = vectors[at] @ query[i]
-        if len(at) > k:
-            at = at[score >= np.partition(score, -k)[-k] - SLACK]
-        score = exact(query[i][None, :], vectors[at])
-        best = np.lexsort((cid[at], -score))[:k]
-        out.append((np.full(len(best), i), cid[at][best], score[best]))
-    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.empty(0, np.int64),) * 2 + (np.empty(0),)
+    about += width
+    slack = SLACK * np.maximum(1, np.abs(query).sum(axis=1) * np.abs(vectors).max())
+    slack = np.minimum(slack, np.finfo(float).max)[:, None]
+
+    def kth(score: np.ndarray) -> np.ndarray:
+        return np.partition(score, -k, axis=1)[:, -k, None] if score.shape[1] >= k else np.full((len(score), 1), -np.inf)
+
+    # the k-th best of the likeliest is a floor that candidates must be able to reach
+    score = np.stack([vectors[x] @ q for x, q in zip(likely, query)])
+    score[np.take_along_axis(same, likely, axis=1)] = -np.inf
+    left = (about >= kth(score) - slack) & ~same
+    if np.count_nonzero(left) * DENSE > left.size:  # one product is cheaper than picking so many of them out
+        score = np.where(left, query @ vectors.T, -np.inf)
+    else:
+        score = np.full(left.shape, -np.inf)
+        score[left] = of_pairs(query, vectors, *np.nonzero(left))
+    left &= score >= kth(score) - slack
+    i, j = np.nonzero(left)
+    return first_of_each(i, cid[j], of_pairs(query, vectors, i, j), k)
 
 
 def usable(vectors: DataFrame, asked: Column, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -172,11 +203,10 @@ def search(vectors: DataFrame, asked: Column, id_col: str = "vec_id", vec_col: s
     blocks, ask_blocks = max(1, -(-n // BLOCK)), max(1, -(-m // QUERY_BLOCK))
     cand = _blocks(base, blocks, centre, turn, "candidates", True)
     ask = _blocks(queries, ask_blocks, centre, turn, "queries", False)
-    ask = ask.select(F.col("rows").alias("qrows"), F.col("ids").alias("qids"), F.col("v").alias("qv"),
-                     F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     found_schema = "query_row long, query_id long, vec_id long, score double"
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best: dict[int, tuple] = {}  # query block: rows and ids of its queries, and their k best so far
         for pdf in batches:
             for r in pdf.itertuples(index=False):
                 qrow, qid = np.frombuffer(r.qrows, "<i8"), np.frombuffer(r.qids, "<i8")
@@ -185,13 +215,21 @@ def search(vectors: DataFrame, asked: Column, id_col: str = "vec_id", vec_col: s
                         np.frombuffer(r.length, "<f8"), np.frombuffer(r.fit, "<f8"))
                 qv = np.frombuffer(r.qv, "<f8").reshape(len(qid), -1)
                 v = np.frombuffer(r.v, "<f8").reshape(len(cid), -1)
+                so_far = [best[r.ask][2]] if r.ask in best else []
                 for i in range(0, len(qid), STEP):
                     at, c, s = nearest(qrow[i:i + STEP], qv[i:i + STEP], crow, cid, v, code, centre, turn, k)
-                    yield pd.DataFrame({"query_row": qrow[i + at], "query_id": qid[i + at], "vec_id": c, "score": s})
-
-    tasks = max(shuffle_partitions(spark), blocks * ask_blocks // PAIRS)
-    pairs = ask.join(cand, "block").repartition(tasks, "block", F.xxhash64("qrows")).drop("block")
-    found = pairs.mapInPandas(meet, found_schema)
+                    so_far.append((i + at, c, s))
+                best[r.ask] = qrow.copy(), qid.copy(), first_of_each(*map(np.concatenate, zip(*so_far)), k)
+        for qrow, qid, (at, c, s) in best.values():
+            yield pd.DataFrame({"query_row": qrow[at], "query_id": qid[at], "vec_id": c, "score": s})
+
+    # each part of the candidates meets each part of the queries in a task that reads both where they are staged:
+    # no pair of blocks is shuffled or broadcast, and the number of tasks doesn't grow with the table
+    ways = min(ask_blocks, shuffle_partitions(spark))
+    cand = cand.drop("block").coalesce(max(1, -(-TASKS * shuffle_partitions(spark) // ways)))
+    ask = ask.select(F.col("block").alias("ask"), F.col("rows").alias("qrows"), F.col("ids").alias("qids"),
+                     F.col("v").alias("qv")).coalesce(ways)
+    found = cand.crossJoin(ask.hint("shuffle_replicate_nl")).mapInPandas(meet, found_schema)
     place = Window.partitionBy("query_row").orderBy(F.col("score").desc(), "vec_id")
     return (found.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= k)
             .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))
